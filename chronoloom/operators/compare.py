@@ -1,0 +1,64 @@
+"""Comparing two versions of a recording: samples, gain, lag, annotations and alignment."""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+
+def share_identical(pairs: DataFrame, by: str, ours: str, theirs: str, pos: str) -> DataFrame:
+    """by, n, identical, differing, largest step and the first place that differs."""
+    d = F.abs(F.col(ours) - F.col(theirs))
+    return pairs.groupBy(by).agg(
+        F.count("*").alias("n"), F.count_if(d == 0).alias("identical"), F.count_if(d > 0).alias("differing"),
+        F.max(d).alias("max_step"), F.min(F.when(d > 0, F.col(pos))).alias("first_differing"),
+    )
+
+
+def gain_through_origin(pairs: DataFrame, by: str, x: str, y: str) -> DataFrame:
+    """by, n, gain (sum of x y over sum of x x) and its standard error; constant channels are left out."""
+    sums = pairs.groupBy(by).agg(F.count("*").alias("n"), F.sum(F.col(x) * F.col(x)).alias("xx"), F.sum(F.col(x) * F.col(y)).alias("xy"), F.sum(F.col(y) * F.col(y)).alias("yy"), F.min(x).alias("lo"), F.max(x).alias("hi"))
+    left = F.greatest(F.lit(0.0), F.col("yy") - F.col("xy") * F.col("xy") / F.col("xx"))
+    return sums.where("n >= 2 and hi > lo").select(by, "n", (F.col("xy") / F.col("xx")).alias("gain"), F.sqrt(left / (F.col("n") - 1) / F.col("xx")).alias("se"))
+
+
+def best_lag(signal: DataFrame, by: str, pos: str, x: str, y: str, most: int) -> DataFrame:
+    """by, lag and score: the shift k within +-most that maximises the sum of dx(p) dy(p + k); ties to the lowest."""
+    shifted = signal.select(by, (F.col(pos)).alias("__p"), F.col(x).alias("__x"), F.explode(F.sequence(F.lit(-most), F.lit(most))).alias("lag")).withColumn("__q", F.col("__p") + F.col("lag"))
+    other = signal.select(F.col(by).alias("__by"), F.col(pos).alias("__r"), F.col(y).alias("__y"))
+    met = shifted.join(other, (shifted[by] == other["__by"]) & (shifted["__q"] == other["__r"]))
+    scores = met.groupBy(by, "lag").agg(F.sum(F.col("__x") * F.col("__y")).alias("score"))
+    return scores.groupBy(by).agg(F.max_by("lag", F.struct(F.col("score"), -F.col("lag"))).alias("lag"), F.max("score").alias("score"))
+
+
+def matched_annotations(ours: DataFrame, theirs: DataFrame, tolerance: float) -> DataFrame:
+    """text, matched, only_ours and only_theirs: one-to-one matches of onsets within the tolerance, for each text, by
+    walking both in order. Onsets (text, onset) of one text are few, so a group fits a task."""
+
+    def walk(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        x, y = sorted(a["onset"]), sorted(b["onset"])
+        i = j = matched = 0
+        while i < len(x) and j < len(y):
+            if abs(x[i] - y[j]) <= tolerance + 1e-9:
+                i, j, matched = i + 1, j + 1, matched + 1
+            elif x[i] < y[j]:
+                i += 1
+            else:
+                j += 1
+        text = (a if len(a) else b)["text"].iloc[0]
+        return pd.DataFrame([(text, matched, len(x) - matched, len(y) - matched)], columns=["text", "matched", "only_ours", "only_theirs"])
+
+    return ours.groupBy("text").cogroup(theirs.groupBy("text")).applyInPandas(walk, "text string, matched long, only_ours long, only_theirs long")
+
+
+def verdict(checks: DataFrame) -> DataFrame:
+    """passed and failed: nothing fails (checks has check and status)."""
+    return checks.agg(F.bool_and(F.col("status") != "FAIL").alias("passed"), F.count_if(F.col("status") == "FAIL").alias("failed"))
+
+
+def aligned(offsets: DataFrame, frames: DataFrame, within: Column) -> DataFrame:
+    """Of stated offsets (few) against frame starts: by offset, the nearest frame and its residual, where `within` it."""
+    met = F.broadcast(offsets).crossJoin(frames)
+    near = met.groupBy(*offsets.columns).agg(F.min_by("frame", F.struct(F.abs(F.col("start") - F.col("guess")), F.col("frame"))).alias("frame"), F.min(F.abs(F.col("start") - F.col("guess"))).alias("residual"))
+    return near.where(within)
