@@ -17,14 +17,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronoloom.llm._common import Saved, rows_of, table
-from chronoloom.llm.components import bucket_components, with_component
+from chronoloom.llm.components import bucket_components, mixed_blocks, with_component
 
 SHINGLE = 5
 #: Linked if 100 * intersection >= PERCENT * union.
 PERCENT = 75
 BANDS, ROWS = 40, 5
-#: A pair whose signatures agree less than this is not checked further: over five deviations below the threshold.
-LEAST_AGREEMENT = 0.58
+#: A pair whose signatures agree less than this is not checked further: four deviations below the threshold.
+LEAST_AGREEMENT = 0.63
+#: Members of a block of a bucket, where blocks are compared with blocks.
+BLOCK = 64
 _SEED = np.random.default_rng(20240229)
 _A = _SEED.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _SEED.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
@@ -134,6 +136,42 @@ def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return met.select("a", "b", "n", "m", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def block_links(blocks: DataFrame) -> DataFrame:
+    """Links between the members of two blocks, one for each member and other component. A pair that shares several
+    buckets is looked at in the first of them only."""
+
+    def columns(members: pa.StructArray) -> tuple[np.ndarray, ...]:
+        ids, components, payload = members.flatten()
+        n, packed, signature, bands = payload.flatten()
+        fixed = lambda x, kind: np.frombuffer(b"".join(x.to_pylist()), kind).reshape(len(ids), -1)
+        return ids.to_numpy(), components.to_numpy(), n.to_numpy(), packed, fixed(signature, np.uint8), bands.flatten().to_numpy().reshape(len(ids), -1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: list[tuple[int, int]] = []
+            for row in range(batch.num_rows):
+                bucket, most = batch.column(0)[row].as_py(), batch.column(1)[row].as_py()
+                x_id, x_in, x_n, x_set, x_sig, x_bands = columns(batch.column(2)[row].values)
+                y_id, y_in, y_n, y_set, y_sig, y_bands = columns(batch.column(3)[row].values)
+                for i in range(len(x_id)):
+                    same = y_bands == x_bands[i]
+                    here = y_bands[np.arange(len(y_id)), same.argmax(axis=1)] == bucket
+                    near = (y_sig == x_sig[i]).mean(axis=1) >= LEAST_AGREEMENT
+                    sized = 100 * np.minimum(y_n, x_n[i]) >= PERCENT * np.maximum(y_n, x_n[i])
+                    other = (y_in != x_in[i]) & ((y_in == most) | (x_id[i] < y_id))
+                    done: set[int] = set()
+                    own = np.frombuffer(x_set[i].as_py(), np.uint32)
+                    for j in np.flatnonzero(here & near & sized & other).tolist():
+                        if y_in[j] not in done:
+                            shared = len(np.intersect1d(own, np.frombuffer(y_set[j].as_py(), np.uint32), assume_unique=True))
+                            if 100 * shared >= PERCENT * (x_n[i] + y_n[j] - shared):
+                                done.add(y_in[j])
+                                found.append((int(x_id[i]), int(y_id[j])))
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return blocks.mapInArrow(run, "a long, b long")
+
+
 def packed_sets(docs: DataFrame, key: str, text: str, wanted: DataFrame) -> DataFrame:
     """id, n and packed sets of the wanted ids' texts."""
 
@@ -163,13 +201,19 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     heads = Saved(heads.dropDuplicates(["id", "signature"]), "near-heads")
     members = heads.df.select("id", F.explode("bands").alias("bucket")).select("bucket", "id")
 
+    def sets_of(ids: DataFrame) -> DataFrame:
+        return Saved(packed_sets(docs, key, text, ids), "near-sets").df
+
     def confirm(pairs: DataFrame) -> DataFrame:
         close = Saved(alike(pairs, heads.df), "near-close")
-        wanted = close.df.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        held = Saved(packed_sets(docs, key, text, wanted), "near-sets")
-        return Saved(similar(close.df, held.df).distinct(), "near-links").df
+        return similar(close.df, sets_of(close.df.select(F.explode(F.array("a", "b")).alias("id")).distinct())).distinct()
+
+    def confirm_mixed(placed: DataFrame) -> DataFrame:
+        full = sets_of(placed.select("id").distinct()).join(heads.df, "id")
+        payload = full.select("id", F.struct("n", "packed", "signature", "bands").alias("payload"))
+        return block_links(mixed_blocks(placed, payload, BLOCK)).distinct()
 
-    components = bucket_components(members, confirm, "near")
+    components = bucket_components(members, confirm, "near", confirm_mixed)
     named = with_component(classes.df, "head", components)
     # a class's component, by the class; copies follow it
     out = rows.df.join(named.select(F.col("content").alias("c"), "component"), F.col("content") == F.col("c"), "left")
