@@ -5,8 +5,9 @@ sampled suffixes are sorted, and what holds for the others is induced from them:
 
 1. A window of LENGTH bytes holds SPAN grams of GRAM bytes; the gram with the smallest hash is its anchor. Anchors are
    about 1 % of the positions and are the same wherever a window repeats. Only anchors that occur twice matter.
-2. From each anchor runs a region to the end of the first anchor at least a gram away; it is LENGTH bytes or longer. A
-   region whose content occurs twice is covered whole, so its windows need no look.
+2. From each anchor runs a region to the end of the first anchor that is a gram behind the next one; it is LENGTH
+   bytes or longer, and its windows reach the next region's. A region whose content occurs twice is covered whole, so
+   its windows need no look.
 3. The windows that hold a repeated anchor and are in no repeated region (the ends of repeats), together with those of
    one occurrence of each repeated region, are compared by content. A window that occurs twice is covered.
 
@@ -76,8 +77,8 @@ def anchors_of(data: bytes, length: int, gram: int) -> tuple[np.ndarray, np.ndar
     grams = roll.every(gram)
     least = sliding_minimum(grams, length - gram + 1)
     at = np.flatnonzero(np.isin(grams, np.unique(least)))
-    last = np.searchsorted(at, at + gram)
-    has = np.maximum(last, 0) < len(at)
+    last = np.searchsorted(at, np.append(at[1:], len(data)) + gram)  # so that a region's windows reach the next one's
+    has = last < len(at)
     size = np.where(has, at[np.minimum(last, len(at) - 1)] + gram - at, 0)
     size = np.where(size >= length, size, 0)
     region = scrambled(grams[at] + np.uint64(1))
@@ -168,12 +169,16 @@ def repeated_bytes(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     bytes or more goes whole; extra columns are ignored; an empty table gives an empty result.
     """
     source = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = Saved(_scan(source, length, gram), "repeat-rows")
-    classes = rows.df.groupBy("sha").agg(F.count("*").alias("copies"), F.min("key").alias("head"), F.first("anchors").alias("anchors"))
-    classes = Saved(classes.withColumn("class", F.monotonically_increasing_id()), "repeat-classes")
-    anchors = classes.df.select("class", F.inline("anchors"))
+    scanned = Saved(_scan(source, length, gram), "repeat-scan")
+    rows = Saved(scanned.df.drop("anchors"), "repeat-rows")
+    classes = scanned.df.groupBy("sha").agg(F.count("*").alias("copies"), F.min("key").alias("head"), F.first("anchors").alias("anchors"))
+    held = Saved(classes.withColumn("class", F.monotonically_increasing_id()), "repeat-held")
+    scanned.drop()
+    classes = Saved(held.df.drop("anchors"), "repeat-classes")
+    anchors = held.df.select("class", F.inline("anchors"))
     twice = anchors.groupBy("gram").agg(F.count("*").alias("k")).where("k > 1").select("gram")
     anchors = Saved(anchors.join(twice, "gram", "left_semi").drop("gram"), "repeat-anchors")
+    held.drop()
     regions = anchors.df.groupBy("region").agg(F.count("*").alias("k"), F.min(F.struct("class", "pos")).alias("one")).where("k > 1")
     known = anchors.df.join(regions, "region", "left")
     mark = F.struct("pos", "size", F.col("one").isNotNull().alias("twice"), F.coalesce(F.struct("class", "pos") == F.col("one"), F.lit(False)).alias("chosen"))
@@ -187,7 +192,7 @@ def repeated_bytes(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     cut = Saved(_cut(texts.df.join(hits, "class", "left"), length, gram), "repeat-cut")
     copied = classes.df.where("copies > 1").select(F.col("sha").alias("c_sha"), F.lit(True).alias("copied"))
     told = copied.join(cut.df, "c_sha", "full")
-    met = rows.df.drop("anchors").join(told, F.col("sha") == F.col("c_sha"), "left")
+    met = rows.df.join(told, F.col("sha") == F.col("c_sha"), "left")
     whole = F.coalesce("copied", F.lit(False)) & (F.col("n_bytes") >= length)
     all_of_it = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end")))
     none = F.array().cast("array<struct<start:bigint,end:bigint>>")
