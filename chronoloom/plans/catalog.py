@@ -244,13 +244,18 @@ def pause_shift(spark, sf):
     return frames.pause_shift(events(spark, sf).select("event_id", "user_id", "us"), pauses, "user_id", "us").select("event_id", "joined")
 
 
-@query(E + "p as (select *, row_number() over (partition by user_id order by us, event_id) as pos from e), k as (select unnest(generate_series(-2, 5)) as lag), m as (select a.event_id, k.lag, b.value from p a, k, p b where a.event_type = 'purchase' and a.user_id = b.user_id and b.pos = a.pos + k.lag), z as (select event_id, avg(value) as base from m where lag < 0 group by all) select lag::int as lag, count(*) as n, round(avg(value - base), 4) as mean from m join z using (event_id) group by lag")
+@query(E + "p as (select *, row_number() over (partition by user_id order by us, event_id) as pos from e), k as (select unnest(generate_series(-2, 5)) as lag), m as (select a.event_id, k.lag, b.value::decimal(18, 6) as value from p a, k, p b where a.event_type = 'purchase' and a.user_id = b.user_id and b.pos = a.pos + k.lag), z as (select event_id, case when count(*) = 2 then sum(value) else 2 * sum(value) end as base2 from m where lag < 0 group by all) select lag::int as lag, count(*) as n, round(sum(2 * value - base2)::double / (2 * count(*))::double, 4) as mean from m join z using (event_id) group by lag")
 def epoch_average(spark, sf):
     p = events(spark, sf).withColumn("pos", F.row_number().over(W.partitionBy("user_id").orderBy("us", "event_id")))
     at = p.where("event_type = 'purchase'").select("user_id", F.col("event_id").alias("flash"), F.col("pos").alias("p0"), F.explode(F.sequence(F.lit(-2), F.lit(5))).alias("lag")).withColumn("pos", F.col("p0") + F.col("lag"))
     m = at.join(p.select("user_id", "pos", "value"), ["user_id", "pos"])
-    base = F.avg(F.when(F.col("lag") < 0, F.col("value"))).over(W.partitionBy("flash"))
-    return m.withColumn("base", base).where("base is not null").groupBy("lag").agg(F.count("*").alias("n"), F.round(F.avg(F.col("value") - F.col("base")), 4).alias("mean"))
+    # twice the baseline of one or two samples, as decimals: sums are exact and so agree in any order
+    m = m.withColumn("value", F.col("value").cast("decimal(18,6)"))
+    before = F.when(F.col("lag") < 0, F.col("value"))
+    w = W.partitionBy("flash")
+    base2 = F.when(F.count(before).over(w) == 2, F.sum(before).over(w)).otherwise(2 * F.sum(before).over(w))
+    sums = m.withColumn("base2", base2).where("base2 is not null").groupBy("lag").agg(F.count("*").alias("n"), F.sum(2 * F.col("value") - F.col("base2")).alias("s"))
+    return sums.select("lag", "n", F.round(F.col("s").cast("double") / (2 * F.col("n")), 4).alias("mean"))
 
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
