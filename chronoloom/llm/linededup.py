@@ -3,25 +3,26 @@
 Two lines are linked if their SimHashes differ in at most BITS bits and their edit similarity is LIKENESS or more. A
 SimHash is cut into BLOCKS blocks; lines that differ in BITS bits agree in BLOCKS - BITS blocks at least, so every
 choice of so many blocks is a bucket and no linked pair is missed. Of each connected group of lines the first
-occurrence stays. The hash sums its bits' votes in 16-bit lanes of 16 long columns, so one aggregation over exploded
+occurrence stays. The hash sums its bits' votes in 8-bit lanes of 8 long columns, so one aggregation over exploded
 words makes it.
 """
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoloom.llm._common import Saved, saved, table
-from chronoloom.llm.components import bucket_components, with_component
+from chronoloom.llm._common import Saved, table
+from chronoloom.llm.components import connected_components, with_component
 
 BITS, BLOCKS = 3, 5
 LIKENESS = 0.9
-#: Most words whose votes a 16-bit lane can hold.
-LANE_WORDS = 65535
-_LANES = 0x0001000100010001
+#: Most words whose votes the sign-free 8-bit lanes of a long can hold.
+PIECE_WORDS = 127
+_LANES = 0x0101010101010101
 
 
 def normalised(line: Column) -> Column:
@@ -32,46 +33,89 @@ def normalised(line: Column) -> Column:
 def lines_of(docs: DataFrame, key: str, text: str) -> DataFrame:
     """doc, version (tells texts of one key apart), n, line and id of each line that has a letter or digit."""
     parts = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("doc"), F.xxhash64(F.col(text)).alias("version"), F.posexplode(F.split(F.col(text), "\n")).alias("n", "line"))
-    return parts.withColumn("line", normalised("line")).where("line <> ''").withColumn("id", F.xxhash64("line"))
+    # a filter on the normalised line would be pushed below it, and normalise every line twice
+    parts = parts.where(F.col("line").rlike(r"[\p{L}\p{N}]")).withColumn("line", normalised("line"))
+    return parts.withColumn("id", F.xxhash64("line"))
 
 
 def simhash(lines: DataFrame) -> DataFrame:
-    """id and sim of lines (id, line). The words of a line are exploded in its task, where their votes are summed
-    before the exchange: one row of sums travels for each line. A line of more than LANE_WORDS words, which would
-    overflow the lanes, sums the votes of its pieces bit by bit."""
-    words = F.split("line", " ")
-    votes = [F.sum(F.shiftrightunsigned("h", k).bitwiseAND(F.lit(_LANES))).alias(f"v{k}") for k in range(16)]
-    lane = lambda bit: F.shiftrightunsigned(f"v{bit % 16}", 16 * (bit // 16)).bitwiseAND(F.lit(0xFFFF))
-    voters = lines.where(F.size(words) <= LANE_WORDS).select("id", F.explode(words).alias("h")).select("id", F.xxhash64("h").alias("h"))
-    sums = voters.groupBy("id").agg(F.count("*").alias("words"), *votes)
-    sim = F.lit(0).cast("long")
-    for bit in range(64):
-        sim = sim.bitwiseOR(F.when(lane(bit) * 2 > F.col("words"), F.lit(1 << bit if bit < 63 else -(1 << 63)).cast("long")).otherwise(F.lit(0).cast("long")))
-    long = lines.where(F.size(words) > LANE_WORDS).select("id", F.posexplode(words).alias("at", "h"))
-    pieces = long.select("id", F.floor(F.col("at") / LANE_WORDS).alias("piece"), F.xxhash64("h").alias("h")).groupBy("id", "piece").agg(F.count("*").alias("words"), *votes)
-    bits = pieces.select("id", "words", F.posexplode(F.array(*map(lane, range(64)))).alias("bit", "ones")).groupBy("id", "bit").agg(F.sum("ones").alias("ones"), F.sum("words").alias("words"))
-    bits = bits.groupBy("id").agg(F.coalesce(F.bit_or(F.when(F.col("ones") * 2 > F.col("words"), F.expr("shiftleft(1L, bit)"))), F.lit(0)).alias("sim"))
-    return sums.select("id", sim.alias("sim")).unionByName(bits)
+    """id and sim of lines (row, id, line), row being unique; a line that occurs several times is hashed where it
+    stands, so that no text is moved. The words of a line are exploded in its task, where the votes of each
+    PIECE_WORDS of them are summed before the exchange: one row of sums travels for a piece. Lines of one piece, most
+    of them, are done then; the votes of other lines' pieces are summed lane by lane."""
+    votes = [F.sum(F.shiftrightunsigned("h", k).bitwiseAND(F.lit(_LANES))).alias(f"v{k}") for k in range(8)]
+    sized = lines.withColumn("total", F.length("line") - F.length(F.replace("line", F.lit(" "))) + 1)
+    voters = sized.select("row", "id", "total", F.posexplode(F.split("line", " ")).alias("at", "h"))
+    voters = voters.select("row", "id", "total", F.expr(f"at div {PIECE_WORDS}").cast("int").alias("piece"), F.xxhash64("h").alias("h"))
+    table = Saved(voters.groupBy("row", "piece", "id", "total").agg(*votes), "line-votes")
+    pieces = table.df
+    # in 16-bit lanes, bit 7 of ones + 127 - half is set where ones > half
+    least = f"(127 - total div 2) * {0x0001000100010001}L"
+    won = lambda k, by: f"((shiftrightunsigned(v{k}, {by}) & {0x00FF00FF00FF00FF}L) + {least}) & {0x0080008000800080}L"
+    bits = " | ".join(f"shiftleft(shiftrightunsigned({won(k, 0)}, 7) | shiftleft({won(k, 8)}, 1), {k})" for k in range(8))
+    one = pieces.where(F.col("total") <= PIECE_WORDS).select("id", F.expr(bits).alias("sim"))
+    many = pieces.where(F.col("total") > PIECE_WORDS).select("row", "id", "total", F.posexplode(F.array(*(f"v{k}" for k in range(8)))).alias("k", "v"))
+    many = many.groupBy("row", "id", "total", "k").agg(*(F.sum(F.shiftrightunsigned("v", 8 * j).bitwiseAND(F.lit(0xFF))).alias(f"n{j}") for j in range(8)))
+    bits = " | ".join(f"if(n{j} * 2 > total, shiftleft(1L, {8 * j} + k), 0L)" for j in range(8))
+    many = many.groupBy("row", "id").agg(F.bit_or(F.expr(bits)).alias("sim")).drop("row")
+    sims = Saved(one.unionByName(many).groupBy("id").agg(F.min("sim").alias("sim")), "line-sims")
+    table.drop()
+    return sims.df
 
 
 def buckets(sims: DataFrame) -> DataFrame:
-    """bucket and id: each choice of BLOCKS - BITS blocks of the SimHash."""
+    """bucket, id and sim: each choice of BLOCKS - BITS blocks of the SimHash."""
     edges = [64 * k // BLOCKS for k in range(BLOCKS + 1)]
     block = [F.shiftrightunsigned("sim", edges[k]).bitwiseAND(F.lit((1 << edges[k + 1] - edges[k]) - 1)) for k in range(BLOCKS)]
-    keys = [F.xxhash64(F.lit(c), *(block[k] for k in chosen)) for c, chosen in enumerate(combinations(range(BLOCKS), BLOCKS - BITS))]
-    return sims.select(F.explode(F.array(*keys)).alias("bucket"), "id")
-
-
-def line_links(pairs: DataFrame, lines: DataFrame) -> DataFrame:
-    """The pairs that are linked. SimHashes are compared first, so that few lines' texts travel."""
-    side = lambda a, *c: lines.select(F.col("id").alias(a), *(F.col(x).alias(f"{a}_{x}") for x in c))
-    near = pairs.join(side("a", "sim"), "a").join(side("b", "sim"), "b")
-    near = saved(near.where(F.bit_count(F.col("a_sim").bitwiseXOR(F.col("b_sim"))) <= BITS).select("a", "b"), "line-near")
-    near = near.join(side("a", "line"), "a").join(side("b", "line"), "b")
+    keys = [reduce(lambda key, k: F.shiftleft(key, 64 // BLOCKS + 1).bitwiseOR(block[k]), chosen, F.lit(c).cast("long")) for c, chosen in enumerate(combinations(range(BLOCKS), BLOCKS - BITS))]
+    return sims.select(F.explode(F.array(*keys)).alias("bucket"), "id", "sim")
+
+
+def edit_links(near: DataFrame, every: DataFrame, firsts: DataFrame) -> DataFrame:
+    """The pairs (a, b) of line ids whose edit similarity is LIKENESS or more. The texts of these lines alone are
+    looked up, where the lines first stand."""
+    wanted = Saved(firsts.join(near.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id"), "line-wanted")
+    texts = every.join(wanted.df, "id").where(F.struct("doc", "version", "n") == F.col("first"))
+    texts = Saved(texts.groupBy("id").agg(F.first("line").alias("line")), "line-texts").df
+    side = lambda a: texts.select(F.col("id").alias(a), F.col("line").alias(f"{a}_line"))
+    near = near.join(side("a"), "a").join(side("b"), "b")
     longer = F.greatest(F.length("a_line"), F.length("b_line"))
     near = near.withColumn("__most", F.floor(longer * (1 - LIKENESS) + 1e-9).cast("int"))
     near = near.where("abs(length(a_line) - length(b_line)) <= __most")
-    return saved(near.where(F.expr("levenshtein(a_line, b_line, __most) >= 0")).select("a", "b"), "line-links")
+    return near.where(F.expr("levenshtein(a_line, b_line, __most) >= 0")).select("a", "b")
+
+
+def line_components(members: DataFrame, every: DataFrame, firsts: DataFrame) -> DataFrame:
+    """id and component of the lines that have a link; members: bucket, id and sim; firsts:
+    id and where it first stands in every.
+
+    As in components.bucket_components, every member first meets the smallest id of its bucket, and then, where a
+    bucket still holds several components, those outside its largest one meet the others. SimHashes travel with the
+    members and are compared inside the joins, so that only pairs within BITS bits leave them.
+    """
+    several = members.groupBy("bucket").count().where("count > 1").select("bucket")
+    shared = Saved(members.join(several, "bucket"), "line-buckets")
+    heads = shared.df.groupBy("bucket").agg(F.min("id").alias("head"), F.min_by("sim", "id").alias("head_sim"))
+    near = F.bit_count(F.col("sim").bitwiseXOR(F.col("head_sim"))) <= BITS
+    pairs = Saved(shared.df.join(heads, "bucket").where(near & (F.col("id") != F.col("head"))).select(F.col("head").alias("a"), F.col("id").alias("b")).distinct(), "line-near")
+    first = Saved(edit_links(pairs.df, every, firsts), "line-links")
+    components = Saved(connected_components(first.df), "line-components")
+    placed = with_component(shared.df.select("bucket", "id", "sim"), "id", components.df)
+    sizes = placed.groupBy("bucket", "component").agg(F.count("*").alias("n"))
+    mixed = sizes.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("most"), F.count("*").alias("k")).where("k > 1").drop("k")
+    placed = Saved(placed.join(mixed, "bucket"), "line-placed")
+    few = placed.df.where("component <> most").select("bucket", F.col("id").alias("x"), F.col("component").alias("cx"), F.col("sim").alias("sx"))
+    others = placed.df.select("bucket", F.col("id").alias("y"), F.col("component").alias("cy"), F.col("sim").alias("sy"), "most")
+    within = F.bit_count(F.col("sx").bitwiseXOR(F.col("sy"))) <= BITS
+    met = few.join(others, "bucket").where(F.expr("cx <> cy and (cy = most or x < y)") & within)
+    # pairs that were no link with the bucket's head before are none now
+    others = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    others = Saved(others.join(pairs.df, ["a", "b"], "left_anti"), "line-near")
+    second = Saved(edit_links(others.df, every, firsts), "line-links")
+    out = Saved(connected_components(first.df.unionByName(second.df)), "line-components")
+    for old in (shared, pairs, others, first, components, placed, second):
+        old.drop()
+    return out.df
 
 
 def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -83,18 +127,15 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     gives an empty result.
     """
     at = F.struct("doc", "version", "n")
-    distinct = lines_of(docs, key, text).groupBy("id").agg(F.min(at).alias("first"), F.first("line").alias("line"))
-    lines = Saved(distinct, "lines")
-    sims = Saved(simhash(lines.df.select("id", "line")), "line-sims")
-    known = lines.df.select("id", "line").join(sims.df, "id")
-    components = bucket_components(buckets(sims.df), lambda pairs: line_links(pairs, known), "line")
-    placed = with_component(lines.df.select("id", "first"), "id", components)
+    every = Saved(lines_of(docs, key, text).withColumn("row", F.monotonically_increasing_id()), "line-every").df
+    firsts = Saved(every.groupBy("id").agg(F.min(at).alias("first")), "line-firsts").df
+    components = line_components(buckets(simhash(every.select("row", "id", "line"))), every, firsts)
+    placed = with_component(firsts, "id", components)
     # only groups with links need the join; other lines are their own group
-    firsts = placed.groupBy("component").agg(F.min("first").alias("keep"))
-    moved = Saved(components.join(firsts, "component").select("id", "keep"), "line-moved")
-    kept = lines.df.select("id", "first").join(moved.df, "id", "left").select("id", F.coalesce("keep", "first").alias("keep"))
-    every = lines_of(docs, key, text).select("doc", "version", "n", "id")
-    gone = every.join(kept, "id").where(at != F.col("keep"))
+    groups = placed.groupBy("component").agg(F.min("first").alias("keep"))
+    moved = Saved(components.join(groups, "component").select("id", "keep"), "line-moved")
+    kept = firsts.join(moved.df, "id", "left").select("id", F.coalesce("keep", "first").alias("keep"))
+    gone = every.select("doc", "version", "n", "id").join(kept, "id").where(at != F.col("keep"))
     return gone.groupBy("doc", "version").agg(F.sort_array(F.collect_set("n")).alias("removed"))
 
 

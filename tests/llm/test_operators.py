@@ -201,8 +201,8 @@ def test_line_dedup(docs, corpus, nothing, spark):
 def test_simhash_against_brute_force(spark):
     import xxhash
 
-    lines = ["alpha beta gamma", "delta", words(200)]
-    got = {r.id: r.sim for r in linededup.simhash(spark.createDataFrame(list(enumerate(lines)), "id long, line string")).collect()}
+    lines = ["alpha beta gamma", "delta", words(127), words(128), words(200), words(5000)]
+    got = {r.id: r.sim for r in linededup.simhash(spark.createDataFrame([(i, i, t) for i, t in enumerate(lines)], "row long, id long, line string")).collect()}
     for i, line in enumerate(lines):
         hashes = [xxhash.xxh64_intdigest(w, seed=42) for w in line.split()]
         want = sum(1 << b for b in range(64) if sum(h >> b & 1 for h in hashes) * 2 > len(hashes))
