@@ -20,8 +20,12 @@ from chronoloom.llm.components import connected_components, with_component
 
 BITS, BLOCKS = 3, 5
 LIKENESS = 0.9
+#: Characters that stand for words: the first one, and how many (two words share one by a chance of 1 in so many).
+FIRST_CODE, CODES = 0x4E00, 20480
 #: Most words whose votes the sign-free 8-bit lanes of a long can hold.
 PIECE_WORDS = 127
+#: Lines without a letter or digit are no lines to compare.
+HAS_WORD = r"[\p{L}\p{N}]"
 _LANES = 0x0101010101010101
 
 
@@ -34,7 +38,7 @@ def lines_of(docs: DataFrame, key: str, text: str) -> DataFrame:
     """doc, version (tells texts of one key apart), n, line and id of each line that has a letter or digit."""
     parts = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("doc"), F.xxhash64(F.col(text)).alias("version"), F.posexplode(F.split(F.col(text), "\n")).alias("n", "line"))
     # a filter on the normalised line would be pushed below it, and normalise every line twice
-    parts = parts.where(F.col("line").rlike(r"[\p{L}\p{N}]")).withColumn("line", normalised("line"))
+    parts = parts.where(F.col("line").rlike(HAS_WORD)).withColumn("line", normalised("line"))
     return parts.withColumn("id", F.xxhash64("line"))
 
 
@@ -71,18 +75,27 @@ def buckets(sims: DataFrame) -> DataFrame:
     return sims.select(F.explode(F.array(*keys)).alias("bucket"), "id", "sim")
 
 
+def coded(words: Column) -> Column:
+    """A string with one character for each word, chosen by the word's hash."""
+    codes = F.transform(words, lambda w: F.hex(F.pmod(F.xxhash64(w), F.lit(CODES)) + FIRST_CODE))
+    return F.decode(F.unhex(F.array_join(codes, "")), "UTF-16BE")
+
+
 def edit_links(near: DataFrame, every: DataFrame, firsts: DataFrame) -> DataFrame:
     """The pairs (a, b) of line ids whose edit similarity is LIKENESS or more. The texts of these lines alone are
     looked up, where the lines first stand."""
     wanted = Saved(firsts.join(near.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id"), "line-wanted")
     texts = every.join(wanted.df, "id").where(F.struct("doc", "version", "n") == F.col("first"))
-    texts = Saved(texts.groupBy("id").agg(F.first("line").alias("line")), "line-texts").df
-    side = lambda a: texts.select(F.col("id").alias(a), F.col("line").alias(f"{a}_line"))
+    texts = texts.groupBy("id").agg(F.first("line").alias("line")).withColumn("words", F.split("line", " "))
+    texts = Saved(texts.select("id", "line", coded("words").alias("coded"), F.array_max(F.transform("words", F.length)).alias("widest")), "line-texts").df
+    side = lambda a: texts.select(F.col("id").alias(a), *(F.col(c).alias(f"{a}_{c}") for c in ("line", "coded", "widest")))
     near = near.join(side("a"), "a").join(side("b"), "b")
     longer = F.greatest(F.length("a_line"), F.length("b_line"))
     near = near.withColumn("__most", F.floor(longer * (1 - LIKENESS) + 1e-9).cast("int"))
     near = near.where("abs(length(a_line) - length(b_line)) <= __most")
-    return near.where(F.expr("levenshtein(a_line, b_line, __most) >= 0")).select("a", "b")
+    # w edits of whole words are at most w * (longest word + 1) edits of characters: this settles long lines cheaply
+    near = near.withColumn("__words", F.expr("__most div (greatest(a_widest, b_widest) + 1)").cast("int"))
+    return near.where(F.expr("levenshtein(a_coded, b_coded, __words) >= 0 or levenshtein(a_line, b_line, __most) >= 0")).select("a", "b")
 
 
 def line_components(members: DataFrame, every: DataFrame, firsts: DataFrame) -> DataFrame:
@@ -148,7 +161,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("removed"))
     short = F.array_join(F.transform(left, lambda i: F.get(parts, i)), "\n")
     out = [F.when(F.col("removed").isNull(), docs[c]).otherwise(short).alias(c) if c == text else docs[c] for c in docs.columns]
-    return met.where(F.col("removed").isNull() | F.exists(left, lambda i: normalised(F.get(parts, i)) != "")).select(*out)
+    return met.where(F.col("removed").isNull() | F.exists(left, lambda i: F.get(parts, i).rlike(HAS_WORD))).select(*out)
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
