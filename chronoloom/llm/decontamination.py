@@ -1,9 +1,14 @@
 """Benchmark decontamination by q-gram lemma filtering.
 
-Every benchmark item is cut into overlapping segments. A segment of w bytes that stands in a text with at most k edits
-shares w - Q + 1 - k Q of its q-grams with it, and all of them on diagonals (position in the text less position in the
-segment) that drift by k at most. So shared q-grams are counted in diagonal bands of twice k + 1, each overlapping the
-next by half; bands that reach the count are aligned, and those within the edit budget are contaminated regions.
+A window is SEGMENT bytes of a benchmark item, at any offset (a shorter item is one window). A window of w bytes that
+stands in a text with at most k edits shares w - Q + 1 - k Q of its q-grams with it, and all of them on diagonals
+(position in the text less position in the item) that drift by k at most. So the q-grams that a text shares with whole
+items are put in diagonal bands of twice k + 1, each overlapping the next by half, and the windows of a band that hold
+enough of them are aligned; a window within the edit budget is contaminated.
+
+Not every window needs to be aligned: moving a window by d bytes changes its edits by d at most, so those near a window
+with too many edits are out. Windows of one run (adjacent offsets in one band) are aligned at every STRIDE-th offset,
+and then at every offset that may, by this bound, be within the budget and better than the best so far.
 
 The benchmark is read in blocks of at most about BLOCK_BYTES, each broadcast in turn, so that what is broadcast has a
 bound whatever the benchmark's size; documents are never shuffled. Kernels work on many texts at once.
@@ -21,8 +26,8 @@ from pyspark.sql import functions as F
 from chronoloom.llm._common import rows_of, table
 
 Q = 8
-#: Bytes of a segment and from one segment's start to the next's, and the edits allowed for each byte.
-SEGMENT, STRIDE, RATE = 80, 40, 0.10
+#: Bytes of a window, from one window that is always aligned to the next, and the edits allowed for each byte.
+SEGMENT, STRIDE, RATE = 80, 16, 0.10
 BLOCK_BYTES = 8 << 20
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else 32 if c < 128 and not chr(c).isalnum() else c for c in range(256))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -35,12 +40,6 @@ def plain(text: str) -> bytes:
     return b" ".join(text.encode("utf-8", "surrogatepass").translate(_TABLE).split())
 
 
-def segments_of(text: bytes) -> list[bytes]:
-    """Of SEGMENT bytes each, the last one flush with the end; a shorter text is one segment."""
-    last = len(text) - SEGMENT
-    return [text] if last <= 0 else [text[i : i + SEGMENT] for i in sorted({*range(0, last, STRIDE), last})]
-
-
 def edits_for(w: int) -> int:
     """RATE of the bytes, and few enough that one shared q-gram at least is left to be found."""
     return max(0, min(int(RATE * w), (w - Q) // Q))
@@ -54,15 +53,17 @@ class Index:
     """The q-grams of a block of items. Items of less than Q bytes hold none and match nothing."""
 
     def __init__(self, items: list[tuple[int, str]]) -> None:
-        parts = [(i, s) for i, t in items for s in dict.fromkeys(segments_of(plain(t or ""))) if len(s) >= Q]
+        parts = [(i, s) for i, t in items if len(s := plain(t or "")) >= Q]
         self.item = np.array([i for i, _ in parts], np.int64)
-        self.size = np.array([len(s) for _, s in parts], np.int64)
+        length = np.array([len(s) for _, s in parts], np.int64)
+        self.size = np.minimum(length, SEGMENT)
+        self.last = length - self.size
+        self.longest = int(length.max(initial=0))
         self.edits = np.array([edits_for(n) for n in self.size], np.int64)
         self.least = self.size - Q + 1 - self.edits * Q
         self.band = int(self.edits.max(initial=0)) + 1
-        self.text = np.zeros((len(parts), SEGMENT), np.uint8)
-        for row, (_, s) in zip(self.text, parts, strict=True):
-            row[: len(s)] = np.frombuffer(s, np.uint8)
+        self.begin = np.cumsum(length) - length
+        self.text = np.frombuffer(b"".join(s for _, s in parts) + bytes(SEGMENT), np.uint8)
         grams = [q_grams(s) for _, s in parts]
         gram = np.concatenate([*grams, np.empty(0, np.uint64)])
         order = np.argsort(gram, kind="stable")
@@ -76,8 +77,8 @@ class Index:
     def slot(grams: np.ndarray) -> np.ndarray:
         return (grams * _MIX) >> np.uint64(64 - _BITS)
 
-    def hits(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
-        """Segment and diagonal of each q-gram that the data shares with a segment."""
+    def hits(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Item, position in it and diagonal of each q-gram that the data shares with an item."""
         grams = q_grams(data)
         at = np.flatnonzero(self.bitmap[self.slot(grams)])
         k = np.searchsorted(self.gram, grams[at])
@@ -85,48 +86,96 @@ class Index:
         at, k = at[same], k[same]
         n = self.count[k]
         which = np.repeat(self.first[k], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        return self.of[which], np.repeat(at, n) - self.at[which]
+        return self.of[which], self.at[which], np.repeat(at, n) - self.at[which]
+
+    def runs(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Item, band, first and last offset of the runs of windows that share enough q-grams with the data."""
+        item, at, diagonal = self.hits(data)
+        below = self.longest // self.band + 2  # bands may begin before the data does
+        bands, wide = len(data) // self.band + below + 2, self.longest + 1
+        key = item * bands + diagonal // self.band + below
+        keys = np.sort(np.concatenate([key * wide + at, (key - 1) * wide + at]))
+        key, at = keys // wide, keys % wide
+        item = key // bands
+        # the hit that makes it enough for a window in which this one is the first
+        other = np.arange(len(key)) + self.least[item] - 1
+        within = np.flatnonzero(other < len(key))
+        other = other[within]
+        near = (key[other] == key[within]) & (at[other] - at[within] <= self.size[item[within]] - Q)
+        this, other = within[near], other[near]
+        key, item = key[this], item[this]
+        low = np.maximum(at[other] - (self.size[item] - Q), 0)
+        high = np.minimum(at[this], self.last[item])
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (low[1:] > high[:-1] + 1)
+        starts = np.flatnonzero(new)
+        ends = np.append(starts[1:], len(key))[: len(starts)] - 1
+        return item[starts], key[starts] % bands - below, low[starts], high[ends]
 
     def regions(self, data: bytes) -> list[tuple[int, int, int, int]]:
-        """item, start, end and edits of the regions within the edit budget, the best of each segment and band."""
+        """item, start, end and fewest edits of the regions that windows within the edit budget cover; windows of one
+        item that overlap are one region."""
         if not len(self.gram) or len(data) < Q:
             return []
-        segment, diagonal = self.hits(data)
-        band, lead = diagonal // self.band, 2  # bands may begin before the data does
-        bands = len(data) // self.band + lead + SEGMENT
-        keys = np.concatenate([segment * bands + band + SEGMENT, segment * bands + band - 1 + SEGMENT])
-        keys, shared = np.unique(keys, return_counts=True)
-        segment, band = keys // bands, keys % bands - SEGMENT
-        enough = shared >= self.least[segment]
-        segment, band = segment[enough], band[enough]
-        out: set[tuple[int, int, int, int]] = set()
+        item, band, low, high = self.runs(data)
+        if not len(item):
+            return []
         padded = np.zeros(len(data) + 4 * SEGMENT + 4 * self.band, np.uint8)
         origin = SEGMENT + 2 * self.band
         padded[origin : origin + len(data)] = np.frombuffer(data, np.uint8)
-        for k in range(0, len(segment), 4096):
-            s, b = segment[k : k + 4096], band[k : k + 4096]
-            edits, start, end = self.aligned(padded, s, b * self.band + origin)
-            good = edits <= self.edits[s]
-            out |= {(int(self.item[i]), max(0, int(x) - origin), min(len(data), int(y) - origin), int(e)) for i, x, y, e in zip(s[good], start[good], end[good], edits[good], strict=True)}
-        return sorted(out)
-
-    def aligned(self, text: np.ndarray, segment: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Fewest edits between each segment and a piece of the text inside its band, and where about that piece
-        stands. Columns are diagonals: a step down takes a byte of both, a step to the right one of the text only, to
-        the left one of the segment only."""
+        found: list[tuple[int, int, int, int]] = []
+
+        def align(run: np.ndarray, offset: np.ndarray) -> np.ndarray:
+            out = []
+            for k in range(0, len(run), 4096):
+                r, o = run[k : k + 4096], offset[k : k + 4096]
+                edits, start, end = self.aligned(padded, item[r], o, band[r] * self.band + o + origin)
+                good = edits <= self.edits[item[r]]
+                found.extend((int(self.item[i]), max(0, int(x) - origin), min(len(data), int(y) - origin), int(e)) for i, x, y, e in zip(item[r][good], start[good], end[good], edits[good], strict=True))
+                out.append(edits)
+            return np.concatenate([*out, np.empty(0, np.int64)])
+
+        # every STRIDE-th offset of a run and its last one
+        n = (high - low + STRIDE - 1) // STRIDE + 1
+        run = np.repeat(np.arange(len(item)), n)
+        offset = np.minimum(low[run] + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)) * STRIDE, high[run])
+        edits = align(run, offset)
+        fewest = self.edits[item] + 1
+        np.minimum.at(fewest, run, edits)
+        # of the offsets between two aligned ones, those that may be within the budget and better than the run's best
+        k = np.flatnonzero((run[:-1] == run[1:]) & (fewest[run[:-1]] > 0))
+        gap = np.maximum(offset[k + 1] - offset[k] - 1, 0)
+        left = np.repeat(k, gap)
+        between = offset[left] + 1 + np.arange(gap.sum()) - np.repeat(np.cumsum(gap) - gap, gap)
+        most = fewest[run[left]] - 1
+        open_ = (edits[left] - (between - offset[left]) <= most) & (edits[left + 1] - (offset[left + 1] - between) <= most)
+        align(run[left][open_], between[open_])
+
+        out: list[tuple[int, int, int, int]] = []
+        for i, x, y, e in sorted(found):
+            if out and out[-1][0] == i and x < out[-1][2]:
+                out[-1] = (i, out[-1][1], max(y, out[-1][2]), min(e, out[-1][3]))
+            else:
+                out.append((i, x, y, e))
+        return out
+
+    def aligned(self, text: np.ndarray, item: np.ndarray, offset: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Fewest edits between each window (item and offset) and a piece of the text inside its band, and where about
+        that piece stands. Columns are diagonals: a step down takes a byte of both, a step to the right one of the text
+        only, to the left one of the window only."""
         wide = 2 * self.band
         across = np.arange(wide)
-        cost = np.zeros((len(segment), wide), np.int64)
-        best = np.full((len(segment), wide), 1 << 20, np.int64)
-        size = self.size[segment]
+        cost = np.zeros((len(item), wide), np.int64)
+        best = np.full((len(item), wide), 1 << 20, np.int64)
+        size, at = self.size[item], self.begin[item] + offset
         for i in range(int(size.max(initial=0))):
-            step = cost + (text[begin[:, None] + across + i] != self.text[segment, i][:, None])
+            step = cost + (text[begin[:, None] + across + i] != self.text[at + i][:, None])
             step[:, :-1] = np.minimum(step[:, :-1], cost[:, 1:] + 1)
             cost = np.minimum.accumulate(step - across, axis=1) + across
             best[size == i + 1] = cost[size == i + 1]
         where = best.argmin(axis=1)
         end = begin + where + size
-        return best[np.arange(len(segment)), where], end - size, end
+        return best[np.arange(len(item)), where], end - size, end
 
 
 def blocks_of(benchmark: DataFrame, item: str, text: str) -> Iterator[Index]:

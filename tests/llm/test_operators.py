@@ -169,6 +169,23 @@ def test_alignment_counts_edits():
     assert min(r[3] for r in index.regions(decontamination.plain("zz " * 30 + item.replace("quick", "quirk").replace("lazy ", "lzy ") + " zz"))) == 2
 
 
+def test_passages_at_every_offset():
+    letters = np.frombuffer(b"abcdefghijklmnopqrstuvwxyz", np.uint8)
+    text = lambda n: bytes(RNG.choice(letters, n)).decode()
+    item = text(300)
+    index = decontamination.Index([(1, text(200)), (9, item), (4, item[:50])])
+    for offset in range(len(item) - decontamination.SEGMENT + 1):
+        passage = item[offset : offset + decontamination.SEGMENT]
+        found = index.regions(decontamination.plain(f"{text(100)} {passage} {text(70)}"))
+        assert any(r[0] == 9 and r[3] == 0 and abs(r[1] - 101) <= 16 and abs(r[2] - 181) <= 16 for r in found), offset
+        at = sorted(RNG.choice(np.arange(2, 78), 8, replace=False))
+        for k, i in enumerate(reversed(at)):  # eight edits of all kinds, from the back
+            passage = passage[:i] + ("", "7", passage[i] + "7")[k % 3] + passage[i + 1 :]
+        found = index.regions(decontamination.plain(f"{text(100)} {passage} {text(70)}"))
+        assert 9 in {r[0] for r in found}, (offset, passage)
+    assert not any(index.regions(decontamination.plain(text(2000))) for _ in range(20))
+
+
 def test_toxicity_lexicon():
     lexicon = toxicity.Lexicon([("idiot", 5.0), ("lowei*", 4.0)], -3.0)
     assert lexicon.exact("idiot") == 5.0 and lexicon.exact("loweixyz") == 4.0 and lexicon.exact("idio") == 0.0
