@@ -8,7 +8,9 @@ history explains it: prose, identifiers and repeated material add little, random
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable
+from itertools import pairwise
 
 import ahocorasick
 import zstandard
@@ -33,12 +35,18 @@ DICTIONARY = " ".join(
 ).encode()
 #: A candidate is novel if it adds at least this many compressed bits for each of its characters.
 NOVEL_BITS = 3.2
+#: And this many if it has no digit: words that the history doesn't hold add about 5.5, random letters of both cases 9.5.
+LETTER_BITS = 6.5
 WINDOW = 160
+#: Longer candidates are measured in pieces of so many characters.
+PIECE = 4096
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
+_DIGIT = re.compile("[0-9]")
+_EQUALS = re.compile("=+")
 
 
 def make_finder() -> Callable[[str], list[Span]]:
@@ -50,9 +58,31 @@ def make_finder() -> Callable[[str], list[Span]]:
     packer = zstandard.ZstdCompressor(level=3, dict_data=history, write_content_size=False, write_dict_id=False)
     packed = lambda s: len(packer.compress(s.encode("utf-8", "surrogatepass")))
 
-    def novel(text: str, start: int, end: int) -> bool:
+    def novel_piece(text: str, start: int, end: int) -> bool:
         around = text[max(0, start - WINDOW) : start] + "\n" + text[end : end + WINDOW]
-        return 8 * (packed(around + text[start:end]) - packed(around)) >= NOVEL_BITS * (end - start)
+        least = NOVEL_BITS if _DIGIT.search(text, start, end) else LETTER_BITS
+        return 8 * (packed(around + text[start:end]) - packed(around)) >= least * (end - start)
+
+    def novel(text: str, start: int, end: int) -> bool:
+        """Whether any piece is; the last one is flush with the end."""
+        return any(novel_piece(text, max(start, min(at, end - PIECE)), min(end, at + PIECE)) for at in range(start, end, PIECE))
+
+    def novel_parts(text: str, start: int, end: int, sensitive: list[int]) -> list[tuple[int, int]]:
+        """The run of key characters if it is novel, else its novel parts: names and values of one run are told apart
+        behind context words and behind equals signs in reach of one."""
+
+        def value(a: int, b: int) -> list[tuple[int, int]]:
+            while a < b and text[a] in "=._-+/":  # an equals sign before a value isn't part of it
+                a += 1
+            return [(a, b)] if b - a >= 16 and novel(text, a, b) else []
+
+        if whole := value(start, end):
+            return whole
+        near = sensitive[bisect_right(sensitive, start) : bisect_left(sensitive, end)]
+        equals = (m.end() for m in _EQUALS.finditer(text, start, end))
+        cuts = {*near, *(e for e in equals if e - sensitive[bisect_right(sensitive, e) - 1] <= CONTEXT_REACH)}
+        edges = [start, *sorted(cuts), end]
+        return [s for a, b in pairwise(edges) for s in value(a, b)] if cuts else []
 
     def find(text: str) -> list[Span]:
         spans: list[Span] = []
@@ -72,13 +102,11 @@ def make_finder() -> Callable[[str], list[Span]]:
         spans += [("hex", *m.span(), True) for m in _HEX.finditer(text)]
         done = 0
         for near in sensitive:
-            if near >= done and (m := _CANDIDATE.search(text, near, near + CONTEXT_REACH + 16)):
+            at = max(near, done)
+            while at <= near + CONTEXT_REACH and (m := _CANDIDATE.search(text, at, near + CONTEXT_REACH + 16)):
                 start, end = m.start(), _CANDIDATE.match(text, m.start()).end()
-                done, run = end, text[start:end]
-                start += len(run) - len(run.lstrip("=._-+/"))  # an equals sign before a value isn't part of it
-                if end - start >= 16 and re.search("[0-9]", run) and re.search("[A-Za-z]", run):
-                    if novel(text, start, min(end, start + 4096)):
-                        spans.append(("novel", start, end, False))
+                at = done = end
+                spans += [("novel", *part, False) for part in novel_parts(text, start, end, sensitive)]
         return by_start(spans, KINDS)
 
     return find

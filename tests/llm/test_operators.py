@@ -86,6 +86,31 @@ def test_secrets_base_rules():
     assert not any(s[0] == "novel" for s in find("the access path is very_long_identifier_name_1 very_long_identifier_name_1"))
 
 
+def test_secrets_measures_every_candidate():
+    import random
+
+    find, rng = secrets.make_finder(), random.Random(3)
+    key = lambda n: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz") for _ in range(n))
+
+    def caught(t, value):
+        at = t.index(value)
+        return any(s[0] == "novel" and s[1] <= at and s[2] >= at + len(value) for s in find(t))
+
+    # behind the tail of an identifier, in one run with its name, and behind another candidate
+    assert caught("client_secret_production_value: 8fK2xQ9LmZ7Rt4Wp\n", "8fK2xQ9LmZ7Rt4Wp")
+    assert caught("here " * 30 + "access_token_for_production_systems_value_of_the_" + "here_" * 12 + "private=8fK2xQ9LmZ7Rt4Wp\n", "8fK2xQ9LmZ7Rt4Wp")
+    assert caught("session aaaaaaaaaaaaaaaaaaaa 8fK2xQ9LmZ7Rt4Wp", "8fK2xQ9LmZ7Rt4Wp")
+    # without a digit, or digits alone
+    for n in (16, 20, 40):
+        found = sum(caught(f"please use the bearer {k} for the login", k) for k in (key(n) for _ in range(50)))
+        assert found >= 48, n
+    assert caught("the pwd is 83920174650918273645", "83920174650918273645")
+    # a long candidate whose key is behind its first 4096 characters
+    t = "the secret is " + "a" * 6000 + "".join(key(5) + str(rng.randrange(10)) for _ in range(800))
+    assert caught(t, t[14:])
+    assert not any(s[0] == "novel" for s in find("the access path is " + "a" * 20000))
+
+
 def test_url_trie(spark):
     urls_ = ["http://WWW.Example.com/en/1?x", "http://example.com/en/1", "https://a.example.com/fr/", "http://x.net/es/9#t", "http://x.net/de/", "http://com", None, "no scheme", "http://notexample.com/en/", "http://x.example.org/en/"]
     df = spark.createDataFrame([(i, u, "clash") for i, u in enumerate(urls_)], "page_id long, url string, rule string")
