@@ -164,18 +164,19 @@ class Index:
         that piece stands. Columns are diagonals: a step down takes a byte of both, a step to the right one of the text
         only, to the left one of the window only."""
         wide = 2 * self.band
-        across = np.arange(wide)
-        cost = np.zeros((len(item), wide), np.int64)
-        best = np.full((len(item), wide), 1 << 20, np.int64)
+        across = np.arange(wide, dtype=np.int16)
+        cost = np.zeros((len(item), wide), np.int16)
+        best = np.full((len(item), wide), 1 << 14, np.int16)
+        pieces = np.lib.stride_tricks.sliding_window_view(text, wide)
         size, at = self.size[item], self.begin[item] + offset
         for i in range(int(size.max(initial=0))):
-            step = cost + (text[begin[:, None] + across + i] != self.text[at + i][:, None])
+            step = cost + (pieces[begin + i] != self.text[at + i][:, None])
             step[:, :-1] = np.minimum(step[:, :-1], cost[:, 1:] + 1)
             cost = np.minimum.accumulate(step - across, axis=1) + across
             best[size == i + 1] = cost[size == i + 1]
         where = best.argmin(axis=1)
         end = begin + where + size
-        return best[np.arange(len(item)), where], end - size, end
+        return best[np.arange(len(item)), where].astype(np.int64), end - size, end
 
 
 def blocks_of(benchmark: DataFrame, item: str, text: str) -> Iterator[Index]:
