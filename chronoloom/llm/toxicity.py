@@ -20,9 +20,6 @@ from pyspark.sql import functions as F
 from chronoloom.llm._common import rows_of, saved, table
 
 FOLDS, HELD_OUT = 5, 0
-#: A term needs this share of the toxic training documents, and two of them, to be counted at all. It bounds the
-#: candidates by the mean number of terms in a document over the share, whatever the corpus holds.
-LEAST_SHARE = 0.002
 STEMS = (4, 5, 6, 7)
 #: Chance terms that the whole lexicon is expected to hold, at most.
 CHANCE = 0.2
@@ -171,57 +168,43 @@ def term_counts(train: DataFrame, terms_of: Callable[[str], set[str]]) -> DataFr
     return counts.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
-def term_contexts(train: DataFrame, wanted) -> DataFrame:
-    """term and contexts: with how many different pairs of neighbours a term stands in the toxic rows. Copies of one
-    text repeat their contexts, so they count once here."""
+def distinct_examples(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str) -> DataFrame:
+    """__y and __text of the labelled rows that are not held out, one for each distinct text, so that copies count
+    once; it is toxic if any of its rows is. Only hashes are grouped: texts move once, to the keys that stand for them."""
+    marked = labels.where(F.col(label).isin(0, 1)).groupBy(key).agg(F.max(label).alias("__y"))
+    train = docs.select(F.col(key), F.col(text).alias("__text"), F.xxhash64(F.col(text)).alias("__h")).where(F.col(text).isNotNull() & (fold_of(key) != HELD_OUT))
+    chosen = train.select(key, "__h").join(marked, key).groupBy("__h").agg(F.min(key).alias(key), F.max("__y").cast("int").alias("__y"))
+    return train.join(chosen, [key, "__h"]).groupBy(key, "__h").agg(F.first("__y").alias("__y"), F.first("__text").alias("__text")).select("__y", "__text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in rows_of(batch):
-                seen = set()
-                for t in part.column(0).to_pylist():
-                    words = ["", *WORD.findall(t.lower()), ""]
-                    for k in range(1, len(words) - 1):
-                        w = words[k]
-                        for term in (w, *(f"{w[:n]}*" for n in STEMS if len(w) > n)):
-                            if term in wanted.value:
-                                seen.add((term, f"{words[k - 1]} {words[k + 1]}"))
-                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in seen], pa.string()) for i in (0, 1)], names=["term", "context"])
 
-    pairs = train.where("__y = 1").select("__text").mapInArrow(run, "term string, context string")
-    return pairs.distinct().groupBy("term").agg(F.count("*").alias("contexts"))
+def beyond_chance(counts: DataFrame, n_toxic: int, n_clean: int, vocabulary: int) -> DataFrame:
+    """The rows of counts (term, toxic, clean) that learn() accepts. Chance alone gets CHANCE terms into it; each needs
+    log(vocabulary / base / CHANCE) / log(1 / base) toxic texts at least, so there are at most as many terms as toxic
+    texts hold in all, over this number."""
+    base = n_toxic / (n_toxic + n_clean)
+    share, n = F.col("toxic") / (F.col("toxic") + F.col("clean")), F.col("toxic") + F.col("clean")
+    rest = F.when(share < 1, (1 - share) * F.log((1 - share) / (1 - base))).otherwise(0.0)
+    bound = F.log(F.lit(vocabulary / base)) - n * (share * F.log(share / base) + rest)
+    return counts.where((F.col("term") != "") & (F.col("toxic") > 0) & (share >= max(LEAST_TOXIC, base)) & (bound <= math.log(CHANCE) + 1e-9))
 
 
 def fit_lexicon(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Lexicon:
-    """Counts over all labelled rows that are not held out; a row with a null key, label or text is no example."""
+    """Counts over all distinct labelled texts that are not held out; a row with a null key, label or text is no
+    example."""
     spark = docs.sparkSession
-    marked = labels.where(F.col(label).isin(0, 1)).groupBy(key).agg(F.max(label).alias("__y"))
-    train = docs.select(key, F.col(text).alias("__text")).where(F.col(text).isNotNull() & (fold_of(key) != HELD_OUT))
-    train = saved(train.join(marked, key).select(F.col("__y").cast("int"), "__text"), "toxicity-train")
-    of_toxic = saved(term_counts(train.where("__y = 1"), terms_of), "toxicity-terms")
-    vocabulary, n_toxic = of_toxic.agg(F.count("*"), F.max(F.when(F.col("term") == "", F.col("toxic")))).first()
-    least = max(2, math.ceil(LEAST_SHARE * (n_toxic or 0)))
-    first = frozenset(r.term for r in of_toxic.where(F.col("toxic") >= least).select("term").collect())
-    wanted = spark.sparkContext.broadcast(first)
-    counts = {r.term: (r.toxic, r.clean) for r in term_counts(train, lambda t: Known.of(wanted, wanted_terms).terms(t)).collect()}
-    n_toxic, n_clean = counts.pop("", (0, 0))
+    train = saved(distinct_examples(docs, labels, key, text, label), "toxicity-train")
+    terms = saved(term_counts(train, terms_of), "toxicity-terms")
+    vocabulary, n_toxic, n_clean = terms.agg(F.count_if(F.col("toxic") > 0), *(F.max(F.when(F.col("term") == "", F.col(c))) for c in ("toxic", "clean"))).first()
     if not n_toxic or not n_clean:
         return Lexicon([], -3.0)
-    beyond = {t for t, _ in learn(counts, n_toxic, n_clean, vocabulary)}
-    for r in term_contexts(train, spark.sparkContext.broadcast(frozenset(beyond))).collect():
-        t, c = counts[r.term]
-        counts[r.term] = (min(t, r.contexts), c)
-    weights = learn(without_parts({t: counts[t] for t in beyond}), n_toxic, n_clean, vocabulary)
+    counts = {r.term: (r.toxic, r.clean) for r in beyond_chance(terms, n_toxic, n_clean, vocabulary).collect()}
+    weights = learn(without_parts(counts), n_toxic, n_clean, vocabulary)
     prior = math.log(n_toxic / n_clean) - 1.0
     plain = spark.sparkContext.broadcast(Lexicon(weights, prior))
     near = {r.term: ratio(r.toxic, r.clean, n_toxic, n_clean) for r in term_counts(train, lambda t: Known.of(plain, misspelt).terms(t)).collect() if r.term}
     return Lexicon(weights, prior, near)
 
 
-def wanted_terms(word: str, wanted: frozenset[str]) -> tuple[str, ...]:
-    return tuple(t for t in (word, *(f"{word[:n]}*" for n in STEMS if len(word) > n)) if t in wanted)
-
-
 def misspelt(word: str, lexicon: Lexicon) -> tuple[str, ...]:
     """The terms that a word is one edit away from, if it is none itself."""
     return () if not lexicon.maybe_misspelt(word) or lexicon.exact(word) else tuple(t for t, _ in lexicon.within_one(word))

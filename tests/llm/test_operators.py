@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from chronoloom.llm import components, decontamination, linededup, mixing, neardup, pii, repeats, secrets, topk, toxicity, urls
 from chronoloom.llm.spans import digest
@@ -230,6 +231,19 @@ def test_toxicity_held_out(spark):
     assert len(got) == 1000 and sum(got[r.doc_id].predicted == r.toxic for r in labels) >= 0.95 * len(labels)
 
 
+def test_toxicity_learns_set_phrases_and_rare_terms(spark):
+    # a slur in one set phrase, in many different texts, and one in few of very many toxic texts; copies count once
+    texts = [(f"{words(6)} row{i} you utter grobbel now {words(4)}", 1) for i in range(150)]
+    texts += [(f"{words(6)} item{i} snarkwit{'' if i % 2 else 's'} {words(3)}", 1) for i in range(24)]
+    texts += [(f"{words(8)} thing{i}", 0) for i in range(900)] + [("copied kwyjibo text", 1)] * 100
+    texts += [(f"{words(6)} line{i} vlorgish {words(4)}", 1) for i in range(12000)]
+    rows = [(i, t, y) for i, (t, y) in enumerate(texts)] + [(100000 + i, f"{words(9)} calm{i}", 0) for i in range(12000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, y int")
+    lexicon = toxicity.fit_lexicon(docs, docs.select("doc_id", F.col("y").alias("toxic")))
+    assert lexicon.exact("grobbel") > 0 and lexicon.exact("snarkwit") > 0 and lexicon.exact("vlorgish") > 0
+    assert lexicon.exact("kwyjibo") == 0 and lexicon.exact("alpha") == 0
+
+
 def test_line_dedup(docs, corpus, nothing, spark):
     long = words(60)
     more = spark.createDataFrame([(50, f"{long}\nshort one", "", "", 0, 0, 0), (51, f"x y z\n{long.upper()}!\n", "", "", 0, 0, 0), (52, None, "", "", 0, 0, 0), (None, long, "", "", 0, 0, 0)], DOC)
