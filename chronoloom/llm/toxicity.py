@@ -12,6 +12,8 @@ import math
 import re
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
+from itertools import pairwise
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -31,6 +33,8 @@ WINDOW, QUOTED = 6, 0.4
 QUOTES = "\"“”„«»‹›‘’"
 REPORTING = frozenset("said says called quoted quote cited reported wrote citation zitat zitiert sagte dijo cita dit citait".split())
 WORD = re.compile(r"[^\W\d_]+")
+#: Words with single digits, underscores or symbols between.
+CHAIN = re.compile(r"[^\W\d_]++(?:(?:[\d_]|[^\w\s])[^\W\d_]++)++")
 
 
 def terms_of(text: str) -> set[str]:
@@ -39,6 +43,14 @@ def terms_of(text: str) -> set[str]:
     return words | {f"{w[:n]}*" for w in words for n in STEMS if len(w) > n}
 
 
+def glued(low: str) -> Iterator[tuple[int, str, str, str]]:
+    """Where two words stand with one digit or symbol between them, what they and it make together, and the two. More
+    than one such character is more than one edit."""
+    for chain in CHAIN.finditer(low):
+        for a, b in pairwise(WORD.finditer(chain[0])):
+            yield chain.start() + a.start(), chain[0][a.start() : b.end()], a[0], b[0]
+
+
 class Lexicon:
     """A trie of weighted terms. A node maps letters to nodes; '' holds a word that ends there and its weight, '*' the
     weight of a stem that ends there. near: the weight of a word one edit away from a term."""
@@ -129,11 +141,20 @@ class Scorer:
     def score(self, text: str) -> float:
         low, prior, weight = text.lower(), self.lexicon.prior, self.weight
         hits = {w: x for w in set(WORD.findall(low)) if (x := weight(w)) > 0}
+        spelt: dict[str, list[int]] = {}
+        for at, token, a, b in glued(low):
+            if a not in hits and b not in hits and (x := weight(token)) > 0:
+                spelt.setdefault(token, []).append(at)
+        hits |= {token: weight(token) for token in spelt}
         if hits:
             words, best = list(WORD.finditer(low)), dict.fromkeys(hits, 0.0)
             for k, m in enumerate(words):
                 if m[0] in hits and best[m[0]] < hits[m[0]]:
                     best[m[0]] = max(best[m[0]], hits[m[0]] * (QUOTED if quoted(low, words, k) else 1.0))
+            if spelt:
+                places = {m.start(): k for k, m in enumerate(words)}
+                for token, starts in spelt.items():
+                    best[token] = max(hits[token] * (QUOTED if quoted(low, words, places[at]) else 1.0) for at in starts)
             for i, x in enumerate(sorted(best.values(), reverse=True)[:8]):
                 prior += x * 0.5**i
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, prior))))
@@ -188,6 +209,17 @@ def beyond_chance(counts: DataFrame, n_toxic: int, n_clean: int, vocabulary: int
     return counts.where((F.col("term") != "") & (F.col("toxic") > 0) & (share >= max(LEAST_TOXIC, base)) & (bound <= math.log(CHANCE) + 1e-9))
 
 
+def words_under(terms: DataFrame, weights: list[tuple[str, float]]) -> list[tuple[str, float]]:
+    """The words of toxic texts that stems of the lexicon stand for, with the stems' weights: so they are matched with an
+    edit, too."""
+    stems = {t[:-1]: x for t, x in weights if t.endswith("*")}
+    if not stems:
+        return []
+    begins = [F.substring("term", 1, n).isin([s for s in stems if len(s) == n]) for n in sorted({len(s) for s in stems})]
+    words = terms.where((F.col("toxic") > 0) & ~F.col("term").endswith("*") & (F.length("term") >= FUZZY_LETTERS) & reduce(lambda a, b: a | b, begins)).select("term")
+    return [(r.term, max(stems.get(r.term[:n], 0.0) for n in STEMS)) for r in words.collect()]
+
+
 def fit_lexicon(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Lexicon:
     """Counts over all distinct labelled texts that are not held out; a row with a null key, label or text is no
     example."""
@@ -199,6 +231,7 @@ def fit_lexicon(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: s
         return Lexicon([], -3.0)
     counts = {r.term: (r.toxic, r.clean) for r in beyond_chance(terms, n_toxic, n_clean, vocabulary).collect()}
     weights = learn(without_parts(counts), n_toxic, n_clean, vocabulary)
+    weights += words_under(terms, weights)
     prior = math.log(n_toxic / n_clean) - 1.0
     plain = spark.sparkContext.broadcast(Lexicon(weights, prior))
     near = {r.term: ratio(r.toxic, r.clean, n_toxic, n_clean) for r in term_counts(train, lambda t: Known.of(plain, misspelt).terms(t)).collect() if r.term}
@@ -226,8 +259,8 @@ class Known:
         return cls._last[1]
 
     def terms(self, text: str) -> set[str]:
-        known, out = self.known, set()
-        for w in set(WORD.findall(text.lower())):
+        known, out, low = self.known, set(), text.lower()
+        for w in {*WORD.findall(low), *(token for _, token, _, _ in glued(low))}:
             if (terms := known.get(w)) is None:
                 if len(known) >= self.KEEP:
                     known.clear()

@@ -244,6 +244,18 @@ def test_toxicity_learns_set_phrases_and_rare_terms(spark):
     assert lexicon.exact("kwyjibo") == 0 and lexicon.exact("alpha") == 0
 
 
+def test_toxicity_misspelt_with_symbols_and_under_stems(spark):
+    score = toxicity.Scorer(toxicity.Lexicon([("idiot", 5.0), ("worthless", 5.0), ("clown", 5.0)], -3.0)).score
+    for word in ("id1ot", "wor_hless", "cl*wn", "you-id1ot!", "i.diot", "1diot"):
+        assert score(f"you are {word} now") > 0.5, word
+    assert score('she said "id1ot" and left') < 0.5 and score("cl**wn a1b c-d") < 0.5 and score("") < 0.5
+    forms = [f"glumfor{end}" for end in ("ped", "ping", "pers", "pish", "py", "pest", "ple", "pian")]
+    rows = [(i, f"{words(6)} row{i} {forms[i % 8]} {words(3)}", 1) for i in range(200)] + [(1000 + i, f"{words(8)} calm{i}", 0) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    lexicon = toxicity.fit_lexicon(docs, docs.select("doc_id", "toxic"))
+    assert all(lexicon.weight(w) > 0 for w in ("glumforped", "glunforping", "glmforpish", "gl4mforpers")) and lexicon.weight("calmly") == 0
+
+
 def test_line_dedup(docs, corpus, nothing, spark):
     long = words(60)
     more = spark.createDataFrame([(50, f"{long}\nshort one", "", "", 0, 0, 0), (51, f"x y z\n{long.upper()}!\n", "", "", 0, 0, 0), (52, None, "", "", 0, 0, 0), (None, long, "", "", 0, 0, 0)], DOC)
