@@ -1,7 +1,7 @@
 """Exact repeats: every byte covered by a string of LENGTH bytes that also starts elsewhere is removed.
 
-Sorting all suffixes would move a tuple of a rank and a position for each byte, some 16 times the input. So only
-sampled suffixes are sorted, and what holds for the others is induced from them:
+Induced suffix sorting isn't what runs: no suffix is ordered and no common prefix is measured. It was replaced by
+winnowed anchors, and content is compared by 64-bit hashes, not byte by byte (see the README for collisions):
 
 1. A window of LENGTH bytes holds SPAN grams of GRAM bytes; the gram with the smallest hash is its anchor. Anchors are
    about 1 % of the positions and are the same wherever a window repeats. Only anchors that occur twice matter.
