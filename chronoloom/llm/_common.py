@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -15,27 +18,85 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Spark deletes the shuffle files of a write at its end, not when the driver happens to collect its garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+#: The folders of single processes without spark.checkpoint.dir, by application.
+_LOCAL: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. A single process (master local[...]) that has
+    none gets one of its own; a cluster without it is refused, for a folder of the driver isn't seen by executors."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='chronoloom-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-        spark.sparkContext.setCheckpointDir(folder)
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = _LOCAL.get(spark.sparkContext.applicationId) or f"file://{tempfile.mkdtemp(prefix='chronoloom-')}"
+        _LOCAL[spark.sparkContext.applicationId] = folder
     return folder.rstrip("/")
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared store."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jvm.org.apache.hadoop.conf.Configuration()).delete(hadoop, True)
+
+
 class Saved:
-    """A table written to the shared folder, so that its lineage ends there and survives lost executors."""
+    """A table written to the shared folder, so that its lineage ends there and survives lost executors. It belongs to
+    the innermost open Scope, which drops it at its end if nobody has before; outside of any, the session's end does."""
 
     def __init__(self, df: DataFrame, name: str) -> None:
-        self.spark, self.path = df.sparkSession, f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-        df.write.option("compression", "zstd").parquet(self.path)
+        self.spark, self.path, self.dropped = df.sparkSession, f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}", False
+        _OWNERS[-1].append(self)
+        before = self.spark.conf.get(_CLEANUP, "false")
+        self.spark.conf.set(_CLEANUP, "true")
+        try:
+            df.write.option("compression", "zstd").parquet(self.path)
+        finally:
+            self.spark.conf.set(_CLEANUP, before)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:
-        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+        if not self.dropped:
+            self.dropped = True
+            remove(self.spark, self.path)
+
+
+#: The tables of the open scopes, the innermost last; the first list is the session's.
+_OWNERS: list[list[Saved]] = [[]]
+
+
+class Scope:
+    """Owns the tables that are saved inside: `with Scope() as scope:` drops them at its end, also when it fails, but
+    for those that are handed on by scope.result(), which then belong to the scope around."""
+
+    def __enter__(self) -> Scope:
+        self.kept: list[Saved] = []
+        _OWNERS.append([])
+        return self
+
+    def result(self, df: DataFrame, name: str) -> DataFrame:
+        """df, computed and saved, for use after the scope's end."""
+        out = Saved(df, name)
+        self.kept.append(out)
+        return out.df
+
+    def __exit__(self, failure: type | None, *_: object) -> None:
+        for table in _OWNERS.pop():
+            if failure is None and table in self.kept:
+                _OWNERS[-1].append(table)
+            else:
+                table.drop()
+
+
+@atexit.register
+def _drop_results() -> None:
+    for table in _OWNERS[0]:
+        with contextlib.suppress(Exception):  # the gateway may be gone by now
+            table.drop()
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoloom.llm._common import Saved
+from chronoloom.llm._common import Saved, Scope
 
 
 def _nearest(edges: DataFrame) -> DataFrame:

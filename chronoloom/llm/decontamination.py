@@ -23,12 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoloom.llm._common import rows_of, table
+from chronoloom.llm._common import Saved, rows_of, table
 
 Q = 8
 #: Bytes of a window, from one window that is always aligned to the next, and the edits allowed for each byte.
 SEGMENT, STRIDE, RATE = 80, 16, 0.10
 BLOCK_BYTES = 8 << 20
+#: A text that shares more q-grams with the items than this, as an item of one repeated letter makes it, is cut in halves.
+MOST_HITS = 1 << 20
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else 32 if c < 128 and not chr(c).isalnum() else c for c in range(256))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _BITS = 22
@@ -77,13 +79,20 @@ class Index:
     def slot(grams: np.ndarray) -> np.ndarray:
         return (grams * _MIX) >> np.uint64(64 - _BITS)
 
-    def hits(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Item, position in it and diagonal of each q-gram that the data shares with an item."""
+    def shared(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Where the data has q-grams of items, and which."""
         grams = q_grams(data)
         at = np.flatnonzero(self.bitmap[self.slot(grams)])
         k = np.searchsorted(self.gram, grams[at])
         same = (k < len(self.gram)) & (self.gram[np.minimum(k, len(self.gram) - 1)] == grams[at])
-        at, k = at[same], k[same]
+        return at[same], k[same]
+
+    def hit_count(self, data: bytes) -> int:
+        return int(self.count[self.shared(data)[1]].sum())
+
+    def hits(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Item, position in it and diagonal of each q-gram that the data shares with an item."""
+        at, k = self.shared(data)
         n = self.count[k]
         which = np.repeat(self.first[k], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         return self.of[which], self.at[which], np.repeat(at, n) - self.at[which]
@@ -115,8 +124,22 @@ class Index:
     def regions(self, data: bytes) -> list[tuple[int, int, int, int]]:
         """item, start, end and fewest edits of the regions that windows within the edit budget cover; windows of one
         item that overlap are one region."""
+        out: list[tuple[int, int, int, int]] = []
+        for i, x, y, e in sorted(self.found(data, 0)):
+            if out and out[-1][0] == i and x < out[-1][2]:
+                out[-1] = (i, out[-1][1], max(y, out[-1][2]), min(e, out[-1][3]))
+            else:
+                out.append((i, x, y, e))
+        return out
+
+    def found(self, data: bytes, begin: int) -> list[tuple[int, int, int, int]]:
+        """item, start, end and edits of each aligned window within the edit budget, of a text that stands at `begin`."""
         if not len(self.gram) or len(data) < Q:
             return []
+        reach = SEGMENT + 2 * self.band  # the longest piece of text that a window can be aligned with
+        if len(data) >= 4 * reach and self.hit_count(data) > MOST_HITS:
+            half = len(data) // 2
+            return self.found(data[: half + reach], begin) + self.found(data[half:], begin + half)
         item, band, low, high = self.runs(data)
         if not len(item):
             return []
@@ -131,7 +154,7 @@ class Index:
                 r, o = run[k : k + 4096], offset[k : k + 4096]
                 edits, start, end = self.aligned(padded, item[r], o, band[r] * self.band + o + origin)
                 good = edits <= self.edits[item[r]]
-                found.extend((int(self.item[i]), max(0, int(x) - origin), min(len(data), int(y) - origin), int(e)) for i, x, y, e in zip(item[r][good], start[good], end[good], edits[good], strict=True))
+                found.extend((int(self.item[i]), begin + max(0, int(x) - origin), begin + min(len(data), int(y) - origin), int(e)) for i, x, y, e in zip(item[r][good], start[good], end[good], edits[good], strict=True))
                 out.append(edits)
             return np.concatenate([*out, np.empty(0, np.int64)])
 
@@ -150,14 +173,7 @@ class Index:
         most = fewest[run[left]] - 1
         open_ = (edits[left] - (between - offset[left]) <= most) & (edits[left + 1] - (offset[left + 1] - between) <= most)
         align(run[left][open_], between[open_])
-
-        out: list[tuple[int, int, int, int]] = []
-        for i, x, y, e in sorted(found):
-            if out and out[-1][0] == i and x < out[-1][2]:
-                out[-1] = (i, out[-1][1], max(y, out[-1][2]), min(e, out[-1][3]))
-            else:
-                out.append((i, x, y, e))
-        return out
+        return found
 
     def aligned(self, text: np.ndarray, item: np.ndarray, offset: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Fewest edits between each window (item and offset) and a piece of the text inside its band, and where about
@@ -179,13 +195,19 @@ class Index:
         return best[np.arange(len(item)), where].astype(np.int64), end - size, end
 
 
-def blocks_of(benchmark: DataFrame, item: str, text: str) -> Iterator[Index]:
-    """The benchmark in blocks by a hash of the item, as many as keep a block near BLOCK_BYTES."""
+def blocks_of(benchmark: DataFrame, item: str, text: str) -> Iterator[tuple[int, int, Index]]:
+    """The benchmark in blocks by a hash of the item, as many as keep a block near BLOCK_BYTES; each with its number and
+    how many there are."""
     held = benchmark.where(F.col(item).isNotNull() & F.col(text).isNotNull()).select(F.col(item).cast("long").alias("i"), F.col(text).alias("t"))
     total = held.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     n = 1 + total // BLOCK_BYTES
     for k in range(n):
-        yield Index([(r.i, r.t) for r in held.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k).orderBy("i", "t").collect()])
+        yield k, n, Index([(r.i, r.t) for r in held.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k).orderBy("i", "t").collect()])
+
+
+def _between_blocks(df: DataFrame, k: int, n: int) -> DataFrame:
+    """What blocks before the last have found is written, so that one block only is in memory at a time."""
+    return df if k == n - 1 else Saved(df, "benchmark-block").df
 
 
 def _regions(index: Index, texts: list[str | None]) -> list[list[tuple[int, int, int, int]]]:
@@ -200,7 +222,7 @@ def contaminated_regions(docs: DataFrame, benchmark: DataFrame, key: str = "doc_
     table of either kind gives rows without regions or no rows.
     """
     out = docs.select(F.col(key), F.col(text).alias("__text"), F.array().cast(f"array<{REGION}>").alias("regions"))
-    for index in blocks_of(benchmark, item, "text"):
+    for k, n, index in blocks_of(benchmark, item, "text"):
         held = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
@@ -213,13 +235,18 @@ def contaminated_regions(docs: DataFrame, benchmark: DataFrame, key: str = "doc_
                     yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists], names=[key, "__text", "regions"])
 
         out = out.mapInArrow(run, out.schema)
+        out = _between_blocks(out, k, n)
     return out.select(key, "regions")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id") -> DataFrame:
-    """The rows of docs without a contaminated region, with all their columns."""
+    """The rows of docs without a contaminated region, with all their columns.
+
+    Edge cases: as in contaminated_regions; rows with null or empty texts stay; repeated rows fare alike; columns of
+    any name pass through; an empty table stays empty, and an empty benchmark keeps every row.
+    """
     at = docs.columns.index(text)
-    for index in blocks_of(benchmark, item, "text"):
+    for k, n, index in blocks_of(benchmark, item, "text"):
         held = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
@@ -228,6 +255,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text",
                     yield part.filter(pa.array([not r for r in _regions(held.value, part.column(at).to_pylist())], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
+        docs = _between_blocks(docs, k, n)
     return docs
 
 

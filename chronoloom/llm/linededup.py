@@ -1,78 +1,107 @@
 """Fuzzy line dedup in DataFrame operations only: SimHash of normalised lines, pigeonhole blocks, edit similarity.
 
-Two lines are linked if their SimHashes differ in at most BITS bits and their edit similarity is LIKENESS or more. A
-SimHash is cut into BLOCKS blocks; lines that differ in BITS bits agree in BLOCKS - BITS blocks at least, so every
-choice of so many blocks is a bucket and no linked pair is missed. Of each connected group of lines the first
-occurrence stays. The hash sums its bits' votes in 8-bit lanes of 8 long columns, so one aggregation over exploded
-words makes it.
+Two lines are linked if their edit similarity is LIKENESS or more. Candidates are lines whose SimHashes of 64 * HASHES
+bits differ in at most MAX_BITS bits and agree in a whole block: the hash is cut into blocks of BLOCK_BITS bits, each a
+bucket, so lines that differ in fewer bits than there are blocks always meet, and others by chance (the README gives
+the measured recall). Of each connected group of lines the first occurrence stays.
+
+The hash sums its bits' votes in 8-bit lanes of long columns, in one aggregation over exploded words that needs no
+exchange of its own, since lines are dealt out before.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
-from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoloom.llm._common import Saved, table
+from chronoloom.llm._common import Saved, Scope, table
 from chronoloom.llm.components import connected_components, with_component
 
-BITS, BLOCKS = 3, 5
+#: 64-bit words of a SimHash, bits of a block, and most bits by which candidates differ.
+HASHES, BLOCK_BITS, MAX_BITS = 9, 24, 96
 LIKENESS = 0.9
-#: Characters that stand for words: the first one, and how many (two words share one by a chance of 1 in so many).
+#: Characters that stand for words: the first one, and how many.
 FIRST_CODE, CODES = 0x4E00, 20480
 #: Most words whose votes the sign-free 8-bit lanes of a long can hold.
 PIECE_WORDS = 127
-#: Lines without a letter or digit are no lines to compare.
-HAS_WORD = r"[\p{L}\p{N}]"
+#: Members of a block, where a bucket's members meet in blocks.
+BLOCK = 2048
+#: A line that has more than this share of all lines is joined by broadcast; so there are at most 1 / HOT_SHARE of them.
+HOT_SHARE = 1 / 512
 _LANES = 0x0101010101010101
+_SIM = [f"s{h}" for h in range(HASHES)]
 
 
 def normalised(line: Column) -> Column:
     """Lower case, letters and digits only, single spaces between."""
-    return F.trim(F.regexp_replace(F.lower(line), r"[^\p{L}\p{N}]+", " "))
+    return F.trim(F.regexp_replace(F.lower(line), r"[^\p{L}\p{N}]++", " "))
 
 
 def lines_of(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """doc, version (tells texts of one key apart), n, line and id of each line that has a letter or digit."""
+    """doc, version (tells texts of one key apart), n, line and id of each line. Lines without a letter or digit are
+    empty and no lines to compare."""
     parts = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("doc"), F.xxhash64(F.col(text)).alias("version"), F.posexplode(F.split(F.col(text), "\n")).alias("n", "line"))
-    # a filter on the normalised line would be pushed below it, and normalise every line twice
-    parts = parts.where(F.col("line").rlike(HAS_WORD)).withColumn("line", normalised("line"))
-    return parts.withColumn("id", F.xxhash64("line"))
+    return parts.withColumn("line", normalised("line")).withColumn("id", F.xxhash64("line"))
 
 
 def simhash(lines: DataFrame) -> DataFrame:
-    """id and sim of lines (row, id, line), row being unique; a line that occurs several times is hashed where it
-    stands, so that no text is moved. The words of a line are exploded in its task, where the votes of each
-    PIECE_WORDS of them are summed before the exchange: one row of sums travels for a piece. Lines of one piece, most
-    of them, are done then; the votes of other lines' pieces are summed lane by lane."""
-    votes = [F.sum(F.shiftrightunsigned("h", k).bitwiseAND(F.lit(_LANES))).alias(f"v{k}") for k in range(8)]
+    """id and s0, s1, ... of lines (row, id, line), row being unique. Lines are dealt out by row, their words exploded
+    and the votes of each PIECE_WORDS words summed where they are. Lines of one piece, most of them, are done then; the
+    votes of other lines' pieces are summed in 32-bit lanes."""
     sized = lines.withColumn("total", F.length("line") - F.length(F.replace("line", F.lit(" "))) + 1)
-    voters = sized.select("row", "id", "total", F.posexplode(F.split("line", " ")).alias("at", "h"))
-    voters = voters.select("row", "id", "total", F.expr(f"at div {PIECE_WORDS}").cast("int").alias("piece"), F.xxhash64("h").alias("h"))
-    table = Saved(voters.groupBy("row", "piece", "id", "total").agg(*votes), "line-votes")
-    pieces = table.df
-    # in 16-bit lanes, bit 7 of ones + 127 - half is set where ones > half
-    least = f"(127 - total div 2) * {0x0001000100010001}L"
-    won = lambda k, by: f"((shiftrightunsigned(v{k}, {by}) & {0x00FF00FF00FF00FF}L) + {least}) & {0x0080008000800080}L"
-    bits = " | ".join(f"shiftleft(shiftrightunsigned({won(k, 0)}, 7) | shiftleft({won(k, 8)}, 1), {k})" for k in range(8))
-    one = pieces.where(F.col("total") <= PIECE_WORDS).select("id", F.expr(bits).alias("sim"))
-    many = pieces.where(F.col("total") > PIECE_WORDS).select("row", "id", "total", F.posexplode(F.array(*(f"v{k}" for k in range(8)))).alias("k", "v"))
-    many = many.groupBy("row", "id", "total", "k").agg(*(F.sum(F.shiftrightunsigned("v", 8 * j).bitwiseAND(F.lit(0xFF))).alias(f"n{j}") for j in range(8)))
-    bits = " | ".join(f"if(n{j} * 2 > total, shiftleft(1L, {8 * j} + k), 0L)" for j in range(8))
-    many = many.groupBy("row", "id").agg(F.bit_or(F.expr(bits)).alias("sim")).drop("row")
-    sims = Saved(one.unionByName(many).groupBy("id").agg(F.min("sim").alias("sim")), "line-sims")
-    table.drop()
-    return sims.df
+    lanes = [f"v{k}" for k in range(8)]
+
+    def pieces(some: DataFrame) -> DataFrame:
+        """row, piece, id, total, h and v0 to v7: the votes for bits k, k + 8, ... of word h of the hash in vk."""
+        voters = some.repartition("row").select("row", "id", "total", F.posexplode(F.split("line", " ")).alias("at", "word"))
+        hashes = [F.xxhash64(F.xxhash64("word"), F.lit(h)).alias(f"h{h}") for h in range(HASHES)]
+        voters = voters.select("row", "id", "total", F.expr(f"at div {PIECE_WORDS}").cast("int").alias("piece"), *hashes)
+        vote = lambda h, k: F.sum(F.shiftrightunsigned(f"h{h}", k).bitwiseAND(F.lit(_LANES)))
+        summed = voters.groupBy("row", "piece", "id", "total").agg(*(vote(h, k).alias(f"v{h}_{k}") for h in range(HASHES) for k in range(8)))
+        words = F.array(*(F.struct(F.lit(h).alias("h"), *(F.col(f"v{h}_{k}").alias(lanes[k]) for k in range(8))) for h in range(HASHES)))
+        return summed.select("row", "piece", "id", "total", F.inline(words))
+
+    def votes(v: str, wide: int, part: int) -> str:
+        """Every (wide / 8)-th of the 8-bit lanes of v, from lane `part` on, in lanes of `wide` bits."""
+        return f"(shiftrightunsigned({v}, {8 * part}) & {sum(0xFF << i for i in range(0, 64, wide))}L)"
+
+    def bits(sums: Callable[[int, int], str], wide: int) -> Column:
+        """The bits with more than half of the votes: in a lane, the bit below the highest is set where sum + 2^top - 1 - half has it."""
+        top = wide - 2
+        add, mask = f"({(1 << top) - 1} - total div 2) * {sum(1 << i for i in range(0, 64, wide))}L", sum(1 << top + i for i in range(0, 64, wide))
+        parts = [f"shiftleft(shiftrightunsigned(({sums(k, part)} + {add}) & {mask}L, {top}), {8 * part + k})" for k in range(8) for part in range(wide // 8)]
+        return F.expr(" | ".join(parts)).alias("sim")
+
+    one = pieces(sized.where(F.col("total") <= PIECE_WORDS)).select("id", "h", bits(lambda k, part: votes(lanes[k], 16, part), 16))
+    sums = [F.sum(F.expr(votes(lanes[k], 32, part))).alias(f"n{k}_{part}") for k in range(8) for part in range(4)]
+    many = pieces(sized.where(F.col("total") > PIECE_WORDS)).groupBy("row", "id", "total", "h").agg(*sums)
+    many = many.select("id", "h", bits(lambda k, part: f"n{k}_{part}", 32))
+    return one.unionByName(many).groupBy("id").agg(*(F.min(F.when(F.col("h") == h, F.col("sim"))).alias(s) for h, s in enumerate(_SIM)))
 
 
 def buckets(sims: DataFrame) -> DataFrame:
-    """bucket, id and sim: each choice of BLOCKS - BITS blocks of the SimHash."""
-    edges = [64 * k // BLOCKS for k in range(BLOCKS + 1)]
-    block = [F.shiftrightunsigned("sim", edges[k]).bitwiseAND(F.lit((1 << edges[k + 1] - edges[k]) - 1)) for k in range(BLOCKS)]
-    keys = [reduce(lambda key, k: F.shiftleft(key, 64 // BLOCKS + 1).bitwiseOR(block[k]), chosen, F.lit(c).cast("long")) for c, chosen in enumerate(combinations(range(BLOCKS), BLOCKS - BITS))]
-    return sims.select(F.explode(F.array(*keys)).alias("bucket"), "id", "sim")
+    """bucket and id: one bucket for each block of the SimHash."""
+
+    def block(k: int) -> Column:
+        word, bit = divmod(k * BLOCK_BITS, 64)
+        bits = F.shiftrightunsigned(_SIM[word], bit)
+        if bit + BLOCK_BITS > 64:
+            bits = bits.bitwiseOR(F.shiftleft(_SIM[word + 1], 64 - bit))
+        return bits.bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)).bitwiseOR(F.lit(k << BLOCK_BITS))
+
+    return sims.select(F.explode(F.array(*(block(k) for k in range(64 * HASHES // BLOCK_BITS)))).alias("bucket"), "id")
+
+
+def apart(a: str, b: str) -> Column:
+    """The bits by which two SimHashes differ."""
+    return reduce(lambda x, y: x + y, (F.bit_count(F.col(f"{a}{s}").bitwiseXOR(F.col(f"{b}{s}"))) for s in _SIM))
+
+
+def named(sims: DataFrame, side: str) -> DataFrame:
+    return sims.select(F.col("id").alias(side), *(F.col(s).alias(f"{side}_{s}") for s in _SIM))
 
 
 def coded(words: Column) -> Column:
@@ -84,51 +113,51 @@ def coded(words: Column) -> Column:
 def edit_links(near: DataFrame, every: DataFrame, firsts: DataFrame) -> DataFrame:
     """The pairs (a, b) of line ids whose edit similarity is LIKENESS or more. The texts of these lines alone are
     looked up, where the lines first stand."""
-    wanted = Saved(firsts.join(near.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id"), "line-wanted")
-    texts = every.join(wanted.df, "id").where(F.struct("doc", "version", "n") == F.col("first"))
-    texts = texts.groupBy("id").agg(F.first("line").alias("line")).withColumn("words", F.split("line", " "))
-    texts = Saved(texts.select("id", "line", coded("words").alias("coded"), F.array_max(F.transform("words", F.length)).alias("widest")), "line-texts").df
-    side = lambda a: texts.select(F.col("id").alias(a), *(F.col(c).alias(f"{a}_{c}") for c in ("line", "coded", "widest")))
+    wanted = firsts.join(near.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id")
+    texts = every.join(wanted.withColumnRenamed("id", "__id"), (F.col("id") == F.col("__id")) & (F.struct("doc", "version", "n") == F.col("first")))
+    texts = Saved(texts.groupBy("id").agg(F.min("line").alias("line")).select("id", "line", coded(F.split("line", " ")).alias("coded")), "line-texts")
+    side = lambda a: texts.df.select(F.col("id").alias(a), F.col("line").alias(f"{a}_line"), F.col("coded").alias(f"{a}_coded"))
     near = near.join(side("a"), "a").join(side("b"), "b")
-    longer = F.greatest(F.length("a_line"), F.length("b_line"))
-    near = near.withColumn("__most", F.floor(longer * (1 - LIKENESS) + 1e-9).cast("int"))
-    near = near.where("abs(length(a_line) - length(b_line)) <= __most")
-    # w edits of whole words are at most w * (longest word + 1) edits of characters: this settles long lines cheaply
-    near = near.withColumn("__words", F.expr("__most div (greatest(a_widest, b_widest) + 1)").cast("int"))
-    return near.where(F.expr("levenshtein(a_coded, b_coded, __words) >= 0 or levenshtein(a_line, b_line, __most) >= 0")).select("a", "b")
+    most = F.floor(F.greatest(F.length("a_line"), F.length("b_line")) * (1 - LIKENESS) + 1e-9).cast("int")
+    near = near.withColumn("__most", most).where("abs(length(a_line) - length(b_line)) <= __most")
+    # edits of words, where they are few, say how wide a band of characters is worth a try before the whole one
+    near = near.withColumn("__words", F.expr("levenshtein(a_coded, b_coded, length(a_coded) div 10 + 1)"))
+    near = near.withColumn("__try", F.expr("least(__most, if(__words >= 0, 5 * __words + 2, 0))"))
+    links = near.where(F.expr("(__try > 0 and levenshtein(a_line, b_line, __try) >= 0) or (__try < __most and levenshtein(a_line, b_line, __most) >= 0)"))
+    out = Saved(links.select("a", "b"), "line-links").df
+    texts.drop()
+    return out
 
 
-def line_components(members: DataFrame, every: DataFrame, firsts: DataFrame) -> DataFrame:
-    """id and component of the lines that have a link; members: bucket, id and sim; firsts:
-    id and where it first stands in every.
+def line_components(sims: DataFrame, every: DataFrame, firsts: DataFrame) -> DataFrame:
+    """id and component of the lines that have a link; sims: id and its SimHash; firsts: id and where it first stands
+    in every.
 
     As in components.bucket_components, every member first meets the smallest id of its bucket, and then, where a
-    bucket still holds several components, those outside its largest one meet the others. SimHashes travel with the
-    members and are compared inside the joins, so that only pairs within BITS bits leave them.
+    bucket still holds several components, those outside its largest one meet the others, block by block. SimHashes
+    are compared inside the joins, so that only pairs within MAX_BITS bits leave them.
     """
-    several = members.groupBy("bucket").count().where("count > 1").select("bucket")
-    shared = Saved(members.join(several, "bucket"), "line-buckets")
-    heads = shared.df.groupBy("bucket").agg(F.min("id").alias("head"), F.min_by("sim", "id").alias("head_sim"))
-    near = F.bit_count(F.col("sim").bitwiseXOR(F.col("head_sim"))) <= BITS
-    pairs = Saved(shared.df.join(heads, "bucket").where(near & (F.col("id") != F.col("head"))).select(F.col("head").alias("a"), F.col("id").alias("b")).distinct(), "line-near")
+    members = buckets(sims)
+    heads = members.groupBy("bucket").agg(F.min("id").alias("head"), F.count("*").alias("size")).where("size > 1")
+    shared = Saved(members.join(heads, "bucket"), "line-buckets")
+    pairs = shared.df.where("id <> head").groupBy(F.col("head").alias("a"), F.col("id").alias("b")).agg(F.lit(1)).select("a", "b")
+    near = pairs.join(named(sims, "b"), "b").join(named(sims, "a"), "a").where(apart("a_", "b_") <= MAX_BITS)
+    pairs = Saved(near.select("a", "b"), "line-near")
     first = Saved(edit_links(pairs.df, every, firsts), "line-links")
-    components = Saved(connected_components(first.df), "line-components")
-    placed = with_component(shared.df.select("bucket", "id", "sim"), "id", components.df)
+    pairs.drop()
+    components = connected_components(first.df)
+    placed = with_component(shared.df.where("size > 2"), "id", components)
     sizes = placed.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-    mixed = sizes.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("most"), F.count("*").alias("k")).where("k > 1").drop("k")
-    placed = Saved(placed.join(mixed, "bucket"), "line-placed")
-    few = placed.df.where("component <> most").select("bucket", F.col("id").alias("x"), F.col("component").alias("cx"), F.col("sim").alias("sx"))
-    others = placed.df.select("bucket", F.col("id").alias("y"), F.col("component").alias("cy"), F.col("sim").alias("sy"), "most")
-    within = F.bit_count(F.col("sx").bitwiseXOR(F.col("sy"))) <= BITS
-    met = few.join(others, "bucket").where(F.expr("cx <> cy and (cy = most or x < y)") & within)
-    # pairs that were no link with the bucket's head before are none now
-    others = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    others = Saved(others.join(pairs.df, ["a", "b"], "left_anti"), "line-near")
-    second = Saved(edit_links(others.df, every, firsts), "line-links")
-    out = Saved(connected_components(first.df.unionByName(second.df)), "line-components")
-    for old in (shared, pairs, others, first, components, placed, second):
-        old.drop()
-    return out.df
+    mixed = sizes.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("most"), F.count("*").alias("k"), F.sum("n").alias("size")).where("k > 1").drop("k")
+    placed = Saved(placed.drop("size").join(mixed, "bucket").where("id <> head").join(sims, "id"), "line-placed")
+    # the head has met them all; the others of a bucket are cut into blocks, and those outside its largest component are sent to each
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    few = placed.df.where("component <> most").select("bucket", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.col("id").alias("x"), F.col("component").alias("cx"), *(F.col(s).alias(f"x_{s}") for s in _SIM))
+    others = placed.df.select("bucket", F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"), F.col("id").alias("y"), F.col("component").alias("cy"), "most", *(F.col(s).alias(f"y_{s}") for s in _SIM))
+    met = few.join(others, ["bucket", "block"]).where(F.expr("cx <> cy and (cy = most or x < y)") & (apart("x_", "y_") <= MAX_BITS))
+    others = Saved(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "line-near")
+    shared.drop(), placed.drop()
+    return connected_components(first.df.unionByName(edit_links(others.df, every, firsts)))
 
 
 def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -140,28 +169,42 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     gives an empty result.
     """
     at = F.struct("doc", "version", "n")
-    every = Saved(lines_of(docs, key, text).withColumn("row", F.monotonically_increasing_id()), "line-every").df
-    firsts = Saved(every.groupBy("id").agg(F.min(at).alias("first")), "line-firsts").df
-    components = line_components(buckets(simhash(every.select("row", "id", "line"))), every, firsts)
-    placed = with_component(firsts, "id", components)
-    # only groups with links need the join; other lines are their own group
-    groups = placed.groupBy("component").agg(F.min("first").alias("keep"))
-    moved = Saved(components.join(groups, "component").select("id", "keep"), "line-moved")
-    kept = firsts.join(moved.df, "id", "left").select("id", F.coalesce("keep", "first").alias("keep"))
-    gone = every.select("doc", "version", "n", "id").join(kept, "id").where(at != F.col("keep"))
-    return gone.groupBy("doc", "version").agg(F.sort_array(F.collect_set("n")).alias("removed"))
+    with Scope() as scope:
+        every = Saved(lines_of(docs, key, text).withColumn("row", F.monotonically_increasing_id()), "line-every").df.where("line <> ''")
+        firsts = Saved(every.groupBy("id").agg(F.min(at).alias("first"), F.count("*").alias("copies")), "line-firsts").df
+        sims = Saved(simhash(every.select("row", "id", "line")), "line-sims").df
+        components = line_components(sims, every, firsts.drop("copies"))
+        # a line without a link that stands once stays; the others keep their group's first occurrence
+        several = with_component(firsts, "id", components.select("id", "component"))
+        groups = several.groupBy("component").agg(F.min("first").alias("keep"), F.sum("copies").alias("members")).where("members > 1")
+        kept = Saved(several.join(groups, "component").select(F.col("id").alias("__id"), "keep", "copies"), "line-kept").df
+        total = firsts.agg(F.sum("copies")).first()[0] or 0
+        hot = F.col("copies") > max(1, int(total * HOT_SHARE))
+        places = every.select("doc", "version", "n", "id")
+        same = F.col("id") == F.col("__id")
+        hot_ids = F.broadcast(kept.where(hot))  # at most 1 / HOT_SHARE rows
+        gone = places.join(hot_ids, same).where(at != F.col("keep"))
+        cold = places.join(F.broadcast(kept.where(hot).select("__id")), same, "left_anti").join(kept.where(~hot), same).where(at != F.col("keep"))
+        gone = gone.unionByName(cold)
+        return scope.result(gone.groupBy("doc", "version").agg(F.sort_array(F.collect_set("n")).alias("removed")), "line-removed")
 
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with its columns, each text without the lines that stand elsewhere. Documents that had lines and keep
-    none go; all others stay."""
-    gone = repeated_lines(docs, key, text).withColumnRenamed("doc", "__doc").withColumnRenamed("version", "__version")
-    met = docs.join(gone, (docs[key] == gone["__doc"]) & (F.xxhash64(docs[text]) == gone["__version"]), "left")
-    parts = F.split(docs[text], "\n")
-    left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("removed"))
-    short = F.array_join(F.transform(left, lambda i: F.get(parts, i)), "\n")
-    out = [F.when(F.col("removed").isNull(), docs[c]).otherwise(short).alias(c) if c == text else docs[c] for c in docs.columns]
-    return met.where(F.col("removed").isNull() | F.exists(left, lambda i: F.get(parts, i).rlike(HAS_WORD))).select(*out)
+    none go; all others stay.
+
+    Edge cases: as in repeated_lines; a null text stays null, and a row with a null key stays as it is; repeated rows
+    stay, each without the same lines; extra columns pass through, whatever their names; an empty table stays empty.
+    """
+    gone = repeated_lines(docs, key, text).select(F.col("doc").alias("__doc"), F.col("version").alias("__version"), F.col("removed").alias("__removed"))
+    marked = docs.withColumn("__hash", F.xxhash64(F.col(text)))
+    met = marked.join(gone, (F.col(key) == F.col("__doc")) & (F.col("__hash") == F.col("__version")), "left")
+    left = lambda parts: F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("__removed"))
+    # the outer transform binds the split text, so that it is split once and not for each line
+    short = F.transform(F.array(F.split(F.col(text), "\n")), lambda parts: F.array_join(F.transform(left(parts), lambda i: F.get(parts, i)), "\n"))[0]
+    met = met.withColumn("__text", F.when(F.col("__removed").isNull(), F.col(text)).otherwise(short))
+    met = met.where(F.col("__removed").isNull() | F.col("__text").rlike(r"[\p{L}\p{N}]"))
+    return met.select(*(F.col("__text").alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns))
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

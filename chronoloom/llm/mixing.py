@@ -5,8 +5,9 @@ has a virtual start and finish: the words of its source before and after it, div
 entries are range-sorted by virtual finish and the stream is cut where the total budget is spent; targets add up to
 the budget, so that is virtual time 1, and the one entry of each source in service then is cut with it.
 
-Running sums go in two levels: inside buckets of the shuffle order (or slots of virtual time) that hold some hundred
-rows each, then over one row for each bucket. No task holds a whole source, however large it is.
+The range sort is by slots of virtual time: a slot is a range of finish times, sorted inside. Running sums go in
+levels: inside buckets of the shuffle order (or slots) that hold some hundred rows each, over the buckets of a group of
+GROUP, and over one row for each group. No task holds a whole source, however large it is.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from chronoloom.llm._common import WORD, saved, table
+from chronoloom.llm._common import WORD, Scope, saved, table
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 2
@@ -25,6 +26,8 @@ MAX_EPOCHS = 2
 BUDGET = (3, 2)
 #: Documents in one bucket of the shuffle order, at most about.
 BUCKET_ROWS = 512
+#: Buckets or slots in a group, a power of 16.
+GROUP = 4096
 
 
 def words_in(text: Column) -> Column:
@@ -69,13 +72,24 @@ def queue_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epoc
     return out.select("queue", "source_size", F.when(F.col("full"), (max_epochs * F.col("source_size")).cast("double")).otherwise(shared).alias("target"))
 
 
+def running_before(sums: DataFrame, within: list[str], order: str, group: Column, value: str) -> DataFrame:
+    """sums with `before`: the sum of `value` in the rows before, by `order` inside `within`. `group` puts rows that
+    are next to each other together and rises with `order`."""
+    grouped = sums.withColumn("__group", group)
+    tops = grouped.groupBy(*within, "__group").agg(F.sum(value).alias("__sum"))
+    tops = tops.select(*within, "__group", (F.sum("__sum").over(W.partitionBy(*within).orderBy("__group")) - F.col("__sum")).alias("__top"))
+    inside = F.sum(value).over(W.partitionBy(*within, "__group").orderBy(order)) - F.col(value)
+    return grouped.withColumn("__inside", inside).join(tops, [*within, "__group"]).withColumn("before", F.col("__top") + F.col("__inside")).drop("__group", "__top", "__inside")
+
+
 def entries(sized: DataFrame, rows: int, targets: DataFrame, max_epochs: int) -> DataFrame:
     """Each document once an epoch: its virtual start and finish, and `served`, the words it gives until virtual time 1."""
     digits = max(0, math.ceil(math.log(max(1, rows / BUCKET_ROWS), 16)))
     sized = sized.withColumn("bucket", F.substring("order", 1, digits) if digits else F.lit(""))
     buckets = sized.groupBy("queue", "bucket").agg(F.sum("size").alias("bucket_size"))
-    running = W.partitionBy("queue").orderBy("bucket")
-    buckets = buckets.withColumn("bucket_start", F.sum("bucket_size").over(running) - F.col("bucket_size")).drop("bucket_size").join(targets, "queue")
+    group = F.substring("bucket", 1, max(0, digits - int(math.log(GROUP, 16))))
+    buckets = running_before(buckets, ["queue"], "bucket", group, "bucket_size").withColumnRenamed("before", "bucket_start")
+    buckets = buckets.drop("bucket_size").join(targets, "queue")
     within = W.partitionBy("queue", "bucket").orderBy("order", "size", "row").rowsBetween(W.unboundedPreceding, 0)
     placed = sized.withColumn("in_bucket", F.sum("size").over(within) - F.col("size")).join(buckets, ["queue", "bucket"])
     epochs = placed.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(max_epochs - 1))))
@@ -94,7 +108,7 @@ def cut_stream(stream: DataFrame, rows: int, total: int, budget: tuple[int, int]
     slots = max(1, rows // BUCKET_ROWS)
     stream = stream.where("served > 0").withColumn("slot", F.floor(F.least(F.col("finish"), F.lit(1.0)) * slots))
     starts = stream.groupBy("slot").agg(F.sum("served").alias("slot_served"))
-    starts = starts.select("slot", (F.sum("slot_served").over(W.orderBy("slot")) - F.col("slot_served")).alias("slot_start"))
+    starts = running_before(starts, [], "slot", F.floor(F.col("slot") / GROUP), "slot_served").select("slot", F.col("before").alias("slot_start"))
     within = W.partitionBy("slot").orderBy("finish", "queue", "epoch", "order", "row").rowsBetween(W.unboundedPreceding, 0)
     stream = stream.withColumn("in_slot", F.sum("served").over(within) - F.col("served")).join(starts, "slot")
     stream = stream.withColumn("offset", F.col("slot_start") + F.col("in_slot"))
@@ -128,17 +142,28 @@ class Mix:
         return placed.join(taken, "row", "left").fillna(0, ["taken"])
 
 
+def mix_by_document(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """Mix.by_document(), computed; what the mix has written meanwhile is dropped."""
+    with Scope() as scope:
+        return scope.result(Mix(docs, key=key, text=text, source=source).by_document(), "mix-result")
+
+
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = Mix(table(spark, sf_dir, "documents")).by_document()
+    out = mix_by_document(table(spark, sf_dir, "documents"))
     return out.select(F.col("key").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
-def mixed_documents(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The documents that the mix takes words of: their own columns, then mix_size, mix_target and mix_taken. Rows
-    that share a key are counted together, and each shows the sum."""
-    mixed = Mix(docs, key=key).by_document().where("taken > 0").groupBy("key")
+def mixed_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """The documents that the mix takes words of: their own columns, then mix_size, mix_target and mix_taken (columns
+    of these names are replaced).
+
+    Edge cases: as in Mix; documents without words are taken never; rows that share a key, null included, are counted
+    together, and each shows the sum; columns of other names pass through; an empty table stays empty.
+    """
+    mixed = mix_by_document(docs, key, text, source).where("taken > 0").groupBy(F.col("key").alias("__key"))
     mixed = mixed.agg(F.sum("size").alias("mix_size"), F.max("target").alias("mix_target"), F.sum("taken").alias("mix_taken"))
-    return docs.join(mixed, docs[key].eqNullSafe(mixed["key"])).select(*docs.columns, "mix_size", "mix_target", "mix_taken")
+    kept = [c for c in docs.columns if c not in ("mix_size", "mix_target", "mix_taken")]
+    return docs.select(*kept).join(mixed, F.col(key).eqNullSafe(F.col("__key"))).select(*kept, "mix_size", "mix_target", "mix_taken")
 
 
 OP1_SQL = r"""

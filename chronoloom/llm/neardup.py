@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoloom.llm._common import Saved, rows_of, table
+from chronoloom.llm._common import Saved, Scope, rows_of, table
 from chronoloom.llm.components import bucket_components, mixed_blocks, with_component
 
 SHINGLE = 5
@@ -119,7 +119,7 @@ def alike(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
 
 
 def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs whose full sets are similar enough; sets: id, n and packed (sorted 32-bit hashes)."""
+    """The pairs whose full sets are similar enough; sets: id, n and packed (sorted 64-bit hashes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -127,7 +127,7 @@ def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             for n, m, x, y in zip(*(batch.column(i).to_pylist() for i in range(2, 6)), strict=True):
                 shared = 0
                 if 100 * min(n, m) >= PERCENT * max(n, m):
-                    shared = len(np.intersect1d(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32), assume_unique=True))
+                    shared = len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
                 keep.append(100 * shared >= PERCENT * (n + m - shared))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
@@ -160,10 +160,10 @@ def block_links(blocks: DataFrame) -> DataFrame:
                     sized = 100 * np.minimum(y_n, x_n[i]) >= PERCENT * np.maximum(y_n, x_n[i])
                     other = (y_in != x_in[i]) & ((y_in == most) | (x_id[i] < y_id))
                     done: set[int] = set()
-                    own = np.frombuffer(x_set[i].as_py(), np.uint32)
+                    own = np.frombuffer(x_set[i].as_py(), np.uint64)
                     for j in np.flatnonzero(here & near & sized & other).tolist():
                         if y_in[j] not in done:
-                            shared = len(np.intersect1d(own, np.frombuffer(y_set[j].as_py(), np.uint32), assume_unique=True))
+                            shared = len(np.intersect1d(own, np.frombuffer(y_set[j].as_py(), np.uint64), assume_unique=True))
                             if 100 * shared >= PERCENT * (x_n[i] + y_n[j] - shared):
                                 done.add(y_in[j])
                                 found.append((int(x_id[i]), int(y_id[j])))
@@ -179,7 +179,7 @@ def packed_sets(docs: DataFrame, key: str, text: str, wanted: DataFrame) -> Data
         hashes = WordHashes()
         for batch in batches:
             for part in rows_of(batch):
-                sets = [np.unique((shingle_set(t or "", hashes)[0] >> np.uint64(32)).astype(np.uint32)) for t in part.column(1).to_pylist()]
+                sets = [shingle_set(t or "", hashes)[0] for t in part.column(1).to_pylist()]
                 columns = [part.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "packed"])
 
@@ -192,8 +192,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
     Edge cases: a null text, or one without words, has an empty set, is linked with nothing and is kept; a row with a
     null id is linked with nothing, has a null component_id and is kept; rows with one id are one document, linked by
-    any of their texts; extra columns are ignored; an empty table gives an empty result.
+    any of their texts; ids must be whole numbers of 64 bits at most, others fail or, as text, are cast; extra columns
+    are ignored; an empty table gives an empty result.
     """
+    with Scope() as scope:
+        return scope.result(_near_duplicates(docs, key, text), "near-result")
+
+
+def _near_duplicates(docs: DataFrame, key: str, text: str) -> DataFrame:
     rows = Saved(features(docs, key, text), "near-features")
     sets = rows.df.where("id is not null and content is not null")
     classes = Saved(sets.groupBy("content").agg(F.min("id").alias("head")), "near-classes")
@@ -226,7 +232,11 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, but those that a near-duplicate with a smaller id stands for."""
+    """The rows of docs, with all their columns, but those that a near-duplicate with a smaller id stands for.
+
+    Edge cases: as in near_duplicates; rows without words or with a null key stay; rows with one id go or stay together;
+    columns of any name pass through; an empty table stays empty.
+    """
     gone = near_duplicates(docs, key, text).where(~F.col("kept")).select("id").distinct()
     return docs.join(gone, docs[key].cast("long") == gone["id"], "left_anti")
 

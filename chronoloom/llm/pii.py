@@ -54,7 +54,9 @@ def make_finder() -> Callable[[str], list[Span]]:
         spans: list[Span] = []
         email_end = phone_end = 0
         low = text.lower()
-        for at, (kind, length) in anchors.iter(low if len(low) == len(text) else text):
+        if len(low) != len(text):  # a letter that grows when lower-cased would shift what follows
+            low = re.sub("[A-Z]+", lambda m: m[0].lower(), text)
+        for at, (kind, length) in anchors.iter(low):
             if kind == "at":
                 start = at
                 while start > email_end and _LOCAL.match(text[start - 1]):
@@ -74,8 +76,10 @@ def make_finder() -> Callable[[str], list[Span]]:
                 number = m[1].replace(" ", "").replace("-", "")
                 if number.isdigit():
                     spans.append(("account", *m.span(1), False))
-                elif mod97(number):
-                    spans.append(("iban", *m.span(1), False))
+                else:  # words in capitals may follow the number
+                    start, ends = m.start(1), [m.end(1), *(m.end(1) - k for k, c in enumerate(reversed(m[1]), 1) if c == " ")]
+                    if end := next((e for e in ends if e > start and mod97(text[start:e].replace(" ", ""))), 0):
+                        spans.append(("iban", start, end, False))
         for m in _IP.finditer(text):
             if all(len(part := p.lstrip("0")) <= 3 and int(part or 0) <= 255 for p in m[0].split(".")):
                 spans.append(("ip", *m.span(), True))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoloom.llm._common import Saved, rows_of, table
+from chronoloom.llm._common import Saved, Scope, rows_of, table
 from chronoloom.llm.neardup import scrambled
 
 LENGTH, GRAM = 400, 200
@@ -168,6 +168,11 @@ def repeated_bytes(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     rows with one text, also repeated rows and null keys, are documents of their own, so each such text of `length`
     bytes or more goes whole; extra columns are ignored; an empty table gives an empty result.
     """
+    with Scope() as scope:
+        return scope.result(_repeated_bytes(docs, key, text, length, gram), "repeat-result")
+
+
+def _repeated_bytes(docs: DataFrame, key: str, text: str, length: int, gram: int) -> DataFrame:
     source = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("text"))
     scanned = Saved(_scan(source, length, gram), "repeat-scan")
     rows = Saved(scanned.df.drop("anchors"), "repeat-rows")

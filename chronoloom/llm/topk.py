@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from chronoloom.llm._common import table
+from chronoloom.llm._common import Saved, Scope, table
 
 SCALE, EVERY, K = 256, 50, 5
 #: Vectors of a chunk, of a page, and queries of a block.
@@ -27,10 +27,12 @@ CHUNK, PAGE, BLOCK = 8192, 64, 16384
 
 
 class MTree:
-    """Two levels of routing nodes over pages of vectors (int values in float64, exact below 2^53)."""
+    """Two levels of routing nodes over pages of vectors (int values in float64, exact below 2^53), each vector with its
+    distance to its page's routing vector."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, limit: float) -> None:
         self.ids, self.vectors = ids, vectors
+        self.scored = 0  # products computed so far
         lifted = np.column_stack([vectors, np.sqrt(np.maximum(0.0, limit - (vectors**2).sum(axis=1)))])
         self.nodes = []  # (routing vector, covering radius, pages)
         for rows in self.split(lifted, np.arange(len(ids)), PAGE * 16):
@@ -39,7 +41,7 @@ class MTree:
             for r in self.split(lifted, rows, PAGE):
                 centre = lifted[r].mean(axis=0)
                 away = np.sqrt(((lifted[r] - centre) ** 2).sum(axis=1))
-                pages.append((centre, away.max(), np.sqrt(((centre - top) ** 2).sum()), r))
+                pages.append((centre, away.max(), np.sqrt(((centre - top) ** 2).sum()), (r, away)))
             self.nodes.append((top, max(p[2] + p[1] for p in pages), pages))
 
     @staticmethod
@@ -91,7 +93,11 @@ class MTree:
                         heapq.heappush(queue, (float((to[some] - covers).min()), count, to, covers, r))
                         count += 1
                 continue
+            # so do the stored distances of single vectors to the page's routing vector
+            inside, away = inside
+            inside = inside[(np.abs(d[rows][:, None] - away) <= reach()[rows][:, None]).any(axis=0)]
             ids = self.ids[inside]
+            self.scored += len(rows) * len(inside)
             found = queries[rows] @ self.vectors[inside].T
             found[own[rows][:, None] == ids[None, :]] = -np.inf
             all_s = np.concatenate([score[rows], found], axis=1)
@@ -124,20 +130,28 @@ def top_k(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", ev
     n, limit = queries.count(), rows.agg(F.max(norm)).first()[0] or 0.0
     if limit >= 2.0**52:
         raise ValueError("components are too large for exact products")
-    out = None
+    with Scope() as scope:
+        return scope.result(_best_of_blocks(rows, queries, n, limit, k), "top-result")
+
+
+def _best_of_blocks(rows: DataFrame, queries: DataFrame, n: int, limit: float, k: int) -> DataFrame:
+    """The queries go block by block, at most about BLOCK of them in the driver and in a task at a time."""
+    spark, out = rows.sparkSession, None
     blocks = 1 + n // BLOCK
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     for b in range(blocks):
         block = queries.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).toPandas() if n else None
         if block is None or not len(block):
             continue
         by_length = {m: (g["id"].to_numpy(np.int64), np.array(g["v"].tolist(), np.float64).reshape(len(g), m)) for m, g in block.groupby(block["v"].map(len))}
-        held = vectors.sparkSession.sparkContext.broadcast(by_length)
+        held = spark.sparkContext.broadcast(by_length)
         found = rows.mapInArrow(_searcher(held, limit, k), "query_id long, vec_id long, score long")
+        found = Saved(found.withColumn("rank", rank).where(F.col("rank") <= k), "top-found").df
+        held.destroy()
         out = found if out is None else out.unionByName(found)
     if out is None:
-        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return out.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    return out.select("query_id", "rank", "vec_id", "score")
 
 
 def _searcher(held, limit: float, k: int):

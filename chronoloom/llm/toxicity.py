@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoloom.llm._common import rows_of, saved, table
+from chronoloom.llm._common import Saved, Scope, rows_of, table
 
 FOLDS, HELD_OUT = 5, 0
 STEMS = (4, 5, 6, 7)
@@ -155,8 +155,8 @@ class Scorer:
                 places = {m.start(): k for k, m in enumerate(words)}
                 for token, starts in spelt.items():
                     best[token] = max(hits[token] * (QUOTED if quoted(low, words, places[at]) else 1.0) for at in starts)
-            for i, x in enumerate(sorted(best.values(), reverse=True)[:8]):
-                prior += x * 0.5**i
+            for i, x in enumerate(sorted(best.values(), reverse=True)):
+                prior += math.ldexp(x, -i)
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, prior))))
 
 
@@ -194,8 +194,9 @@ def distinct_examples(docs: DataFrame, labels: DataFrame, key: str, text: str, l
     once; it is toxic if any of its rows is. Only hashes are grouped: texts move once, to the keys that stand for them."""
     marked = labels.where(F.col(label).isin(0, 1)).groupBy(key).agg(F.max(label).alias("__y"))
     train = docs.select(F.col(key), F.col(text).alias("__text"), F.xxhash64(F.col(text)).alias("__h")).where(F.col(text).isNotNull() & (fold_of(key) != HELD_OUT))
-    chosen = train.select(key, "__h").join(marked, key).groupBy("__h").agg(F.min(key).alias(key), F.max("__y").cast("int").alias("__y"))
-    return train.join(chosen, [key, "__h"]).groupBy(key, "__h").agg(F.first("__y").alias("__y"), F.first("__text").alias("__text")).select("__y", "__text")
+    # by merge at every size: a plan that broadcasts small labels would say nothing of large ones
+    chosen = train.select(key, "__h").join(marked.hint("merge"), key).groupBy("__h").agg(F.min(key).alias(key), F.max("__y").cast("int").alias("__y"))
+    return train.join(chosen.hint("merge"), [key, "__h"]).dropDuplicates([key, "__h"]).select("__y", "__text")
 
 
 def beyond_chance(counts: DataFrame, n_toxic: int, n_clean: int, vocabulary: int) -> DataFrame:
@@ -221,11 +222,19 @@ def words_under(terms: DataFrame, weights: list[tuple[str, float]]) -> list[tupl
 
 
 def fit_lexicon(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Lexicon:
-    """Counts over all distinct labelled texts that are not held out; a row with a null key, label or text is no
-    example."""
-    spark = docs.sparkSession
-    train = saved(distinct_examples(docs, labels, key, text, label), "toxicity-train")
-    terms = saved(term_counts(train, terms_of), "toxicity-terms")
+    """Counts over all distinct labelled texts that are not held out.
+
+    Edge cases: a row with a null key, label or text, or a label that is neither 0 nor 1, is no example; copies of a
+    text are one, toxic if any of them is; a key with several labels has the largest; extra columns are ignored;
+    without toxic or without clean examples (also for empty tables) the lexicon is empty and all scores are low.
+    """
+    with Scope():
+        train = Saved(distinct_examples(docs, labels, key, text, label), "toxicity-train").df
+        return _fitted(train, Saved(term_counts(train, terms_of), "toxicity-terms").df)
+
+
+def _fitted(train: DataFrame, terms: DataFrame) -> Lexicon:
+    spark = train.sparkSession
     vocabulary, n_toxic, n_clean = terms.agg(F.count_if(F.col("toxic") > 0), *(F.max(F.when(F.col("term") == "", F.col(c))) for c in ("toxic", "clean"))).first()
     if not n_toxic or not n_clean:
         return Lexicon([], -3.0)
@@ -323,7 +332,11 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon, key: str = "doc_id", text:
 
 
 def drop_toxic(docs: DataFrame, lexicon: Lexicon, text: str = "text", limit: float = 0.5) -> DataFrame:
-    """The rows of docs that score below the limit, with all their columns; nothing is shuffled."""
+    """The rows of docs that score below the limit, with all their columns; nothing is shuffled.
+
+    Edge cases: as in score_toxicity; null and empty texts score the prior and stay; repeated rows fare alike; columns
+    of any name pass through; an empty table stays empty.
+    """
     held, at = docs.sparkSession.sparkContext.broadcast(lexicon), docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -7,13 +7,13 @@ the work is linear in the URLs and nothing is shuffled.
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoloom.llm._common import ascii_lower, table
+from chronoloom.llm._common import ascii_lower, saved, table
 
 #: (host, path, verdict) of the production list.
 RULES = (
@@ -23,8 +23,9 @@ RULES = (
     ("net", "/es/", "block"),
     ("net", "/fr/", "block"),
 )
-#: Most bytes of pickled trie that are broadcast; a longer list is applied in parts (see judge_urls).
+#: Most bytes of pickled trie that are broadcast; a longer list is applied in parts, one after the other.
 MAX_TRIE_BYTES = 64 << 20
+BEST = "struct<depth:int,length:int,rule:string,verdict:string>"
 
 
 class UrlTrie:
@@ -44,8 +45,8 @@ class UrlTrie:
             if ends.get(rest, (None, "allow"))[1] != "block":  # of two verdicts for one rule, block stands
                 ends[rest] = (host + path, verdict)
 
-    def longest(self, host: str, path: str) -> tuple[str, str] | None:
-        """Rule and verdict: the deepest host first, then the longest path."""
+    def longest(self, host: str, path: str) -> tuple[int, int, str, str] | None:
+        """The rule's host labels and length, the rule and its verdict: the deepest host first, then the longest path."""
         node, hosts = self.root, [self.root]
         for label in reversed(host.split(".")):
             node = node.get(("h", label))
@@ -53,8 +54,8 @@ class UrlTrie:
                 break
             hosts.append(node)
         segments = path.split("/")
-        for node in reversed(hosts):
-            best = None
+        for depth in range(len(hosts) - 1, -1, -1):
+            node, best = hosts[depth], None
             for segment in segments:
                 for rest, rule in node.get("ends", {}).items():
                     if segment.startswith(rest) and (best is None or len(rule[0]) > len(best[0])):
@@ -63,7 +64,7 @@ class UrlTrie:
                 if node is None:
                     break
             if best:
-                return best
+                return depth, len(best[0]), *best
         return None
 
 
@@ -78,25 +79,35 @@ def judge_urls(df: DataFrame, url: str, rules: Iterable[tuple[str, str, str]] =
     """df with host, path, rule and verdict after its own columns (a column of such a name is replaced).
 
     Edge cases: a null or odd url fits no rule and gets `default`; repeated rows are judged alike; an empty table
-    gives an empty result; other columns pass through. A list whose trie is over MAX_TRIE_BYTES is refused, for it
-    could not be broadcast safely; split such a list by top label and filter df to match.
+    gives an empty result; other columns pass through. A list whose trie is over MAX_TRIE_BYTES is cut into parts below
+    that; each is broadcast and applied in turn, and the best rule of all parts stands.
     """
-    spark, trie = df.sparkSession, UrlTrie(rules)
-    data = pickle.dumps(trie)
-    if len(data) > MAX_TRIE_BYTES:
-        raise ValueError(f"the rules make a trie of {len(data)} bytes; split the list")
+    rules = list(rules)
+    parts = 1 + len(pickle.dumps(UrlTrie(rules))) // MAX_TRIE_BYTES
+    best = F.lit(None).cast(BEST)
+    host, path = host_and_path(F.col(url))
+    told = F.struct(host.alias("host"), path.alias("path"))
+    kept = [c for c in df.columns if c not in ("host", "path", "rule", "verdict")]
+    out = df.select(*kept, told.alias("__url"), best.alias("__best"))
+    for k in range(parts):
+        found = _walk(df.sparkSession, UrlTrie(rules[k::parts]))("__url.host", "__url.path")
+        # greatest() ignores nulls; of two verdicts for one rule, "block" is the greater
+        out = out.withColumn("__best", F.greatest("__best", found) if k else found)
+        if parts > 1:  # so that no task holds two tries
+            out = saved(out, "url-part")
+    verdict = F.coalesce("__best.verdict", F.lit(default)).alias("verdict")
+    return out.select(*kept, "__url.host", "__url.path", "__best.rule", verdict)
+
+
+def _walk(spark: SparkSession, trie: UrlTrie) -> Callable[[str, str], Column]:
     held = spark.sparkContext.broadcast(trie)
 
-    @F.pandas_udf("struct<rule:string,verdict:string>")
+    @F.pandas_udf(BEST)
     def walk(hosts: pd.Series, paths: pd.Series) -> pd.DataFrame:
-        found = [held.value.longest(h, p) or (None, default) for h, p in zip(hosts, paths, strict=True)]
-        return pd.DataFrame(found, columns=["rule", "verdict"])
+        found = [held.value.longest(h, p) or (None, None, None, None) for h, p in zip(hosts, paths, strict=True)]
+        return pd.DataFrame(found, columns=["depth", "length", "rule", "verdict"]).astype({"depth": "Int32", "length": "Int32"})
 
-    host, path = host_and_path(F.col(url))
-    told = F.struct(host.alias("host"), path.alias("path"))
-    kept = [c for c in df.columns if c not in ("host", "path", "rule", "verdict")]
-    out = df.select(*kept, told.alias("__url")).withColumn("__rule", walk("__url.host", "__url.path"))
-    return out.select(*kept, "__url.host", "__url.path", "__rule.rule", "__rule.verdict")
+    return walk
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

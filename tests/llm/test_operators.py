@@ -267,14 +267,130 @@ def test_line_dedup(docs, corpus, nothing, spark):
 
 
 def test_simhash_against_brute_force(spark):
+    import struct
+
     import xxhash
 
+    h64 = lambda data, seed: xxhash.xxh64_intdigest(data, seed=seed)
     lines = ["alpha beta gamma", "delta", words(127), words(128), words(200), " ".join(f"w{i % 7}" for i in range(40000))]
-    got = {r.id: r.sim for r in linededup.simhash(spark.createDataFrame([(i, i, t) for i, t in enumerate(lines)], "row long, id long, line string")).collect()}
+    got = {r.id: r for r in linededup.simhash(spark.createDataFrame([(i, i, t) for i, t in enumerate(lines)], "row long, id long, line string")).collect()}
     for i, line in enumerate(lines):
-        hashes = [xxhash.xxh64_intdigest(w, seed=42) for w in line.split()]
-        want = sum(1 << b for b in range(64) if sum(h >> b & 1 for h in hashes) * 2 > len(hashes))
-        assert got[i] % (1 << 64) == want
+        for h in range(linededup.HASHES):
+            hashes = [h64(struct.pack("<i", h), h64(struct.pack("<Q", h64(w.encode(), 42)), 42)) for w in line.split()]
+            want = sum(1 << b for b in range(64) if sum(x >> b & 1 for x in hashes) * 2 > len(hashes))
+            assert got[i][f"s{h}"] % (1 << 64) == want
+
+
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        diagonal, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            diagonal, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, diagonal + (x != y))
+    return row[-1]
+
+
+def test_line_dedup_against_brute_force(spark):
+    rng = np.random.default_rng(11)
+    vocabulary = ["".join(rng.choice(list("abcdefghijklmnopqrst"), rng.integers(2, 9))) for _ in range(400)]
+    line = lambda n: " ".join(rng.choice(vocabulary, n))
+    bases = [line(n) for n in (8, 12, 20, 30, 45, 60, 90, 140)] * 2
+    bases = [b if i < 8 else line(len(b.split())) for i, b in enumerate(bases)]
+    rows = []
+    for b in bases:
+        ws = b.split()
+        typo, swap = ws[:], ws[:]
+        typo[len(ws) // 2] = typo[len(ws) // 2][:-1] + "z"
+        swap[0] = str(rng.choice(vocabulary))
+        rows += [b, b.upper() + "!", " ".join(typo), " ".join(swap), " ".join(ws[:-1]), " ".join(reversed(ws))]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "doc_id long, text string")
+    plain = [" ".join("".join(c if c.isalnum() else " " for c in t.lower()).split()) for t in rows]
+    root = list(range(len(rows)))
+    linked = 0
+    for j in range(len(rows)):
+        for i in range(j):
+            most = int(max(len(plain[i]), len(plain[j])) * 0.1 + 1e-9)
+            if abs(len(plain[i]) - len(plain[j])) <= most and edit_distance(plain[i], plain[j]) <= most:
+                x, y = sorted((root[i], root[j]))
+                root, linked = [x if r == y else r for r in root], linked + 1
+    want = {j for j in range(len(rows)) if root[j] != j}
+    got = {r.doc for r in linededup.repeated_lines(docs).collect()}
+    assert got <= want and len(got) >= 0.9 * len(want) > 20, (len(got), len(want))
+
+
+def test_columns_with_clashing_names(spark, docs):
+    odd = docs.select("doc_id", "text", "lang", "source", *(F.lit(i).alias(n) for i, n in enumerate(("removed", "key", "doc", "version", "taken", "mix_size", "id", "component", "n", "line", "first"))))
+    assert linededup.dedup_lines(odd).columns == odd.columns
+    assert neardup.one_of_each_group(odd).columns == odd.columns and neardup.one_of_each_group(odd).count() > 0
+    assert set(mixing.mixed_documents(odd).columns) == {*odd.columns, "mix_size", "mix_target", "mix_taken"}
+    assert mixing.mixed_documents(odd).count() > 0 and linededup.dedup_lines(odd).count() > 0
+
+
+def test_empty_tables_and_nulls(spark, docs, nothing):
+    import corpus_pipeline
+    from tests.conftest import SF
+
+    lexicon = toxicity.Lexicon([("idiot", 5.0)], -3.0)
+    bench = spark.createDataFrame([], "item_id long, text string")
+    assert pii.find_pii(nothing).count() == secrets.find_secrets(nothing).count() == toxicity.score_toxicity(nothing, lexicon).count() == 0
+    assert decontamination.contaminated_regions(nothing, bench).count() == 0 and decontamination.drop_contaminated(docs, bench).count() == docs.count()
+    assert secrets.find_secrets(docs).count() == docs.count() and toxicity.drop_toxic(docs, lexicon).count() == docs.count()
+    labels = spark.createDataFrame([(1, None), (None, 1)], "doc_id long, toxic int")
+    assert toxicity.fit_lexicon(docs, labels).exact("idiot") == 0 and toxicity.fit_lexicon(nothing, labels).prior < 0
+    for name, stage in corpus_pipeline.STAGES:
+        empty = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+        assert stage(spark, empty, SF).count() == 0, name
+
+
+def test_tables_are_dropped(spark, docs):
+    from chronoloom.llm._common import Saved, Scope, shared_dir
+
+    folder = shared_dir(spark).removeprefix("file://")
+    import os
+
+    with Scope():
+        neardup.one_of_each_group(docs).count(), linededup.dedup_lines(docs).count(), mixing.mixed_documents(docs).count()
+        names = {n[:-33] for n in os.listdir(folder) if re.fullmatch(r".*-[0-9a-f]{32}", n) and not n.startswith("pipeline")}
+        assert names <= {"near-result", "line-removed", "mix-result", "top-result", "repeat-result", "mix-sizes", "mix-targets", "star", "near-components", "line-links"}, names
+        mine = Saved(docs, "mine")
+    assert not os.path.exists(mine.path.removeprefix("file://"))
+
+
+def test_long_texts(spark):
+    index = decontamination.Index([(1, "a" * 300), (2, words(60))])
+    assert index.regions(b"a" * 400_000) and not index.regions(decontamination.plain(" ".join(f"{w}x{i}" for i, w in enumerate(RNG.choice(WORDS, 60_000)))))
+    long = " ".join(RNG.choice(WORDS, 100_000))
+    docs = spark.createDataFrame([(1, long), (2, long + " tail"), (3, "x" * 300_000), (4, "short one")], "doc_id long, text string")
+    assert {r.id: r.component_id for r in neardup.near_duplicates(docs).collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
+    removed = {r.doc_id: r.n_removed for r in repeats.repeated_bytes(docs).collect()}
+    assert removed == {1: len(long), 2: len(long), 3: 300_000, 4: 0}
+    assert pii.find_pii(docs).count() == secrets.find_secrets(docs).count() == 4
+
+
+def test_m_tree_prunes_clustered_vectors():
+    rng = np.random.default_rng(2)
+    centres = rng.integers(-4000, 4000, (40, 8))
+    vectors = (centres[rng.integers(0, 40, 4000)] + rng.integers(-20, 20, (4000, 8))).astype(float)
+    limit = float((vectors**2).sum(axis=1).max())
+    tree = topk.MTree(np.arange(4000), vectors, limit)
+    queries = vectors[:20]
+    score, ids = tree.search(np.arange(20), queries, limit, 5)
+    assert tree.scored < 0.7 * 20 * 4000
+    for i in range(20):
+        want = sorted((-int(vectors[j] @ queries[i]), j) for j in range(4000) if j != i)[:5]
+        assert [(-int(s), int(j)) for s, j in zip(score[i], ids[i])] == want
+
+
+def test_url_rules_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(urls, "MAX_TRIE_BYTES", 200)
+    df = spark.createDataFrame([(0, "http://WWW.Example.com/en/1"), (1, "http://example.com/en/1"), (2, "http://x.net/es/9"), (3, "http://y.org/")], "page_id long, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in urls.judge_urls(df, "url").collect()}
+    assert got == {0: ("www.example.com/en/", "allow"), 1: ("example.com/en/", "block"), 2: ("net/es/", "block"), 3: (None, "allow")}
+
+
+def test_letters_that_grow_when_lowered():
+    find = pii.make_finder()
+    assert {s[0] for s in find("\u0130 IBAN: DE89 3704 0044 0532 0130 00 HTTP://Me:pw@host.org/x")} >= {"iban", "link"}
 
 
 def test_pipeline_stages(spark):
