@@ -15,11 +15,13 @@ from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 from itertools import pairwise
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronoloom.llm._common import Saved, Scope, rows_of, table
+from chronoloom.llm.neardup import WordHashes, scrambled
 
 FOLDS, HELD_OUT = 5, 0
 STEMS = (4, 5, 6, 7)
@@ -51,12 +53,17 @@ def glued(low: str) -> Iterator[tuple[int, str, str, str]]:
             yield chain.start() + a.start(), chain[0][a.start() : b.end()], a[0], b[0]
 
 
+def without_a_letter(word: str) -> list[str]:
+    """The word, and the word without each of its letters."""
+    return [word, *(word[:i] + word[i + 1 :] for i in range(len(word)))]
+
+
 class Lexicon:
     """A trie of weighted terms. A node maps letters to nodes; '' holds a word that ends there and its weight, '*' the
     weight of a stem that ends there. near: the weight of a word one edit away from a term."""
 
     def __init__(self, weights: Iterable[tuple[str, float]], prior: float, near: dict[str, float] | None = None) -> None:
-        self.prior, self.root, self.halves, self.near = prior, {}, set(), near
+        self.prior, self.root, self.parts, self.near = prior, {}, set(), near
         for term, weight in weights:
             stem, node = term.endswith("*"), self.root
             word = term[:-1] if stem else term
@@ -64,8 +71,8 @@ class Lexicon:
                 node = node.setdefault(c, {})
             node["*" if stem else ""] = weight if stem else (word, weight)
             if not stem and len(word) >= FUZZY_LETTERS:
-                # one edit leaves the first or the last half of a term as it is
-                self.halves |= {word[: len(word) // 2], "-" + word[len(word) // 2 :]}
+                # two words one edit apart are equal once a letter is left out of either or both
+                self.parts.update(without_a_letter(word))
 
     def exact(self, word: str) -> float:
         node, best = self.root, 0.0
@@ -77,10 +84,7 @@ class Lexicon:
         return max(best, node.get("", ("", 0.0))[1])
 
     def maybe_misspelt(self, word: str) -> bool:
-        if len(word) < FUZZY_LETTERS - 1:
-            return False
-        n, halves = len(word), self.halves
-        return any(word[:k] in halves or "-" + word[n - k :] in halves for k in range((n - 1) // 2, n // 2 + 2))
+        return len(word) >= FUZZY_LETTERS - 1 and any(part in self.parts for part in without_a_letter(word))
 
     def within_one(self, word: str) -> list[tuple[str, float]]:
         """The whole words one edit away, with their weights: the automaton's states (positions in `word` with the
@@ -239,7 +243,7 @@ def _fitted(train: DataFrame, terms: DataFrame) -> Lexicon:
     if not n_toxic or not n_clean:
         return Lexicon([], -3.0)
     counts = {r.term: (r.toxic, r.clean) for r in beyond_chance(terms, n_toxic, n_clean, vocabulary).collect()}
-    weights = learn(without_parts(counts), n_toxic, n_clean, vocabulary)
+    weights = learn(without_parts(independent(train, counts)), n_toxic, n_clean, vocabulary)
     weights += words_under(terms, weights)
     prior = math.log(n_toxic / n_clean) - 1.0
     plain = spark.sparkContext.broadcast(Lexicon(weights, prior))
@@ -247,6 +251,38 @@ def _fitted(train: DataFrame, terms: DataFrame) -> Lexicon:
     return Lexicon(weights, prior, near)
 
 
+def sketch(text: str, hashes: WordHashes) -> int:
+    """The smallest hash of the pairs of neighbouring words: mostly the same for near copies, and hardly ever else."""
+    h = np.array([hashes[w.encode("utf-8", "surrogatepass")] for w in WORD.findall(text.lower())], np.uint64)
+    pairs = scrambled(h[:-1] * np.uint64(3) + h[1:]) if len(h) > 1 else h
+    return int(pairs.min().astype(np.int64)) if len(pairs) else 0
+
+
+def independent(train: DataFrame, counts: dict[str, tuple[int, int]]) -> dict[str, tuple[int, int]]:
+    """The counts of the terms as if near copies were one text: of texts that fall into groups of c by their sketch,
+    (sum of c)^2 / sum of c^2 count, that is all of them where all are different and one where all are alike."""
+    if not counts:
+        return {}
+    held = train.sparkSession.sparkContext.broadcast(frozenset(counts))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            for part in rows_of(batch):
+                rows = []
+                for y, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    if found := held.value & terms_of(t):
+                        value = sketch(t, hashes)
+                        rows += [(term, y, value) for term in found]
+                columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.string(), pa.int32(), pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["term", "y", "sketch"])
+
+    groups = train.mapInArrow(run, "term string, y int, sketch long").groupBy("term", "y", "sketch").agg(F.count("*").alias("c"))
+    sums = groups.groupBy("term", "y").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("s"))
+    whole = {(r.term, r.y): round(r.n * r.n / r.s) for r in sums.collect()}
+    return {t: (whole.get((t, 1), 0), whole.get((t, 0), 0)) for t in counts}
+
+
 def misspelt(word: str, lexicon: Lexicon) -> tuple[str, ...]:
     """The terms that a word is one edit away from, if it is none itself."""
     return () if not lexicon.maybe_misspelt(word) or lexicon.exact(word) else tuple(t for t, _ in lexicon.within_one(word))
