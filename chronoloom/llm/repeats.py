@@ -9,7 +9,9 @@ winnowed anchors, and content is compared by 64-bit hashes, not byte by byte (se
    bytes or longer, and its windows reach the next region's. A region whose content occurs twice is covered whole, so
    its windows need no look.
 3. The windows that hold a repeated anchor and are in no repeated region (the ends of repeats), together with those of
-   one occurrence of each repeated region, are compared by content. A window that occurs twice is covered.
+   one occurrence of each repeated region, are compared by content. A window that occurs twice is covered. To spare
+   most of them, blocks a little shorter than a window are compared first, a few for each anchor; only windows that
+   hold a repeated block are looked up.
 
 Spark's shuffles sort and spill the tuples (content hash, document, position) outside memory, as keys of joins and
 aggregations; no task holds more than a batch of texts and no list of a group is gathered.
@@ -18,7 +20,7 @@ aggregations; no task holds more than a batch of texts and no list of a group is
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +31,10 @@ from chronoloom.llm._common import Saved, Scope, rows_of, table
 from chronoloom.llm.neardup import scrambled
 
 LENGTH, GRAM = 400, 200
+#: Blocks are shorter than windows by a length of which a window has so many.
+STRIDES = 8
+#: A key that has more than this share of all rows is joined by broadcast.
+HOT_SHARE = 1 / 512
 _BASE = 0x9E3779B97F4A7C15
 _BYTES = np.random.default_rng(20240301).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -88,8 +94,8 @@ def anchors_of(data: bytes, length: int, gram: int) -> tuple[np.ndarray, np.ndar
 
 
 def windows(marks: list[dict], n: int, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of a text of n bytes: the window starts to look up, those to look among (one occurrence of each repeated
-    region), and those in repeated regions."""
+    """Of a text of n bytes, by window start: whether it is to look up, to look among (one occurrence of each repeated
+    region), and in a repeated region."""
     last = n - length
     near, done, shown = (np.zeros(last + 2, np.int64) for _ in range(3))
     for m in marks:
@@ -101,7 +107,36 @@ def windows(marks: list[dict], n: int, length: int, gram: int) -> tuple[np.ndarr
                 x[p] += 1
                 x[p + size - length + 1] -= 1
     near, done, shown = (np.cumsum(x)[:-1] > 0 for x in (near, done, shown))
-    return np.flatnonzero(near & ~done), np.flatnonzero(shown & done), np.flatnonzero(done)
+    return near & ~done, shown & done, done
+
+
+def blocks_of(marks: list[dict], n: int, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of the blocks in whose reach windows are to look up or among, and whether to look up.
+
+    A block is `length` less stride bytes from a multiple of stride before an anchor. A window holds the block that
+    starts at it or less than a stride behind it, counted from its anchor, so equal windows hold equal blocks."""
+    ask, show, _ = windows(marks, n, length, gram)
+    stride, last = length // STRIDES, n - length
+    p = np.array([m["pos"] for m in marks], np.int64)[:, None]
+    start = p - np.arange(0, length - gram + stride, stride)
+    low, high = np.maximum(np.maximum(start - stride + 1, p - (length - gram)), 0), np.minimum(np.minimum(start, p), last)
+    inside = low <= high
+    low, high = np.where(inside, low, 0), np.where(inside, high, -1)
+    asks, shows = (np.concatenate([[0], np.cumsum(x)]) for x in (ask, show))
+    asked = inside & (asks[high + 1] > asks[low])
+    wanted = asked | inside & (shows[high + 1] > shows[low])
+    starts, first = np.unique(start[wanted], return_inverse=True)
+    return starts, np.bincount(first, asked[wanted], len(starts)) > 0
+
+
+def in_blocks(starts: list[int], n: int, length: int) -> np.ndarray:
+    """By window start, whether it holds one of the blocks."""
+    stride, last = length // STRIDES, n - length
+    edge = np.zeros(last + 2, np.int64)
+    at = np.array(starts, np.int64)
+    np.add.at(edge, np.maximum(at - stride + 1, 0), 1)
+    np.add.at(edge, np.minimum(at, last) + 1, -1)
+    return np.cumsum(edge)[:-1] > 0
 
 
 def _scan(docs: DataFrame, length: int, gram: int) -> DataFrame:
@@ -121,21 +156,51 @@ def _scan(docs: DataFrame, length: int, gram: int) -> DataFrame:
     return docs.mapInArrow(run, f"key {kind}, sha string, n_bytes long, anchors array<struct<pos:int,gram:long,region:long,size:int>>")
 
 
-def _windows(texts: DataFrame, length: int, gram: int) -> DataFrame:
+def _hashed(texts: DataFrame, length: int, find: Callable[[dict, int], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """content, class, at and ask: the hashes of `length` bytes from the places in a text that `find` gives."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in rows_of(batch, 64):
                 out = []
-                for c, t, marks in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
-                    data = t.encode("utf-8", "surrogatepass")
-                    ask, show, _ = windows(marks, len(data), length, gram)
-                    at = np.concatenate([ask, show])
-                    hashes = Rolling(data).at(at, length).view(np.int64)
-                    out.append((hashes, np.full(len(at), c), at.astype(np.int32), np.arange(len(at)) < len(ask)))
+                for row in part.to_pylist():
+                    data = row["text"].encode("utf-8", "surrogatepass")
+                    at, ask = find(row, len(data))
+                    out.append((Rolling(data).at(at, length).view(np.int64), np.full(len(at), row["class"]), at.astype(np.int32), ask))
                 columns = [pa.array(np.concatenate(x)) for x in zip(*out, strict=True)]
                 yield pa.RecordBatch.from_arrays(columns, names=["content", "class", "at", "ask"])
 
-    return texts.select("class", "text", "marks").mapInArrow(run, "content long, class long, at int, ask boolean")
+    return texts.mapInArrow(run, "content long, class long, at int, ask boolean")
+
+
+def _blocks(texts: DataFrame, length: int, gram: int) -> DataFrame:
+    return _hashed(texts.select("class", "text", "marks"), length - length // STRIDES, lambda row, n: blocks_of(row["marks"], n, length, gram))
+
+
+def _windows(texts: DataFrame, length: int, gram: int) -> DataFrame:
+    def find(row: dict, n: int) -> tuple[np.ndarray, np.ndarray]:
+        ask, show, _ = windows(row["marks"], n, length, gram)
+        at = np.flatnonzero((ask | show) & in_blocks(row["open"], n, length))
+        return at, ask[at]
+
+    return _hashed(texts.select("class", "text", "marks", "open"), length, find)
+
+
+def _met(rows: DataFrame, key: str, counts: DataFrame, total: int) -> DataFrame:
+    """rows with counts' other columns, joined by key; counts has a row for each key, with `k`, how many rows have it.
+    A key of more than HOT_SHARE of all rows is met by broadcast (there are 1 / HOT_SHARE of them at most), so that no
+    task gathers its rows."""
+    hot = F.col("k") > max(1, int(total * HOT_SHARE))
+    few = F.broadcast(counts.where(hot))
+    rest = rows.join(F.broadcast(counts.where(hot).select(key)), key, "left_anti").join(counts.where(~hot), key)
+    return rows.join(few, key).unionByName(rest).drop("k")
+
+
+def _asked_again(looked: DataFrame, scope_name: str) -> DataFrame:
+    """class and at of the places to look up whose content stands elsewhere too, and of those it stands at."""
+    total = looked.agg(F.count("*")).first()[0]
+    again = looked.groupBy("content").agg(F.count("*").alias("k"), F.bool_or("ask").alias("asked")).where("k > 1 and asked").drop("asked")
+    return _met(looked, "content", Saved(again, scope_name).df, total)
 
 
 def _cut(texts: DataFrame, length: int, gram: int) -> DataFrame:
@@ -145,7 +210,8 @@ def _cut(texts: DataFrame, length: int, gram: int) -> DataFrame:
                 out = []
                 for sha, t, marks, found in zip(*(part.column(i).to_pylist() for i in range(4)), strict=True):
                     data = np.frombuffer(t.encode("utf-8", "surrogatepass"), np.uint8)
-                    starts = np.concatenate([windows(marks, len(data), length, gram)[2], np.array(found or [], np.int64)]).astype(np.int64)
+                    done = np.flatnonzero(windows(marks, len(data), length, gram)[2])
+                    starts = np.concatenate([done, np.array(found or [], np.int64)]).astype(np.int64)
                     edge = np.zeros(len(data) + 1, np.int64)
                     np.add.at(edge, starts, 1)
                     np.add.at(edge, starts + length, -1)
@@ -181,20 +247,25 @@ def _repeated_bytes(docs: DataFrame, key: str, text: str, length: int, gram: int
     scanned.drop()
     classes = Saved(held.df.drop("anchors"), "repeat-classes")
     anchors = held.df.select("class", F.inline("anchors"))
-    twice = anchors.groupBy("gram").agg(F.count("*").alias("k")).where("k > 1").select("gram")
-    anchors = Saved(anchors.join(twice, "gram", "left_semi").drop("gram"), "repeat-anchors")
-    held.drop()
-    regions = anchors.df.groupBy("region").agg(F.count("*").alias("k"), F.min(F.struct("class", "pos")).alias("one")).where("k > 1")
-    known = anchors.df.join(regions, "region", "left")
+    total = anchors.agg(F.count("*")).first()[0]
+    twice = Saved(anchors.groupBy("gram").agg(F.count("*").alias("k")).where("k > 1"), "repeat-grams")
+    anchors = Saved(_met(anchors, "gram", twice.df, total).drop("gram"), "repeat-anchors")
+    held.drop(), twice.drop()
+    regions = anchors.df.groupBy("region").agg(F.count("*").alias("k"), F.min(F.struct("class", "pos")).alias("one"))
+    known = _met(anchors.df, "region", Saved(regions, "repeat-regions").df.withColumn("one", F.when(F.col("k") > 1, F.col("one"))), total)
     mark = F.struct("pos", "size", F.col("one").isNotNull().alias("twice"), F.coalesce(F.struct("class", "pos") == F.col("one"), F.lit(False)).alias("chosen"))
     marks = known.groupBy("class").agg(F.collect_list(mark).alias("marks"))
     marks = marks.join(classes.df.select("class", F.col("sha").alias("m_sha"), "head"), "class")
     named = source.withColumn("sha", F.sha2("text", 256))
     texts = Saved(named.join(marks, (named["sha"] == marks["m_sha"]) & named[key].eqNullSafe(marks["head"])).select("sha", "class", "text", "marks").dropDuplicates(["sha"]), "repeat-texts")
-    looked = Saved(_windows(texts.df, length, gram), "repeat-windows")
-    again = looked.df.groupBy("content").agg(F.count("*").alias("k")).where("k > 1").select("content")
-    hits = looked.df.where("ask").join(again, "content", "left_semi").groupBy("class").agg(F.collect_list("at").alias("found"))
+    anchors.drop()
+    blocks = Saved(_blocks(texts.df, length, gram), "repeat-blocks")
+    open_ = _asked_again(blocks.df, "repeat-again").groupBy("class").agg(F.collect_list("at").alias("open"))
+    looked = Saved(_windows(texts.df.join(open_, "class"), length, gram), "repeat-windows")
+    blocks.drop()
+    hits = _asked_again(looked.df, "repeat-again").where("ask").groupBy("class").agg(F.collect_list("at").alias("found"))
     cut = Saved(_cut(texts.df.join(hits, "class", "left"), length, gram), "repeat-cut")
+    looked.drop(), texts.drop()
     copied = classes.df.where("copies > 1").select(F.col("sha").alias("c_sha"), F.lit(True).alias("copied"))
     told = copied.join(cut.df, "c_sha", "full")
     met = rows.df.join(told, F.col("sha") == F.col("c_sha"), "left")
