@@ -41,7 +41,7 @@ def electrode(label: Column) -> Column:
 def number_or_text(value: Column) -> tuple[Column, Column]:
     """A value that is a whole number literal as a double, else as text."""
     is_number = value.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$")
-    return F.when(is_number, value.cast("double")), F.when(~is_number, value)
+    return F.when(is_number, value.try_cast("double")), F.when(~is_number, value)
 
 
 def channel_label(name: Column, reference: Column, amp: Column, override: Column) -> Column:
@@ -57,3 +57,10 @@ def header_field(text: Column, width: int) -> Column:
 
 def anonymised(text: Column, kind: Column, free_text_kinds: list[str]) -> Column:
     return F.when(kind.isin(free_text_kinds), kind).otherwise(text)
+
+
+def row_digest(*columns: str) -> Column:
+    """32 bits of the digest of a row's text, as a number; nulls are told from texts. Summed up, it tells tables apart
+    whatever the order of their rows."""
+    text = F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in columns))
+    return F.conv(F.substring(F.sha2(text, 256), 1, 8), 16, 10).cast("long")

@@ -11,7 +11,7 @@ EPOCH = "timestamp_ntz'1970-01-01 00:00:00'"
 
 def ticks_of_text(text: Column) -> Column:
     """Ticks of 'YYYY-MM-DDThh:mm:ss.fffffff' (UTC); up to seven digits of a second count, none are needed."""
-    whole = F.unix_seconds(F.to_timestamp(F.substring(text, 1, 19), "yyyy-MM-dd'T'HH:mm:ss"))
+    whole = F.timestamp_diff("SECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.to_timestamp_ntz(F.substring(text, 1, 19), F.lit("yyyy-MM-dd'T'HH:mm:ss")))
     part = F.rpad(F.regexp_extract(text, r"\.(\d{1,7})", 1), 7, "0")
     return whole * TICKS + part.cast("long")
 

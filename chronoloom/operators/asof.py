@@ -19,7 +19,16 @@ def asof_backward(left: DataFrame, right: DataFrame, by: str, at: str, start: st
 
 
 def sample_position(at: Column, start: Column, end: Column, first: Column, n: Column, rate: Column) -> Column:
-    """Place on the sample axis of an instant: inside a frame in proportion, after it at the nominal rate from its
-    end (clocks in the same unit as 1 / rate)."""
+    """Place on the sample axis of an instant: inside a frame in proportion, before or after it at the nominal rate from
+    its start or end (clocks in the same unit as 1 / rate). Before the first frame it may be negative."""
     inside = first + (at - start) / (end - start) * n
-    return F.when(at <= end, inside).otherwise(first + n + (at - end) * rate)
+    return F.when(at < start, first + (at - start) * rate).when(at <= end, inside).otherwise(first + n + (at - end) * rate)
+
+
+def asof_or_first(left: DataFrame, right: DataFrame, by: str, at: str, start: str, take: list[str]) -> DataFrame:
+    """asof_backward(), but rows before the first right row get that one (null where `by` has none)."""
+    firsts = right.groupBy(F.col(by).alias("__of")).agg(F.min_by(F.struct(*take), start).alias("__first"))
+    met = asof_backward(left, right.withColumn("__seen", F.lit(True)), by, at, start, [*take, "__seen"])
+    met = met.join(firsts, F.col(by) == F.col("__of"), "left")
+    got = [F.when(F.col("__seen"), F.col(c)).otherwise(F.col(f"__first.{c}")).alias(c) for c in take]
+    return met.select(*left.columns, *got)

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -24,32 +25,58 @@ def gain_through_origin(pairs: DataFrame, by: str, x: str, y: str) -> DataFrame:
 
 
 def best_lag(signal: DataFrame, by: str, pos: str, x: str, y: str, most: int) -> DataFrame:
-    """by, lag and score: the shift k within +-most that maximises the sum of dx(p) dy(p + k); ties to the lowest."""
-    shifted = signal.select(by, (F.col(pos)).alias("__p"), F.col(x).alias("__x"), F.explode(F.sequence(F.lit(-most), F.lit(most))).alias("lag")).withColumn("__q", F.col("__p") + F.col("lag"))
-    other = signal.select(F.col(by).alias("__by"), F.col(pos).alias("__r"), F.col(y).alias("__y"))
-    met = shifted.join(other, (shifted[by] == other["__by"]) & (shifted["__q"] == other["__r"]))
-    scores = met.groupBy(by, "lag").agg(F.sum(F.col("__x") * F.col("__y")).alias("score"))
-    return scores.groupBy(by).agg(F.max_by("lag", F.struct(F.col("score"), -F.col("lag"))).alias("lag"), F.max("score").alias("score"))
+    """by, lag and score: the shift k within +-most that maximises the sum of x(p) y(p + k); ties to the lowest.
+    Positions have no holes, so p + k is the row k further on and one window serves all shifts."""
+    w = W.partitionBy(by).orderBy(pos)
+    shifts = range(-most, most + 1)
+    near = signal.select(by, F.col(x).alias("__x"), *(F.lead(y, k).over(w).alias(f"__y{k}") for k in shifts))
+    scores = near.groupBy(by).agg(*(F.sum(F.col("__x") * F.col(f"__y{k}")).alias(f"__s{k}") for k in shifts))
+    best = F.array_max(F.array(*(F.struct(F.col(f"__s{k}").alias("score"), F.lit(-k).alias("k")) for k in shifts)))
+    return scores.select(by, best.alias("__best")).where("__best.score is not null").select(by, (-F.col("__best.k")).alias("lag"), F.col("__best.score").alias("score"))
+
+
+def onset_runs(marked: DataFrame, tolerance: float, width: float = 3600.0) -> DataFrame:
+    """marked (text, onset, side) with `run`: the onset that begins a run of onsets no further apart than tolerance.
+
+    Onsets are looked at in slots of `width`, so that no task holds all onsets of a text; what a slot needs of those
+    before it, their last onset and run, travels over one row for each slot."""
+    slot = F.floor(F.col("onset") / width)
+    inside = W.partitionBy("text", "__slot").orderBy("onset", "side")
+    first = marked.withColumn("__slot", slot).withColumn("__before", F.lag("onset").over(inside))
+    starts = F.when(F.col("onset") - F.col("__before") > tolerance, F.col("onset"))
+    first = first.withColumn("__begin", F.max(starts).over(inside.rowsBetween(W.unboundedPreceding, 0)))
+    slots = first.groupBy("text", "__slot").agg(F.min("onset").alias("__lo"), F.max("onset").alias("__hi"), F.max("__begin").alias("__last"))
+    along = W.partitionBy("text").orderBy("__slot")
+    # a slot's first onset begins a run unless the slot before ends within the tolerance of it
+    own = F.when(F.coalesce(F.col("__lo") - F.lag("__hi").over(along) > tolerance, F.lit(True)), F.col("__lo"))
+    slots = slots.withColumn("__own", own).withColumn("__here", F.coalesce("__last", "__own"))
+    carried = F.last("__here", ignorenulls=True).over(along.rowsBetween(W.unboundedPreceding, -1))
+    slots = slots.select("text", "__slot", F.coalesce("__own", carried).alias("__carried"))
+    met = first.join(slots, ["text", "__slot"])
+    return met.select("text", "onset", "side", F.coalesce("__begin", "__carried").alias("run"))
 
 
 def matched_annotations(ours: DataFrame, theirs: DataFrame, tolerance: float) -> DataFrame:
-    """text, matched, only_ours and only_theirs: one-to-one matches of onsets within the tolerance, for each text, by
-    walking both in order. Onsets (text, onset) of one text are few, so a group fits a task."""
-
-    def walk(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        x, y = sorted(a["onset"]), sorted(b["onset"])
-        i = j = matched = 0
-        while i < len(x) and j < len(y):
-            if abs(x[i] - y[j]) <= tolerance + 1e-9:
-                i, j, matched = i + 1, j + 1, matched + 1
-            elif x[i] < y[j]:
-                i += 1
+    """text, matched, only_ours and only_theirs: one-to-one matches of onsets (text, onset) within the tolerance, the
+    earliest first. Only onsets of one run can match, so each run is matched on its own."""
+    reach = tolerance + 1e-9
+    marked = ours.select("text", "onset", F.lit(0).alias("side")).unionByName(theirs.select("text", "onset", F.lit(1).alias("side")))
+    runs = onset_runs(marked, reach).groupBy("text", "run")
+
+    def match(run: pd.DataFrame) -> pd.DataFrame:
+        open_, matched = [], 0
+        for onset, side in sorted(zip(run["onset"], run["side"], strict=True)):
+            open_ = [(o, s) for o, s in open_ if onset - o <= reach]
+            if open_ and open_[0][1] != side:
+                open_.pop(0)
+                matched += 1
             else:
-                j += 1
-        text = (a if len(a) else b)["text"].iloc[0]
-        return pd.DataFrame([(text, matched, len(x) - matched, len(y) - matched)], columns=["text", "matched", "only_ours", "only_theirs"])
+                open_.append((onset, side))
+        n = int((run["side"] == 0).sum())
+        return pd.DataFrame([(run["text"].iloc[0], matched, n - matched, len(run) - n - matched)], columns=["text", "matched", "only_ours", "only_theirs"])
 
-    return ours.groupBy("text").cogroup(theirs.groupBy("text")).applyInPandas(walk, "text string, matched long, only_ours long, only_theirs long")
+    counted = runs.applyInPandas(match, "text string, matched long, only_ours long, only_theirs long")
+    return counted.groupBy("text").agg(*(F.sum(c).alias(c) for c in ("matched", "only_ours", "only_theirs")))
 
 
 def verdict(checks: DataFrame) -> DataFrame:
@@ -57,8 +84,25 @@ def verdict(checks: DataFrame) -> DataFrame:
     return checks.agg(F.bool_and(F.col("status") != "FAIL").alias("passed"), F.count_if(F.col("status") == "FAIL").alias("failed"))
 
 
-def aligned(offsets: DataFrame, frames: DataFrame, within: Column) -> DataFrame:
-    """Of stated offsets (few) against frame starts: by offset, the nearest frame and its residual, where `within` it."""
-    met = F.broadcast(offsets).crossJoin(frames)
-    near = met.groupBy(*offsets.columns).agg(F.min_by("frame", F.struct(F.abs(F.col("start") - F.col("guess")), F.col("frame"))).alias("frame"), F.min(F.abs(F.col("start") - F.col("guess"))).alias("residual"))
-    return near.where(within)
+def aligned(guesses: DataFrame, frames: DataFrame, tolerance: int) -> DataFrame:
+    """Of stated guesses (few) the nearest frame (start, frame) and its residual, where that is within the tolerance.
+    Guesses and starts meet in slots of the tolerance's width, a guess in its own and the two beside it."""
+    slot = lambda c: F.floor(F.col(c) / tolerance)
+    near = guesses.withColumn("__slot", F.explode(F.array(slot("guess") - 1, slot("guess"), slot("guess") + 1)))
+    met = frames.withColumn("__slot", slot("start")).join(F.broadcast(near), "__slot").withColumn("residual", F.abs(F.col("start") - F.col("guess"))).where(F.col("residual") <= tolerance)
+    return met.groupBy(*guesses.columns).agg(F.min_by("frame", F.struct("residual", "frame")).alias("frame"), F.min("residual").alias("residual"))
+
+
+def placed(found: DataFrame, length: int, frames: DataFrame) -> DataFrame:
+    """The one alignment (see aligned) that is left when those whose `length` frames run beyond the recording's last
+    frame are out; none, or several, is an error."""
+    last = frames.agg(F.max("frame").alias("__last"))
+    fit = found.join(F.broadcast(last), F.col("frame") + (length - 1) <= F.col("__last")).drop("__last")
+    n = fit.agg(F.count("*").alias("__n"))
+    n = n.select(F.when(F.col("__n") != 1, F.raise_error(F.concat(F.col("__n").cast("string"), F.lit(" places fit the export"))).cast("long")).otherwise(F.col("__n")).alias("__n"))
+    return fit.join(F.broadcast(n), F.col("__n") == 1).drop("__n")
+
+
+def worst(counts: DataFrame, column: str, key: str, k: int) -> DataFrame:
+    """The k rows with the highest column, ties by key."""
+    return counts.orderBy(F.desc(column), key).limit(k)

@@ -7,6 +7,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 CUTOFF_HZ = 0.16
 
@@ -18,33 +19,87 @@ def highpass_coefficients(rate: float, cutoff: float = CUTOFF_HZ) -> tuple[np.nd
     return np.array([1, -2, 1]) / d, np.array([1, 2 * (k * k - 1) / d, (1 - math.sqrt(2) * k + k * k) / d])
 
 
+class Recursion:
+    """The filter as a linear system of two states, run in blocks: outputs and last states of BLOCK samples are one
+    matrix product of the samples and the states before them."""
+
+    BLOCK = 256
+
+    def __init__(self, rate: float, cutoff: float = CUTOFF_HZ) -> None:
+        b, a = highpass_coefficients(rate, cutoff)
+        self.lead, n = int(20 * rate), self.BLOCK
+        self.step, gain = np.array([[-a[1], 1.0], [-a[2], 0.0]]), np.array([b[1] - a[1] * b[0], b[2] - a[2] * b[0]])
+        powers = [np.eye(2)]
+        for _ in range(n):
+            powers.append(self.step @ powers[-1])
+        response = np.array([b[0], *(powers[k][0] @ gain for k in range(n - 1))])
+        self.outputs = np.array([[response[i - j] if i >= j else 0.0 for j in range(n)] for i in range(n)])
+        self.memory = np.array([p[0] for p in powers[:n]])  # of the states, by sample
+        self.kept = np.array([powers[n - 1 - j] @ gain for j in range(n)]).T  # of the samples, by state
+        self.gain, self.first = gain, b[0]
+
+    def after(self, n: int) -> np.ndarray:
+        """What n samples of nothing do to the states."""
+        return np.linalg.matrix_power(self.step, n)
+
+    def run(self, x: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The filtered samples and the states behind them."""
+        out, whole = np.empty(len(x)), len(x) // self.BLOCK * self.BLOCK
+        through = self.after(self.BLOCK)
+        for at in range(0, whole, self.BLOCK):
+            part = x[at : at + self.BLOCK]
+            out[at : at + self.BLOCK] = self.outputs @ part + self.memory @ state
+            state = through @ state + self.kept @ part
+        for k in range(whole, len(x)):
+            out[k] = self.first * x[k] + state[0]
+            state = self.step @ state + self.gain * x[k]
+        return out, state
+
+    def primed(self, x: np.ndarray) -> np.ndarray:
+        """The states that a segment's mirrored beginning (20 s of it, the first sample included) leaves."""
+        return self.run(x[: min(self.lead, len(x) - 1) + 1][::-1], np.zeros(2))[1] if len(x) else np.zeros(2)
+
+
 def highpass(x: np.ndarray, rate: float, cutoff: float = CUTOFF_HZ) -> np.ndarray:
-    """Filtered samples of one contiguous segment, primed on its mirrored beginning (20 s of it, the first sample
-    included)."""
-    if not len(x):
-        return x
-    b, a = highpass_coefficients(rate, cutoff)
-    lead = min(int(20 * rate), len(x) - 1) + 1
-    z1 = z2 = 0.0
-    out = np.empty(len(x))
-    for k, v in enumerate(np.concatenate([x[:lead][::-1], x]).tolist()):
-        y = b[0] * v + z1
-        z1, z2 = b[1] * v - a[1] * y + z2, b[2] * v - a[2] * y
-        if k >= lead:
-            out[k - lead] = y
-    return out
-
-
-def highpass_segments(samples: DataFrame, by: list[str], pos: str, value: str, rate: float) -> DataFrame:
-    """samples with `filtered`, for each group of `by` (a recording's channel and segment; an hour of 500 Hz is 1.8
-    million rows, which a task holds)."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(pos)
-        return rows.assign(filtered=highpass(rows[value].to_numpy(float), rate))
-
-    kept = samples.select(*by, pos, value)
-    return kept.groupBy(*by).applyInPandas(run, f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in kept.schema)}, filtered double")
+    """Filtered samples of one contiguous segment, primed on its mirrored beginning."""
+    system = Recursion(rate, cutoff)
+    return system.run(x, system.primed(x))[0]
+
+
+def highpass_segments(samples: DataFrame, by: list[str], pos: str, value: str, rate: float, chunk: int = 1 << 17) -> DataFrame:
+    """by, pos, value and filtered, for each group of `by` (a recording's channel and segment), whose positions count
+    from 0 without holes.
+
+    Segments are filtered in chunks, each in its own task: first each chunk's states from none, then the states along
+    a segment's chunks, then the samples from these."""
+    if chunk <= 20 * rate:
+        raise ValueError("a chunk must hold what primes the filter")
+    keys = [*by, "__chunk"]
+    kept = samples.select(*by, pos, value).withColumn("__chunk", F.floor(F.col(pos) / chunk))
+    named = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name in keys)
+
+    def ends(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        system, x = Recursion(rate), rows.sort_values(pos)[value].to_numpy(float)
+        state = system.run(x, np.zeros(2) if key[-1] else system.primed(x))[1]
+        return pd.DataFrame([(*key, len(x), *state)], columns=[*keys, "__n", "__z1", "__z2"])
+
+    def along(rows: pd.DataFrame) -> pd.DataFrame:
+        system, rows, state, found = Recursion(rate), rows.sort_values("__chunk"), np.zeros(2), []
+        for c, n, z1, z2 in zip(rows["__chunk"], rows["__n"], rows["__z1"], rows["__z2"], strict=True):
+            found.append(state)
+            state = (system.after(n) @ state if c else 0.0) + np.array([z1, z2])
+        return rows[keys].assign(__z1=[s[0] for s in found], __z2=[s[1] for s in found])
+
+    def filtered(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        system, rows = Recursion(rate), rows.sort_values(pos)
+        x = rows[value].to_numpy(float)
+        state = rows[["__z1", "__z2"]].iloc[0].to_numpy(float) if key[-1] else system.primed(x)
+        return rows[[*by, pos, value]].assign(filtered=system.run(x, state)[0])
+
+    states = kept.groupBy(*keys).applyInPandas(ends, f"{named}, __n long, __z1 double, __z2 double")
+    states = states.groupBy(*by).applyInPandas(along, f"{named}, __z1 double, __z2 double")
+    met = kept.join(states, keys)
+    return met.groupBy(*keys).applyInPandas(filtered, f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in samples.select(*by, pos, value).schema)}, filtered double")
 
 
 def band_share(samples: DataFrame, by: list[str], pos: str, value: str, rate: float, low: float, high: float) -> DataFrame:

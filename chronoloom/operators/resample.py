@@ -26,37 +26,45 @@ def removals(n_in: int, n_out: int) -> list[int]:
     return [(i + 1) * t + i for i in range(surplus)]
 
 
-def raw_position(out: Column, surplus: int, t: int) -> tuple[Column, Column]:
+def period_columns(n_in: Column, n_out: Column) -> tuple[Column, Column]:
+    """period() of each row, for recordings of different lengths; a surplus that is too dense is an error."""
+    surplus = F.greatest(F.lit(0), n_in - n_out)
+    t = F.when(surplus == 0, n_out + 1).otherwise(F.ceil(n_in / (surplus + 1)))
+    dense = F.when(surplus * t > n_out, F.raise_error("the surplus is too dense for two smoothed samples at each removal").cast("long"))
+    return F.coalesce(dense, surplus), t
+
+
+def raw_position(out: Column, surplus: Column, t: Column) -> tuple[Column, Column]:
     """Of an output: the raw sample it starts from, and whether it is the mean of that and the next."""
     removed = F.floor(out / t)
     smoothed = (out % t >= t - 2) & (removed < surplus)
-    return out + F.least(removed, F.lit(surplus)), smoothed
+    return out + F.least(removed, surplus), smoothed
 
 
-def decimated(raw: DataFrame, pos: str, value: str, n_in: int, n_out: int) -> DataFrame:
-    """pos, value and at (the place on the raw axis) of the outputs; raw has one row for each position below n_in.
+def decimated(raw: DataFrame, by: list[str], pos: str, value: str, n_in: Column, n_out: Column) -> DataFrame:
+    """by, pos, value and at (the place on the raw axis) of the outputs; raw has one row for each recording and
+    position below n_in.
 
     Each raw sample knows which outputs it feeds, so the raw rows are only exploded to at most two and summed; no
     self-join by position is needed."""
-    surplus, t = period(n_in, n_out)
-    q = F.col(pos)
+    surplus, t = period_columns(n_in, n_out)
+    known = raw.select(*by, F.col(pos).alias("__q"), F.col(value).alias("__v"), surplus.alias("__surplus"), t.alias("__t"), n_out.alias("__n"))
+    q, surplus, t = F.col("__q"), F.col("__surplus"), F.col("__t")
     # outputs that may start at q (o = q - i) or end at q (o = q - 1 - i), for the i removals before about q
-    i = F.least(F.floor(q / (t + 1)), F.lit(surplus))
+    i = F.least(F.floor(q / (t + 1)), surplus)
     tries = F.array(*(q - (i + k) - e for k in (-1, 0, 1) for e in (0, 1)))
-    fed = raw.select(q.alias("__q"), F.col(value).alias("__v"), F.explode(F.array_distinct(tries)).alias("pos")).where((F.col("pos") >= 0) & (F.col("pos") < n_out))
+    fed = known.withColumn("pos", F.explode(F.array_distinct(tries))).where("pos >= 0 and pos < __n")
     start, smoothed = raw_position(F.col("pos"), surplus, t)
     fed = fed.withColumn("__start", start).withColumn("__two", smoothed)
-    fed = fed.where((F.col("__q") == F.col("__start")) | F.col("__two") & (F.col("__q") == F.col("__start") + 1))
-    out = fed.groupBy("pos").agg(F.min("__start").alias("__start"), F.first("__two").alias("__two"), (F.sum("__v") / F.count("*")).alias("value"))
-    return out.select("pos", "value", (F.col("__start") + F.when(F.col("__two"), 0.5).otherwise(0.0)).alias("at"))
+    fed = fed.where((q == F.col("__start")) | F.col("__two") & (q == F.col("__start") + 1))
+    out = fed.groupBy(*by, "pos").agg(F.min("__start").alias("__start"), F.first("__two").alias("__two"), (F.sum("__v") / F.count("*")).alias("value"))
+    return out.select(*by, "pos", "value", (F.col("__start") + F.when(F.col("__two"), 0.5).otherwise(0.0)).alias("at"))
 
 
-def output_position(raw: Column, n_in: int, n_out: int) -> Column:
+def output_position(raw: Column, n_in: Column, n_out: Column) -> Column:
     """Of a raw position: the place among the outputs, linear between the removals."""
-    surplus, t = period(n_in, n_out)
-    if not surplus:
-        return raw.cast("double")
-    i = F.least(F.floor(raw / (t + 1)), F.lit(surplus))
+    surplus, t = period_columns(n_in, n_out)
+    i = F.least(F.floor(raw / (t + 1)), surplus)
     into = raw - i * (t + 1)
     # the last two outputs before a removal stand half a raw step late
     late = F.when(into <= t - 3, into).when(into <= t - 1.5, (t - 3) + (into - (t - 3)) / 1.5)

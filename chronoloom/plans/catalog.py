@@ -63,8 +63,7 @@ def missing_offsets(spark, sf):
 @query(FR + "d as (select user_id, unnest(generate_series(min(frame_no), max(frame_no))) as frame_no from f group by user_id), t as (select user_id, frame_no, round(sum(value)::double, 4) as total, count(*) as n from e group by all) select user_id, frame_no, coalesce(n, 0) as n, coalesce(total, 0.0) as total from d left join t using (user_id, frame_no)")
 def gap_fill_zero(spark, sf):
     t = events(spark, sf).groupBy("user_id", "frame_no").agg(F.round(F.sum("value"), 4).alias("total"), F.count("*").alias("n"))
-    out = frames.padded(t, "user_id", "frame_no", {"n": F.lit(0).cast("long"), "total": F.lit(0.0)})
-    return out.join(t.select("user_id", "frame_no", F.col("n").alias("k"), F.col("total").alias("s")), ["user_id", "frame_no"], "left").select("user_id", "frame_no", F.coalesce("k", "n").alias("n"), F.coalesce("s", "total").alias("total"))
+    return frames.padded(t, "user_id", "frame_no", {"n": F.lit(0).cast("long"), "total": F.lit(0.0)})
 
 
 @query(FR + f"g as (select *, {PAD} * coalesce(frame_no - lag(frame_no) over w - 1, 0) as jump from f window w as (partition by user_id order by frame_no)) select user_id, frame_no, n, (sum(n + jump) over (partition by user_id order by frame_no rows unbounded preceding) - n)::bigint as first_sample from g")
@@ -89,19 +88,25 @@ def delta_decode(spark, sf):
     return d.select("event_id", F.round(F.sum("delta").over(w.rowsBetween(W.unboundedPreceding, 0)), 6).alias("decoded"))
 
 
-@query(FR + "c as (select user_id, start_us, end_us, n, frame_no as clock_frame from f where frame_no % 2 = 0) select e.event_id, c.clock_frame, c.n from e asof left join c on e.user_id = c.user_id and e.us >= c.start_us")
+CLOCK = FR + "c as (select user_id, frame_no as clock_frame, start_us + 600000000 as start_us, start_us + 2400000000 as end_us, n, (sum(n) over (partition by user_id order by frame_no rows unbounded preceding) - n)::bigint as first_sample from f), "
+
+
+def clock(spark, sf) -> DataFrame:
+    """A clock whose frames are stamped ten minutes late, so that some events are before the first of them."""
+    c = frames.cursor(frame_table(spark, sf), "user_id", "frame_no", "n", None)
+    return c.select("user_id", F.col("frame_no").alias("clock_frame"), (F.col("start_us") + 600_000_000).alias("start_us"), (F.col("start_us") + 2_400_000_000).alias("end_us"), "n", "first_sample")
+
+
+@query(CLOCK + "x as (select 1) select e.event_id, c.clock_frame, c.n from e asof left join c on e.user_id = c.user_id and e.us >= c.start_us")
 def asof_event_frame(spark, sf):
-    clock = frame_table(spark, sf).where("frame_no % 2 = 0").withColumnRenamed("frame_no", "clock_frame")
-    return asof.asof_backward(events(spark, sf).select("event_id", "user_id", "us"), clock, "user_id", "us", "start_us", ["clock_frame", "n"]).select("event_id", "clock_frame", "n")
+    return asof.asof_backward(events(spark, sf).select("event_id", "user_id", "us"), clock(spark, sf), "user_id", "us", "start_us", ["clock_frame", "n"]).select("event_id", "clock_frame", "n")
 
 
-@query(FR + "c as (select user_id, start_us, start_us + 1800000000 as end_us, n, (sum(n) over (partition by user_id order by frame_no rows unbounded preceding) - n)::bigint as first_sample from f where frame_no % 2 = 0), m as (select e.event_id, e.us, c.* from e asof join c on e.user_id = c.user_id and e.us >= c.start_us) select event_id, round(case when us <= end_us then first_sample + (us - start_us)::double / (end_us - start_us)::double * n else first_sample + n + (us - end_us)::double * 0.000001 end, 6) as position from m")
+@query(CLOCK + "z as (select user_id, min(start_us) as start_us from c group by all), m as (select e.event_id, e.us, c.* exclude (user_id) from e asof join c on e.user_id = c.user_id and e.us >= c.start_us union all select e.event_id, e.us, c.* exclude (user_id) from e join z on e.user_id = z.user_id and e.us < z.start_us join c on c.user_id = z.user_id and c.start_us = z.start_us) select event_id, round(case when us < start_us then first_sample + (us - start_us)::double * 0.000001 when us <= end_us then first_sample + (us - start_us)::double / (end_us - start_us)::double * n else first_sample + n + (us - end_us)::double * 0.000001 end, 6) as position from m")
 def event_sample_position(spark, sf):
-    clock = frames.cursor(frame_table(spark, sf).where("frame_no % 2 = 0"), "user_id", "frame_no", "n", None)
-    clock = clock.select("user_id", "start_us", (F.col("start_us") + HOUR // 2).alias("end_us"), "n", "first_sample")
-    got = asof.asof_backward(events(spark, sf).select("event_id", "user_id", "us"), clock, "user_id", "us", "start_us", ["start_us", "end_us", "n", "first_sample"])
+    got = asof.asof_or_first(events(spark, sf).select("event_id", "user_id", "us"), clock(spark, sf), "user_id", "us", "start_us", ["start_us", "end_us", "n", "first_sample"])
     place = asof.sample_position(F.col("us").cast("double"), F.col("start_us").cast("double"), F.col("end_us").cast("double"), F.col("first_sample"), F.col("n"), F.lit(0.000001))
-    return got.where("start_us is not null").select("event_id", F.round(place, 6).alias("position"))
+    return got.select("event_id", F.round(place, 6).alias("position"))
 
 
 @query("select event_id, case when value is null then 'deleted' when event_type in ('view', 'scroll') then 'bookkeeping' when value < 0 or value > 100 then 'outside' else 'kept' end as reason from events")
@@ -119,6 +124,7 @@ def anonymise_text(spark, sf):
 
 @query("select s_suppkey, substring(coalesce(case when s_nationkey = 3 then 'override' end, case when n_name is not null then 'EEG ' || n_name || '-' || coalesce(case when n_regionkey > 1 then 'A' || n_regionkey end, 'Cz') end, 'ch' || s_nationkey), 1, 16) as label from supplier left join (select * from nation where n_nationkey < 20) on s_nationkey = n_nationkey")
 def label_map(spark, sf):
+    # some nations are left out so that some inputs have no channel
     s, n = spark.read.parquet(f"{sf}/supplier.parquet"), spark.read.parquet(f"{sf}/nation.parquet").where("n_nationkey < 20")
     met = s.join(n, s["s_nationkey"] == n["n_nationkey"], "left")
     reference = F.when(F.col("n_regionkey") > 1, F.concat(F.lit("A"), F.col("n_regionkey").cast("string")))
@@ -148,37 +154,33 @@ def auto_range(spark, sf):
 
 
 def raw_axis(spark, sf) -> DataFrame:
-    """The first 250 samples of each recording, in order; the decimation makes 240 of them."""
+    """The samples of each recording, in order, with how many they are; decimation makes 24 of 25."""
     w = W.partitionBy("user_id").orderBy("us", "event_id")
-    return events(spark, sf).select("user_id", "value", (F.row_number().over(w) - 1).cast("long").alias("pos")).where("pos < 250")
+    n = F.count("*").over(W.partitionBy("user_id"))
+    raw = events(spark, sf).select("user_id", "value", (F.row_number().over(w) - 1).cast("long").alias("pos"), n.alias("n_in"))
+    return raw.withColumn("n_out", F.expr("n_in - n_in div 25"))
 
 
-RAW = E + "r as (select user_id, value, row_number() over (partition by user_id order by us, event_id) - 1 as pos from e qualify pos < 250), "
+RAW = E + "r as (select user_id, value, row_number() over (partition by user_id order by us, event_id) - 1 as pos, count(*) over (partition by user_id) as n from e), p as (select *, n // 25 as k, case when n < 25 then n + 1 else ceil(n / (n // 25 + 1))::bigint end as t from r), "
 
 
-@query(RAW + "o as (select user_id, pos as o, pos + least(pos // 23, 10) as s, pos % 23 >= 21 and pos // 23 < 10 as two from r where pos < 240) select o.user_id, o as pos, round(case when two then (a.value + b.value) / 2 else a.value end, 6) as value from o join r a on a.user_id = o.user_id and a.pos = s left join r b on b.user_id = o.user_id and b.pos = s + 1 where not two or b.value is not null")
+@query(RAW + "o as (select user_id, pos as o, pos + least(pos // t, k) as s, pos % t >= t - 2 and pos // t < k as two from p where pos < n - k) select o.user_id, o as pos, round(case when two then (a.value + b.value) / 2 else a.value end, 6) as value from o join r a on a.user_id = o.user_id and a.pos = s left join r b on b.user_id = o.user_id and b.pos = s + 1")
 def vendor_decimate(spark, sf):
-    raw = raw_axis(spark, sf)
-    surplus, t = resample.period(250, 240)
-    o = raw.select(F.col("user_id"), F.col("pos").alias("o"))
-    w = W.partitionBy("user_id").orderBy("pos")
-    two = raw.withColumn("next", F.lead("value").over(w)).select(F.col("user_id").alias("u"), F.col("pos").alias("p"), "value", "next")
-    start, smoothed = resample.raw_position(F.col("o"), surplus, t)
-    met = o.where("o < 240").withColumn("s", start).withColumn("two", smoothed).join(two, (F.col("u") == F.col("user_id")) & (F.col("p") == F.col("s")))
-    value = F.when(F.col("two"), (F.col("value") + F.col("next")) / 2).otherwise(F.col("value"))
-    return met.where("not two or next is not null").select("user_id", F.col("o").alias("pos"), F.round(value, 6).alias("value"))
-
-
-@query(RAW + "i as (select *, least(pos // 24, 10) as i, pos - least(pos // 24, 10) * 24 as x from r) select user_id, pos, round((i * 23 + case when i >= 10 or x <= 20 then x when x <= 21.5 then 20 + (x - 20) / 1.5 when x <= 22.5 then 21 + (x - 21.5) else 22 + (x - 22.5) / 1.5 end)::double, 6) as output from i")
+    out = resample.decimated(raw_axis(spark, sf), ["user_id"], "pos", "value", F.col("n_in"), F.col("n_out"))
+    return out.select("user_id", "pos", F.round("value", 6).alias("value"))
+
+
+@query(RAW + "i as (select *, least(pos // (t + 1), k) as i, pos - least(pos // (t + 1), k) * (t + 1) as x from p) select user_id, pos, round((i * t + case when i >= k or x <= t - 3 then x when x <= t - 1.5 then t - 3 + (x - t + 3) / 1.5 when x <= t - 0.5 then t - 2 + (x - t + 1.5) else t - 1 + (x - t + 0.5) / 1.5 end)::double, 6) as output from i")
 def position_interp(spark, sf):
-    return raw_axis(spark, sf).select("user_id", "pos", F.round(resample.output_position(F.col("pos"), 250, 240), 6).alias("output"))
+    return raw_axis(spark, sf).select("user_id", "pos", F.round(resample.output_position(F.col("pos"), F.col("n_in"), F.col("n_out")), 6).alias("output"))
 
 
-@query("with o as (select min(epoch_us(ts)) as origin from events) select event_id, ((epoch_us(ts) - origin) / 60000000)::double as onset, least(greatest(floor((epoch_us(ts) - origin) / 60000000 + 0.000000001), 0), 40000)::bigint as record from events, o")
+@query("with o as (select min(epoch_us(ts)) as origin, (max(epoch_us(ts)) - min(epoch_us(ts))) // 60000000 as last from events) select event_id, ((epoch_us(ts) - origin) / 60000000)::double as onset, least(greatest(floor((epoch_us(ts) - origin) / 60000000 + 0.000000001), 0), last)::bigint as record from events, o")
 def record_assign(spark, sf):
     e = events(spark, sf)
+    ends = e.agg(F.min("us").alias("origin"), F.floor((F.max("us") - F.min("us")) / 60_000_000).alias("last"))
     onset = (F.col("us") - F.col("origin")) / 60_000_000
-    return e.crossJoin(F.broadcast(e.agg(F.min("us").alias("origin")))).select("event_id", onset.alias("onset"), F.least(F.greatest(F.floor(onset + 1e-9), F.lit(0)), F.lit(40000)).cast("long").alias("record"))
+    return e.crossJoin(F.broadcast(ends)).select("event_id", onset.alias("onset"), F.least(F.greatest(F.floor(onset + 1e-9), F.lit(0)), "last").cast("long").alias("record"))
 
 
 def halves(spark, sf) -> tuple[DataFrame, DataFrame]:
@@ -191,6 +193,7 @@ HALVES = "with a as (select l_returnflag, l_linenumber, l_orderkey as pos, max(l
 
 @query(HALVES + "x as (select l_linenumber, count(*) as n from a where l_linenumber < 6 group by all), y as (select l_linenumber, count(*) as n from b where l_linenumber > 1 group by all) select coalesce(x.l_linenumber, y.l_linenumber) as signal_no, x.n as ours, y.n as theirs, case when x.n is null then 'only theirs' when y.n is null then 'only ours' when x.n = y.n then 'comparable' else 'different size' end as status from x full join y on x.l_linenumber = y.l_linenumber")
 def signal_compare(spark, sf):
+    # either side lacks a signal, so that all four states occur
     a, b = halves(spark, sf)
     x = a.where("l_linenumber < 6").groupBy(F.col("l_linenumber").alias("signal_no")).agg(F.count("*").alias("ours"))
     y = b.where("l_linenumber > 1").groupBy(F.col("l_linenumber").alias("signal_no")).agg(F.count("*").alias("theirs"))
@@ -211,19 +214,25 @@ def gain_origin(spark, sf):
     return compare.gain_through_origin(l, "l_returnflag", "l_quantity", "l_extendedprice").select("l_returnflag", "n", F.round("gain", 6).alias("gain"))
 
 
-LAG = E + "d as (select user_id, row_number() over (partition by user_id order by us, event_id) - 1 as pos, round(value)::bigint as v from e), s as (select user_id, pos, v - lag(v) over (partition by user_id order by pos) as x, (v - lag(v) over (partition by user_id order by pos)) as y from d), "
+#: The second signal is the first, moved by none, one and minus one sample in turn.
+LAG = E + "d as (select user_id, row_number() over (partition by user_id order by us, event_id) - 1 as pos, round(value)::bigint as v from e), c as (select user_id, pos, v - lag(v) over (partition by user_id order by pos) as x from d), s as (select user_id, pos, x, case user_id % 3 when 0 then x when 1 then lag(x) over w else lead(x) over w end as y from c where x is not null window w as (partition by user_id order by pos)), "
 
 
 @query(LAG + "k as (select unnest(generate_series(-3, 3)) as lag), m as (select a.user_id, k.lag, sum(a.x * b.y) as score from s a, k, s b where a.user_id = b.user_id and b.pos = a.pos + k.lag and a.x is not null and b.y is not null group by all) select user_id, arg_max(lag, score * 100 - lag)::int as lag, max(score)::bigint as score from m group by user_id")
 def lag_xcorr(spark, sf):
-    w = W.partitionBy("user_id").orderBy("us", "event_id")
+    w, along = W.partitionBy("user_id").orderBy("us", "event_id"), W.partitionBy("user_id").orderBy("pos")
     d = events(spark, sf).select("user_id", F.row_number().over(w).alias("pos"), F.round("value").cast("long").alias("v"))
-    s = d.withColumn("x", F.col("v") - F.lag("v").over(W.partitionBy("user_id").orderBy("pos"))).where("x is not null")
-    return compare.best_lag(s.withColumn("y", F.col("x")), "user_id", "pos", "x", "y", 3)
+    s = d.withColumn("x", F.col("v") - F.lag("v").over(along)).where("x is not null")
+    moved = F.when(F.col("user_id") % 3 == 0, F.col("x")).when(F.col("user_id") % 3 == 1, F.lag("x").over(along)).otherwise(F.lead("x").over(along))
+    return compare.best_lag(s.withColumn("y", moved), "user_id", "pos", "x", "y", 3)
+
+
+ANNOTATIONS = "with a as (select event_type as text, epoch_us(ts) / 1000000 as onset, event_id from events), b as (select text, onset + case when event_id % 7 = 0 then 0.5 else 0.0004 end as onset from a where event_id % 11 <> 0), m as (select a.text, count(*) as matched from a join b on a.text = b.text and abs(a.onset - b.onset) <= 0.001 + 1e-9 group by all), x as (select text, count(*) as n from a group by all), y as (select text, count(*) as n from b group by all) "
 
 
-@query()
+@query(ANNOTATIONS + "select x.text, coalesce(matched, 0)::bigint as matched, (x.n - coalesce(matched, 0))::bigint as only_ours, (coalesce(y.n, 0) - coalesce(matched, 0))::bigint as only_theirs from x left join y on x.text = y.text left join m on x.text = m.text")
 def annotation_match(spark, sf):
+    """A tenth of their annotations is missing and a seventh is half a second late, so that both sides keep some."""
     e = events(spark, sf).select(F.col("event_type").alias("text"), (F.col("us") / 1e6).alias("onset"), "event_id")
     theirs = e.where("event_id % 11 <> 0").withColumn("onset", F.col("onset") + F.when(F.col("event_id") % 7 == 0, 0.5).otherwise(0.0004))
     return compare.matched_annotations(e.select("text", "onset"), theirs.select("text", "onset"), 0.001)
@@ -232,9 +241,9 @@ def annotation_match(spark, sf):
 @query("with o as (select unnest(generate_series(-48, 56)) as quarter), d as (select min(epoch_us(o_orderdate)) as origin from orders), f as (select distinct epoch_us(o_orderdate) as start from orders), m as (select quarter, start, abs(start - (origin + 86400000000 * 100 + quarter * 900000000)) as residual from o, d, f) select quarter::int as quarter, min(residual)::bigint as residual from m group by quarter having min(residual) <= 2000")
 def align_offsets(spark, sf):
     o = spark.read.parquet(f"{sf}/orders.parquet").select(micros("o_orderdate").alias("start")).distinct().withColumn("frame", F.col("start"))
-    origin = o.agg(F.min("start")).first()[0]
-    guesses = spark.range(-48, 57).select(F.col("id").cast("int").alias("quarter"), (F.col("id") * 900_000_000 + F.lit((origin or 0) + 86_400_000_000 * 100)).alias("guess"))
-    return compare.aligned(guesses, o, F.col("residual") <= 2000).select("quarter", "residual")
+    origin = F.broadcast(o.agg(F.min("start").alias("origin")))
+    guesses = spark.range(-48, 57).crossJoin(origin).select(F.col("id").cast("int").alias("quarter"), (F.col("id") * 900_000_000 + F.col("origin") + 86_400_000_000 * 100).alias("guess"))
+    return compare.aligned(guesses, o, 2000).select("quarter", "residual")
 
 
 @query(FR + "g as (select user_id, frame_no, lag(frame_no) over (partition by user_id order by frame_no) as p from f), z as (select user_id, (p + 1) * 3600000000 as start, (frame_no - p - 1) * 3600000000 as length from g where frame_no > p + 1) select e.event_id, (e.us - coalesce(sum(least(z.length, greatest(0, e.us - z.start))), 0))::bigint as joined from e left join z on e.user_id = z.user_id group by e.event_id, e.us")
@@ -298,15 +307,41 @@ def track_summary(spark, sf):
     return f.groupBy("user_id").agg(F.count("*").alias("frames"), F.min("frame_no").alias("first_frame"), F.max("frame_no").alias("last_frame"), F.sum("n").alias("samples"), F.min("n").alias("least"), F.max("n").alias("most"))
 
 
-@query()
-def highpass(spark, sf):
+#: Samples of a recording that are more than three days apart are in different segments.
+SEGMENT_US = 3 * 24 * HOUR
+SEGMENTS = E + f"g as (select user_id, us, event_id, value, case when us - lag(us) over (partition by user_id order by us, event_id) > {SEGMENT_US} then 1 else 0 end as s from e), h as (select *, sum(s) over (partition by user_id order by us, event_id rows unbounded preceding)::bigint as segment from g), x as (select user_id, segment, value, row_number() over (partition by user_id, segment order by us, event_id) - 1 as pos, count(*) over (partition by user_id, segment) as n from h), "
+
+
+def segments(spark, sf) -> DataFrame:
     w = W.partitionBy("user_id").orderBy("us", "event_id")
-    e = events(spark, sf).select("user_id", F.row_number().over(w).alias("pos"), "value")
-    out = filters.highpass_segments(e, ["user_id"], "pos", "value", 1.0 / 3)
-    return out.withColumn("filtered", F.round("filtered", 6))
+    start = F.when(F.col("us") - F.lag("us").over(w) > SEGMENT_US, 1).otherwise(0)
+    e = events(spark, sf).withColumn("start", start).withColumn("segment", F.sum("start").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    return e.select("user_id", "segment", (F.row_number().over(W.partitionBy("user_id", "segment").orderBy("us", "event_id")) - 1).cast("long").alias("pos"), "value")
+
+
+# the recursion in SQL: first each segment's mirrored beginning, then its samples
+HIGHPASS = SEGMENTS.replace("with e", "with recursive e", 1) + """c as (select tan(pi() * 0.16 / (1.0 / 3)) as k), d as (select k, 1 + sqrt(2) * k + k * k as d from c),
+q as (select 1 / d as b0, -2 / d as b1, 1 / d as b2, 2 * (k * k - 1) / d as a1, (1 - sqrt(2) * k + k * k) / d as a2 from d),
+u as (select user_id, segment, least(6, n - 1) - pos + 1 as j, value as v, null::bigint as pos from x where pos <= least(6, n - 1) union all select user_id, segment, least(6, n - 1) + 2 + pos as j, value as v, pos from x),
+r as (
+  select user_id, segment, j, pos, v, b0 * v as y, b1 * v - a1 * (b0 * v) as z1, b2 * v - a2 * (b0 * v) as z2 from u, q where j = 1
+  union all
+  select u.user_id, u.segment, u.j, u.pos, u.v, b0 * u.v + z1, b1 * u.v - a1 * (b0 * u.v + z1) + z2, b2 * u.v - a2 * (b0 * u.v + z1)
+  from r join u on u.user_id = r.user_id and u.segment = r.segment and u.j = r.j + 1, q
+)
+select user_id, segment, pos, v as value, round(y, 4) as filtered from r where pos is not null"""
+
+
+@query(HIGHPASS)
+def highpass(spark, sf):
+    out = filters.highpass_segments(segments(spark, sf), ["user_id", "segment"], "pos", "value", 1.0 / 3)
+    return out.withColumn("filtered", F.round("filtered", 4))
 
 
-@query()
+@query(E + """x as (select user_id, row_number() over (partition by user_id order by us, event_id) - 1 as pos, count(*) over (partition by user_id) as n, value from e),
+k as (select distinct user_id, n, unnest(generate_series(1, n // 2)) as k from x),
+a as (select k.user_id, k.n, k.k, sqrt(pow(sum(value * cos(2 * pi() * k.k * pos / k.n)), 2) + pow(sum(value * sin(2 * pi() * k.k * pos / k.n)), 2)) as amp from k join x on k.user_id = x.user_id group by all)
+select user_id, n::bigint as n, round(coalesce(sum(amp) filter (k / (n * 0.01::double) >= 5 and k / (n * 0.01::double) <= 20), 0) / sum(amp), 6) as share from a group by user_id, n""")
 def spectral_ratio(spark, sf):
     w = W.partitionBy("user_id").orderBy("us", "event_id")
     e = events(spark, sf).select("user_id", F.row_number().over(w).alias("pos"), "value")

@@ -1,7 +1,7 @@
 """EDF and EDF+ files: a scan of records in parallel, annotations, header fields, and a writer.
 
-A range of records is an input partition. Patient and recording fields are never returned. A file is one sequence of
-records, so a writer puts its encoded records into it in order, streamed partition by partition.
+A range of records is an input partition, read as Arrow batches. Patient and recording fields are never returned. All
+records of a file have one size, so tasks write their records into it themselves.
 """
 
 from __future__ import annotations
@@ -12,13 +12,19 @@ from dataclasses import dataclass, field
 from datetime import datetime
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from chronoloom.operators.asof import asof_or_first
+from chronoloom.operators.frames import out_of_order
+
 # Fixed values of the file format: fields of a signal with their widths, and the label of annotation signals.
 FIELDS = {"label": 16, "transducer": 80, "unit": 8, "pmin": 8, "pmax": 8, "dmin": 8, "dmax": 8, "prefilter": 80, "samples": 8, "reserved": 32}
 ANNOTATIONS = "EDF Annotations"
+MONTHS = "JAN FEB MAR APR MAY JUN JUL AUG SEP OCT NOV DEC".split()
 #: Records of one input partition.
 RANGE = 600
 
@@ -60,6 +66,10 @@ def read_header(path: str) -> Header:
     return head
 
 
+SCHEMA = "path string, record long, signal_no int, label string, unit string, step double, pmin double, dmin int, digital array<int>, notes binary"
+SCHEMA_NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
+
+
 class Records(InputPartition):
     def __init__(self, path: str, first: int, n: int) -> None:
         self.path, self.first, self.n = path, first, n
@@ -72,19 +82,28 @@ class EdfReader(DataSourceReader):
     def partitions(self) -> list[Records]:
         return [Records(p, k, min(RANGE, n - k)) for p in self.files for n in [read_header(p).n_records] for k in range(0, n, RANGE)]
 
-    def read(self, partition: Records | None) -> Iterator[tuple]:
+    def read(self, partition: Records | None) -> Iterator[pa.RecordBatch]:
         if partition is None:  # Spark's stand-in where there is no file
             return
         head = read_header(partition.path)
+        starts = np.cumsum([0, *(2 * s["samples"] for s in head.signals)])
         with open(partition.path, "rb") as f:
             f.seek(head.size + partition.first * head.record_bytes)
-            for record in range(partition.first, partition.first + partition.n):
+            for at in range(partition.first, partition.first + partition.n, 16):
+                n = min(16, partition.first + partition.n - at)
+                block = np.frombuffer(f.read(n * head.record_bytes), np.uint8).reshape(n, head.record_bytes)
                 for no, s in enumerate(head.signals):
-                    raw = f.read(2 * s["samples"])
-                    notes = s["label"] == ANNOTATIONS
+                    raw, notes = np.ascontiguousarray(block[:, starts[no] : starts[no + 1]]), s["label"] == ANNOTATIONS
+                    values = np.empty(0, np.int32) if notes else raw.view("<i2").ravel().astype(np.int32)
+                    ends = np.arange(n + 1, dtype=np.int32) * (0 if notes else s["samples"])
+                    same = lambda x, kind: pa.array([x] * n, kind)
                     step = 0.0 if notes else (s["pmax"] - s["pmin"]) / (s["dmax"] - s["dmin"])
-                    digital = [] if notes else np.frombuffer(raw, "<i2").tolist()
-                    yield (partition.path, record, no, s["label"], s["unit"], step, s["pmin"], s["dmin"], digital, raw if notes else None)
+                    columns = [
+                        same(partition.path, pa.string()), pa.array(np.arange(at, at + n)), same(no, pa.int32()), same(s["label"], pa.string()), same(s["unit"], pa.string()),
+                        same(step, pa.float64()), same(float(s["pmin"]), pa.float64()), same(int(s["dmin"]), pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(values)),
+                        pa.array([r.tobytes() if notes else None for r in raw], pa.binary()),
+                    ]
+                    yield pa.RecordBatch.from_arrays(columns, names=SCHEMA_NAMES)
 
 
 class Edf(DataSource):
@@ -95,7 +114,7 @@ class Edf(DataSource):
         return "edf_records"
 
     def schema(self) -> str:
-        return "path string, record long, signal_no int, label string, unit string, step double, pmin double, dmin int, digital array<int>, notes binary"
+        return SCHEMA
 
     def reader(self, schema) -> EdfReader:
         return EdfReader(self.options)
@@ -112,19 +131,32 @@ def samples(records: DataFrame) -> DataFrame:
     return records.where(F.col("notes").isNull()).select("path", "record", "signal_no", "label", physical.alias("values"))
 
 
+def tals(records: DataFrame) -> DataFrame:
+    """path, record, place, onset, duration and texts of each entry of the annotation signals."""
+    held = records.where(F.col("notes").isNotNull()).select("path", "record", F.posexplode(F.split(F.decode("notes", "UTF-8"), "\x00")).alias("place", "tal"))
+    held = held.where("tal <> ''").withColumn("p", F.split("tal", "\x14")).withColumn("when", F.split(F.get("p", F.lit(0)), "\x15"))
+    onset, duration = (F.try_element_at("when", F.lit(k)).try_cast("double") for k in (1, 2))
+    return held.select("path", "record", "place", onset.alias("onset"), duration.alias("duration"), F.slice("p", 2, F.greatest(F.size("p") - 1, F.lit(0))).alias("texts")).where("onset is not null")
+
+
 def annotations(records: DataFrame) -> DataFrame:
     """path, record, onset, duration (null if none) and text of each annotation; entries without a valid onset are
     skipped, those without text only keep time."""
-    entry = F.explode(F.split(F.decode("notes", "UTF-8"), "\x00"))
-    tals = records.where(F.col("notes").isNotNull()).select("path", "record", entry.alias("tal")).withColumn("p", F.split("tal", "\x14"))
-    tals = tals.withColumn("when", F.split(F.get("p", F.lit(0)), "\x15"))
-    tals = tals.select("path", "record", F.try_element_at("when", F.lit(1)).try_cast("double").alias("onset"), F.try_element_at("when", F.lit(2)).try_cast("double").alias("duration"), F.explode(F.slice("p", 2, F.greatest(F.size("p") - 1, F.lit(0)))).alias("text"))
-    return tals.where("onset is not null and text <> ''")
+    return tals(records).select("path", "record", "onset", "duration", F.explode("texts").alias("text")).where("text <> ''")
+
+
+def record_onsets(records: DataFrame) -> DataFrame:
+    """path, record and onset of each record: that of its first entry without a text."""
+    silent = tals(records).where(F.forall("texts", lambda t: t == ""))
+    return silent.groupBy("path", "record").agg(F.min_by("onset", "place").alias("onset"))
 
 
 def padded(text: str, width: int) -> bytes:
-    """An ASCII field, cut and filled with spaces."""
-    return text.encode("ascii", "replace")[:width].ljust(width)
+    """An ASCII field, filled with spaces; one that doesn't fit is an error."""
+    out = text.encode("ascii", "replace")
+    if len(out) > width:
+        raise ValueError(f"{text!r} does not fit into {width} characters")
+    return out.ljust(width)
 
 
 def number(value: float, width: int = 8) -> bytes:
@@ -143,51 +175,82 @@ def tal(onset: float, duration: float | None, text: str) -> bytes:
     def short(x: float) -> str:
         return f"{x:.6f}".rstrip("0").rstrip(".")
 
-    length = "" if duration is None else f"\x15{short(duration)}"
-    return f"{'+' if onset >= 0 else ''}{short(onset)}{length}\x14{text}\x14\x00".encode()
+    length = "" if duration is None or not duration >= 0 else f"\x15{short(duration)}"
+    return f"{'+' if onset >= 0 else ''}{short(onset)}{length}\x14{text.translate(MARKS)}\x14\x00".encode()
+
+
+#: Marks inside an annotation signal, which no text may hold.
+MARKS = str.maketrans("\x00\x14\x15", "   ")
 
 
-def write(digital: DataFrame, path: str, start: datetime, seconds: float, signals: list[dict], notes: DataFrame | None = None, overwrite: bool = False) -> int:
-    """Writes an EDF file, or EDF+C with notes (onset, duration, text), and returns its number of records.
+def write(
+    digital: DataFrame, path: str, start: datetime, seconds: float, signals: list[dict], notes: DataFrame | None = None,
+    overwrite: bool = False, kind: str | None = None, onsets: DataFrame | None = None, patient: str = "X X X X", recording: str = "X X X",
+) -> int:
+    """Writes an EDF file ("edf"), or EDF+C or EDF+D ("edf+c", "edf+d"; by default EDF+C with notes, else EDF), and
+    returns its number of records.
 
-    digital: record, signal_no and digital (array of int16), every signal in every record from 0 on. Records are packed
-    in tasks and reach the file in order, one partition at a time; the file takes its name when it is whole. An existing
-    file is only replaced with `overwrite`. Years from 1985 to 2084 can be written.
+    digital: record, signal_no and digital (array of int16), every signal in every record from 0 on. notes: onset (from
+    the data's start), duration and text. onsets, for EDF+D: record and onset, rising by a record's duration at least.
+    All records have one size, so tasks write theirs into the file themselves, at the places that follow from their
+    numbers; the driver sees no samples. The file takes its name when it is whole, and an existing one is only replaced
+    with `overwrite`. EDF has no notes and starts on a whole second; years from 1985 to 2084 can be written.
     """
+    kind = kind or ("edf" if notes is None else "edf+c")
+    if kind not in ("edf", "edf+c", "edf+d"):
+        raise ValueError(f"no kind of EDF file: {kind}")
     if not 1985 <= start.year <= 2084:
         raise ValueError("the year must be from 1985 to 2084")
+    if kind == "edf" and (notes is not None or start.microsecond):
+        raise ValueError("EDF holds no annotations and starts on a whole second")
+    if (kind == "edf+d") != (onsets is not None):
+        raise ValueError("the onsets of records are for EDF+D, which needs them")
     if os.path.exists(path) and not overwrite:
         raise FileExistsError(path)
-    sizes = [s["samples"] for s in signals]
+    sizes, within = [s["samples"] for s in signals], start.microsecond / 1e6
     packed = digital.groupBy("record").agg(F.sort_array(F.collect_list(F.struct("signal_no", "digital"))).alias("s"))
+    if onsets is not None:
+        late = out_of_order(onsets.withColumn("__one", F.lit(0)), "__one", "record", "onset", seconds)
+        if late.limit(1).count():
+            raise ValueError("a record begins before the one before it ends")
+        packed = packed.join(onsets.select("record", F.col("onset").cast("double").alias("onset")), "record", "left")
+    else:
+        packed = packed.withColumn("onset", F.col("record") * F.lit(float(seconds)))
     room = 0
-    if notes is not None:
-        of = notes.select(F.greatest(F.floor(F.col("onset") / seconds + 1e-9), F.lit(0)).cast("long").alias("record"), F.struct("onset", "duration", "text").alias("n"))
-        last = packed.agg(F.max("record").alias("last"))
-        of = of.crossJoin(F.broadcast(last)).withColumn("record", F.least("record", "last"))
-        of = of.groupBy("record").agg(F.sort_array(F.collect_list("n")).alias("notes"))
-        longest = of.agg(F.max(F.aggregate("notes", F.lit(0).cast("long"), lambda a, n: a + F.octet_length(n["text"]) + 40))).first()[0]
-        room = (64 + (longest or 0)) // 2
-        packed = packed.join(of, "record", "left")
-    part, n = f"{path}.part", 0
+    if kind != "edf":
+        packed, room = _with_notes(packed, notes, seconds, onsets)
     listed = [*signals, {"label": ANNOTATIONS, "unit": "", "pmin": -1, "pmax": 1, "dmin": -32768, "dmax": 32767, "samples": room}] if room else signals
-    texts = {"label", "transducer", "unit", "prefilter", "reserved"}
+    head, part = 256 + 256 * len(listed), f"{path}.part"
+    size = 2 * (sum(sizes) + room)
+
+    def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        with open(part, "r+b") as f:
+            for batch in batches:
+                for row in batch.itertuples(index=False):
+                    lengths = [len(x["digital"]) for x in row.s]
+                    if lengths != sizes or row.onset != row.onset:
+                        raise ValueError(f"record {row.record} is not whole")
+                    body = b"".join(np.asarray(x["digital"], "<i2").tobytes() for x in row.s)
+                    if room:
+                        texts = tal(row.onset + within, None, "") + b"".join(tal(x["onset"] + within, x["duration"], x["text"]) for x in (row.notes if row.notes is not None else ()))
+                        body += texts.ljust(2 * room, b"\x00")
+                    f.seek(head + row.record * size)
+                    f.write(body)
+                yield batch[["record"]]
+
     try:
         with open(part, "wb") as f:
-            f.write(b"\x00" * (256 + 256 * len(listed)))
-            for row in packed.orderBy("record").toLocalIterator():
-                if row.record != n or [len(s.digital) for s in row.s] != sizes:
-                    raise ValueError(f"record {n} is not whole")
-                for s in row.s:
-                    f.write(np.asarray(s.digital, "<i2").tobytes())
-                if room:
-                    body = tal(n * seconds, None, "") + b"".join(tal(*x) for x in row.notes or [])
-                    f.write(body.ljust(2 * room, b"\x00"))
-                n += 1
-            f.seek(0)
-            day = start.strftime("%d.%m.%y%H.%M.%S")
-            f.write(padded("0", 8) + padded("X X X X" if room else "", 80) + padded(f"Startdate {start:%d}-{start:%b}-{start:%Y} X X X".upper().replace("STARTDATE", "Startdate") if room else "", 80) + padded(day, 16))
-            f.write(padded(str(256 + 256 * len(listed)), 8) + padded("EDF+C" if room else "", 44) + padded(str(n), 8) + number(seconds) + padded(str(len(listed)), 4))
+            f.write(b"\x00" * head)
+        written = packed.select("record", "s", "onset", F.col("notes") if room else F.lit(None).cast("array<struct<onset:double,duration:double,text:string>>").alias("notes"))
+        n, first, last = written.mapInPandas(put, "record long").agg(F.count("*"), F.min("record"), F.max("record")).first()
+        if n and (first != 0 or last != n - 1):
+            raise ValueError(f"{n} records are numbered from {first} to {last}")
+        with open(part, "r+b") as f:
+            day = padded(start.strftime("%d.%m.%y%H.%M.%S"), 16)
+            dated = f"Startdate {start:%d}-{MONTHS[start.month - 1]}-{start:%Y} {recording}"
+            f.write(padded("0", 8) + padded(patient if room else "", 80) + padded(dated if room else "", 80) + day)
+            f.write(padded(str(head), 8) + padded(kind.upper() if room else "", 44) + padded(str(n), 8) + number(seconds) + padded(str(len(listed)), 4))
+            texts = {"label", "transducer", "unit", "prefilter", "reserved"}
             for name, width in FIELDS.items():
                 f.write(b"".join(padded(str(s.get(name, "")), width) if name in texts else number(s[name], width) for s in listed))
         os.replace(part, path)
@@ -196,3 +259,19 @@ def write(digital: DataFrame, path: str, start: datetime, seconds: float, signal
             os.remove(part)
         raise
     return n
+
+
+def _with_notes(packed: DataFrame, notes: DataFrame | None, seconds: float, onsets: DataFrame | None) -> tuple[DataFrame, int]:
+    """packed with the notes of each record, sorted, and the samples that the longest record's notes take. A note
+    belongs to the last record that begins at or before it, or else to the first."""
+    if notes is None:
+        return packed.withColumn("notes", F.lit(None).cast("array<struct<onset:double,duration:double,text:string>>")), 30
+    held = notes.select(F.col("onset").cast("double").alias("onset"), F.col("duration").cast("double").alias("duration"), "text")
+    if onsets is None:
+        last = F.broadcast(packed.agg(F.max("record").alias("last")))
+        of = held.crossJoin(last).withColumn("record", F.least("last", F.greatest(F.floor(F.col("onset") / seconds + 1e-9), F.lit(0)).cast("long")))
+    else:
+        of = asof_or_first(held.withColumn("__one", F.lit(0)), onsets.select("record", (F.col("onset") - 1e-9).alias("__start"), F.lit(0).alias("__one")), "__one", "onset", "__start", ["record"])
+    of = of.groupBy("record").agg(F.sort_array(F.collect_list(F.struct("onset", "duration", "text"))).alias("notes"))
+    longest = of.agg(F.max(F.aggregate("notes", F.lit(0).cast("long"), lambda a, n: a + F.octet_length(n["text"]) + 40))).first()[0]
+    return packed.join(of, "record", "left"), max(30, (64 + (longest or 0) + 1) // 2)

@@ -12,12 +12,13 @@ import struct
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from chronoloom.functions.signal import UNIT_UV
+from chronoloom.functions.timeutil import micros_of_ticks, ticks_of_text
 
 # Fixed values of the frame format.
 MAGIC = 0x033149BD
@@ -25,17 +26,23 @@ CHANNEL_TAG = bytes.fromhex("ab792193de4225a2")
 FIRST_TAG = 0x42
 DELTAS = {1: np.dtype("<i2"), 2: np.dtype("i1")}
 INDEX_SUFFIX, SUPPORTED_SCHEMAS = ".ezdataindex", ("2.5",)
+LAYOUT_MAGIC = bytes.fromhex("0b847557")
 TABLES = {
     "FrameInfo": "Offset bigint, TimeStamp string, Track int, Status int, JoinDatabase string, FrameKey binary",
     "FrameData": "FrameKey binary, Data binary",
     "SchemaUpdateLog": "OldVersion string, NewVersion string, TimeStamp string",
     "GapInfo": "Track int, StartOffset bigint, EndOffset bigint, StartTime string, EndTime string",
     "Events": "EventType string, Text string, StartTime string, EndTime string, StartOffset bigint, EndOffset bigint, Deleted int, Priority int",
+    "MediaHeader": "Key string, Value binary",
+    "TrackInfo": "Offset bigint, Track int, Data binary",
     "MiscInfo": "Key string, TimeStamp string, Value binary",
     "PcTimeSync": "PcTime string, SyncTime string",
 }
 
 
+ARROW = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary()}
+
+
 class FilePart(InputPartition):
     def __init__(self, path: str) -> None:
         self.path = path
@@ -46,18 +53,22 @@ class SqliteReader(DataSourceReader):
         self.files = options["path"].split(os.pathsep)
         self.table = options["table"]
         self.optional = options.get("optional", "false") == "true"
+        self.track = int(options["track"]) if options.get("track") else None
 
     def partitions(self) -> list[FilePart]:
         return [FilePart(p) for p in self.files if os.path.exists(p) or not self.optional]
 
-    def read(self, partition: FilePart | None) -> Iterator[tuple]:
+    def read(self, partition: FilePart | None) -> Iterator[pa.RecordBatch]:
         if partition is None:  # Spark's stand-in where there is no file
             return
-        columns = [c.split()[0] for c in TABLES[self.table].split(", ")]
+        columns = [c.split() for c in TABLES[self.table].split(", ")]
         name = "FrameInfo" if self.table == "FrameData" else self.table
+        where = f" where Track = {self.track}" if self.track is not None else ""
         con = sqlite3.connect(f"file:{partition.path}?mode=ro&immutable=1", uri=True)
         try:
-            yield from con.execute(f"select {', '.join(columns)} from {name}")
+            rows = con.execute(f"select {', '.join(c for c, _ in columns)} from {name}{where}")
+            while some := rows.fetchmany(256):
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in some], ARROW[kind]) for i, (_, kind) in enumerate(columns)], names=[c for c, _ in columns])
         finally:
             con.close()
 
@@ -94,16 +105,45 @@ def discover(folder: str) -> list[str]:
     return sorted(os.path.join(d, f) for d, _, names in os.walk(folder) for f in names if f.endswith(INDEX_SUFFIX))
 
 
-def scan(spark: SparkSession, table: str, *paths: str, optional: bool = False) -> DataFrame:
+def scan(spark: SparkSession, table: str, *paths: str, optional: bool = False, track: int | None = None) -> DataFrame:
+    """A table of databases; a track, if given, is asked for in the database itself."""
     spark.dataSource.register(SqliteTable)
-    return spark.read.format("recording_table").option("table", table).option("optional", str(optional).lower()).load(os.pathsep.join(paths))
+    reader = spark.read.format("recording_table").option("table", table).option("optional", str(optional).lower())
+    return reader.option("track", "" if track is None else str(track)).load(os.pathsep.join(paths))
 
 
 def schema_version(log: DataFrame) -> DataFrame:
     return log.agg(F.max_by("NewVersion", "TimeStamp").alias("version"))
 
 
-def decode_frame(blob: bytes) -> tuple[int | None, int | None, list[tuple[int, int, list[float]]]]:
+def check_supported(spark: SparkSession, index_path: str, allow: bool = False) -> str | None:
+    """The schema version that the index was last brought to; one that isn't supported is an error unless allowed."""
+    version = schema_version(scan(spark, "SchemaUpdateLog", index_path)).first()[0]
+    if version not in SUPPORTED_SCHEMAS and not allow:
+        raise ValueError(f"schema version {version or 'unknown'} is not supported")
+    return version
+
+
+def value_of(spark: SparkSession, index_path: str, table: str, key: str) -> bytes | None:
+    """The value of a key in MediaHeader or MiscInfo, its earliest one where it has several."""
+    rows = scan(spark, table, index_path).where(F.col("Key") == key)
+    value = F.min_by("Value", "TimeStamp") if table == "MiscInfo" else F.first("Value")
+    return rows.agg(value).first()[0]
+
+
+def amp_type(layout: bytes | None) -> int | None:
+    """The amplifier's type, or none where the layout is missing or of another form."""
+    return struct.unpack_from("<I", layout, 32)[0] if layout and len(layout) >= 60 and layout[:4] == LAYOUT_MAGIC else None
+
+
+def clock_correction(spark: SparkSession, index_path: str) -> int:
+    """Microseconds between both clocks at their first comparison (0 if there is none)."""
+    first = scan(spark, "PcTimeSync", index_path).agg(F.min_by(F.struct("PcTime", "SyncTime"), "PcTime").alias("s"))
+    apart = micros_of_ticks(ticks_of_text(F.col("s.PcTime"))) - micros_of_ticks(ticks_of_text(F.col("s.SyncTime")))
+    return first.select(F.coalesce(apart, F.lit(0)).cast("long")).first()[0]
+
+
+def channel_blocks(blob: bytes) -> tuple[int | None, int | None, list[tuple[int, int, np.ndarray]]]:
     """Start and end ticks (none on auxiliary tracks) and (input, rate, samples in microvolts) of each channel."""
     if len(blob) < 4 or struct.unpack_from("<I", blob)[0] != MAGIC:
         raise ValueError("not a frame")
@@ -118,33 +158,60 @@ def decode_frame(blob: bytes) -> tuple[int | None, int | None, list[tuple[int, i
             raise ValueError(f"unknown delta type {kind}")
         size = DELTAS[kind].itemsize
         deltas = np.frombuffer(blob, DELTAS[kind], (length - 8) // size, at + 94)
-        units = np.concatenate([[float(first)], float(first) + np.cumsum(deltas, dtype=np.int64) * float(scale)])
-        out.append((head[4], head[10], (units * UNIT_UV).tolist()))
+        units = np.empty(len(deltas) + 1)
+        units[0] = first
+        units[1:] = first + np.cumsum(deltas, dtype=np.int64) * float(scale)
+        out.append((head[4], head[10], units * UNIT_UV))
         at = blob.find(CHANNEL_TAG, at + 94 + length - 8)
     if not out or count is not None and len(out) != count:
         raise ValueError("a frame without its channels")
     return start, end, out
 
 
+def decode_frame(blob: bytes) -> tuple[int | None, int | None, list[tuple[int, int, list[float]]]]:
+    """channel_blocks() with plain lists."""
+    start, end, channels = channel_blocks(blob)
+    return start, end, [(a, r, x.tolist()) for a, r, x in channels]
+
+
+def index(spark: SparkSession, path: str, track: int = 0) -> DataFrame:
+    """frame_no, ts, JoinDatabase and FrameKey of a track's frames."""
+    rows = scan(spark, "FrameInfo", locate(path), track=track)
+    return rows.where(F.col("Track") == track).select(F.col("Offset").alias("frame_no"), F.col("TimeStamp").alias("ts"), "JoinDatabase", "FrameKey")
+
+
+def data_files(spark: SparkSession, path: str, track: int = 0) -> DataFrame:
+    """file and present: the data files that the index names, and whether they are there."""
+    folder = os.path.dirname(locate(path))
+    there = spark.createDataFrame([(f,) for f in os.listdir(folder)], "__file string")
+    named = index(spark, path, track).select(F.col("JoinDatabase").alias("file")).distinct()
+    return named.join(F.broadcast(there), F.col("file") == F.col("__file"), "left").select("file", F.col("__file").isNotNull().alias("present"))
+
+
 def frames(spark: SparkSession, path: str, track: int = 0) -> DataFrame:
     """frame_no, ts, start_ticks, end_ticks, amp_input, rate and samples (microvolts): one row for each frame and
     channel. The index, which has no blobs, meets the blobs by key; a frame without a blob is an error."""
-    index_path = locate(path)
-    index = scan(spark, "FrameInfo", index_path).where(F.col("Track") == track).select(F.col("Offset").alias("frame_no"), F.col("TimeStamp").alias("ts"), "JoinDatabase", "FrameKey")
-    files = [os.path.join(os.path.dirname(index_path), r.JoinDatabase) for r in index.select("JoinDatabase").distinct().orderBy("JoinDatabase").collect()]
-    met = index.join(scan(spark, "FrameData", *files), "FrameKey", "left") if files else index.withColumn("Data", F.lit(None).cast("binary"))
+    wanted = index(spark, path, track)
+    folder = os.path.dirname(locate(path))
+    files = [os.path.join(folder, r.file) for r in wanted.select(F.col("JoinDatabase").alias("file")).distinct().orderBy("file").collect()]
+    blobs = scan(spark, "FrameData", *files) if files else spark.createDataFrame([], TABLES["FrameData"])
+    met = wanted.join(blobs, "FrameKey", "left")
     met = met.where(F.coalesce(F.assert_true(F.col("Data").isNotNull(), F.concat(F.lit("no data for frame "), F.col("frame_no").cast("string"))).isNull(), F.lit(True)))
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["frame_no", "ts", "start_ticks", "end_ticks", "amp_input", "rate", "samples"]
-        for part in parts:
-            rows = []
-            for no, ts, blob in zip(part["frame_no"], part["ts"], part["Data"], strict=True):
-                start, end, channels = decode_frame(bytes(blob))
-                rows += [(no, ts, start, end, *c) for c in channels]
-            yield pd.DataFrame(rows, columns=names).astype({"start_ticks": "Int64", "end_ticks": "Int64"})
-
-    return met.select("frame_no", "ts", "Data").mapInPandas(run, "frame_no long, ts string, start_ticks long, end_ticks long, amp_input int, rate int, samples array<double>")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                found = [channel_blocks(b.as_py()) for b in part.column(2)]
+                of = np.repeat(np.arange(part.num_rows), [len(f[2]) for f in found])
+                flat = [c for f in found for c in f[2]]
+                ends = np.cumsum([0, *(len(c[2]) for c in flat)]).astype(np.int32)
+                samples = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([c[2] for c in flat])))
+                ticks = [pa.array([found[k][i] for k in of], pa.int64()) for i in (0, 1)]
+                numbers = [pa.array([c[i] for c in flat], pa.int32()) for i in (0, 1)]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(of)), part.column(1).take(pa.array(of)), *ticks, *numbers, samples], names=["frame_no", "ts", "start_ticks", "end_ticks", "amp_input", "rate", "samples"])
+
+    return met.select("frame_no", "ts", "Data").mapInArrow(run, "frame_no long, ts string, start_ticks long, end_ticks long, amp_input int, rate int, samples array<double>")
 
 
 def recorded_events(spark: SparkSession, path: str) -> DataFrame:

@@ -2,14 +2,50 @@
 
 from __future__ import annotations
 
+import io
+import itertools
+import zipfile
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def unzipped(spark: SparkSession, *paths: str) -> DataFrame:
+    """path and value: the lines of the text files in zip archives, an archive in a task."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path, content in zip(batch["path"], batch["content"], strict=True):
+                with zipfile.ZipFile(io.BytesIO(content)) as archive:
+                    for name in sorted(archive.namelist()):
+                        with archive.open(name) as f, io.TextIOWrapper(f, "utf-8", "replace") as lines:
+                            while some := [line.rstrip("\r\n") for line in itertools.islice(lines, 8192)]:
+                                yield pd.DataFrame({"path": f"{path}!{name}", "value": some})
+
+    return spark.read.format("binaryFile").load(list(paths)).select("path", "content").mapInPandas(run, "path string, value string")
+
+
+def results(spark: SparkSession, *paths: str) -> DataFrame:
+    """The rows of CSV files with a header, all columns as text."""
+    return spark.read.option("header", "true").csv(list(paths))
+
+
+def sniffed(spark: SparkSession, *paths: str) -> DataFrame:
+    """name, sqlite and magic: whether a file begins as a SQLite database does, and its first 16 bytes as text."""
+    head = spark.read.format("binaryFile").load(list(paths)).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.substring("content", 1, 16).alias("head"))
+    magic = F.decode("head", "ISO-8859-1")
+    return head.select("name", F.startswith(magic, F.lit("SQLite format 3")).alias("sqlite"), magic.alias("magic"))
+
+
 def vendor_text(spark: SparkSession, *paths: str) -> DataFrame:
     """path, at (grows with the line's place in its file) and values (microvolts) of the export's lines: columns in
     millivolts between tabs, with a decimal comma; lines from % on are comments. What is no number is null."""
-    lines = spark.read.text(list(paths)).select(F.input_file_name().alias("path"), F.monotonically_increasing_id().alias("at"), "value")
+    zipped = [p for p in paths if p.endswith(".zip")]
+    plain = spark.read.text([p for p in paths if p not in zipped]).select(F.input_file_name().alias("path"), "value") if len(zipped) < len(paths) else None
+    lines = plain if not zipped else unzipped(spark, *zipped) if plain is None else plain.unionByName(unzipped(spark, *zipped))
+    lines = lines.select("path", F.monotonically_increasing_id().alias("at"), "value")
     lines = lines.where(~F.startswith("value", F.lit("%")) & (F.trim("value") != ""))
     cells = F.transform(F.split(F.trim("value"), "\t"), lambda c: F.replace(c, F.lit(","), F.lit(".")).try_cast("double") * 1000)
     return lines.select("path", "at", cells.alias("values"))

@@ -3,9 +3,10 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from chronoloom.operators import compare, filters, frames, resample
-from chronoloom.plans import catalog
+from chronoloom.plans import catalog, recordings  # noqa: F401  the latter adds its queries to the former
 from tests.conftest import SF
 
 
@@ -47,10 +48,10 @@ def test_decimation_against_simulation(spark):
         want.append((x[raw] + x[raw + 1]) / 2 if last else x[raw])
         raw += 2 if last and o % t == t - 1 else 1
     data = spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)], "pos long, v double")
-    got = resample.decimated(data, "pos", "v", n_in, n_out).orderBy("pos").toPandas()
+    got = resample.decimated(data, [], "pos", "v", F.lit(n_in), F.lit(n_out)).orderBy("pos").toPandas()
     assert np.allclose(got["value"], want) and len(got) == n_out
     back = got.select_dtypes("number")["at"]
-    again = spark.createDataFrame([(float(v),) for v in back], "at double").select(resample.output_position(catalog.F.col("at"), n_in, n_out).alias("o")).toPandas()["o"]
+    again = spark.createDataFrame([(float(v),) for v in back], "at double").select(resample.output_position(F.col("at"), F.lit(n_in), F.lit(n_out)).alias("o")).toPandas()["o"]
     assert np.allclose(again, np.arange(n_out))
 
 
@@ -62,6 +63,25 @@ def test_highpass_gain_and_priming():
     assert len(filters.highpass(np.array([]), 100.0)) == 0
 
 
+def plain_highpass(x, rate):
+    b, a = filters.highpass_coefficients(rate)
+    lead, z1, z2, out = min(int(20 * rate), len(x) - 1) + 1, 0.0, 0.0, []
+    for v in [*x[:lead][::-1], *x]:
+        y = b[0] * v + z1
+        z1, z2 = b[1] * v - a[1] * y + z2, b[2] * v - a[2] * y
+        out.append(y)
+    return np.array(out[lead:])
+
+
+def test_highpass_in_chunks_equals_the_recursion(spark):
+    rng = np.random.default_rng(4)
+    x = {s: rng.normal(size=n).cumsum() for s, n in ((0, 5000), (1, 700), (2, 1), (3, 1024))}
+    data = spark.createDataFrame([(s, i, float(v)) for s, values in x.items() for i, v in enumerate(values)], "s int, pos long, v double")
+    got = filters.highpass_segments(data, ["s"], "pos", "v", 10.0, chunk=900).orderBy("s", "pos").toPandas()
+    for s, values in x.items():
+        assert np.allclose(got[got["s"] == s]["filtered"], plain_highpass(values, 10.0), atol=1e-8), s
+
+
 def test_band_share_finds_a_tone(spark):
     t = np.arange(400) / 100
     data = spark.createDataFrame([(1, i, float(np.sin(2 * np.pi * 10 * v))) for i, v in enumerate(t)], "rec long, pos long, v double")
@@ -75,6 +95,23 @@ def test_annotations_match_one_to_one(spark):
     assert got == {"x": (2, 1, 0), "y": (0, 1, 0), "z": (0, 0, 1)}
 
 
+def test_annotations_against_two_pointers(spark):
+    rng = np.random.default_rng(8)
+    ours, theirs = (sorted((str(t), float(o)) for t, o in zip(rng.choice(["x", "y"], 400), rng.integers(0, 7300 * 4, 400) * 0.25, strict=True)) for _ in range(2))
+    got = {r.text: tuple(r)[1:] for r in compare.matched_annotations(spark.createDataFrame(ours, "text string, onset double"), spark.createDataFrame(theirs, "text string, onset double"), 6.0).collect()}
+    for text in "xy":
+        a, b = ([o for t, o in side if t == text] for side in (ours, theirs))
+        i = j = n = 0
+        while i < len(a) and j < len(b):
+            if abs(a[i] - b[j]) <= 6.0 + 1e-9:
+                i, j, n = i + 1, j + 1, n + 1
+            elif a[i] < b[j]:
+                i += 1
+            else:
+                j += 1
+        assert got[text] == (n, len(a) - n, len(b) - n)
+
+
 def test_comparison_notices_changes(spark):
     pairs = spark.createDataFrame([(1, i, float(i % 13), float(i % 13) * 1.001 + (3 if i == 40 else 0)) for i in range(100)], "s long, pos long, a double, b double")
     got = compare.share_identical(pairs, "s", "a", "b", "pos").first()

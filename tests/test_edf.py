@@ -37,7 +37,7 @@ def test_plain_file_and_refusals(spark, tmp_path):
     assert edf.write(df, str(path), START, 1.0, SIGNALS) == 2
     with pytest.raises(FileExistsError):
         edf.write(df, str(path), START, 1.0, SIGNALS)
-    with pytest.raises(ValueError):
+    with pytest.raises(Exception, match="numbered from|not whole"):
         edf.write(df.where("record <> 0"), str(tmp_path / "c.edf"), START, 1.0, SIGNALS)
     with pytest.raises(ValueError):
         edf.write(df, str(tmp_path / "d.edf"), START.replace(year=1984), 1.0, SIGNALS)
@@ -51,3 +51,21 @@ def test_numbers_fit_their_field():
     assert edf.number(-12.5) == b"-12.5   " and edf.number(100) == b"100     " and edf.number(-123.456789) == b"-123.457"
     with pytest.raises(ValueError):
         edf.number(1234567890.0)
+
+
+def test_kinds_and_their_rules(spark, tmp_path):
+    rows, df = digital(spark, 4)
+    notes = spark.createDataFrame([(0.5, None, "a\x14b\x00c")], "onset double, duration double, text string")
+    at = lambda *x: spark.createDataFrame(list(enumerate(map(float, x))), "record long, onset double")
+    write = lambda name, **more: edf.write(df, str(tmp_path / name), more.pop("start", START), 1.0, SIGNALS, **more)
+    assert write("a.edf", notes=notes) == 4
+    assert [r.text for r in edf.annotations(edf.scan(spark, str(tmp_path / "a.edf"))).collect()] == ["a b c"]
+    assert write("b.edf", notes=notes, start=START.replace(microsecond=250000)) == 4
+    assert edf.annotations(edf.scan(spark, str(tmp_path / "b.edf"))).first()["onset"] == 0.75
+    assert write("d.edf", kind="edf+d", onsets=at(0, 1, 5, 6), notes=notes) == 4
+    for wrong in ({"kind": "edf", "notes": notes}, {"kind": "edf", "start": START.replace(microsecond=1)}, {"kind": "edf+d"}, {"kind": "edf+d", "onsets": at(0, 0.5, 2, 3)}, {"kind": "x"}):
+        with pytest.raises(ValueError):
+            write("w.edf", **wrong)
+    with pytest.raises(ValueError, match="does not fit"):
+        edf.write(df, str(tmp_path / "l.edf"), START, 1.0, [{**SIGNALS[0], "label": "a label that is too long"}, SIGNALS[1]])
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["a.edf", "b.edf", "d.edf"]
