@@ -41,10 +41,18 @@ CHAIN = re.compile(r"[^\W\d_]++(?:(?:[\d_]|[^\w\s])[^\W\d_]++)++")
 
 def terms_of(text: str) -> set[str]:
     """The distinct words of a text, and their stems with a star."""
-    words = set(WORD.findall(text.lower()))
+    words, _ = words_of(text.lower())
     return words | {f"{w[:n]}*" for w in words for n in STEMS if len(w) > n}
 
 
+def words_of(low: str) -> tuple[set[str], bool]:
+    """The distinct words of a text, and whether any two of them may be glued: what stands between blanks and is all
+    letters is a word, the rest is searched."""
+    pieces = set(low.split())
+    odd = [p for p in pieces if not p.isalpha()]
+    return pieces.difference(odd).union(*map(WORD.findall, odd)), any(map(CHAIN.search, odd))
+
+
 def glued(low: str) -> Iterator[tuple[int, str, str, str]]:
     """Where two words stand with one digit or symbol between them, what they and it make together, and the two. More
     than one such character is more than one edit."""
@@ -84,7 +92,7 @@ class Lexicon:
         return max(best, node.get("", ("", 0.0))[1])
 
     def maybe_misspelt(self, word: str) -> bool:
-        return len(word) >= FUZZY_LETTERS - 1 and any(part in self.parts for part in without_a_letter(word))
+        return len(word) >= FUZZY_LETTERS - 1 and not self.parts.isdisjoint(without_a_letter(word))
 
     def within_one(self, word: str) -> list[tuple[str, float]]:
         """The whole words one edit away, with their weights: the automaton's states (positions in `word` with the
@@ -144,9 +152,10 @@ class Scorer:
 
     def score(self, text: str) -> float:
         low, prior, weight = text.lower(), self.lexicon.prior, self.weight
-        hits = {w: x for w in set(WORD.findall(low)) if (x := weight(w)) > 0}
+        words, chained = words_of(low)
+        hits = {w: x for w in words if (x := weight(w)) > 0}
         spelt: dict[str, list[int]] = {}
-        for at, token, a, b in glued(low):
+        for at, token, a, b in glued(low) if chained else ():
             if a not in hits and b not in hits and (x := weight(token)) > 0:
                 spelt.setdefault(token, []).append(at)
         hits |= {token: weight(token) for token in spelt}
@@ -305,7 +314,8 @@ class Known:
 
     def terms(self, text: str) -> set[str]:
         known, out, low = self.known, set(), text.lower()
-        for w in {*WORD.findall(low), *(token for _, token, _, _ in glued(low))}:
+        words, chained = words_of(low)
+        for w in {*words, *(token for _, token, _, _ in glued(low))} if chained else words:
             if (terms := known.get(w)) is None:
                 if len(known) >= self.KEEP:
                     known.clear()
