@@ -212,6 +212,42 @@ def test_passages_at_every_offset():
     assert not any(index.regions(decontamination.plain(text(2000))) for _ in range(20))
 
 
+def test_decontamination_against_brute_force():
+    """A text is contaminated if a window of an item is within the edits anywhere in it: every window is aligned with
+    the whole text, begun and ended where it likes."""
+    rng = np.random.default_rng(12)
+    letters = np.frombuffer(b"abcdefghijklmnop ", np.uint8)
+    text = lambda n: decontamination.plain(bytes(rng.choice(letters, n)).decode())
+    items = [text(130), text(90), text(60)]
+    index = decontamination.Index([(i, t.decode()) for i, t in enumerate(items)])
+
+    def fewest(window, data):
+        row = np.zeros(len(data) + 1, np.int64)
+        d = np.frombuffer(data, np.uint8)
+        for c in window:
+            step = np.concatenate([[row[0] + 1], np.minimum(row[1:] + 1, row[:-1] + (d != c))])
+            row = np.minimum.accumulate(step - np.arange(len(step))) + np.arange(len(step))
+        return row.min()
+
+    told = []
+    for k in range(80):
+        item = items[k % 3]
+        piece = bytearray(item[rng.integers(0, 12) : len(item) - rng.integers(0, 12)])
+        for _ in range(rng.integers(0, 16)):
+            at = int(rng.integers(0, len(piece)))
+            piece[at : at + 1] = (b"", b"z", piece[at : at + 1] + b"z")[rng.integers(0, 3)]
+        data = text(60) + b" " + bytes(piece) + b" " + text(40)
+        want = set()
+        for i, t in enumerate(items):
+            size = min(decontamination.SEGMENT, len(t))
+            if any(fewest(t[o : o + size], data) <= decontamination.edits_for(size) for o in range(len(t) - size + 1)):
+                want.add(i)
+        got = {r[0] for r in index.regions(data)}
+        assert got == want, (k, got, want)
+        told.append(bool(want))
+    assert 10 < sum(told) < 70
+
+
 def test_toxicity_lexicon():
     lexicon = toxicity.Lexicon([("idiot", 5.0), ("lowei*", 4.0)], -3.0)
     assert lexicon.exact("idiot") == 5.0 and lexicon.exact("loweixyz") == 4.0 and lexicon.exact("idio") == 0.0
@@ -222,6 +258,34 @@ def test_toxicity_lexicon():
     assert score("you are an idiot") > 0.5 > score('she said "an idiot" and left') and score("") < 0.5
 
 
+def test_toxicity_score_against_brute_force():
+    import math
+    import random
+
+    rng = random.Random(7)
+    letters = "abcdeé"
+    word = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    terms = {word(rng.randint(4, 7)): rng.uniform(1, 6) for _ in range(40)}
+    stems = {word(4): rng.uniform(1, 6) for _ in range(3)}
+    score = toxicity.Scorer(toxicity.Lexicon([*terms.items(), *((f"{s}*", x) for s, x in stems.items())], -3.0)).score
+    hit = 0
+    for _ in range(300):
+        text = [rng.choice([word(rng.randint(3, 8)), rng.choice(list(terms)), rng.choice(list(stems)) + word(2)]) for _ in range(rng.randint(0, 4))]
+        for i in range(len(text)):
+            if rng.random() < 0.5 and len(text[i]) > 2:
+                at = rng.randrange(len(text[i]))
+                text[i] = text[i][:at] + rng.choice(["", "x", text[i][at] + "x"]) + text[i][at + 1 :]
+        found = []
+        for w in set(text):
+            known = max([x for t, x in terms.items() if t == w] + [x for t, x in stems.items() if w.startswith(t)], default=0.0)
+            near = [x * toxicity.FUZZY for t, x in terms.items() if len(t) >= 5 and edit_distance(t, w) == 1] if len(w) >= 4 else []
+            found.append(known or max(near, default=0.0))
+        hit += any(found)
+        want = -3.0 + sum(x * 0.5**i for i, x in enumerate(sorted(found, reverse=True)))
+        assert score(" ".join(text)) == pytest.approx(1 / (1 + math.exp(-want))), text
+    assert hit > 100
+
+
 def test_toxicity_held_out(spark):
     from tests.conftest import SF
 
