@@ -29,8 +29,8 @@ BEST = "struct<depth:int,length:int,rule:string,verdict:string>"
 
 
 class UrlTrie:
-    """Nodes are dicts: ('h', label) steps up the host, ('p', segment) down the path; 'ends' holds the remainders
-    of rules that end inside a segment, by their text."""
+    """Nodes are dicts: ('h', label) steps up the host, ('p', segment) down the path; 'ends' holds the remainders of
+    rules that end inside a segment, by their text, and 'most' the longest one's length."""
 
     def __init__(self, rules: Iterable[tuple[str, str, str]]) -> None:
         self.root: dict = {}
@@ -42,6 +42,7 @@ class UrlTrie:
             for segment in whole:
                 node = node.setdefault(("p", segment), {})
             ends = node.setdefault("ends", {})
+            node["most"] = max(node.get("most", 0), len(rest))
             if ends.get(rest, (None, "allow"))[1] != "block":  # of two verdicts for one rule, block stands
                 ends[rest] = (host + path, verdict)
 
@@ -57,9 +58,9 @@ class UrlTrie:
         for depth in range(len(hosts) - 1, -1, -1):
             node, best = hosts[depth], None
             for segment in segments:
-                for rest, rule in node.get("ends", {}).items():
-                    if segment.startswith(rest) and (best is None or len(rule[0]) > len(best[0])):
-                        best = rule
+                if ends := node.get("ends"):  # the longest remainder that the segment begins with
+                    begun = (ends.get(segment[:k]) for k in range(min(len(segment), node["most"]), -1, -1))
+                    best = next(filter(None, begun), best)
                 node = node.get(("p", segment))
                 if node is None:
                     break
