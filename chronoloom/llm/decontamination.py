@@ -87,19 +87,15 @@ class Index:
         same = (k < len(self.gram)) & (self.gram[np.minimum(k, len(self.gram) - 1)] == grams[at])
         return at[same], k[same]
 
-    def hit_count(self, data: bytes) -> int:
-        return int(self.count[self.shared(data)[1]].sum())
-
-    def hits(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Item, position in it and diagonal of each q-gram that the data shares with an item."""
-        at, k = self.shared(data)
+    def hits(self, at: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Item, position in it and diagonal of each place that a shared q-gram (see shared) has in an item."""
         n = self.count[k]
         which = np.repeat(self.first[k], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         return self.of[which], self.at[which], np.repeat(at, n) - self.at[which]
 
-    def runs(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def runs(self, data: bytes, shared: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Item, band, first and last offset of the runs of windows that share enough q-grams with the data."""
-        item, at, diagonal = self.hits(data)
+        item, at, diagonal = self.hits(*shared)
         below = self.longest // self.band + 2  # bands may begin before the data does
         bands, wide = len(data) // self.band + below + 2, self.longest + 1
         key = item * bands + diagonal // self.band + below
@@ -137,10 +133,13 @@ class Index:
         if not len(self.gram) or len(data) < Q:
             return []
         reach = SEGMENT + 2 * self.band  # the longest piece of text that a window can be aligned with
-        if len(data) >= 4 * reach and self.hit_count(data) > MOST_HITS:
+        shared = self.shared(data)
+        if not len(shared[0]):
+            return []
+        if len(data) >= 4 * reach and self.count[shared[1]].sum() > MOST_HITS:
             half = len(data) // 2
             return self.found(data[: half + reach], begin) + self.found(data[half:], begin + half)
-        item, band, low, high = self.runs(data)
+        item, band, low, high = self.runs(data, shared)
         if not len(item):
             return []
         padded = np.zeros(len(data) + 4 * SEGMENT + 4 * self.band, np.uint8)
@@ -185,11 +184,13 @@ class Index:
         best = np.full((len(item), wide), 1 << 14, np.int16)
         pieces = np.lib.stride_tricks.sliding_window_view(text, wide)
         size, at = self.size[item], self.begin[item] + offset
+        ends = set(size.tolist())
         for i in range(int(size.max(initial=0))):
             step = cost + (pieces[begin + i] != self.text[at + i][:, None])
             step[:, :-1] = np.minimum(step[:, :-1], cost[:, 1:] + 1)
             cost = np.minimum.accumulate(step - across, axis=1) + across
-            best[size == i + 1] = cost[size == i + 1]
+            if i + 1 in ends:
+                best[size == i + 1] = cost[size == i + 1]
         where = best.argmin(axis=1)
         end = begin + where + size
         return best[np.arange(len(item)), where].astype(np.int64), end - size, end
