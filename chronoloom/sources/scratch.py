@@ -1,9 +1,12 @@
-"""A folder that the driver and the executors share, for files that tasks write and others read."""
+"""A folder that the driver and the executors share, for files that tasks write and others read. The session's end
+removes what it has made."""
 
 from __future__ import annotations
 
+import atexit
 import os
 import re
+import shutil
 import tempfile
 import uuid
 
@@ -21,4 +24,18 @@ def folder(spark: SparkSession, name: str) -> str:
     else:
         raise ValueError("recordings and EDF files need a shared folder that is mounted everywhere: set spark.checkpoint.dir to one")
     os.makedirs(path, exist_ok=True)
+    _MADE.append(path)
     return path
+
+
+_MADE: list[str] = []
+
+
+def remove(path: str) -> None:
+    shutil.rmtree(path, ignore_errors=True)
+
+
+@atexit.register
+def _remove_all() -> None:
+    for path in _MADE:
+        remove(path)
