@@ -21,12 +21,14 @@ from chronoloom.llm._common import Saved, Scope, table
 from chronoloom.llm.components import connected_components, with_component
 
 #: 64-bit words of a SimHash, bits of a block, and most bits by which candidates differ.
-HASHES, BLOCK_BITS, MAX_BITS = 9, 24, 96
+HASHES, BLOCK_BITS, MAX_BITS = 8, 24, 84
 LIKENESS = 0.9
 #: Characters that stand for words: the first one, and how many.
 FIRST_CODE, CODES = 0x4E00, 20480
 #: Most words whose votes the sign-free 8-bit lanes of a long can hold.
 PIECE_WORDS = 127
+#: Blocks whose buckets are shuffled at a time.
+AT_ONCE = 6
 #: Members of a block, where a bucket's members meet in blocks.
 BLOCK = 2048
 #: A line that has more than this share of all lines is joined by broadcast; so there are at most 1 / HOT_SHARE of them.
@@ -82,8 +84,8 @@ def simhash(lines: DataFrame) -> DataFrame:
     return one.unionByName(many).groupBy("id").agg(*(F.min(F.when(F.col("h") == h, F.col("sim"))).alias(s) for h, s in enumerate(_SIM)))
 
 
-def buckets(sims: DataFrame) -> DataFrame:
-    """bucket and id: one bucket for each block of the SimHash."""
+def buckets(sims: DataFrame, blocks: range) -> DataFrame:
+    """bucket and id: one bucket for each of the blocks of the SimHash."""
 
     def block(k: int) -> Column:
         word, bit = divmod(k * BLOCK_BITS, 64)
@@ -92,7 +94,7 @@ def buckets(sims: DataFrame) -> DataFrame:
             bits = bits.bitwiseOR(F.shiftleft(_SIM[word + 1], 64 - bit))
         return bits.bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)).bitwiseOR(F.lit(k << BLOCK_BITS))
 
-    return sims.select(F.explode(F.array(*(block(k) for k in range(64 * HASHES // BLOCK_BITS)))).alias("bucket"), "id")
+    return sims.select(F.explode(F.array(*map(block, blocks))).alias("bucket"), "id")
 
 
 def apart(a: str, b: str) -> Column:
@@ -137,16 +139,19 @@ def line_components(sims: DataFrame, every: DataFrame, firsts: DataFrame) -> Dat
     bucket still holds several components, those outside its largest one meet the others, block by block. SimHashes
     are compared inside the joins, so that only pairs within MAX_BITS bits leave them.
     """
-    members = buckets(sims)
-    heads = members.groupBy("bucket").agg(F.min("id").alias("head"), F.count("*").alias("size")).where("size > 1")
-    shared = Saved(members.join(heads, "bucket"), "line-buckets")
-    pairs = shared.df.where("id <> head").groupBy(F.col("head").alias("a"), F.col("id").alias("b")).agg(F.lit(1)).select("a", "b")
+    tables = []
+    for first in range(0, 64 * HASHES // BLOCK_BITS, AT_ONCE):  # a few blocks at a time, so that their shuffles are small
+        members = buckets(sims, range(first, min(first + AT_ONCE, 64 * HASHES // BLOCK_BITS)))
+        heads = members.groupBy("bucket").agg(F.min("id").alias("head"), F.count("*").alias("size")).where("size > 1")
+        tables.append(Saved(members.join(heads, "bucket"), "line-buckets"))
+    shared = reduce(DataFrame.unionByName, (t.df for t in tables))
+    pairs = shared.where("id <> head").groupBy(F.col("head").alias("a"), F.col("id").alias("b")).agg(F.lit(1)).select("a", "b")
     near = pairs.join(named(sims, "b"), "b").join(named(sims, "a"), "a").where(apart("a_", "b_") <= MAX_BITS)
     pairs = Saved(near.select("a", "b"), "line-near")
     first = Saved(edit_links(pairs.df, every, firsts), "line-links")
     pairs.drop()
     components = connected_components(first.df)
-    placed = with_component(shared.df.where("size > 2"), "id", components)
+    placed = with_component(shared.where("size > 2"), "id", components)
     sizes = placed.groupBy("bucket", "component").agg(F.count("*").alias("n"))
     mixed = sizes.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("most"), F.count("*").alias("k"), F.sum("n").alias("size")).where("k > 1").drop("k")
     placed = Saved(placed.drop("size").join(mixed, "bucket").where("id <> head").join(sims, "id"), "line-placed")
@@ -156,7 +161,8 @@ def line_components(sims: DataFrame, every: DataFrame, firsts: DataFrame) -> Dat
     others = placed.df.select("bucket", F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"), F.col("id").alias("y"), F.col("component").alias("cy"), "most", *(F.col(s).alias(f"y_{s}") for s in _SIM))
     met = few.join(others, ["bucket", "block"]).where(F.expr("cx <> cy and (cy = most or x < y)") & (apart("x_", "y_") <= MAX_BITS))
     others = Saved(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "line-near")
-    shared.drop(), placed.drop()
+    for old in (*tables, placed):
+        old.drop()
     return connected_components(first.df.unionByName(edit_links(others.df, every, firsts)))
 
 
