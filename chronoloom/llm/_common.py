@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -107,6 +108,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def named(name: str) -> Column:
+    """A column by its whole name, dots and backticks included."""
+    return F.col(f"`{name.replace('`', '``')}`")
+
+
+def numbered(df: DataFrame, name: str, *order: Column) -> DataFrame:
+    """df, saved, with `index`: its rows' places by `order`, from 1. Rows are range-sorted and numbered inside their
+    ranges; what the ranges before hold is summed over one row for each. Rows that `order` leaves equal go to one task."""
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())
+    placed = saved(placed, name).withColumn("__range", F.shiftright("__at", 33))
+    sizes = placed.groupBy("__range").agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(W.orderBy("__range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    met = placed.join(F.broadcast(sizes.select("__range", before.alias("__before"))), "__range")
+    return met.withColumn("index", F.col("__before") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("__at", "__range", "__before")
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z and nothing else."""
     return F.translate(text, UPPER, UPPER.lower())

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronoloom.llm import decontamination, linededup, mixing, neardup, pii, repeats, secrets, topk, toxicity, urls
+from chronoloom.llm import audit, decontamination, importance, linededup, mixing, neardup, pii, repeats, secrets, topk, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": mixing.op1_mixing,
@@ -19,6 +19,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_repeats": repeats.op8_repeats,
     "op9_top_k": topk.op9_top_k,
     "op10_secrets": secrets.op10_secrets,
+    "op11_resampling": importance.op11_resampling,
+    "op12_filter_audit": audit.op12_filter_audit,
 }
 
 SQL: dict[str, str] = {
@@ -26,4 +28,6 @@ SQL: dict[str, str] = {
     "op4_url_filter": urls.OP4_SQL,
     "op5_near_duplicates": neardup.OP5_SQL,
     "op9_top_k": topk.OP9_SQL,
+    "op11_resampling": importance.OP11_SQL,
+    "op12_filter_audit": audit.OP12_SQL,
 }
