@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronoloom.llm import audit, decontamination, importance, linededup, mixing, neardup, pii, repeats, secrets, topk, toxicity, urls
+from chronoloom.llm import audit, decontamination, fingerprints, importance, linededup, mixing, neardup, pii, repeats, secrets, topk, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": mixing.op1_mixing,
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_secrets": secrets.op10_secrets,
     "op11_resampling": importance.op11_resampling,
     "op12_filter_audit": audit.op12_filter_audit,
+    "op13_fingerprints": fingerprints.op13_fingerprints,
 }
 
 SQL: dict[str, str] = {
