@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import contextvars
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -51,7 +52,7 @@ class Saved:
 
     def __init__(self, df: DataFrame, name: str) -> None:
         self.spark, self.path, self.dropped = df.sparkSession, f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}", False
-        _OWNERS[-1].append(self)
+        _owners()[-1].append(self)
         before = self.spark.conf.get(_CLEANUP, "false")
         self.spark.conf.set(_CLEANUP, "true")
         try:
@@ -66,8 +67,14 @@ class Saved:
             remove(self.spark, self.path)
 
 
-#: The tables of the open scopes, the innermost last; the first list is the session's.
-_OWNERS: list[list[Saved]] = [[]]
+#: The tables that no scope owns; the session's end drops them.
+_SESSION: list[Saved] = []
+#: The tables of the open scopes of a thread (or context), the innermost last.
+_OPEN: contextvars.ContextVar[tuple[list[Saved], ...]] = contextvars.ContextVar("open scopes", default=())
+
+
+def _owners() -> tuple[list[Saved], ...]:
+    return (_SESSION, *_OPEN.get())
 
 
 class Scope:
@@ -76,7 +83,7 @@ class Scope:
 
     def __enter__(self) -> Scope:
         self.kept: list[Saved] = []
-        _OWNERS.append([])
+        self.before = _OPEN.set((*_OPEN.get(), []))
         return self
 
     def result(self, df: DataFrame, name: str) -> DataFrame:
@@ -86,16 +93,18 @@ class Scope:
         return out.df
 
     def __exit__(self, failure: type | None, *_: object) -> None:
-        for table in _OWNERS.pop():
+        own = _owners()[-1]
+        _OPEN.reset(self.before)
+        for table in own:
             if failure is None and table in self.kept:
-                _OWNERS[-1].append(table)
+                _owners()[-1].append(table)
             else:
                 table.drop()
 
 
 @atexit.register
 def _drop_results() -> None:
-    for table in _OWNERS[0]:
+    for table in _SESSION:
         with contextlib.suppress(Exception):  # the gateway may be gone by now
             table.drop()
 
@@ -108,11 +117,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def named(name: str) -> Column:
+def column(name: str) -> Column:
     """A column by its whole name, dots and backticks included."""
     return F.col(f"`{name.replace('`', '``')}`")
 
 
+def filtered(df: DataFrame, name: str, keep: Callable[[], Callable[[list], list[bool]]]) -> DataFrame:
+    """The rows of df for whose values of a column the function that keep() makes in each task says so. Arrow kernels
+    resolve columns by their names, so that these go by number meanwhile."""
+    at = df.columns.index(name)
+    plain = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told = keep()
+        for batch in batches:
+            for part in rows_of(batch):
+                yield part.filter(pa.array(told(part.column(at).to_pylist()), pa.bool_()))
+
+    return plain.mapInArrow(run, plain.schema).toDF(*df.columns)
+
+
 def numbered(df: DataFrame, name: str, *order: Column) -> DataFrame:
     """df, saved, with `index`: its rows' places by `order`, from 1. Rows are range-sorted and numbered inside their
     ranges; what the ranges before hold is summed over one row for each. Rows that `order` leaves equal go to one task."""

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from chronoloom.llm._common import Saved, Scope, named, table
+from chronoloom.llm._common import Saved, Scope, column, table
 
 #: Most filters whose orders are made: 720 of them.
 MOST = 6
@@ -74,16 +74,16 @@ def audited(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
     ignored.
     """
     with Scope() as scope:
-        body = F.coalesce(named(text), F.lit(""))
+        body = F.coalesce(column(text), F.lit(""))
         tests = quality_failures(body)
         mask = sum((F.shiftleft(t.cast("int"), i) for i, t in enumerate(tests.values())), F.lit(0))
-        rows = docs.select(named(key).alias("key"), F.coalesce(named(part).cast("string"), F.lit("")).alias("part"), F.unhex(F.sha2(body, 256)).alias("digest"), mask.alias("mask"))
+        rows = docs.select(column(key).alias("key"), F.coalesce(column(part).cast("string"), F.lit("")).alias("part"), F.unhex(F.sha2(body, 256)).alias("digest"), mask.alias("mask"))
         rows = copies(Saved(rows, "audit-rows").df, "key", "digest")
         every = rows.withColumn("mask", F.col("mask") + F.shiftleft(F.col("copy").cast("int"), len(tests)))
         # rows of one key count together before they meet its label
         counted = every.groupBy("key", "part", "mask").agg(F.count("*").alias("n"))
-        one = lambda c: F.coalesce(F.max((named(c) == 1).cast("int")), F.lit(0))
-        known = labels.groupBy(named(key).alias("__key")).agg(one("quality").alias("good"), one("toxic").alias("toxic"))
+        one = lambda c: F.coalesce(F.max((column(c) == 1).cast("int")), F.lit(0))
+        known = labels.groupBy(column(key).alias("__key")).agg(one("quality").alias("good"), one("toxic").alias("toxic"))
         met = counted.join(known, F.col("key") == F.col("__key"), "left")
         times = lambda c: F.sum(F.coalesce(F.col(c), F.lit(0)) * F.col("n")).alias(c)
         cells = Saved(met.groupBy("part", "mask").agg(F.sum("n").alias("n"), times("good"), times("toxic")), "audit-cells").df

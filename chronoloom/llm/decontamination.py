@@ -16,6 +16,7 @@ bound whatever the benchmark's size; documents are never shuffled. Kernels work
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoloom.llm._common import Saved, rows_of, table
+from chronoloom.llm._common import Saved, Scope, column, filtered, rows_of, table
 
 Q = 8
 #: Bytes of a window, from one window that is always aligned to the next, and the edits allowed for each byte.
@@ -35,6 +36,7 @@ _TABLE = bytes(c + 32 if 65 <= c <= 90 else 32 if c < 128 and not chr(c).isalnum
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _BITS = 22
 REGION = "struct<item_id:bigint,start:int,end:int,edits:int>"
+_ARROW = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("edits", pa.int32())]))
 
 
 def plain(text: str) -> bytes:
@@ -199,22 +201,43 @@ class Index:
 def blocks_of(benchmark: DataFrame, item: str, text: str) -> Iterator[tuple[int, int, Index]]:
     """The benchmark in blocks by a hash of the item, as many as keep a block near BLOCK_BYTES; each with its number and
     how many there are."""
-    held = benchmark.where(F.col(item).isNotNull() & F.col(text).isNotNull()).select(F.col(item).cast("long").alias("i"), F.col(text).alias("t"))
+    held = benchmark.where(column(item).isNotNull() & column(text).isNotNull()).select(column(item).cast("long").alias("i"), column(text).alias("t"))
     total = held.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     n = 1 + total // BLOCK_BYTES
     for k in range(n):
         yield k, n, Index([(r.i, r.t) for r in held.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k).orderBy("i", "t").collect()])
 
 
-def _between_blocks(df: DataFrame, k: int, n: int) -> DataFrame:
-    """What blocks before the last have found is written, so that one block only is in memory at a time."""
-    return df if k == n - 1 else Saved(df, "benchmark-block").df
-
-
 def _regions(index: Index, texts: list[str | None]) -> list[list[tuple[int, int, int, int]]]:
     return [index.regions(plain(t)) if t else [] for t in texts]
 
 
+def _listed(regions: list[list[tuple[int, int, int, int]]]) -> pa.Array:
+    return pa.array([[dict(zip(("item_id", "start", "end", "edits"), r, strict=True)) for r in some] for some in regions], _ARROW)
+
+
+def regions_by_text(docs: DataFrame, benchmark: DataFrame, text: str, item: str) -> DataFrame:
+    """sha (of a text) and regions of the texts that have any. The benchmark's blocks are looked for one after another
+    in the texts as they are read; only what is found is kept between them."""
+    found = None
+    for _, _, index in blocks_of(benchmark, item, "text"):
+        held = docs.sparkSession.sparkContext.broadcast(index)
+
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in rows_of(batch):
+                    texts = part.column(0).to_pylist()
+                    hits = [(t, r) for t, r in zip(texts, _regions(held.value, texts), strict=True) if r]
+                    shas = pa.array([hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t, _ in hits], pa.string())
+                    yield pa.RecordBatch.from_arrays([shas, _listed([r for _, r in hits])], names=["sha", "regions"])
+
+        some = docs.select(column(text).alias("text")).mapInArrow(run, f"sha string, regions array<{REGION}>")
+        some = Saved(some.groupBy("sha").agg(F.first("regions").alias("regions")), "benchmark-regions").df
+        held.destroy()
+        found = some if found is None else found.unionByName(some)
+    return found.groupBy("sha").agg(F.flatten(F.collect_list("regions")).alias("regions"))  # a row for each block
+
+
 def contaminated_regions(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id") -> DataFrame:
     """key and `regions` of every row: item_id, start and end (bytes of the plain text) and edits of each region.
 
@@ -222,42 +245,40 @@ def contaminated_regions(docs: DataFrame, benchmark: DataFrame, key: str = "doc_
     repeated items and rows each counts for itself; a null key passes through; extra columns are ignored; an empty
     table of either kind gives rows without regions or no rows.
     """
-    out = docs.select(F.col(key), F.col(text).alias("__text"), F.array().cast(f"array<{REGION}>").alias("regions"))
-    for k, n, index in blocks_of(benchmark, item, "text"):
-        held = docs.sparkSession.sparkContext.broadcast(index)
+    first = next(blocks := blocks_of(benchmark, item, "text"))
+    if first[1] == 1:
+        blocks.close()
+        held = docs.sparkSession.sparkContext.broadcast(first[2])
+        source = docs.select(column(key).alias("key"), column(text).alias("text"))
 
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for part in rows_of(batch):
-                    found = _regions(held.value, part.column(1).to_pylist())
-                    names = ("item_id", "start", "end", "edits")
-                    known = part.column(2).to_pylist()
-                    lists = pa.array([old + [dict(zip(names, r, strict=True)) for r in new] for old, new in zip(known, found, strict=True)], part.schema.field(2).type)
-                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists], names=[key, "__text", "regions"])
+                    yield pa.RecordBatch.from_arrays([part.column(0), _listed(_regions(held.value, part.column(1).to_pylist()))], names=["key", "regions"])
 
-        out = out.mapInArrow(run, out.schema)
-        out = _between_blocks(out, k, n)
-    return out.select(key, "regions")
+        return source.mapInArrow(run, f"key {source.schema[0].dataType.simpleString()}, regions array<{REGION}>").toDF(key, "regions")
+    with Scope() as scope:
+        found = regions_by_text(docs, benchmark, text, item).withColumnRenamed("sha", "found_sha")
+        rows = docs.select(column(key).alias(key), F.sha2(column(text), 256).alias("sha"))
+        met = rows.join(found, F.col("sha") == F.col("found_sha"), "left")
+        return scope.result(met.select(column(key), F.coalesce("regions", F.array().cast(f"array<{REGION}>")).alias("regions")), "benchmark-result")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id") -> DataFrame:
-    """The rows of docs without a contaminated region, with all their columns.
+    """The rows of docs without a contaminated region, with all their columns. Each block of the benchmark looks at what
+    the blocks before have left, in one pass over the texts if one block holds the benchmark.
 
     Edge cases: as in contaminated_regions; rows with null or empty texts stay; repeated rows fare alike; columns of
     any name pass through; an empty table stays empty, and an empty benchmark keeps every row.
     """
-    at = docs.columns.index(text)
-    for k, n, index in blocks_of(benchmark, item, "text"):
-        held = docs.sparkSession.sparkContext.broadcast(index)
-
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for part in rows_of(batch):
-                    yield part.filter(pa.array([not r for r in _regions(held.value, part.column(at).to_pylist())], pa.bool_()))
-
-        docs = docs.mapInArrow(run, docs.schema)
-        docs = _between_blocks(docs, k, n)
-    return docs
+    first = next(blocks := blocks_of(benchmark, item, "text"))
+    if first[1] == 1:
+        blocks.close()
+        held = docs.sparkSession.sparkContext.broadcast(first[2])
+        return filtered(docs, text, lambda: lambda texts: [not r for r in _regions(held.value, texts)])
+    with Scope() as scope:
+        gone = scope.result(regions_by_text(docs, benchmark, text, item).select("sha"), "benchmark-gone")
+    return docs.join(gone, F.sha2(column(text), 256) == gone["sha"], "left_anti")
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

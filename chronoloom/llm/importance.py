@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoloom.llm._common import Saved, Scope, ascii_lower, named, numbered, table
+from chronoloom.llm._common import Saved, Scope, ascii_lower, column, numbered, table
 
 BUCKETS, SEED, LEAST_WORDS, PERCENT = 10_000, 2024, 20, 10
 #: Bits of a digit: at most 2^DIGIT counts of a pass reach the driver.
@@ -93,9 +93,9 @@ def resampled(
     against a flat target; extra columns are ignored. The key is a whole number.
     """
     with Scope() as scope:
-        read = docs.select(named(key).cast("long").alias("key"), words_of(named(text)).alias("words"))
+        read = docs.select(column(key).cast("long").alias("key"), words_of(column(text)).alias("words"))
         bags = Saved(bucketed(read, longest, buckets).withColumn("row", F.monotonically_increasing_id()), "resample-bags").df
-        goal = bucketed(target.select(words_of(named(target_text)).alias("words")), longest, buckets)
+        goal = bucketed(target.select(words_of(column(target_text)).alias("words")), longest, buckets)
         gain = F.split(F.lit(",".join(map(str, gains(bags, goal, buckets)))), ",").cast("array<int>")
         total, n = F.aggregate("bag", F.lit(0).cast("long"), lambda sum_, b: sum_ + F.get(gain, b)), F.size("bag").cast("long")
         weight = F.when(F.col("n_features") > 0, F.expr("(total - pmod(total, n_features)) div n_features")).otherwise(F.lit(0)).cast("long")
@@ -120,8 +120,8 @@ def drawn_documents(docs: DataFrame, target: DataFrame, key: str = "doc_id", **o
     """The documents that resampled() draws, with their own columns and `draw_rank` (replaced if there is one). Rows that
     share a key, null included, go together, at their best rank; else as in resampled()."""
     ranks = resampled(docs, target, key, **options).where("rank is not null").groupBy(F.col("key").alias("__drawn_key")).agg(F.min("rank").alias("draw_rank"))
-    own = docs.select(*(named(c) for c in docs.columns if c != "draw_rank"))
-    met = own.join(ranks, named(key).cast("long").eqNullSafe(F.col("__drawn_key")))
+    own = docs.select(*(column(c) for c in docs.columns if c != "draw_rank"))
+    met = own.join(ranks, column(key).cast("long").eqNullSafe(F.col("__drawn_key")))
     return met.drop("__drawn_key")
 
 

@@ -1,40 +1,46 @@
 """Fuzzy line dedup in DataFrame operations only: SimHash of normalised lines, pigeonhole blocks, edit similarity.
 
-Two lines are linked if their edit similarity is LIKENESS or more. Candidates are lines whose SimHashes of 64 * HASHES
-bits differ in at most MAX_BITS bits and agree in a whole block: the hash is cut into blocks of BLOCK_BITS bits, each a
-bucket, so lines that differ in fewer bits than there are blocks always meet, and others by chance (the README gives
-the measured recall). Of each connected group of lines the first occurrence stays.
-
-The hash sums its bits' votes in 8-bit lanes of long columns, in one aggregation over exploded words that needs no
-exchange of its own, since lines are dealt out before.
+Two lines are linked if their edit similarity is LIKENESS or more. A line's SimHash has a word of 64 bits that all its
+features vote for, and blocks of 32 bits that only a share of them vote for, chosen by the feature's hash: some four to
+sixteen features a block, whatever the line's length. So an edit leaves whole blocks as they are, and lines that
+differ in few features meet in one of them (the README gives the measured recall); lines that meet and differ in
+MAX_BITS of the whole line's bits at most are compared. Features are the distinct words of a line, of short ones their
+character trigrams. Of each connected group of lines the first occurrence stays.
+
+Votes are summed in 8-bit lanes of long columns over exploded features, in one aggregation that needs no exchange of
+its own, since lines are dealt out before.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoloom.llm._common import Saved, Scope, table
+from chronoloom.llm._common import Saved, Scope, column, table
 from chronoloom.llm.components import connected_components, with_component
 
-#: 64-bit words of a SimHash, bits of a block, and most bits by which candidates differ.
-HASHES, BLOCK_BITS, MAX_BITS = 8, 24, 84
+#: Most bits of 64 by which the whole lines' SimHashes of candidates differ.
+MAX_BITS = 22
 LIKENESS = 0.9
-#: Characters that stand for words: the first one, and how many.
-FIRST_CODE, CODES = 0x4E00, 20480
-#: Most words whose votes the sign-free 8-bit lanes of a long can hold.
-PIECE_WORDS = 127
-#: Blocks whose buckets are shuffled at a time.
-AT_ONCE = 6
-#: Members of a block, where a bucket's members meet in blocks.
+#: Lines of less than GRAMS_BELOW words have trigrams as features, of WORDS_FROM or more words, those between both.
+WORDS_FROM, GRAMS_BELOW = 16, 18
+#: Blocks of a class. Classes of even and of odd number have blocks of their own.
+BLOCKS = 4
+#: The bits that choose a block's features are 16, so there is no class above this one and the next.
+MOST_CLASSES = 15
+#: Most features whose votes the sign-free 8-bit lanes of a long can hold.
+PIECE = 127
+#: Lines above this are compared by their shingles of SHINGLE words, at PERCENT of those in either.
+LONG, SHINGLE, PERCENT = 4096, 5, 75
+#: Members of a block of a bucket, where a bucket's members meet in blocks.
 BLOCK = 2048
 #: A line that has more than this share of all lines is joined by broadcast; so there are at most 1 / HOT_SHARE of them.
 HOT_SHARE = 1 / 512
+#: Characters that stand for words: the first one, and how many.
+FIRST_CODE, CODES = 0x4E00, 20480
 _LANES = 0x0101010101010101
-_SIM = [f"s{h}" for h in range(HASHES)]
 
 
 def normalised(line: Column) -> Column:
@@ -45,65 +51,90 @@ def normalised(line: Column) -> Column:
 def lines_of(docs: DataFrame, key: str, text: str) -> DataFrame:
     """doc, version (tells texts of one key apart), n, line and id of each line. Lines without a letter or digit are
     empty and no lines to compare."""
-    parts = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("doc"), F.xxhash64(F.col(text)).alias("version"), F.posexplode(F.split(F.col(text), "\n")).alias("n", "line"))
+    parts = docs.where(column(key).isNotNull()).select(column(key).alias("doc"), F.xxhash64(column(text)).alias("version"), F.posexplode(F.split(column(text), "\n")).alias("n", "line"))
     return parts.withColumn("line", normalised("line")).withColumn("id", F.xxhash64("line"))
 
 
-def simhash(lines: DataFrame) -> DataFrame:
-    """id and s0, s1, ... of lines (row, id, line), row being unique. Lines are dealt out by row, their words exploded
-    and the votes of each PIECE_WORDS words summed where they are. Lines of one piece, most of them, are done then; the
-    votes of other lines' pieces are summed in 32-bit lanes."""
-    sized = lines.withColumn("total", F.length("line") - F.length(F.replace("line", F.lit(" "))) + 1)
-    lanes = [f"v{k}" for k in range(8)]
-
-    def pieces(some: DataFrame) -> DataFrame:
-        """row, piece, id, total, h and v0 to v7: the votes for bits k, k + 8, ... of word h of the hash in vk."""
-        voters = some.repartition("row").select("row", "id", "total", F.posexplode(F.split("line", " ")).alias("at", "word"))
-        hashes = [F.xxhash64(F.xxhash64("word"), F.lit(h)).alias(f"h{h}") for h in range(HASHES)]
-        voters = voters.select("row", "id", "total", F.expr(f"at div {PIECE_WORDS}").cast("int").alias("piece"), *hashes)
-        vote = lambda h, k: F.sum(F.shiftrightunsigned(f"h{h}", k).bitwiseAND(F.lit(_LANES)))
-        summed = voters.groupBy("row", "piece", "id", "total").agg(*(vote(h, k).alias(f"v{h}_{k}") for h in range(HASHES) for k in range(8)))
-        words = F.array(*(F.struct(F.lit(h).alias("h"), *(F.col(f"v{h}_{k}").alias(lanes[k]) for k in range(8))) for h in range(HASHES)))
-        return summed.select("row", "piece", "id", "total", F.inline(words))
-
-    def votes(v: str, wide: int, part: int) -> str:
-        """Every (wide / 8)-th of the 8-bit lanes of v, from lane `part` on, in lanes of `wide` bits."""
-        return f"(shiftrightunsigned({v}, {8 * part}) & {sum(0xFF << i for i in range(0, 64, wide))}L)"
+def featured(lines: DataFrame) -> DataFrame:
+    """id, kind (0: trigrams, 1: words), size (characters) and features (distinct, as bytes) of lines (id, line)."""
+    # characters in 4 bytes each, so that no trigram is looked for from the line's beginning
+    starts = lambda code: F.sequence(F.lit(0), F.greatest((F.octet_length(code) / 4).cast("int") - 3, F.lit(0)))
+    grams = F.transform(F.array(F.encode("line", "UTF-32")), lambda code: F.transform(starts(code), lambda i: F.substring(code, i * 4 + 1, F.lit(12))))[0]
+    words = F.split("line", " ")
+    cut = lines.select("id", "line", F.length("line").alias("size"), words.alias("words"))
+    few, many = F.size("words") < GRAMS_BELOW, F.size("words") >= WORDS_FROM
+    kinds = F.array(F.when(few, F.struct(F.lit(0).alias("kind"), grams.alias("f"))), F.when(many, F.struct(F.lit(1).alias("kind"), F.transform("words", lambda w: w.cast("binary")).alias("f"))))
+    each = cut.select("id", "size", F.explode(F.filter(kinds, lambda k: k.isNotNull())).alias("k"))
+    return each.select("id", F.col("k.kind").alias("kind"), "size", F.array_distinct("k.f").alias("features"))
 
-    def bits(sums: Callable[[int, int], str], wide: int) -> Column:
-        """The bits with more than half of the votes: in a lane, the bit below the highest is set where sum + 2^top - 1 - half has it."""
-        top = wide - 2
-        add, mask = f"({(1 << top) - 1} - total div 2) * {sum(1 << i for i in range(0, 64, wide))}L", sum(1 << top + i for i in range(0, 64, wide))
-        parts = [f"shiftleft(shiftrightunsigned(({sums(k, part)} + {add}) & {mask}L, {top}), {8 * part + k})" for k in range(8) for part in range(wide // 8)]
-        return F.expr(" | ".join(parts)).alias("sim")
 
-    one = pieces(sized.where(F.col("total") <= PIECE_WORDS)).select("id", "h", bits(lambda k, part: votes(lanes[k], 16, part), 16))
-    sums = [F.sum(F.expr(votes(lanes[k], 32, part))).alias(f"n{k}_{part}") for k in range(8) for part in range(4)]
-    many = pieces(sized.where(F.col("total") > PIECE_WORDS)).groupBy("row", "id", "total", "h").agg(*sums)
-    many = many.select("id", "h", bits(lambda k, part: f"n{k}_{part}", 32))
-    return one.unionByName(many).groupBy("id").agg(*(F.min(F.when(F.col("h") == h, F.col("sim"))).alias(s) for h, s in enumerate(_SIM)))
+def bits(sums: list[Column], total: Column, wide: int) -> Column:
+    """The bits with more than half of the total votes; sums[k * parts + p] has, in lanes of `wide` bits, every parts-th of
+    the lanes that vote for bits k, k + 8, ..., from lane p on. In a lane, the bit below the highest is set where sum +
+    2^top - 1 - half has it."""
+    top, parts = wide - 2, wide // 8
+    add = ((1 << top) - 1 - F.shiftright(total, 1)) * F.lit(sum(1 << i for i in range(0, 64, wide)))
+    mask = F.lit(sum(1 << top + i for i in range(0, 64, wide)))
+    each = [F.shiftleft(F.shiftrightunsigned((v + add).bitwiseAND(mask), top), 8 * (i % parts) + i // parts) for i, v in enumerate(sums)]
+    return reduce(lambda x, y: x.bitwiseOR(y), each)
 
 
-def buckets(sims: DataFrame, blocks: range) -> DataFrame:
-    """bucket and id: one bucket for each of the blocks of the SimHash."""
+def lanes(v: Column, wide: int) -> list[Column]:
+    """The 8-bit lanes of v in lanes of `wide` bits: every (wide / 8)-th of them, from each of the first ones on."""
+    mask = F.lit(sum(0xFF << i for i in range(0, 64, wide)))
+    return [F.shiftrightunsigned(v, 8 * part).bitwiseAND(mask) for part in range(wide // 8)]
 
-    def block(k: int) -> Column:
-        word, bit = divmod(k * BLOCK_BITS, 64)
-        bits = F.shiftrightunsigned(_SIM[word], bit)
-        if bit + BLOCK_BITS > 64:
-            bits = bits.bitwiseOR(F.shiftleft(_SIM[word + 1], 64 - bit))
-        return bits.bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)).bitwiseOR(F.lit(k << BLOCK_BITS))
-
-    return sims.select(F.explode(F.array(*map(block, blocks))).alias("bucket"), "id")
-
-
-def apart(a: str, b: str) -> Column:
-    """The bits by which two SimHashes differ."""
-    return reduce(lambda x, y: x + y, (F.bit_count(F.col(f"{a}{s}").bitwiseXOR(F.col(f"{b}{s}"))) for s in _SIM))
 
+def simhash(lines: DataFrame) -> DataFrame:
+    """id, size, sim (64 bits) and bucket: a row for each block of each line that has votes of three features, or of all.
 
-def named(sims: DataFrame, side: str) -> DataFrame:
-    return sims.select(F.col("id").alias(side), *(F.col(s).alias(f"{side}_{s}") for s in _SIM))
+    A class c has the features whose hash is divisible by 2^c, block by block with bits of their own; a line of n
+    features is in the classes in which four to eight, and eight to sixteen, are to be expected. So two lines with
+    about as many features share one class at least. Long lines' features vote in pieces, whose sums are added up.
+    """
+    sized = featured(lines).withColumn("n", F.size("features"))
+    low = F.least(F.greatest(F.floor(F.log2(F.col("n") / 8)), F.lit(0)), F.lit(MOST_CLASSES)).cast("int")
+    # the even class, and the odd one, of the two; a line of less than eight features is in class 0 alone
+    even, odd = low + F.pmod(low, F.lit(2)), F.when(F.col("n") >= 8, low + 1 - F.pmod(low, F.lit(2))).otherwise(-1)
+    sized = sized.withColumn("even", even).withColumn("odd", odd).repartition("id")
+    voters = sized.select("id", "kind", "size", "n", "even", "odd", F.posexplode("features").alias("at", "feature"))
+    voters = voters.withColumn("h", F.xxhash64("feature")).withColumn("m0", F.xxhash64("h", F.lit(1))).withColumn("m1", F.xxhash64("h", F.lit(2)))
+    keys = ["id", "kind", "size", "n", "even", "odd"]
+    vote = [F.shiftrightunsigned("h", k).bitwiseAND(F.lit(_LANES)) for k in range(8)]
+    share = lambda c: F.expr(f"shiftleft(1L, greatest({c}, 0)) - 1")
+    inside = [F.shiftrightunsigned(m, 16 * b).bitwiseAND(share(c)) == 0 for m, c in (("m0", "even"), ("m1", "odd")) for b in range(BLOCKS)]
+    own = [f"b{b}_{k}" for b in range(2 * BLOCKS) for k in range(4)]
+    counts = [f"n{b}" for b in range(2 * BLOCKS)]
+    sums = [F.sum(v).alias(f"v{k}") for k, v in enumerate(vote)] + [F.sum(F.when(inside[b], vote[k]).otherwise(F.lit(0).cast("long"))).alias(f"b{b}_{k}") for b in range(2 * BLOCKS) for k in range(4)]
+    sums += [F.count_if(i).alias(name) for i, name in zip(inside, counts, strict=True)]
+    pieces = voters.groupBy(*keys, F.expr(f"at div {PIECE}").cast("int").alias("piece")).agg(*sums)
+    one = pieces.where(F.col("n") <= PIECE)
+    one = one.withColumn("sim", bits([x for k in range(8) for x in lanes(F.col(f"v{k}"), 16)], F.col("n").cast("long"), 16))
+    wide = [(f"w{k}_{p}", x) for k in range(8) for p, x in enumerate(lanes(F.col(f"v{k}"), 32))]
+    many = pieces.where(F.col("n") > PIECE).groupBy(*keys).agg(*(F.sum(x).alias(name) for name, x in wide), *(F.sum(c).alias(c) for c in (*own, *counts)))
+    many = many.withColumn("sim", bits([F.col(name) for name, _ in wide], F.col("n").cast("long"), 32))
+    take = [*keys, "sim", *own, *counts]
+    every = one.select(*take).unionByName(many.select(*take))
+
+    def bucket(b: int) -> Column:
+        """Null where the block has too few votes to tell lines apart. The lanes of 4 sums hold 32 bits."""
+        c = "even" if b < BLOCKS else "odd"
+        hashed = bits([x for k in range(4) for x in lanes(F.col(f"b{b}_{k}"), 16)], F.col(f"n{b}"), 16)
+        # lanes hold bits k, k + 8, ...: 4 of every 8; the place of the block, its class and the kind go between
+        tag = ((F.col(c) * (2 * BLOCKS) + b) * 2 + F.col("kind")).cast("long")
+        spread = reduce(lambda x, y: x.bitwiseOR(y), (F.shiftleft(F.shiftrightunsigned(tag, 4 * i).bitwiseAND(F.lit(15)), 8 * i + 4) for i in range(3)))
+        # class 0 has all features in each of its blocks, so that one will do
+        enough = F.col(c) == 0 if b == 0 else F.lit(False)
+        return F.when(enough | (F.col(c) > 0) & (F.col(f"n{b}") >= 3), hashed.bitwiseOR(spread))
+
+    met = every.select("id", "size", "sim", F.explode(F.array(*map(bucket, range(2 * BLOCKS)))).alias("bucket"))
+    return met.where("bucket is not null")
+
+
+def alike() -> Column:
+    """Of a pair with sizes and SimHashes x and y: near enough to be compared."""
+    longer = F.greatest("x_size", "y_size")
+    return (F.bit_count(F.col("x_sim").bitwiseXOR(F.col("y_sim"))) <= MAX_BITS) & (F.abs(F.col("x_size") - F.col("y_size")) <= F.floor(longer * (1 - LIKENESS) + 1e-9))
 
 
 def coded(words: Column) -> Column:
@@ -112,58 +143,62 @@ def coded(words: Column) -> Column:
     return F.decode(F.unhex(F.array_join(codes, "")), "UTF-16BE")
 
 
-def edit_links(near: DataFrame, every: DataFrame, firsts: DataFrame) -> DataFrame:
+def shingles(line: Column) -> Column:
+    """The distinct hashes of a long line's shingles."""
+    words = F.split(line, " ")
+    return F.transform(F.array(words), lambda w: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (SHINGLE - 1), F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(w, i, SHINGLE), " ")))))[0]
+
+
+def edit_links(near: DataFrame, lines: DataFrame) -> DataFrame:
     """The pairs (a, b) of line ids whose edit similarity is LIKENESS or more. The texts of these lines alone are
-    looked up, where the lines first stand."""
-    wanted = firsts.join(near.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id")
-    texts = every.join(wanted.withColumnRenamed("id", "__id"), (F.col("id") == F.col("__id")) & (F.struct("doc", "version", "n") == F.col("first")))
-    texts = Saved(texts.groupBy("id").agg(F.min("line").alias("line")).select("id", "line", coded(F.split("line", " ")).alias("coded")), "line-texts")
-    side = lambda a: texts.df.select(F.col("id").alias(a), F.col("line").alias(f"{a}_line"), F.col("coded").alias(f"{a}_coded"))
+    looked up in lines (id, line). The cost of edits grows with the square of a line: above LONG characters shingles
+    are compared instead, which is linear."""
+    wanted = near.select(F.explode(F.array("a", "b")).alias("__id")).distinct()
+    texts = lines.join(wanted, F.col("id") == F.col("__id"), "left_semi").select("id", "line", F.when(F.length("line") <= LONG, coded(F.split("line", " "))).alias("coded"), F.when(F.length("line") > LONG * LIKENESS, shingles(F.col("line"))).alias("parts"))
+    texts = Saved(texts, "line-texts")
+    side = lambda a: texts.df.select(F.col("id").alias(a), *(F.col(c).alias(f"{a}_{c}") for c in ("line", "coded", "parts")))
     near = near.join(side("a"), "a").join(side("b"), "b")
-    most = F.floor(F.greatest(F.length("a_line"), F.length("b_line")) * (1 - LIKENESS) + 1e-9).cast("int")
-    near = near.withColumn("__most", most).where("abs(length(a_line) - length(b_line)) <= __most")
+    long = F.greatest(F.length("a_line"), F.length("b_line"))
+    near = near.withColumn("__most", F.floor(long * (1 - LIKENESS) + 1e-9).cast("int")).where("abs(length(a_line) - length(b_line)) <= __most")
     # edits of words, where they are few, say how wide a band of characters is worth a try before the whole one
     near = near.withColumn("__words", F.expr("levenshtein(a_coded, b_coded, length(a_coded) div 10 + 1)"))
     near = near.withColumn("__try", F.expr("least(__most, if(__words >= 0, 5 * __words + 2, 0))"))
-    links = near.where(F.expr("(__try > 0 and levenshtein(a_line, b_line, __try) >= 0) or (__try < __most and levenshtein(a_line, b_line, __most) >= 0)"))
-    out = Saved(links.select("a", "b"), "line-links").df
+    by_edits = F.expr("(__try > 0 and levenshtein(a_line, b_line, __try) >= 0) or (__try < __most and levenshtein(a_line, b_line, __most) >= 0)")
+    by_shingles = 100 * F.size(F.array_intersect("a_parts", "b_parts")) >= PERCENT * F.size(F.array_union("a_parts", "b_parts"))
+    out = Saved(near.where(F.when(long > LONG, by_shingles).otherwise(by_edits)).select("a", "b"), "line-links").df
     texts.drop()
     return out
 
 
-def line_components(sims: DataFrame, every: DataFrame, firsts: DataFrame) -> DataFrame:
-    """id and component of the lines that have a link; sims: id and its SimHash; firsts: id and where it first stands
-    in every.
+def line_components(lines: DataFrame) -> DataFrame:
+    """id and component of the lines (id, line) that have a link.
 
     As in components.bucket_components, every member first meets the smallest id of its bucket, and then, where a
     bucket still holds several components, those outside its largest one meet the others, block by block. SimHashes
-    are compared inside the joins, so that only pairs within MAX_BITS bits leave them.
+    and sizes go with the members, so that only pairs that are near leave the joins.
     """
-    tables = []
-    for first in range(0, 64 * HASHES // BLOCK_BITS, AT_ONCE):  # a few blocks at a time, so that their shuffles are small
-        members = buckets(sims, range(first, min(first + AT_ONCE, 64 * HASHES // BLOCK_BITS)))
-        heads = members.groupBy("bucket").agg(F.min("id").alias("head"), F.count("*").alias("size")).where("size > 1")
-        tables.append(Saved(members.join(heads, "bucket"), "line-buckets"))
-    shared = reduce(DataFrame.unionByName, (t.df for t in tables))
-    pairs = shared.where("id <> head").groupBy(F.col("head").alias("a"), F.col("id").alias("b")).agg(F.lit(1)).select("a", "b")
-    near = pairs.join(named(sims, "b"), "b").join(named(sims, "a"), "a").where(apart("a_", "b_") <= MAX_BITS)
-    pairs = Saved(near.select("a", "b"), "line-near")
-    first = Saved(edit_links(pairs.df, every, firsts), "line-links")
+    members = Saved(simhash(lines), "line-buckets")
+    heads = members.df.groupBy("bucket").agg(F.min(F.struct("id", "sim", "size")).alias("head"), F.count("*").alias("n")).where("n > 1")
+    shared = Saved(members.df.join(heads, "bucket"), "line-shared")
+    members.drop()
+    sides = shared.df.where("id <> head.id").select(F.col("head.id").alias("a"), F.col("id").alias("b"), F.col("size").alias("x_size"), F.col("head.size").alias("y_size"), F.col("sim").alias("x_sim"), F.col("head.sim").alias("y_sim"))
+    pairs = Saved(sides.where(alike()).groupBy("a", "b").agg(F.lit(1)).select("a", "b"), "line-near")
+    first = edit_links(pairs.df, lines)
     pairs.drop()
-    components = connected_components(first.df)
-    placed = with_component(shared.where("size > 2"), "id", components)
+    components = connected_components(first)
+    placed = with_component(shared.df.where("n > 2").select("bucket", "id", "sim", "size", F.col("head.id").alias("head")), "id", components)
     sizes = placed.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-    mixed = sizes.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("most"), F.count("*").alias("k"), F.sum("n").alias("size")).where("k > 1").drop("k")
-    placed = Saved(placed.drop("size").join(mixed, "bucket").where("id <> head").join(sims, "id"), "line-placed")
+    mixed = sizes.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("most"), F.count("*").alias("k"), F.sum("n").alias("n")).where("k > 1").drop("k")
+    placed = Saved(placed.join(mixed, "bucket").where("id <> head"), "line-placed")
     # the head has met them all; the others of a bucket are cut into blocks, and those outside its largest component are sent to each
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    few = placed.df.where("component <> most").select("bucket", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.col("id").alias("x"), F.col("component").alias("cx"), *(F.col(s).alias(f"x_{s}") for s in _SIM))
-    others = placed.df.select("bucket", F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"), F.col("id").alias("y"), F.col("component").alias("cy"), "most", *(F.col(s).alias(f"y_{s}") for s in _SIM))
-    met = few.join(others, ["bucket", "block"]).where(F.expr("cx <> cy and (cy = most or x < y)") & (apart("x_", "y_") <= MAX_BITS))
-    others = Saved(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "line-near")
-    for old in (*tables, placed):
-        old.drop()
-    return connected_components(first.df.unionByName(edit_links(others.df, every, firsts)))
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    side = lambda s: [F.col(c).alias(f"{s}_{c}") for c in ("id", "component", "sim", "size")]
+    few = placed.df.where("component <> most").select("bucket", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), *side("x"))
+    others = placed.df.select("bucket", F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"), "most", *side("y"))
+    met = few.join(others, ["bucket", "block"]).where(F.expr("x_component <> y_component and (y_component = most or x_id < y_id)") & alike())
+    others = Saved(met.select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).distinct(), "line-near")
+    shared.drop(), placed.drop()
+    return connected_components(first.unionByName(edit_links(others.df, lines)))
 
 
 def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -171,22 +206,22 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
     Edge cases: a null text has no lines; lines without letters or digits are never removed; a row with a null key
     keeps all its lines and removes none elsewhere; repeated rows (key and text) are one and keep the same lines; the
-    first occurrence is that of the smallest key, then text, then line; extra columns are ignored; an empty table
-    gives an empty result.
+    first occurrence is that of the smallest key, then text, then line; lines above LONG characters are compared by
+    shingles; extra columns are ignored; an empty table gives an empty result.
     """
     at = F.struct("doc", "version", "n")
     with Scope() as scope:
-        every = Saved(lines_of(docs, key, text).withColumn("row", F.monotonically_increasing_id()), "line-every").df.where("line <> ''")
-        firsts = Saved(every.groupBy("id").agg(F.min(at).alias("first"), F.count("*").alias("copies")), "line-firsts").df
-        sims = Saved(simhash(every.select("row", "id", "line")), "line-sims").df
-        components = line_components(sims, every, firsts.drop("copies"))
+        every = lines_of(docs, key, text).where("line <> ''")
+        lines = Saved(every.groupBy("id").agg(F.min(at).alias("first"), F.count("*").alias("copies"), F.min("line").alias("line")), "line-firsts").df
+        places = Saved(every.select("doc", "version", "n", "id"), "line-places").df
+        components = line_components(lines.select("id", "line"))
         # a line without a link that stands once stays; the others keep their group's first occurrence
+        firsts = lines.select("id", "first", "copies")
         several = with_component(firsts, "id", components.select("id", "component"))
         groups = several.groupBy("component").agg(F.min("first").alias("keep"), F.sum("copies").alias("members")).where("members > 1")
         kept = Saved(several.join(groups, "component").select(F.col("id").alias("__id"), "keep", "copies"), "line-kept").df
         total = firsts.agg(F.sum("copies")).first()[0] or 0
         hot = F.col("copies") > max(1, int(total * HOT_SHARE))
-        places = every.select("doc", "version", "n", "id")
         same = F.col("id") == F.col("__id")
         hot_ids = F.broadcast(kept.where(hot))  # at most 1 / HOT_SHARE rows
         gone = places.join(hot_ids, same).where(at != F.col("keep"))
@@ -202,15 +237,15 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     Edge cases: as in repeated_lines; a null text stays null, and a row with a null key stays as it is; repeated rows
     stay, each without the same lines; extra columns pass through, whatever their names; an empty table stays empty.
     """
-    gone = repeated_lines(docs, key, text).select(F.col("doc").alias("__doc"), F.col("version").alias("__version"), F.col("removed").alias("__removed"))
-    marked = docs.withColumn("__hash", F.xxhash64(F.col(text)))
-    met = marked.join(gone, (F.col(key) == F.col("__doc")) & (F.col("__hash") == F.col("__version")), "left")
-    left = lambda parts: F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("__removed"))
+    # the table's columns go in one struct, so that no name of theirs meets one of ours
+    own = docs.select(F.struct(*(column(c) for c in docs.columns)).alias("own"), column(key).alias("key"), column(text).alias("text"), F.xxhash64(column(text)).alias("hash"))
+    met = own.join(repeated_lines(docs, key, text), (F.col("key") == F.col("doc")) & (F.col("hash") == F.col("version")), "left")
+    left = lambda parts: F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("removed"))
     # the outer transform binds the split text, so that it is split once and not for each line
-    short = F.transform(F.array(F.split(F.col(text), "\n")), lambda parts: F.array_join(F.transform(left(parts), lambda i: F.get(parts, i)), "\n"))[0]
-    met = met.withColumn("__text", F.when(F.col("__removed").isNull(), F.col(text)).otherwise(short))
-    met = met.where(F.col("__removed").isNull() | F.col("__text").rlike(r"[\p{L}\p{N}]"))
-    return met.select(*(F.col("__text").alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns))
+    short = F.transform(F.array(F.split(F.col("text"), "\n")), lambda parts: F.array_join(F.transform(left(parts), lambda i: F.get(parts, i)), "\n"))[0]
+    met = met.withColumn("short", F.when(F.col("removed").isNull(), F.col("text")).otherwise(short))
+    met = met.where(F.col("removed").isNull() | F.col("short").rlike(r"[\p{L}\p{N}]"))
+    return met.select(*(F.col("short").alias(c) if c == text else F.col("own")[c].alias(c) for c in docs.columns))
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

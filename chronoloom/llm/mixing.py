@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from chronoloom.llm._common import WORD, Scope, saved, table
+from chronoloom.llm._common import WORD, Scope, column, saved, table
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 2
@@ -42,8 +42,8 @@ def shuffle_order(key: Column) -> Column:
 def sized_documents(docs: DataFrame, key: str, text: str, source: str) -> DataFrame:
     """Written once, as both the targets and the queues read it: key, queue, size, order and a number for each row.
     `queue` names the source and is never null: 's' and its name, or '~', which sorts last."""
-    queue = F.coalesce(F.concat(F.lit("s"), F.col(source).cast("string")), F.lit("~"))
-    out = docs.select(F.col(key).alias("key"), queue.alias("queue"), words_in(F.col(text)).alias("size"), shuffle_order(F.col(key)).alias("order"))
+    queue = F.coalesce(F.concat(F.lit("s"), column(source).cast("string")), F.lit("~"))
+    out = docs.select(column(key).alias("key"), queue.alias("queue"), words_in(column(text)).alias("size"), shuffle_order(column(key)).alias("order"))
     return saved(out.withColumn("row", F.monotonically_increasing_id()), "mix-sizes")
 
 
@@ -160,10 +160,13 @@ def mixed_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", so
     Edge cases: as in Mix; documents without words are taken never; rows that share a key, null included, are counted
     together, and each shows the sum; columns of other names pass through; an empty table stays empty.
     """
-    mixed = mix_by_document(docs, key, text, source).where("taken > 0").groupBy(F.col("key").alias("__key"))
+    mixed = mix_by_document(docs, key, text, source).where("taken > 0").groupBy("key")
     mixed = mixed.agg(F.sum("size").alias("mix_size"), F.max("target").alias("mix_target"), F.sum("taken").alias("mix_taken"))
     kept = [c for c in docs.columns if c not in ("mix_size", "mix_target", "mix_taken")]
-    return docs.select(*kept).join(mixed, F.col(key).eqNullSafe(F.col("__key"))).select(*kept, "mix_size", "mix_target", "mix_taken")
+    # the table's columns go in one struct, so that no name of theirs meets one of ours
+    own = docs.select(F.struct(*map(column, kept)).alias("own"), column(key).alias("own_key"))
+    met = own.join(mixed, F.col("own_key").eqNullSafe(F.col("key")))
+    return met.select(*(F.col("own")[c].alias(c) for c in kept), "mix_size", "mix_target", "mix_taken")
 
 
 OP1_SQL = r"""

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoloom.llm._common import Saved, Scope, rows_of, table
+from chronoloom.llm._common import Saved, Scope, column, rows_of, table
 from chronoloom.llm.components import bucket_components, mixed_blocks, with_component
 
 SHINGLE = 5
@@ -100,7 +100,7 @@ def features(docs: DataFrame, key: str, text: str) -> DataFrame:
                 columns = [pa.array([x[i] for x in out], kind) for i, kind in enumerate(kinds)]
                 yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=["id", "n_shingles", "content", "signature", "bands"])
 
-    source = docs.select(F.col(key).cast("long").alias("id"), F.col(text))
+    source = docs.select(column(key).cast("long").alias("id"), column(text).alias("text"))
     return source.mapInArrow(run, "id long, n_shingles long, content binary, signature binary, bands array<long>")
 
 
@@ -183,7 +183,7 @@ def packed_sets(docs: DataFrame, key: str, text: str, wanted: DataFrame) -> Data
                 columns = [part.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "packed"])
 
-    source = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("__text")).join(wanted, "id", "left_semi")
+    source = docs.select(column(key).cast("long").alias("id"), column(text).alias("__text")).join(wanted, "id", "left_semi")
     return source.mapInArrow(run, "id long, n long, packed binary")
 
 
@@ -231,14 +231,22 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
-def one_of_each_group(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, but those that a near-duplicate with a smaller id stands for.
+def one_of_each_group(docs: DataFrame, key: str = "doc_id", text: str = "text", before: DataFrame | None = None) -> DataFrame:
+    """The rows of docs, with all their columns, but those that a near-duplicate with a smaller id stands for. before, if
+    given, has key and text as they were before other steps changed them (rows of other keys are ignored): documents are
+    near-duplicates by either of their texts.
 
     Edge cases: as in near_duplicates; rows without words or with a null key stay; rows with one id go or stay together;
     columns of any name pass through; an empty table stays empty.
     """
-    gone = near_duplicates(docs, key, text).where(~F.col("kept")).select("id").distinct()
-    return docs.join(gone, docs[key].cast("long") == gone["id"], "left_anti")
+    texts = docs.select(column(key).cast("long").alias("id"), column(text).alias("text"))
+    if before is not None:
+        own = texts.select(F.col("id").alias("own_id"), F.xxhash64("text").alias("own_hash")).distinct()
+        old = before.select(column(key).cast("long").alias("id"), column(text).alias("text"))
+        changed = old.join(own, (F.col("id") == F.col("own_id")) & (F.xxhash64("text") != F.col("own_hash"))).select("id", "text")
+        texts = texts.unionByName(changed)
+    gone = near_duplicates(texts, "id", "text").where(~F.col("kept")).select(F.col("id").alias("gone_id")).distinct()
+    return docs.join(gone, column(key).cast("long") == gone["gone_id"], "left_anti")
 
 
 #: Exact similarity of all pairs of classes that share a shingle, then components by label spreading.

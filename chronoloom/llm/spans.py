@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronoloom.llm._common import rows_of
+from chronoloom.llm._common import column, rows_of
 
 #: (kind, start, end in code points, of the base rules or not)
 Span = tuple[str, int, int, bool]
@@ -25,10 +25,10 @@ def find_spans(docs: DataFrame, key: str, text: str, make: Callable[[], Callable
             for part in rows_of(batch):
                 names = ("kind", "start", "end", "base")
                 found = [[dict(zip(names, s, strict=True)) for s in find(t)] if t else [] for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, _ARROW)], names=[key, "spans"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, _ARROW)], names=["key", "spans"])
 
-    source = docs.select(F.col(key), F.col(text))
-    return source.mapInArrow(run, f"`{key}` {source.schema[0].dataType.simpleString()}, spans {SPANS}")
+    source = docs.select(column(key).alias("key"), column(text).alias("text"))
+    return source.mapInArrow(run, f"key {source.schema[0].dataType.simpleString()}, spans {SPANS}").toDF(key, "spans")
 
 
 def joined(spans: Column) -> Column:
@@ -42,7 +42,7 @@ def digest(found: DataFrame, key: str, kinds: list[str]) -> DataFrame:
     def count(kind: str) -> Column:
         return F.size(F.filter("spans", lambda s: s["base"] & (s["kind"] == kind))).cast("long").alias(f"n_{kind}")
 
-    return found.select(key, *map(count, kinds), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+    return found.select(column(key), *map(count, kinds), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
 def by_start(spans: list[Span], kinds: tuple[str, ...]) -> list[Span]:

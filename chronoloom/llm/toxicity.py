@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoloom.llm._common import Saved, Scope, rows_of, table
+from chronoloom.llm._common import Saved, Scope, filtered, rows_of, table
 from chronoloom.llm.neardup import WordHashes, scrambled
 
 FOLDS, HELD_OUT = 5, 0
@@ -383,15 +383,13 @@ def drop_toxic(docs: DataFrame, lexicon: Lexicon, text: str = "text", limit: flo
     Edge cases: as in score_toxicity; null and empty texts score the prior and stay; repeated rows fare alike; columns
     of any name pass through; an empty table stays empty.
     """
-    held, at = docs.sparkSession.sparkContext.broadcast(lexicon), docs.columns.index(text)
+    held = docs.sparkSession.sparkContext.broadcast(lexicon)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def keep() -> Callable[[list], list[bool]]:
         score = Scorer(held.value).score
-        for batch in batches:
-            for part in rows_of(batch):
-                yield part.filter(pa.array([score(t or "") < limit for t in part.column(at).to_pylist()], pa.bool_()))
+        return lambda texts: [score(t or "") < limit for t in texts]
 
-    return docs.mapInArrow(run, docs.schema)
+    return filtered(docs, text, keep)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

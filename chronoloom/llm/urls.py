@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoloom.llm._common import ascii_lower, saved, table
+from chronoloom.llm._common import Scope, ascii_lower, column, saved, table
 
 #: (host, path, verdict) of the production list.
 RULES = (
@@ -83,21 +83,28 @@ def judge_urls(df: DataFrame, url: str, rules: Iterable[tuple[str, str, str]] =
     gives an empty result; other columns pass through. A list whose trie is over MAX_TRIE_BYTES is cut into parts below
     that; each is broadcast and applied in turn, and the best rule of all parts stands.
     """
-    rules = list(rules)
+    with Scope() as scope:
+        out, parts = _judged(df, url, list(rules), default)
+        # what lies between parts goes with the scope; a single part needs no table
+        return scope.result(out, "url-result") if parts > 1 else out
+
+
+def _judged(df: DataFrame, url: str, rules: list[tuple[str, str, str]], default: str) -> tuple[DataFrame, int]:
     parts = 1 + len(pickle.dumps(UrlTrie(rules))) // MAX_TRIE_BYTES
     best = F.lit(None).cast(BEST)
-    host, path = host_and_path(F.col(url))
+    host, path = host_and_path(column(url))
     told = F.struct(host.alias("host"), path.alias("path"))
     kept = [c for c in df.columns if c not in ("host", "path", "rule", "verdict")]
-    out = df.select(*kept, told.alias("__url"), best.alias("__best"))
+    own = F.struct(*map(column, kept), F.lit(0)).alias("own")  # in one struct, so that no name of theirs meets one of ours
+    out = df.select(own, told.alias("url"), best.alias("best"))
     for k in range(parts):
-        found = _walk(df.sparkSession, UrlTrie(rules[k::parts]))("__url.host", "__url.path")
+        found = _walk(df.sparkSession, UrlTrie(rules[k::parts]))("url.host", "url.path")
         # greatest() ignores nulls; of two verdicts for one rule, "block" is the greater
-        out = out.withColumn("__best", F.greatest("__best", found) if k else found)
+        out = out.withColumn("best", F.greatest("best", found) if k else found)
         if parts > 1:  # so that no task holds two tries
             out = saved(out, "url-part")
-    verdict = F.coalesce("__best.verdict", F.lit(default)).alias("verdict")
-    return out.select(*kept, "__url.host", "__url.path", "__best.rule", verdict)
+    verdict = F.coalesce("best.verdict", F.lit(default)).alias("verdict")
+    return out.select(*(F.col("own")[c].alias(c) for c in kept), "url.host", "url.path", "best.rule", verdict), parts
 
 
 def _walk(spark: SparkSession, trie: UrlTrie) -> Callable[[str, str], Column]:

@@ -335,14 +335,32 @@ def test_simhash_against_brute_force(spark):
 
     import xxhash
 
-    h64 = lambda data, seed: xxhash.xxh64_intdigest(data, seed=seed)
-    lines = ["alpha beta gamma", "delta", words(127), words(128), words(200), " ".join(f"w{i % 7}" for i in range(40000))]
-    got = {r.id: r for r in linededup.simhash(spark.createDataFrame([(i, i, t) for i, t in enumerate(lines)], "row long, id long, line string")).collect()}
+    h64 = lambda data, seed=42: xxhash.xxh64_intdigest(data, seed=seed)
+    pack = lambda x: struct.pack("<Q", x)
+    lines = ["alpha beta gamma", "delta", "ab", words(17), words(16), " ".join(f"w{i % 97}" for i in range(300)), " ".join(f"x{i}" for i in range(127)), " ".join(f"x{i}" for i in range(128)), " ".join(f"y{i % 3000}" for i in range(40000)), "no" * 700]
+    want = defaultdict(set)
     for i, line in enumerate(lines):
-        for h in range(linededup.HASHES):
-            hashes = [h64(struct.pack("<i", h), h64(struct.pack("<Q", h64(w.encode(), 42)), 42)) for w in line.split()]
-            want = sum(1 << b for b in range(64) if sum(x >> b & 1 for x in hashes) * 2 > len(hashes))
-            assert got[i][f"s{h}"] % (1 << 64) == want
+        ws = line.split()
+        grams = {line[k : k + 3].encode("utf-32-be") for k in range(max(1, len(line) - 2))}
+        for kind, features in [(0, grams)] * (len(ws) < linededup.GRAMS_BELOW) + [(1, {w.encode() for w in ws})] * (len(ws) >= linededup.WORDS_FROM):
+            hashes, n = [h64(f) for f in features], len(features)
+            bit = lambda some, b: sum(x >> b & 1 for x in some) * 2 > len(some)
+            sim, low = sum(1 << b for b in range(64) if bit(hashes, b)), 0
+            while n >> low + 4:
+                low += 1
+            for c in [low, low + 1] if n >= 8 else [0]:
+                for b in range(4) if c else [0]:
+                    masks = {x: h64(struct.pack("<i", 1 + c % 2), h64(pack(x))) for x in hashes}
+                    some = [x for x in hashes if not masks[x] >> 16 * b & (1 << c) - 1]
+                    if c and len(some) < 3:
+                        continue
+                    tag = (c * 8 + b + 4 * (c % 2)) * 2 + kind
+                    key = sum(1 << 8 * lane + k for lane in range(8) for k in range(4) if bit(some, 8 * lane + k)) | sum((tag >> 4 * j & 15) << 8 * j + 4 for j in range(3))
+                    want[i].add((sim, key))
+    got = defaultdict(set)
+    for r in linededup.simhash(spark.createDataFrame(list(enumerate(lines)), "id long, line string")).collect():
+        got[r.id].add((r.sim % (1 << 64), r.bucket % (1 << 64)))
+    assert got == want
 
 
 def edit_distance(a, b):
@@ -382,6 +400,78 @@ def test_line_dedup_against_brute_force(spark):
     assert got <= want and len(got) >= 0.9 * len(want) > 20, (len(got), len(want))
 
 
+def test_line_dedup_recall_on_documents(spark):
+    """Of the lines of the documents of sf0.01, up to 250 characters, all pairs of which are compared."""
+    from tests.conftest import SF
+
+    docs = spark.read.parquet(f"{SF.replace('sf0.001', 'sf0.01')}/documents.parquet")
+    lines = linededup.lines_of(docs, "doc_id", "text").where("line <> '' and length(line) <= 250").groupBy("id").agg(F.min("line").alias("line"))
+    rows = sorted(((r.line, r.id) for r in lines.collect()), key=lambda r: len(r[0]))
+    sizes = np.array([len(t) for t, _ in rows])
+    grams = np.zeros((len(rows), 128), np.int16)
+    for i, (t, _) in enumerate(rows):
+        for k in range(len(t) - 1):
+            grams[i, hash((t[k], t[k + 1])) % 128] += 1
+    pairs = []
+    for i in range(len(rows)):
+        end = np.searchsorted(sizes, sizes[i] / linededup.LIKENESS + 1, side="right")
+        most = (sizes[i + 1 : end] * 0.1 + 1e-9).astype(int)
+        # each edit changes two bigrams at most, in either line
+        for j in np.flatnonzero(np.abs(grams[i + 1 : end] - grams[i]).sum(1) <= 4 * most).tolist():
+            if edit_distance(rows[i][0], rows[i + 1 + j][0]) <= most[j]:
+                pairs.append((rows[i][1], rows[i + 1 + j][1]))
+    component = {r.id: r.component for r in linededup.line_components(lines).collect()}
+    found = sum(a in component and component[a] == component.get(b) for a, b in pairs)
+    assert len(pairs) > 60 and found >= 0.9 * len(pairs), (found, len(pairs))
+
+
+def test_very_long_lines(spark):
+    base = [str(x) for x in RNG.integers(0, 5000, 180_000)]
+    near, far = base[:], base[:]
+    for i in range(0, 180_000, 900):
+        near[i] = "other"
+    RNG.shuffle(far)
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate((base, near, far))] + [(3, "x" * 1_000_000), (4, "x" * 1_000_000 + "y")], "doc_id long, text string")
+    assert {r.doc: r.removed for r in linededup.repeated_lines(docs).collect()} == {1: [0]}  # a line without blanks is one shingle
+
+
+def test_names_that_need_quotes(spark, docs):
+    from chronoloom.llm import importance
+
+    odd = docs.select("doc_id", "text", "lang", "source", *(F.lit(1).alias(c) for c in ("a.b", "own", "key", "__key", "__doc", "c0", "host", "gone_id", "sha", "`x")))
+    bench = spark.createDataFrame([(1, words(40))], "item_id long, text string")
+    rest = odd.count()
+    assert mixing.mixed_documents(odd).columns[: len(odd.columns)] == odd.columns and mixing.mixed_documents(odd).count() > 0
+    assert linededup.dedup_lines(odd).columns == odd.columns and linededup.dedup_lines(odd).count() > 0
+    out = toxicity.drop_toxic(odd, toxicity.Lexicon([("idiot", 5.0)], -3.0))
+    assert out.columns == odd.columns and out.count() == rest
+    out = decontamination.drop_contaminated(odd, bench)
+    assert out.columns == odd.columns and out.count() == rest
+    out = neardup.one_of_each_group(odd, before=odd)
+    assert out.columns == odd.columns and 0 < out.count() < rest
+    assert urls.judge_urls(odd, "text").columns == [c for c in odd.columns if c != "host"] + ["host", "path", "rule", "verdict"] and urls.judge_urls(odd, "text").count() == rest
+    assert importance.drawn_documents(odd, bench).columns == [*odd.columns, "draw_rank"]
+
+
+def test_benchmark_in_blocks(spark, docs, monkeypatch):
+    items = [(i, words(40)) for i in range(6)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    more = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(70 + i, f"{words(9)} {t} {words(5)}") for i, t in items], "doc_id long, text string"))
+    rows = lambda: sorted((r.doc_id or -1, sorted(map(tuple, r.regions))) for r in decontamination.contaminated_regions(more, bench).collect())
+    whole, kept = rows(), sorted(r.doc_id or -1 for r in decontamination.drop_contaminated(more, bench).collect())
+    monkeypatch.setattr(decontamination, "BLOCK_BYTES", 400)
+    assert rows() == whole and sum(bool(r) for _, r in whole) == 6
+    assert sorted(r.doc_id or -1 for r in decontamination.drop_contaminated(more, bench).collect()) == kept
+
+
+def test_near_duplicates_by_texts_of_before(spark):
+    base = words(80)
+    before = spark.createDataFrame([(1, base), (2, base + " tail"), (3, words(80)), (4, base)], "doc_id long, text string")
+    now = spark.createDataFrame([(2, base + " tail"), (3, words(9)), (4, "left over")], "doc_id long, text string")
+    assert {r.doc_id for r in neardup.one_of_each_group(now, before=before).collect()} == {2, 3}
+    assert {r.doc_id for r in neardup.one_of_each_group(now).collect()} == {2, 3, 4}
+
+
 def test_columns_with_clashing_names(spark, docs):
     odd = docs.select("doc_id", "text", "lang", "source", *(F.lit(i).alias(n) for i, n in enumerate(("removed", "key", "doc", "version", "taken", "mix_size", "id", "component", "n", "line", "first"))))
     assert linededup.dedup_lines(odd).columns == odd.columns
