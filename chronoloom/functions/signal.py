@@ -45,9 +45,10 @@ def number_or_text(value: Column) -> tuple[Column, Column]:
 
 
 def channel_label(name: Column, reference: Column, amp: Column, override: Column) -> Column:
-    """The user's label, or 'EEG name-reference', or the input's number; at most 16 characters."""
-    own = F.when(name.isNotNull(), F.concat(F.lit("EEG "), name, F.lit("-"), F.coalesce(reference, F.lit("Cz"))))
-    return F.substring(F.coalesce(override, own, F.concat(F.lit("ch"), amp.cast("string"))), 1, 16)
+    """The user's label, or 'EEG name-reference', an input without a name being called by its number and one without a
+    reference having the common one; at most 16 characters."""
+    called = F.coalesce(name, F.concat(F.lit("ch"), amp.cast("string")))
+    return F.substring(F.coalesce(override, F.concat(F.lit("EEG "), called, F.lit("-"), F.coalesce(reference, F.lit("Cz")))), 1, 16)
 
 
 def header_field(text: Column, width: int) -> Column:

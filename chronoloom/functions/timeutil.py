@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,11 +28,13 @@ def micros(ts: str) -> Column:
     return F.expr(f"timestampdiff(MICROSECOND, {EPOCH}, {ts})")
 
 
-def zone_name(zone: str) -> str:
-    """'UTC+01:00' and 'Z' in the form that zone functions take; names pass through."""
-    if zone in ("", "Z", "UTC"):
+def zone_name(zone: str | None) -> str:
+    """A zone in the form that zone functions take: offsets from UTC as '+01:00', other names as they are."""
+    text = (zone or "UTC").strip()
+    offset = re.sub(r"^UTC(?=[+-])", "", text, flags=re.IGNORECASE)
+    if offset.upper() in ("UTC", "Z"):
         return "UTC"
-    return zone[3:] if zone.startswith("UTC") else zone
+    return re.sub(r"^([+-])(\d{1,2}?):?(\d\d)$", lambda m: f"{m[1]}{int(m[2]):02}:{m[3]}", offset)
 
 
 def local_start(origin: Column, correction_us: Column, lead_s: Column, zone: str) -> Column:

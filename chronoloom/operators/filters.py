@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -33,7 +34,8 @@ class Recursion:
         for _ in range(n):
             powers.append(self.step @ powers[-1])
         response = np.array([b[0], *(powers[k][0] @ gain for k in range(n - 1))])
-        self.outputs = np.array([[response[i - j] if i >= j else 0.0 for j in range(n)] for i in range(n)])
+        after = np.subtract.outer(np.arange(n), np.arange(n))
+        self.outputs = np.where(after >= 0, response[np.abs(after)], 0.0)
         self.memory = np.array([p[0] for p in powers[:n]])  # of the states, by sample
         self.kept = np.array([powers[n - 1 - j] @ gain for j in range(n)]).T  # of the samples, by state
         self.gain, self.first = gain, b[0]
@@ -60,9 +62,15 @@ class Recursion:
         return self.run(x[: min(self.lead, len(x) - 1) + 1][::-1], np.zeros(2))[1] if len(x) else np.zeros(2)
 
 
+@functools.lru_cache(maxsize=16)
+def recursion(rate: float, cutoff: float = CUTOFF_HZ) -> Recursion:
+    """The filter of a rate, made once in a worker."""
+    return Recursion(rate, cutoff)
+
+
 def highpass(x: np.ndarray, rate: float, cutoff: float = CUTOFF_HZ) -> np.ndarray:
     """Filtered samples of one contiguous segment, primed on its mirrored beginning."""
-    system = Recursion(rate, cutoff)
+    system = recursion(rate, cutoff)
     return system.run(x, system.primed(x))[0]
 
 
@@ -79,19 +87,19 @@ def highpass_segments(samples: DataFrame, by: list[str], pos: str, value: str, r
     named = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name in keys)
 
     def ends(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        system, x = Recursion(rate), rows.sort_values(pos)[value].to_numpy(float)
+        system, x = recursion(rate), rows.sort_values(pos)[value].to_numpy(float)
         state = system.run(x, np.zeros(2) if key[-1] else system.primed(x))[1]
         return pd.DataFrame([(*key, len(x), *state)], columns=[*keys, "__n", "__z1", "__z2"])
 
     def along(rows: pd.DataFrame) -> pd.DataFrame:
-        system, rows, state, found = Recursion(rate), rows.sort_values("__chunk"), np.zeros(2), []
+        system, rows, state, found = recursion(rate), rows.sort_values("__chunk"), np.zeros(2), []
         for c, n, z1, z2 in zip(rows["__chunk"], rows["__n"], rows["__z1"], rows["__z2"], strict=True):
             found.append(state)
             state = (system.after(n) @ state if c else 0.0) + np.array([z1, z2])
         return rows[keys].assign(__z1=[s[0] for s in found], __z2=[s[1] for s in found])
 
     def filtered(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        system, rows = Recursion(rate), rows.sort_values(pos)
+        system, rows = recursion(rate), rows.sort_values(pos)
         x = rows[value].to_numpy(float)
         state = rows[["__z1", "__z2"]].iloc[0].to_numpy(float) if key[-1] else system.primed(x)
         return rows[[*by, pos, value]].assign(filtered=system.run(x, state)[0])
@@ -102,6 +110,39 @@ def highpass_segments(samples: DataFrame, by: list[str], pos: str, value: str, r
     return met.groupBy(*keys).applyInPandas(filtered, f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in samples.select(*by, pos, value).schema)}, filtered double")
 
 
+def highpass_arrays(pieces: DataFrame, by: list[str], pos: str, values: str, rate: str, keep: list[str], chunk: int = 1 << 17) -> DataFrame:
+    """by, pos, keep and values, filtered: the arrays of each group of `by`, that at pos (from 0, without holes) first.
+    No row a sample is made. As highpass_segments: states of chunks from none, the states along a group's chunks, then
+    the samples from these; a chunk is longer than what primes the filter."""
+    number = F.floor(F.col(pos) / F.greatest(F.lit(chunk), 40 * F.col("__rate")))
+    rows = pieces.select(*by, pos, values, F.col(rate).alias("__rate"), *keep).withColumn("__chunk", number)
+    keys, kinds = [*by, "__chunk"], {f.name: f.dataType.simpleString() for f in rows.schema}
+    named = lambda columns: ", ".join(f"`{c}` {kinds[c]}" for c in columns)
+
+    def ends(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        system, x = recursion(float(rows["__rate"].iloc[0])), np.concatenate(rows.sort_values(pos)[values].to_list())
+        state = system.run(x, np.zeros(2) if key[-1] else system.primed(x))[1]
+        return pd.DataFrame([(*key, rows["__rate"].iloc[0], len(x), *state)], columns=[*keys, "__rate", "__n", "__z1", "__z2"])
+
+    def along(rows: pd.DataFrame) -> pd.DataFrame:
+        system, rows, state, found = recursion(float(rows["__rate"].iloc[0])), rows.sort_values("__chunk"), np.zeros(2), []
+        for c, n, z1, z2 in zip(rows["__chunk"], rows["__n"], rows["__z1"], rows["__z2"], strict=True):
+            found.append(state)
+            state = (system.after(n) @ state if c else 0.0) + np.array([z1, z2])
+        return rows[keys].assign(__z1=[s[0] for s in found], __z2=[s[1] for s in found])
+
+    def filtered(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        system, rows = recursion(float(rows["__rate"].iloc[0])), rows.sort_values(pos)
+        x = np.concatenate(rows[values].to_list())
+        state = rows[["__z1", "__z2"]].iloc[0].to_numpy(float) if key[-1] else system.primed(x)
+        out = np.split(system.run(x, state)[0], np.cumsum([len(v) for v in rows[values]])[:-1])
+        return rows[[*by, pos, *keep]].assign(**{values: out})[[*by, pos, values, *keep]]
+
+    states = rows.groupBy(*keys).applyInPandas(ends, f"{named([*keys, '__rate'])}, __n long, __z1 double, __z2 double")
+    states = states.groupBy(*by).applyInPandas(along, f"{named(keys)}, __z1 double, __z2 double")
+    return rows.join(states, keys).groupBy(*keys).applyInPandas(filtered, named([*by, pos, values, *keep]))
+
+
 def band_share(samples: DataFrame, by: list[str], pos: str, value: str, rate: float, low: float, high: float) -> DataFrame:
     """by, n and share: amplitude between low and high Hz over all but the constant part, by real FFT."""
 

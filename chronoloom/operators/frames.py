@@ -70,9 +70,9 @@ def out_of_order(onsets: DataFrame, rec: str, record: str, onset: str, seconds:
     return onsets.withColumn("__before", before).where(F.col(onset) < F.col("__before") + seconds - 1e-9).drop("__before")
 
 
-def cursor(frames: DataFrame, rec: str, frame: str, n: str, pad: int | None) -> DataFrame:
+def cursor(frames: DataFrame, rec: str, frame: str, n: str, pad: int | Column | None) -> DataFrame:
     """frames with first_sample; each missing frame counts `pad` samples, or none (None: gaps are closed up)."""
-    jump = F.coalesce(F.col(frame) - F.lag(frame).over(by_frame(rec, frame)) - 1, F.lit(0)) * (pad or 0)
+    jump = F.coalesce(F.col(frame) - F.lag(frame).over(by_frame(rec, frame)) - 1, F.lit(0)) * (F.lit(0) if pad is None else pad)
     at = frames.withColumn("__jump", jump)
     running = F.sum(F.col(n) + F.col("__jump")).over(by_frame(rec, frame).rowsBetween(W.unboundedPreceding, 0))
     return at.withColumn("first_sample", running - F.col(n)).drop("__jump")

@@ -122,7 +122,7 @@ def anonymise_text(spark, sf):
     return c.select("conv_id", "turn", "role", sig.anonymised(F.col("text"), F.col("role"), ["user"]).alias("text"))
 
 
-@query("select s_suppkey, substring(coalesce(case when s_nationkey = 3 then 'override' end, case when n_name is not null then 'EEG ' || n_name || '-' || coalesce(case when n_regionkey > 1 then 'A' || n_regionkey end, 'Cz') end, 'ch' || s_nationkey), 1, 16) as label from supplier left join (select * from nation where n_nationkey < 20) on s_nationkey = n_nationkey")
+@query("select s_suppkey, substring(coalesce(case when s_nationkey = 3 then 'override' end, case when n_name is not null then 'EEG ' || n_name || '-' || case when n_regionkey > 1 then 'A' || n_regionkey else 'Cz' end else 'EEG ch' || s_nationkey || '-Cz' end), 1, 16) as label from supplier left join (select * from nation where n_nationkey < 20) on s_nationkey = n_nationkey")
 def label_map(spark, sf):
     # some nations are left out so that some inputs have no channel
     s, n = spark.read.parquet(f"{sf}/supplier.parquet"), spark.read.parquet(f"{sf}/nation.parquet").where("n_nationkey < 20")

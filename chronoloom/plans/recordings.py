@@ -14,6 +14,7 @@ from chronoloom.functions import layout
 from chronoloom.functions import signal as sig
 from chronoloom.functions.timeutil import local_start, micros, micros_of_ticks, ticks_of_text
 from chronoloom.operators import compare, frames
+from chronoloom.plans import convert
 from chronoloom.plans.catalog import FR, HOUR, E, events, frame_table, query
 from chronoloom.sources import edf, recording, scratch, synthetic, texts
 
@@ -35,13 +36,13 @@ def units(spark, sf) -> DataFrame:
     return e.join(F.broadcast(kinds), "event_type").crossJoin(F.broadcast(origin)).select((F.col("frame_no") - F.col("origin")).alias("frame_no"), "amp_input", F.round("value").cast("long").alias("v"), "us", "event_id")
 
 
-def made(spark, sf, notes: DataFrame | None = None) -> str:
+def made(spark, sf, notes: DataFrame | None = None, **more) -> str:
     u = units(spark, sf)
     ordered = F.transform(F.sort_array(F.collect_list(F.struct("us", "event_id", "v"))), lambda x: x["v"])
     f = u.groupBy("frame_no", "amp_input").agg(ordered.alias("units"))
     clock = u.groupBy("frame_no").agg((F.min("us") * 10).alias("start_ticks"), (F.max("us") * 10 + 10).alias("end_ticks"), text_of(F.min("us")).alias("ts"))
     f = f.join(clock, "frame_no").withColumn("rate", F.lit(50))
-    return synthetic.write_recording(f, scratch.folder(spark, "recording"), events=notes)
+    return synthetic.write_recording(f, scratch.folder(spark, "recording"), events=notes, **more)
 
 
 @query(UNITS + f"x as (select 1) select frame_no, amp_input, count(*) as n, round(arg_min(v, (us, event_id)) * {sig.UNIT_UV}::double, 4) as first, round(sum(v)::double * {sig.UNIT_UV}::double, 3) as total from u group by all")
@@ -66,12 +67,15 @@ def recording_inventory(spark, sf):
     return found.select(F.col("Track").alias("track"), "frames", "first", "last", "missing", F.size("files").alias("files"), "present")
 
 
-@query("select '2.5' as version, 1 as amp_type, 'Essentia' as headbox, true as known, 0::bigint as correction")
+@query("with e as (select epoch_us(ts) as us, event_id from events), x as (select min(us) as a, max(us) as b, count(*) as n, '2.' || min(event_id) as version from e) select version, case n % 3 when 0 then 5 when 1 then 1 else 9 end::int as amp_type, case n % 3 when 0 then 'Apollo' else 'Essentia' end as headbox, n % 3 < 2 as known, (a - b)::bigint as correction from x")
 def recording_header(spark, sf):
-    path = made(spark, sf)
-    kind, known = layout.chosen(recording.amp_type(recording.value_of(spark, path, "MiscInfo", "AMPLAYOUT")))
-    row = (recording.check_supported(spark, path), kind, layout.HEADBOXES[kind][0], known, recording.clock_correction(spark, path))
-    return spark.createDataFrame([row], "version string, amp_type int, headbox string, known boolean, correction long")
+    # the amplifier, the version and the clocks' first comparison are what the events say
+    e = events(spark, sf)
+    said = e.agg(F.count("*").alias("n"), F.min("event_id").alias("first"), text_of(F.min("us")).alias("a"), text_of(F.max("us")).alias("b")).first()
+    path = made(spark, sf, version=f"2.{said.first}", kind=(5, 1, 9)[said.n % 3], correction=(said.a, said.b))
+    index = spark.createDataFrame([(0, path)], "rec int, file string")
+    facts = convert.of_index(spark, index, [path]).join(F.broadcast(layout.headboxes(spark)), "amp_type", "left")
+    return facts.select("version", "amp_type", F.coalesce("headbox", F.lit(layout.HEADBOXES[layout.DEFAULT][0])).alias("headbox"), F.col("headbox").isNotNull().alias("known"), "correction")
 
 
 @query(E + "x as (select *, us * 10 as ticks from e) select ticks, event_type as kind, 'note ' || event_id as text, event_id % 10 = 0 as deleted from x")
@@ -209,7 +213,7 @@ def number_or_text(spark, sf):
 INPUTS = ", ".join(f"({k}, {a}, '{ {i + 3: e for i, e in enumerate(layout.ELECTRODES)}.get(a) or names[a] }', '{refs.get(a, layout.REFERENCE)}')" for k, (_, names, refs, _) in layout.HEADBOXES.items() for a in range(1, 33))
 
 
-@query(f"with s as (select s_suppkey, case s_suppkey % 3 when 0 then 5 when 1 then 1 else 9 end as amp_type, 1 + s_nationkey * 2 as amp_input from supplier), i(kind, amp, name, reference) as (values {INPUTS}) select s_suppkey, amp_type in (1, 5) as known, case when amp_type = 5 then 'Apollo' else 'Essentia' end as headbox, substring(coalesce('EEG ' || name || '-' || reference, 'ch' || amp_input), 1, 16) as label from s left join i on i.kind = case when amp_type in (1, 5) then amp_type else 1 end and i.amp = amp_input")
+@query(f"with s as (select s_suppkey, case s_suppkey % 3 when 0 then 5 when 1 then 1 else 9 end as amp_type, 1 + s_nationkey * 2 as amp_input from supplier), i(kind, amp, name, reference) as (values {INPUTS}) select s_suppkey, amp_type in (1, 5) as known, case when amp_type = 5 then 'Apollo' else 'Essentia' end as headbox, substring(case when name is null then 'EEG ch' || amp_input || '-Cz' else 'EEG ' || name || '-' || reference end, 1, 16) as label from s left join i on i.kind = case when amp_type in (1, 5) then amp_type else 1 end and i.amp = amp_input")
 def headbox_labels(spark, sf):
     s = spark.read.parquet(f"{sf}/supplier.parquet").select("s_suppkey", F.when(F.col("s_suppkey") % 3 == 0, 5).when(F.col("s_suppkey") % 3 == 1, 1).otherwise(9).alias("amp_type"), (1 + F.col("s_nationkey") * 2).alias("amp_input"))
     boxes = layout.headboxes(spark)

@@ -1,12 +1,13 @@
 """EDF and EDF+ files: a scan of records in parallel, annotations, header fields, and a writer.
 
-A range of records is an input partition, read as Arrow batches. Patient and recording fields are never returned. All
-records of a file have one size, so tasks write their records into it themselves.
+A range of records is an input partition, read as Arrow batches. Patient and recording fields are never returned. The
+writer's tasks put their records into the file themselves; it takes its name when all have.
 """
 
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from datetime import datetime
@@ -16,7 +17,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from chronoloom.operators.asof import asof_or_first
 from chronoloom.operators.frames import out_of_order
@@ -107,11 +108,11 @@ class EdfReader(DataSourceReader):
 
 
 class Edf(DataSource):
-    """format('edf_records').load(paths): a row for each record and signal"""
+    """format('edf'): load(paths) has a row for each record and signal; save(folder) takes rows of file, at and body"""
 
     @classmethod
     def name(cls) -> str:
-        return "edf_records"
+        return "edf"
 
     def schema(self) -> str:
         return SCHEMA
@@ -119,10 +120,13 @@ class Edf(DataSource):
     def reader(self, schema) -> EdfReader:
         return EdfReader(self.options)
 
+    def writer(self, schema, overwrite: bool) -> EdfWriter:
+        return EdfWriter(self.options["path"], overwrite)
+
 
 def scan(spark: SparkSession, *paths: str) -> DataFrame:
     spark.dataSource.register(Edf)
-    return spark.read.format("edf_records").load(os.pathsep.join(paths))
+    return spark.read.format("edf").load(os.pathsep.join(paths))
 
 
 def samples(records: DataFrame) -> DataFrame:
@@ -151,25 +155,32 @@ def record_onsets(records: DataFrame) -> DataFrame:
     return silent.groupBy("path", "record").agg(F.min_by("onset", "place").alias("onset"))
 
 
-def padded(text: str, width: int) -> bytes:
-    """An ASCII field, filled with spaces; one that doesn't fit is an error."""
-    out = text.encode("ascii", "replace")
-    if len(out) > width:
-        raise ValueError(f"{text!r} does not fit into {width} characters")
-    return out.ljust(width)
-
-
 def number(value: float, width: int = 8) -> bytes:
     """The number with as many digits as fit into the field."""
     if value == int(value) and len(str(int(value))) <= width:
-        return padded(str(int(value)), width)
+        return f"{int(value):<{width}}".encode()
     for digits in range(width, 0, -1):
         text = f"{value:.{digits}g}"
         if len(text) <= width and "e" not in text:
-            return padded(text, width)
+            return f"{text:<{width}}".encode()
     raise ValueError(f"{value} does not fit into {width} characters")
 
 
+def header(start: datetime, kind: str, seconds: float, signals: list[dict], patient: str = "X X X X", recording: str = "X X X", n_records: int = -1) -> bytes:
+    """The header of a file of kind "edf", "edf+c" or "edf+d". A count of records of -1 is unknown as yet. Fields are
+    laid out as one table of values and widths, which is checked as a whole."""
+    if not 1985 <= start.year <= 2084:
+        raise ValueError("the year must be from 1985 to 2084")
+    plus = kind != "edf"
+    dated = f"Startdate {start:%d}-{MONTHS[start.month - 1]}-{start:%Y} {recording}"
+    line = [("0", 8), (patient if plus else "", 80), (dated if plus else "", 80), (f"{start:%d.%m.%y%H.%M.%S}", 16), (str(256 + 256 * len(signals)), 8), (kind.upper() if plus else "", 44), (str(n_records), 8), (number(seconds).decode(), 8), (str(len(signals)), 4)]
+    worded = {"label", "transducer", "unit", "prefilter", "reserved"}
+    line += [(str(s.get(name) or "") if name in worded else number(s[name], width).decode(), width) for name, width in FIELDS.items() for s in signals]
+    if over := [text for text, width in line if len(text) > width]:
+        raise ValueError(f"{over[0]!r} does not fit into its field")
+    return "".join(text.ljust(width) for text, width in line).encode("ascii", "replace")
+
+
 def tal(onset: float, duration: float | None, text: str) -> bytes:
     """One entry of an annotation signal."""
     def short(x: float) -> str:
@@ -183,6 +194,89 @@ def tal(onset: float, duration: float | None, text: str) -> bytes:
 MARKS = str.maketrans("\x00\x14\x15", "   ")
 
 
+def body(digital: list[np.ndarray], sizes: list[int], room: int, onset: float, notes: list[dict] | None, record: int) -> bytes:
+    """A record: its signals' samples, and if there is room (samples of the annotation signal) its onset and notes."""
+    if [len(x) for x in digital] != sizes or onset is None or onset != onset:
+        raise ValueError(f"record {record} is not whole")
+    out = b"".join(np.asarray(x, "<i2").tobytes() for x in digital)
+    if room:
+        texts = tal(onset, None, "") + b"".join(tal(x["onset"], x["duration"], x["text"]) for x in notes or ())
+        out += texts.ljust(2 * room, b"\x00")
+    return out
+
+
+@dataclass
+class Written(WriterCommitMessage):
+    """What a task has written: bytes and the last one's end, by file."""
+
+    files: dict[str, tuple[int, int]]
+
+
+class EdfWriter(DataSourceArrowWriter):
+    """Rows of file, at and body: bytes of EDF files at their places. All records of a file have one size, so that tasks
+    write theirs straight into the file, under a name of this job's own; a task that is run again, or twice at a time,
+    writes the same bytes to the same places. The driver, which sees no samples, looks whether a file has holes, sets its
+    count of records and gives it its name; if anything fails, nothing stays."""
+
+    OPEN = 64
+
+    def __init__(self, folder: str, overwrite: bool) -> None:
+        self.folder, self.overwrite, self.job = folder, overwrite, uuid.uuid4().hex
+
+    def part(self, file: str) -> str:
+        return os.path.join(self.folder, f".{file}.{self.job}.part")
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
+        open_: dict[str, int] = {}
+        done: dict[str, tuple[int, int]] = {}
+        try:
+            for batch in iterator:
+                for file, at, data in zip(*(batch.column(c).to_pylist() for c in ("file", "at", "body")), strict=True):
+                    if file not in open_:
+                        if len(open_) >= self.OPEN:
+                            os.close(open_.pop(next(iter(open_))))
+                        open_[file] = os.open(self.part(file), os.O_CREAT | os.O_RDWR, 0o644)
+                    os.pwrite(open_[file], data, at)
+                    size, end = done.get(file, (0, 0))
+                    done[file] = size + len(data), max(end, at + len(data))
+        finally:
+            for f in open_.values():
+                os.close(f)
+        return Written(done)
+
+    def commit(self, messages: list[Written | None]) -> None:
+        sums: dict[str, tuple[int, int]] = {}
+        for m in messages:
+            for file, (size, end) in (m.files if m else {}).items():
+                before = sums.get(file, (0, 0))
+                sums[file] = before[0] + size, max(before[1], end)
+        for file, (size, end) in sums.items():
+            head = read_header(self.part(file))
+            if size != end or head.size + head.n_records * head.record_bytes != end:
+                raise ValueError(f"{file} is not whole: {size} bytes up to {end}")
+            if os.path.exists(os.path.join(self.folder, file)) and not self.overwrite:
+                raise FileExistsError(os.path.join(self.folder, file))
+            with open(self.part(file), "r+b") as f:
+                f.seek(236)
+                f.write(number(head.n_records))
+        for file in sums:
+            os.replace(self.part(file), os.path.join(self.folder, file))
+
+    def abort(self, messages: list[Written | None]) -> None:
+        for name in os.listdir(self.folder):
+            if name.endswith(f".{self.job}.part"):
+                os.remove(os.path.join(self.folder, name))
+
+
+def write_files(rows: DataFrame, folder: str, overwrite: bool = False) -> None:
+    """rows (file, at, body) as files in a folder that all machines have mounted: df.write.format("edf")."""
+    rows.sparkSession.dataSource.register(Edf)
+    rows.select("file", "at", "body").write.format("edf").mode("overwrite" if overwrite else "append").save(folder)
+
+
+NOTE = "struct<onset:double,duration:double,text:string>"
+
+
 def write(
     digital: DataFrame, path: str, start: datetime, seconds: float, signals: list[dict], notes: DataFrame | None = None,
     overwrite: bool = False, kind: str | None = None, onsets: DataFrame | None = None, patient: str = "X X X X", recording: str = "X X X",
@@ -192,22 +286,21 @@ def write(
 
     digital: record, signal_no and digital (array of int16), every signal in every record from 0 on. notes: onset (from
     the data's start), duration and text. onsets, for EDF+D: record and onset, rising by a record's duration at least.
-    All records have one size, so tasks write theirs into the file themselves, at the places that follow from their
-    numbers; the driver sees no samples. The file takes its name when it is whole, and an existing one is only replaced
-    with `overwrite`. EDF has no notes and starts on a whole second; years from 1985 to 2084 can be written.
+    The file is written by EdfWriter's tasks and takes its name when it is whole; an existing one is only replaced with
+    `overwrite`. EDF has no notes and starts on a whole second; years from 1985 to 2084 can be written.
     """
     kind = kind or ("edf" if notes is None else "edf+c")
     if kind not in ("edf", "edf+c", "edf+d"):
         raise ValueError(f"no kind of EDF file: {kind}")
-    if not 1985 <= start.year <= 2084:
-        raise ValueError("the year must be from 1985 to 2084")
     if kind == "edf" and (notes is not None or start.microsecond):
         raise ValueError("EDF holds no annotations and starts on a whole second")
     if (kind == "edf+d") != (onsets is not None):
         raise ValueError("the onsets of records are for EDF+D, which needs them")
     if os.path.exists(path) and not overwrite:
         raise FileExistsError(path)
+    spark, (folder, file) = digital.sparkSession, os.path.split(path)
     sizes, within = [s["samples"] for s in signals], start.microsecond / 1e6
+    header(start, kind, seconds, signals, patient, recording)  # what doesn't fit is said before anything runs
     packed = digital.groupBy("record").agg(F.sort_array(F.collect_list(F.struct("signal_no", "digital"))).alias("s"))
     if onsets is not None:
         late = out_of_order(onsets.withColumn("__one", F.lit(0)), "__one", "record", "onset", seconds)
@@ -219,53 +312,35 @@ def write(
     room = 0
     if kind != "edf":
         packed, room = _with_notes(packed, notes, seconds, onsets)
-    listed = [*signals, {"label": ANNOTATIONS, "unit": "", "pmin": -1, "pmax": 1, "dmin": -32768, "dmax": 32767, "samples": room}] if room else signals
-    head, part = 256 + 256 * len(listed), f"{path}.part"
-    size = 2 * (sum(sizes) + room)
-
-    def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        with open(part, "r+b") as f:
-            for batch in batches:
-                for row in batch.itertuples(index=False):
-                    lengths = [len(x["digital"]) for x in row.s]
-                    if lengths != sizes or row.onset != row.onset:
-                        raise ValueError(f"record {row.record} is not whole")
-                    body = b"".join(np.asarray(x["digital"], "<i2").tobytes() for x in row.s)
-                    if room:
-                        texts = tal(row.onset + within, None, "") + b"".join(tal(x["onset"] + within, x["duration"], x["text"]) for x in (row.notes if row.notes is not None else ()))
-                        body += texts.ljust(2 * room, b"\x00")
-                    f.seek(head + row.record * size)
-                    f.write(body)
-                yield batch[["record"]]
-
-    try:
-        with open(part, "wb") as f:
-            f.write(b"\x00" * head)
-        written = packed.select("record", "s", "onset", F.col("notes") if room else F.lit(None).cast("array<struct<onset:double,duration:double,text:string>>").alias("notes"))
-        n, first, last = written.mapInPandas(put, "record long").agg(F.count("*"), F.min("record"), F.max("record")).first()
-        if n and (first != 0 or last != n - 1):
-            raise ValueError(f"{n} records are numbered from {first} to {last}")
-        with open(part, "r+b") as f:
-            day = padded(start.strftime("%d.%m.%y%H.%M.%S"), 16)
-            dated = f"Startdate {start:%d}-{MONTHS[start.month - 1]}-{start:%Y} {recording}"
-            f.write(padded("0", 8) + padded(patient if room else "", 80) + padded(dated if room else "", 80) + day)
-            f.write(padded(str(head), 8) + padded(kind.upper() if room else "", 44) + padded(str(n), 8) + number(seconds) + padded(str(len(listed)), 4))
-            texts = {"label", "transducer", "unit", "prefilter", "reserved"}
-            for name, width in FIELDS.items():
-                f.write(b"".join(padded(str(s.get(name, "")), width) if name in texts else number(s[name], width) for s in listed))
-        os.replace(part, path)
-    except BaseException:
-        if os.path.exists(part):
-            os.remove(part)
-        raise
-    return n
+    listed = [*signals, note_signal(room)] if room else signals
+    head, size = header(start, kind, seconds, listed, patient, recording), 2 * (sum(sizes) + room)
+
+    def bodies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for row in batch.itertuples(index=False):
+                notes = [{"onset": x["onset"] + within, "duration": x["duration"], "text": x["text"]} for x in (row.notes if row.notes is not None else ())]
+                rows.append((file, len(head) + row.record * size, body([x["digital"] for x in row.s], sizes, room, row.onset + within, notes, row.record)))
+            yield pd.DataFrame(rows, columns=["file", "at", "body"])
+
+    rows = packed.select("record", "s", "onset", F.col("notes") if room else F.lit(None).cast(f"array<{NOTE}>").alias("notes")).mapInPandas(bodies, ROWS)
+    write_files(rows.unionByName(spark.createDataFrame([(file, 0, head)], ROWS)), folder or ".", overwrite)
+    return read_header(path).n_records
+
+
+#: The rows that EdfWriter takes.
+ROWS = "file string, at long, body binary"
+
+
+def note_signal(room: int) -> dict:
+    return {"label": ANNOTATIONS, "unit": "", "pmin": -1, "pmax": 1, "dmin": -32768, "dmax": 32767, "samples": room}
 
 
 def _with_notes(packed: DataFrame, notes: DataFrame | None, seconds: float, onsets: DataFrame | None) -> tuple[DataFrame, int]:
     """packed with the notes of each record, sorted, and the samples that the longest record's notes take. A note
     belongs to the last record that begins at or before it, or else to the first."""
     if notes is None:
-        return packed.withColumn("notes", F.lit(None).cast("array<struct<onset:double,duration:double,text:string>>")), 30
+        return packed.withColumn("notes", F.lit(None).cast(f"array<{NOTE}>")), 30
     held = notes.select(F.col("onset").cast("double").alias("onset"), F.col("duration").cast("double").alias("duration"), "text")
     if onsets is None:
         last = F.broadcast(packed.agg(F.max("record").alias("last")))

@@ -15,6 +15,7 @@ from chronoloom.plans.convert import Options
 from chronoloom.sources import edf, recording, synthetic, texts
 
 RATE, ORIGIN = 50, 17_300_000_000_000_000
+ORIGIN_TIME = datetime(2024, 10, 26, 22, 13, 20)
 EVENTS = [("Comment", "John was here", 2.5, 0.5, 0), ("Marker", "eyes open", 1.25, 0.0, 0), ("Marker", "gone", 1.0, 0.0, 1), ("AmpConfigurationData", "x", 1.0, 0.0, 0), ("Marker", "before", -5.0, 0.0, 0), ("Marker", "after", 500.0, 0.0, 0)]
 
 
@@ -144,16 +145,54 @@ def test_selftest_and_what_it_notices(spark, tmp_path):
         convert.selftest(spark, other, export, str(tmp_path / "w"))
 
 
+def written(spark, path, values, start=ORIGIN_TIME, reach=100.0, label="EEG A-Cz", kind=None, notes=None):
+    signals = [{"label": label, "unit": "uV", "pmin": -reach, "pmax": reach, "dmin": -32768, "dmax": 32767, "samples": RATE}]
+    digital = np.rint((values + reach) / (2 * reach) * 65535 - 32768).astype(int).reshape(-1, RATE).tolist()
+    df = spark.createDataFrame([(k, 0, d) for k, d in enumerate(digital)], "record long, signal_no int, digital array<int>")
+    edf.write(df, str(path), start, 1.0, signals, notes, kind=kind)
+    return str(path)
+
+
+def test_compared_fails_files_that_differ(spark, tmp_path):
+    x = 80 * np.sin(np.arange(4 * RATE) / 3.0)
+    one = written(spark, tmp_path / "1.edf", x, kind="edf+c")
+    late = written(spark, tmp_path / "2.edf", x, ORIGIN_TIME.replace(microsecond=900_000), kind="edf+c")
+    got = statuses(convert.compared(spark, one, late))
+    assert got["start"] == "FAIL" and got["samples"] == got["gain"] == got["lag"] == "PASS"
+    # another physical range: said so, and compared in the coarser step
+    got = statuses(convert.compared(spark, one, written(spark, tmp_path / "3.edf", x, reach=105.0, kind="edf+c")))
+    assert got["signals"] == "FAIL" and got["samples"] == got["gain"] == "PASS"
+    # nothing in common
+    none = written(spark, tmp_path / "4.edf", np.zeros(4 * RATE), kind="edf+c")
+    assert statuses(convert.compared(spark, one, none))["gain"] == "FAIL"
+    assert statuses(convert.compared(spark, one, written(spark, tmp_path / "5.edf", np.roll(x, 2), kind="edf+c")))["lag"] == "FAIL"
+
+
+def test_batch_equals_single_conversions(spark, tmp_path):
+    for k in range(3):
+        made(spark, tmp_path / "in" / str(k), range(2 + k), kind=(1, 5, 9)[k], name=f"n{k % 2}")
+    (tmp_path / "in" / "bad").mkdir()
+    (tmp_path / "in" / "bad" / "n0.ezdataindex").write_bytes(b"no database at all")
+    (tmp_path / "one").mkdir()
+    for folder, o in (("a", Options()), ("b", Options(mode="vendor"))):
+        rows = convert.batch(spark, str(tmp_path / "in"), str(tmp_path / folder), o).collect()
+        assert [r.status for r in rows] == ["ok", "ok", "ok", "failed"] and "DatabaseError" in rows[3].error
+        for r in rows[:3]:
+            alone = str(tmp_path / "one" / f"{folder}-{os.path.basename(r.output)}")
+            convert.convert(spark, r.input, alone, o)
+            assert open(alone, "rb").read() == open(r.output, "rb").read()
+
+
 def test_inspect_and_batch(spark, tmp_path):
     for k, version in enumerate(("2.5", "9.9", "2.5")):
         made(spark, tmp_path / "in" / str(k), range(3), version=version)
     told = convert.inspect(spark, str(tmp_path / "in" / "0"), 3)
     assert told["supported"] and told["tracks"][0]["frames"] == 3 and len(told["first_events"]) == 3 and told["events"] == 6 and all(f["present"] for f in told["files"])
     got = convert.batch(spark, str(tmp_path / "in"), str(tmp_path / "out"), reports=True)
-    assert (got["converted"], got["failed"]) == (2, 1) and [r["status"] for r in got["recordings"]] == ["ok", "failed", "ok"]
+    assert [(r.status, "9.9" in (r.error or "")) for r in got.orderBy("input").collect()] == [("ok", False), ("failed", True), ("ok", False)]
     assert sorted(os.listdir(tmp_path / "out")) == ["r-3.edf", "r-3.json", "r.edf", "r.json"]
     assert json.load(open(tmp_path / "out" / "r.json"))["frames"] == 3
-    assert convert.batch(spark, str(tmp_path / "in"), str(tmp_path / "out"))["failed"] == 3
+    assert convert.batch(spark, str(tmp_path / "in"), str(tmp_path / "out")).where("status = 'failed' and error like 'FileExists%'").count() == 3
 
 
 def test_missing_data_is_an_error(spark, tmp_path):
