@@ -22,7 +22,7 @@ from chronoloom.llm._common import Saved, Scope, column, table
 from chronoloom.llm.components import connected_components, with_component
 
 #: Most bits of 64 by which the whole lines' SimHashes of candidates differ.
-MAX_BITS = 22
+MAX_BITS = 24
 LIKENESS = 0.9
 #: Lines of less than GRAMS_BELOW words have trigrams as features, of WORDS_FROM or more words, those between both.
 WORDS_FROM, GRAMS_BELOW = 16, 18
@@ -30,8 +30,6 @@ WORDS_FROM, GRAMS_BELOW = 16, 18
 BLOCKS = 4
 #: The bits that choose a block's features are 16, so there is no class above this one and the next.
 MOST_CLASSES = 15
-#: Most features whose votes the sign-free 8-bit lanes of a long can hold.
-PIECE = 127
 #: Lines above this are compared by their shingles of SHINGLE words, at PERCENT of those in either.
 LONG, SHINGLE, PERCENT = 4096, 5, 75
 #: Members of a block of a bucket, where a bucket's members meet in blocks.
@@ -68,58 +66,44 @@ def featured(lines: DataFrame) -> DataFrame:
     return each.select("id", F.col("k.kind").alias("kind"), "size", F.array_distinct("k.f").alias("features"))
 
 
-def bits(sums: list[Column], total: Column, wide: int) -> Column:
-    """The bits with more than half of the total votes; sums[k * parts + p] has, in lanes of `wide` bits, every parts-th of
-    the lanes that vote for bits k, k + 8, ..., from lane p on. In a lane, the bit below the highest is set where sum +
-    2^top - 1 - half has it."""
-    top, parts = wide - 2, wide // 8
-    add = ((1 << top) - 1 - F.shiftright(total, 1)) * F.lit(sum(1 << i for i in range(0, 64, wide)))
-    mask = F.lit(sum(1 << top + i for i in range(0, 64, wide)))
-    each = [F.shiftleft(F.shiftrightunsigned((v + add).bitwiseAND(mask), top), 8 * (i % parts) + i // parts) for i, v in enumerate(sums)]
+def bits(sums: list[Column], total: Column) -> Column:
+    """The bits with more than half of the total votes (127 at most); the k-th of the sums has, in 8-bit lanes, the votes
+    for bits k, k + 8, .... In 16-bit lanes, bit 14 is set where sum + 2^14 - 1 - half has it."""
+    lanes, top = 0x00FF00FF00FF00FF, F.lit(0x4000400040004000)
+    add = ((1 << 14) - 1 - F.shiftright(total, 1)) * F.lit(0x0001000100010001)
+    each = [F.shiftleft(F.shiftrightunsigned((F.shiftrightunsigned(v, 8 * part).bitwiseAND(F.lit(lanes)) + add).bitwiseAND(top), 14), 8 * part + k) for k, v in enumerate(sums) for part in (0, 1)]
     return reduce(lambda x, y: x.bitwiseOR(y), each)
 
 
-def lanes(v: Column, wide: int) -> list[Column]:
-    """The 8-bit lanes of v in lanes of `wide` bits: every (wide / 8)-th of them, from each of the first ones on."""
-    mask = F.lit(sum(0xFF << i for i in range(0, 64, wide)))
-    return [F.shiftrightunsigned(v, 8 * part).bitwiseAND(mask) for part in range(wide // 8)]
-
-
 def simhash(lines: DataFrame) -> DataFrame:
     """id, size, sim (64 bits) and bucket: a row for each block of each line that has votes of three features, or of all.
 
     A class c has the features whose hash is divisible by 2^c, block by block with bits of their own; a line of n
     features is in the classes in which four to eight, and eight to sixteen, are to be expected. So two lines with
-    about as many features share one class at least. Long lines' features vote in pieces, whose sums are added up.
+    about as many features share one class at least. Of lines of 64 features and more, sim takes a share, too, of 32 to
+    64 features, so that no lane overflows.
     """
-    sized = featured(lines).withColumn("n", F.size("features"))
+    sized = featured(lines.repartition("id")).withColumn("n", F.size("features"))
     low = F.least(F.greatest(F.floor(F.log2(F.col("n") / 8)), F.lit(0)), F.lit(MOST_CLASSES)).cast("int")
     # the even class, and the odd one, of the two; a line of less than eight features is in class 0 alone
     even, odd = low + F.pmod(low, F.lit(2)), F.when(F.col("n") >= 8, low + 1 - F.pmod(low, F.lit(2))).otherwise(-1)
-    sized = sized.withColumn("even", even).withColumn("odd", odd).repartition("id")
-    voters = sized.select("id", "kind", "size", "n", "even", "odd", F.posexplode("features").alias("at", "feature"))
-    voters = voters.withColumn("h", F.xxhash64("feature")).withColumn("m0", F.xxhash64("h", F.lit(1))).withColumn("m1", F.xxhash64("h", F.lit(2)))
-    keys = ["id", "kind", "size", "n", "even", "odd"]
+    sized = sized.withColumn("even", even).withColumn("odd", odd).withColumn("whole", F.greatest(low - 2, F.lit(0)))
+    keys = ["id", "kind", "size", "even", "odd"]
+    voters = sized.select(*keys, "whole", F.explode("features").alias("feature")).withColumn("h", F.xxhash64("feature"))
+    voters = voters.withColumn("m0", F.xxhash64("h", F.lit(1))).withColumn("m1", F.xxhash64("h", F.lit(2)))
     vote = [F.shiftrightunsigned("h", k).bitwiseAND(F.lit(_LANES)) for k in range(8)]
     share = lambda c: F.expr(f"shiftleft(1L, greatest({c}, 0)) - 1")
     inside = [F.shiftrightunsigned(m, 16 * b).bitwiseAND(share(c)) == 0 for m, c in (("m0", "even"), ("m1", "odd")) for b in range(BLOCKS)]
-    own = [f"b{b}_{k}" for b in range(2 * BLOCKS) for k in range(4)]
-    counts = [f"n{b}" for b in range(2 * BLOCKS)]
-    sums = [F.sum(v).alias(f"v{k}") for k, v in enumerate(vote)] + [F.sum(F.when(inside[b], vote[k]).otherwise(F.lit(0).cast("long"))).alias(f"b{b}_{k}") for b in range(2 * BLOCKS) for k in range(4)]
-    sums += [F.count_if(i).alias(name) for i, name in zip(inside, counts, strict=True)]
-    pieces = voters.groupBy(*keys, F.expr(f"at div {PIECE}").cast("int").alias("piece")).agg(*sums)
-    one = pieces.where(F.col("n") <= PIECE)
-    one = one.withColumn("sim", bits([x for k in range(8) for x in lanes(F.col(f"v{k}"), 16)], F.col("n").cast("long"), 16))
-    wide = [(f"w{k}_{p}", x) for k in range(8) for p, x in enumerate(lanes(F.col(f"v{k}"), 32))]
-    many = pieces.where(F.col("n") > PIECE).groupBy(*keys).agg(*(F.sum(x).alias(name) for name, x in wide), *(F.sum(c).alias(c) for c in (*own, *counts)))
-    many = many.withColumn("sim", bits([F.col(name) for name, _ in wide], F.col("n").cast("long"), 32))
-    take = [*keys, "sim", *own, *counts]
-    every = one.select(*take).unionByName(many.select(*take))
+    within = F.xxhash64("h", F.lit(3)).bitwiseAND(share("whole")) == 0
+    some = lambda test, v: F.sum(F.when(test, v).otherwise(F.lit(0).cast("long")))
+    sums = [some(within, v).alias(f"v{k}") for k, v in enumerate(vote)] + [some(i, vote[k]).alias(f"b{b}_{k}") for b, i in enumerate(inside) for k in range(4)]
+    counted = voters.groupBy(*keys).agg(*sums, F.count_if(within).alias("n"), *(F.count_if(i).alias(f"n{b}") for b, i in enumerate(inside)))
+    every = counted.withColumn("sim", bits([F.col(f"v{k}") for k in range(8)], F.col("n")))
 
     def bucket(b: int) -> Column:
-        """Null where the block has too few votes to tell lines apart. The lanes of 4 sums hold 32 bits."""
+        """Null where the block has too few votes to tell lines apart. Four sums have 32 bits."""
         c = "even" if b < BLOCKS else "odd"
-        hashed = bits([x for k in range(4) for x in lanes(F.col(f"b{b}_{k}"), 16)], F.col(f"n{b}"), 16)
+        hashed = bits([F.col(f"b{b}_{k}") for k in range(4)], F.col(f"n{b}"))
         # lanes hold bits k, k + 8, ...: 4 of every 8; the place of the block, its class and the kind go between
         tag = ((F.col(c) * (2 * BLOCKS) + b) * 2 + F.col("kind")).cast("long")
         spread = reduce(lambda x, y: x.bitwiseOR(y), (F.shiftleft(F.shiftrightunsigned(tag, 4 * i).bitwiseAND(F.lit(15)), 8 * i + 4) for i in range(3)))

@@ -345,9 +345,11 @@ def test_simhash_against_brute_force(spark):
         for kind, features in [(0, grams)] * (len(ws) < linededup.GRAMS_BELOW) + [(1, {w.encode() for w in ws})] * (len(ws) >= linededup.WORDS_FROM):
             hashes, n = [h64(f) for f in features], len(features)
             bit = lambda some, b: sum(x >> b & 1 for x in some) * 2 > len(some)
-            sim, low = sum(1 << b for b in range(64) if bit(hashes, b)), 0
+            low = 0
             while n >> low + 4:
                 low += 1
+            some = [x for x in hashes if not h64(struct.pack("<i", 3), h64(pack(x))) & (1 << max(0, low - 2)) - 1]
+            sim = sum(1 << b for b in range(64) if bit(some, b))
             for c in [low, low + 1] if n >= 8 else [0]:
                 for b in range(4) if c else [0]:
                     masks = {x: h64(struct.pack("<i", 1 + c % 2), h64(pack(x))) for x in hashes}
