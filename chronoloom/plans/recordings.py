@@ -16,7 +16,7 @@ from chronoloom.functions.timeutil import local_start, micros, micros_of_ticks,
 from chronoloom.operators import compare, frames
 from chronoloom.plans import convert
 from chronoloom.plans.catalog import FR, HOUR, E, events, frame_table, query
-from chronoloom.sources import edf, recording, scratch, synthetic, texts
+from chronoloom.sources import edf, recording, scratch, synthetic, tables, texts
 
 #: Events as one recording: hours are frames, event types are inputs, rounded values are units.
 UNITS = E + "o as (select min(frame_no) as origin from e), t as (select event_type, row_number() over (order by event_type) as amp from (select distinct event_type from e)), u as (select frame_no - origin as frame_no, amp::int as amp_input, round(value)::bigint as v, us, event_id from e join t using (event_type), o), "
@@ -45,13 +45,28 @@ def made(spark, sf, notes: DataFrame | None = None, **more) -> str:
     return synthetic.write_recording(f, scratch.folder(spark, "recording"), events=notes, **more)
 
 
-@query(UNITS + f"x as (select 1) select frame_no, amp_input, count(*) as n, round(arg_min(v, (us, event_id)) * {sig.UNIT_UV}::double, 4) as first, round(sum(v)::double * {sig.UNIT_UV}::double, 3) as total from u group by all")
+FRAMES_SQL = UNITS + f"x as (select 1) select frame_no, amp_input, count(*) as n, round(arg_min(v, (us, event_id)) * {sig.UNIT_UV}::double, 4) as first, round(sum(v)::double * {sig.UNIT_UV}::double, 3) as total from u group by all"
+
+
+@query(FRAMES_SQL)
 def recording_frames(spark, sf):
     f = recording.frames(spark, made(spark, sf))
     total = F.aggregate("samples", F.lit(0.0), lambda a, x: a + x)
     return f.select("frame_no", "amp_input", F.size("samples").cast("long").alias("n"), F.round(F.get("samples", F.lit(0)), 4).alias("first"), F.round(total, 3).alias("total"))
 
 
+@query(FRAMES_SQL)
+def sql_frame_decode(spark, sf):
+    # SQL text alone: the database's tables as views, and frames decoded by a table function
+    tables.register(spark)
+    tables.recording_views(spark, made(spark, sf), "rec")
+    return spark.sql("""
+        select i.Offset as frame_no, d.amp_input, cast(size(d.samples) as bigint) as n, round(d.samples[0], 4) as first,
+               round(aggregate(d.samples, cast(0 as double), (total, x) -> total + x), 3) as total
+        from rec_FrameInfo i join rec_FrameData b on i.FrameKey = b.FrameKey, lateral frame_decode(b.Data) d
+        where i.Track = 0""")
+
+
 @query(UNITS + "x as (select frame_no, min(us) as us from u group by all) select frame_no, us * 10 as ticks, us from x")
 def recording_index(spark, sf):
     index = recording.index(spark, os.path.dirname(made(spark, sf)))
@@ -136,6 +151,13 @@ def edf_annotations(spark, sf):
     return edf.annotations(file).select("record", F.round("onset", 6).alias("onset"), "duration", "text")
 
 
+@query(NOTES + "select least(floor(onset + 0.000000001)::bigint, last) as record, round(onset, 6) as onset, duration, text from n, z")
+def sql_tal_parse(spark, sf):
+    tables.register(spark)
+    edf_file(spark, sf, notes=notes_of(spark, sf)).createOrReplaceTempView("edf_records")
+    return spark.sql("select e.record, round(t.onset, 6) as onset, t.duration, t.text from edf_records e, lateral tal_parse(e.notes) t where e.notes is not null and t.text <> ''")
+
+
 @query(NOTES + ", o as (select distinct record, (record + 5 * (record // 10))::double as onset from w), a as (select n.text, max(o.record) as record from n join o on o.onset <= n.onset + 0.000000001 group by all) select 'record' as what, record, onset from o union all select text as what, coalesce(record, 0) as record, round(n.onset, 6) as onset from n left join a using (text)")
 def edf_pauses(spark, sf):
     records = whole_records(spark, sf)
