@@ -374,6 +374,24 @@ def edit_distance(a, b):
     return row[-1]
 
 
+def within(a, b, k):
+    """Whether k edits at most lie between a and b: the band of k around the diagonal."""
+    before = {j: j for j in range(min(k, len(b)) + 1)}
+    for i, x in enumerate(a, 1):
+        row = {}
+        for j in range(max(0, i - k), min(len(b), i + k) + 1):
+            ways = [before[j] + 1] if j in before else []
+            if j - 1 in row:
+                ways.append(row[j - 1] + 1)
+            if j and j - 1 in before:
+                ways.append(before[j - 1] + (x != b[j - 1]))
+            row[j] = min(ways)
+        before = row
+        if min(row.values()) > k:
+            return False
+    return before.get(len(b), k + 1) <= k
+
+
 def test_line_dedup_against_brute_force(spark):
     rng = np.random.default_rng(11)
     vocabulary = ["".join(rng.choice(list("abcdefghijklmnopqrst"), rng.integers(2, 9))) for _ in range(400)]
@@ -403,11 +421,11 @@ def test_line_dedup_against_brute_force(spark):
 
 
 def test_line_dedup_recall_on_documents(spark):
-    """Of the lines of the documents of sf0.01, up to 250 characters, all pairs of which are compared."""
+    """Of the lines of the documents of sf0.01, up to 200 characters, all pairs of which are compared."""
     from tests.conftest import SF
 
     docs = spark.read.parquet(f"{SF.replace('sf0.001', 'sf0.01')}/documents.parquet")
-    lines = linededup.lines_of(docs, "doc_id", "text").where("line <> '' and length(line) <= 250").groupBy("id").agg(F.min("line").alias("line"))
+    lines = linededup.lines_of(docs, "doc_id", "text").where("line <> '' and length(line) <= 200").groupBy("id").agg(F.min("line").alias("line"))
     rows = sorted(((r.line, r.id) for r in lines.collect()), key=lambda r: len(r[0]))
     sizes = np.array([len(t) for t, _ in rows])
     grams = np.zeros((len(rows), 128), np.int16)
@@ -420,11 +438,11 @@ def test_line_dedup_recall_on_documents(spark):
         most = (sizes[i + 1 : end] * 0.1 + 1e-9).astype(int)
         # each edit changes two bigrams at most, in either line
         for j in np.flatnonzero(np.abs(grams[i + 1 : end] - grams[i]).sum(1) <= 4 * most).tolist():
-            if edit_distance(rows[i][0], rows[i + 1 + j][0]) <= most[j]:
+            if within(rows[i][0], rows[i + 1 + j][0], int(most[j])):
                 pairs.append((rows[i][1], rows[i + 1 + j][1]))
     component = {r.id: r.component for r in linededup.line_components(lines).collect()}
     found = sum(a in component and component[a] == component.get(b) for a, b in pairs)
-    assert len(pairs) > 60 and found >= 0.9 * len(pairs), (found, len(pairs))
+    assert len(pairs) > 50 and found >= 0.9 * len(pairs), (found, len(pairs))
 
 
 def test_very_long_lines(spark):
@@ -443,15 +461,18 @@ def test_names_that_need_quotes(spark, docs):
     odd = docs.select("doc_id", "text", "lang", "source", *(F.lit(1).alias(c) for c in ("a.b", "own", "key", "__key", "__doc", "c0", "host", "gone_id", "sha", "`x")))
     bench = spark.createDataFrame([(1, words(40))], "item_id long, text string")
     rest = odd.count()
-    assert mixing.mixed_documents(odd).columns[: len(odd.columns)] == odd.columns and mixing.mixed_documents(odd).count() > 0
-    assert linededup.dedup_lines(odd).columns == odd.columns and linededup.dedup_lines(odd).count() > 0
+    out = mixing.mixed_documents(odd)
+    assert out.columns[: len(odd.columns)] == odd.columns and out.count() > 0
+    out = linededup.dedup_lines(odd)
+    assert out.columns == odd.columns and out.count() > 0
     out = toxicity.drop_toxic(odd, toxicity.Lexicon([("idiot", 5.0)], -3.0))
     assert out.columns == odd.columns and out.count() == rest
     out = decontamination.drop_contaminated(odd, bench)
     assert out.columns == odd.columns and out.count() == rest
     out = neardup.one_of_each_group(odd, before=odd)
     assert out.columns == odd.columns and 0 < out.count() < rest
-    assert urls.judge_urls(odd, "text").columns == [c for c in odd.columns if c != "host"] + ["host", "path", "rule", "verdict"] and urls.judge_urls(odd, "text").count() == rest
+    out = urls.judge_urls(odd, "text")
+    assert out.columns == [c for c in odd.columns if c != "host"] + ["host", "path", "rule", "verdict"] and out.count() == rest
     assert importance.drawn_documents(odd, bench).columns == [*odd.columns, "draw_rank"]
 
 
