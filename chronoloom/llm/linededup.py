@@ -54,14 +54,14 @@ def lines_of(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def featured(lines: DataFrame) -> DataFrame:
-    """id, kind (0: trigrams, 1: words), size (characters) and features (distinct, as bytes) of lines (id, line)."""
+    """id, kind (0: trigrams, 1: words), size (characters) and features (hashes, distinct) of lines (id, line)."""
     # characters in 4 bytes each, so that no trigram is looked for from the line's beginning
     starts = lambda code: F.sequence(F.lit(0), F.greatest((F.octet_length(code) / 4).cast("int") - 3, F.lit(0)))
-    grams = F.transform(F.array(F.encode("line", "UTF-32")), lambda code: F.transform(starts(code), lambda i: F.substring(code, i * 4 + 1, F.lit(12))))[0]
+    grams = F.transform(F.array(F.encode("line", "UTF-32")), lambda code: F.transform(starts(code), lambda i: F.xxhash64(F.substring(code, i * 4 + 1, F.lit(12)))))[0]
     words = F.split("line", " ")
     cut = lines.select("id", "line", F.length("line").alias("size"), words.alias("words"))
     few, many = F.size("words") < GRAMS_BELOW, F.size("words") >= WORDS_FROM
-    kinds = F.array(F.when(few, F.struct(F.lit(0).alias("kind"), grams.alias("f"))), F.when(many, F.struct(F.lit(1).alias("kind"), F.transform("words", lambda w: w.cast("binary")).alias("f"))))
+    kinds = F.array(F.when(few, F.struct(F.lit(0).alias("kind"), grams.alias("f"))), F.when(many, F.struct(F.lit(1).alias("kind"), F.transform("words", lambda w: F.xxhash64(w)).alias("f"))))
     each = cut.select("id", "size", F.explode(F.filter(kinds, lambda k: k.isNotNull())).alias("k"))
     return each.select("id", F.col("k.kind").alias("kind"), "size", F.array_distinct("k.f").alias("features"))
 
@@ -89,7 +89,7 @@ def simhash(lines: DataFrame) -> DataFrame:
     even, odd = low + F.pmod(low, F.lit(2)), F.when(F.col("n") >= 8, low + 1 - F.pmod(low, F.lit(2))).otherwise(-1)
     sized = sized.withColumn("even", even).withColumn("odd", odd).withColumn("whole", F.greatest(low - 2, F.lit(0)))
     keys = ["id", "kind", "size", "even", "odd"]
-    voters = sized.select(*keys, "whole", F.explode("features").alias("feature")).withColumn("h", F.xxhash64("feature"))
+    voters = sized.select(*keys, "whole", F.explode("features").alias("h"))
     voters = voters.withColumn("m0", F.xxhash64("h", F.lit(1))).withColumn("m1", F.xxhash64("h", F.lit(2)))
     vote = [F.shiftrightunsigned("h", k).bitwiseAND(F.lit(_LANES)) for k in range(8)]
     share = lambda c: F.expr(f"shiftleft(1L, greatest({c}, 0)) - 1")
