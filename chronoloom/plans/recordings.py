@@ -15,8 +15,9 @@ from chronoloom.functions import signal as sig
 from chronoloom.functions.timeutil import local_start, micros, micros_of_ticks, ticks_of_text
 from chronoloom.operators import compare, frames
 from chronoloom.plans import convert
-from chronoloom.plans.catalog import FR, HOUR, E, events, frame_table, query
+from chronoloom.plans.catalog import FR, HOUR, PAD, E, events, frame_table, query
 from chronoloom.sources import edf, recording, scratch, synthetic, tables, texts
+from chronoloom.streaming import live
 
 #: Events as one recording: hours are frames, event types are inputs, rounded values are units.
 UNITS = E + "o as (select min(frame_no) as origin from e), t as (select event_type, row_number() over (order by event_type) as amp from (select distinct event_type from e)), u as (select frame_no - origin as frame_no, amp::int as amp_input, round(value)::bigint as v, us, event_id from e join t using (event_type), o), "
@@ -67,6 +68,16 @@ def sql_frame_decode(spark, sf):
         where i.Track = 0""")
 
 
+@query(UNITS + f"f as (select amp_input, frame_no, count(*) as n, round(sum(v)::double * {sig.UNIT_UV}::double, 3) as total from u group by all), g as (select *, coalesce(frame_no - lag(frame_no) over w - 1, 0) as missing from f window w as (partition by amp_input order by frame_no)) select amp_input, frame_no, missing, n, total, (sum(n + {PAD} * missing) over w - n)::bigint as first_sample, (sum((missing > 0)::int) over w)::int as segment from g window w as (partition by amp_input order by frame_no rows unbounded preceding)")
+def live_placement(spark, sf):
+    """The recording read as a stream, in one batch; each input's frames in order, as they are placed."""
+    path, out = made(spark, sf), scratch.folder(spark, "stream")
+    stream = live.live_frames(spark, [path], pad=PAD, highpass=False).select("amp_input", "frame_no", "kind", "missing", "first_sample", "segment", F.size("samples").cast("long").alias("n"), F.round(F.aggregate("samples", F.lit(0.0), lambda a, x: a + x), 3).alias("total"))
+    writing = stream.writeStream.format("parquet").option("checkpointLocation", f"file://{out}/checkpoint").trigger(availableNow=True)
+    writing.start(f"file://{out}/frames").awaitTermination()
+    return spark.read.parquet(f"file://{out}/frames").where("kind = 'frame'").drop("kind")
+
+
 @query(UNITS + "x as (select frame_no, min(us) as us from u group by all) select frame_no, us * 10 as ticks, us from x")
 def recording_index(spark, sf):
     index = recording.index(spark, os.path.dirname(made(spark, sf)))
