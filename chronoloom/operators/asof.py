@@ -32,3 +32,27 @@ def asof_or_first(left: DataFrame, right: DataFrame, by: str, at: str, start: st
     met = met.join(firsts, F.col(by) == F.col("__of"), "left")
     got = [F.when(F.col("__seen"), F.col(c)).otherwise(F.col(f"__first.{c}")).alias(c) for c in take]
     return met.select(*left.columns, *got)
+
+
+def asof_both(left: DataFrame, right: DataFrame, by: str, at: str, start: str, take: list[str], width: float) -> DataFrame:
+    """left with `before` and `after`: the columns `take` of the last right row at or before it, and of the first at or
+    after it, as structs (null where there is none; of right rows at one instant the greatest is before, the least after).
+
+    Instants are looked at in slots of `width`, so that no task holds all rows of a `by`; what a slot needs of the others,
+    the nearest right row on either side, travels over one row for each slot."""
+    l = left.select(F.col(by).alias("__by"), F.col(at).alias("__at"), F.lit(1).alias("__side"), F.struct(*left.columns).alias("__row"), F.lit(None).alias("__got"))
+    r = right.select(F.col(by).alias("__by"), F.col(start).alias("__at"), F.lit(0).alias("__side"), F.lit(None).alias("__row"), F.struct(*take).alias("__got"))
+    both = l.unionByName(r).withColumn("__slot", F.floor(F.col("__at") / width))
+    slot, so_far = W.partitionBy("__by", "__slot"), (W.unboundedPreceding, 0)
+    met = both.withColumn("__before", F.last("__got", ignorenulls=True).over(slot.orderBy("__at", "__side", "__got").rowsBetween(*so_far)))
+    met = met.withColumn("__after", F.last("__got", ignorenulls=True).over(slot.orderBy(F.desc("__at"), "__side", F.desc("__got")).rowsBetween(*so_far)))
+    place = F.when(F.col("__got").isNotNull(), F.struct("__at", "__got"))
+    slots = both.groupBy("__by", "__slot").agg(F.max_by("__got", place).alias("__last"), F.min_by("__got", place).alias("__first"))
+    along = W.partitionBy("__by").orderBy("__slot")
+    slots = slots.select(
+        F.col("__by").alias("__of"), F.col("__slot").alias("__in"),
+        F.last("__last", ignorenulls=True).over(along.rowsBetween(W.unboundedPreceding, -1)).alias("__earlier"),
+        F.first("__first", ignorenulls=True).over(along.rowsBetween(1, W.unboundedFollowing)).alias("__later"),
+    )
+    met = met.where("__side = 1").join(slots, F.col("__by").eqNullSafe(F.col("__of")) & F.col("__slot").eqNullSafe(F.col("__in")), "left")
+    return met.select("__row.*", F.coalesce("__before", "__earlier").alias("before"), F.coalesce("__after", "__later").alias("after"))

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from chronoloom.operators.asof import asof_both
+
 
 def share_identical(pairs: DataFrame, by: str, ours: str, theirs: str, pos: str) -> DataFrame:
     """by, n, identical, differing, largest step and the first place that differs."""
@@ -38,6 +40,38 @@ def best_lag(signal: DataFrame, by: str, pos: str, x: str, y: str, most: int) ->
     return scores.select(by, best.alias("__best")).where("__best.score is not null").select(by, (-F.col("__best.k")).alias("lag"), F.col("__best.score").alias("score"))
 
 
+def lag_by_blocks(signal: DataFrame, channel: list[str], pool: list[str], pos: str, x: str, y: str, most: int, block: int = 1 << 16) -> DataFrame:
+    """pool, lag and score: the shift k within +-most that maximises the sum of x(p) y(p + k), summed over all channels of
+    a pool (columns among `channel`; none: all are one); ties (to six digits after the point) to the lowest. Nulls count
+    as nothing.
+
+    A channel is cut into blocks of x that carry the `most` samples of y on either side of them (the halo); a block's
+    sums for all shifts are one product of spectra, and blocks' sums add up. No task holds more than blocks."""
+    if block <= most:
+        raise ValueError("a block must be longer than the largest lag")
+    at, number = F.col(pos), lambda p: F.floor(p / block)
+    xs = signal.where(F.col(x).isNotNull()).select(*channel, number(at).alias("__block"), at.alias("__at"), F.col(x).cast("double").alias("__v"), F.lit(True).alias("__own"))
+    blocks = F.explode(F.array_distinct(F.array(number(at - most), number(at), number(at + most))))
+    ys = signal.where(F.col(y).isNotNull()).select(*channel, blocks.alias("__block"), at.alias("__at"), F.col(y).cast("double").alias("__v"), F.lit(False).alias("__own"))
+    size = 1 << (block + 3 * most).bit_length()
+    kinds = {f.name: f.dataType.simpleString() for f in signal.schema}
+
+    def sums(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        own, first = rows["__own"].to_numpy(), int(key[-1]) * block
+        place, v = rows["__at"].to_numpy() - first, rows["__v"].to_numpy()
+        a, b = np.zeros(size), np.zeros(size)
+        a[place[own]], b[place[~own] + most] = v[own], v[~own]
+        found = np.fft.irfft(np.conj(np.fft.rfft(a)) * np.fft.rfft(b), size)[: 2 * most + 1]
+        names = channel[: len(key) - 1]
+        return pd.DataFrame({**{c: [k] for c, k in zip(names, key, strict=False)}, "scores": [found]})[[*pool, "scores"]]
+
+    named = "".join(f"`{c}` {kinds[c]}, " for c in pool)
+    found = xs.unionByName(ys).groupBy(*channel, "__block").applyInPandas(sums, f"{named}scores array<double>")
+    every = found.select(*pool, F.posexplode("scores").alias("__k", "__s")).groupBy(*pool, "__k").agg(F.round(F.sum("__s"), 6).alias("score"))
+    best = every.groupBy(*pool).agg(F.max(F.struct("score", (most - F.col("__k")).alias("k"))).alias("__best"))
+    return best.select(*pool, (-F.col("__best.k")).cast("int").alias("lag"), F.col("__best.score").alias("score"))
+
+
 SUMS = "n long, identical long, most double, xx double, xy double, yy double, x_low double, x_high double, y_low double, y_high double"
 #: Seconds in the middle of two recordings in which their lag is looked for.
 LAG_SECONDS = 60
@@ -142,6 +176,25 @@ def aligned(guesses: DataFrame, frames: DataFrame, tolerance: int) -> DataFrame:
     return met.groupBy(*guesses.columns).agg(F.min_by("frame", F.struct("residual", "frame")).alias("frame"), F.min("residual").alias("residual"))
 
 
+def aligned_over_pauses(guesses: DataFrame, frames: DataFrame, tolerance: int, unit: int) -> DataFrame:
+    """aligned(), where frames that aren't stored count, too: they start whole units (a frame's time) after or before the
+    nearest stored frame, by number, the later one if two are as near. Each guess meets the stored frames on both sides of
+    it, and of the frames about the guess, counted from these, the nearest wins, ties to the lower number."""
+    one = frames.withColumn("__all", F.lit(1))
+    met = asof_both(guesses.withColumn("__all", F.lit(1)), one, "__all", "guess", "start", ["start", "frame"], 3600.0 * unit)
+    steps = lambda side: F.round((F.col("guess") - F.col(f"{side}.start")) / unit).cast("long")
+    about = [F.col(f"{side}.frame") + n for side in ("before", "after") for n in (0, steps(side) - 1, steps(side), steps(side) + 1)]
+    each = met.withColumn("frame", F.explode(F.array_distinct(F.array(*about)))).where("frame >= 0")
+    from_before = F.col("before.start") + (F.col("frame") - F.col("before.frame")) * unit
+    from_after = F.col("after.start") - (F.col("after.frame") - F.col("frame")) * unit
+    # a number at or outside the two stored ones belongs to the one on its side
+    nearer = F.col("frame") - F.col("before.frame") < F.col("after.frame") - F.col("frame")
+    own = F.when(F.col("after").isNull() | nearer, from_before).otherwise(F.coalesce(from_after, from_before))
+    inside = F.col("before").isNull() | F.col("after").isNull() | F.col("frame").between(F.col("before.frame"), F.col("after.frame"))
+    each = each.where(inside).withColumn("residual", F.abs(F.col("guess") - own)).where(F.col("residual") <= tolerance)
+    return each.groupBy(*guesses.columns).agg(F.min_by("frame", F.struct("residual", "frame")).alias("frame"), F.min("residual").alias("residual"))
+
+
 def placed(found: DataFrame, length: int, frames: DataFrame) -> DataFrame:
     """The one alignment (see aligned) that is left when those whose `length` frames run beyond the recording's last
     frame are out; none, or several, is an error."""

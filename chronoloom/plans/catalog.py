@@ -346,3 +346,23 @@ def spectral_ratio(spark, sf):
     w = W.partitionBy("user_id").orderBy("us", "event_id")
     e = events(spark, sf).select("user_id", F.row_number().over(w).alias("pos"), "value")
     return filters.band_share(e, ["user_id"], "pos", "value", 100.0, 5.0, 20.0).withColumn("share", F.round("share", 6))
+
+
+@query(E + "l as (select event_id, user_id, us from e where event_type = 'purchase'), r as (select distinct user_id, us as at from e where event_type = 'click'), b as (select l.*, r.at as before from l asof left join r on l.user_id = r.user_id and l.us >= r.at), a as (select b.*, r.at as after from b asof left join r on b.user_id = r.user_id and b.us <= r.at) select event_id, before, after, case when before is null or after - us < us - before then after else before end as nearest from a")
+def asof_nearest(spark, sf):
+    """Of each purchase the click before, the click after, and the nearer one, the earlier if both are as near."""
+    e = events(spark, sf).select("event_id", "user_id", "us", "event_type")
+    clicks = e.where("event_type = 'click'").select("user_id", F.col("us").alias("at"))
+    met = asof.asof_both(e.where("event_type = 'purchase'").drop("event_type"), clicks, "user_id", "us", "at", ["at"], 24.0 * HOUR)
+    before, after = F.col("before.at"), F.col("after.at")
+    nearest = F.when(before.isNull() | (after - F.col("us") < F.col("us") - before), after).otherwise(before)
+    return met.select("event_id", before.alias("before"), after.alias("after"), nearest.alias("nearest"))
+
+
+@query(E + "p as (select event_type, user_id, value::decimal(18, 6) as x, row_number() over w as pos, lag(value::decimal(18, 6), 3) over w as y from e window w as (partition by event_type, user_id order by us, event_id)), k as (select unnest(generate_series(-8, 8)) as lag), m as (select a.event_type, k.lag, sum(a.x * b.y) as total from p a, k, p b where a.event_type = b.event_type and a.user_id = b.user_id and b.pos = a.pos + k.lag group by all) select event_type, arg_max(lag, (round(total::double, 3), -lag))::int as lag, round(max(total)::double, 3) as score from m group by event_type")
+def pooled_lags(spark, sf):
+    """Users are channels; the lag between their values and those three places later, pooled by the kind of event."""
+    w = W.partitionBy("event_type", "user_id").orderBy("us", "event_id")
+    p = events(spark, sf).select("event_type", "user_id", F.row_number().over(w).alias("pos"), F.col("value").alias("x"), F.lag("value", 3).over(w).alias("y"))
+    found = compare.lag_by_blocks(p, ["event_type", "user_id"], ["event_type"], "pos", "x", "y", 8, 1024)
+    return found.withColumn("score", F.round("score", 3))
