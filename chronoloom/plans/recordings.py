@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from chronoloom.functions import layout
 from chronoloom.functions import signal as sig
 from chronoloom.functions.timeutil import local_start, micros, micros_of_ticks, ticks_of_text
-from chronoloom.operators import compare, frames
+from chronoloom.operators import compare, digests, frames
 from chronoloom.plans import convert
 from chronoloom.plans.catalog import FR, HOUR, PAD, E, events, frame_table, query
 from chronoloom.sources import edf, recording, scratch, synthetic, tables, texts
@@ -349,6 +349,19 @@ def table_digest(spark, sf):
     return o.select(sig.row_digest("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority").alias("d")).agg(F.count("*").alias("n"), F.sum("d").alias("digest"))
 
 
+PIECES = ", ".join(f"sum(('0x' || substring(h, {1 + 15 * k}, 15))::bigint::hugeint) as s{k}" for k in range(4))
+LEVEL = "select node // 64 as node, sum(n)::bigint as n, sha256(string_agg(node || ':' || digest, '|' order by node)) as digest from"
+TREE = ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"]
+ROW = ", ".join(f"coalesce(length({c}::varchar) || ':' || {c}::varchar, 'n')" for c in TREE)
+
+
+@query(f"with r as (select o_orderkey // 256 as node, sha256(concat({ROW})) as h from orders), s as (select node, count(*) as n, {PIECES} from r group by node), a as (select node, n, sha256(concat_ws('|', n, s0, s1, s2, s3)) as digest from s), b as ({LEVEL} a group by all), c as ({LEVEL} b group by all) select 0 as level, * from a union all select 1, * from b union all select 2, * from c")
+def tree_digest(spark, sf):
+    """All nodes of the table's tree up to level 2."""
+    o = spark.read.parquet(f"{sf}/orders.parquet")
+    return digests.write_tree(o, "o_orderkey", TREE, f"file://{scratch.folder(spark, 'tree')}/orders", levels=2)
+
+
 @query("with s as (select l_returnflag, count(*) as n, sum((l_quantity * l_quantity)::decimal(38, 4)) as xx, sum((l_quantity * l_tax)::decimal(38, 6)) as xy, sum((l_tax * l_tax)::decimal(38, 6)) as yy from lineitem group by all) select l_returnflag, round(sqrt(greatest(0, yy::double - xy::double * xy::double / xx::double) / (n - 1) / xx::double), 9) as se from s")
 def gain_error(spark, sf):
     l = spark.read.parquet(f"{sf}/lineitem.parquet")
