@@ -382,5 +382,7 @@ def json_report(spark, sf):
 
 @query("select t || '.parquet' as name, false as sqlite, 'PAR1' as magic from (values ('region'), ('nation'), ('supplier'), ('labels')) as v(t)")
 def magic_sniff(spark, sf):
-    return texts.sniffed(spark, *(f"{sf}/{t}.parquet" for t in ("region", "nation", "supplier", "labels"))).select("name", "sqlite", F.substring("magic", 1, 4).alias("magic"))
+    """A table may be a file or a folder of files; bytes of a kind count once."""
+    found = texts.sniffed(spark, *(f"{sf}/{t}.parquet" for t in ("region", "nation", "supplier", "labels")))
+    return found.select("name", "sqlite", F.substring("magic", 1, 4).alias("magic")).distinct()
 
