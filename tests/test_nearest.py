@@ -56,3 +56,19 @@ def test_lag_by_blocks_of_three_channels(spark, block):
 def test_lag_of_a_block_below_the_lag_is_refused(spark):
     with pytest.raises(ValueError):
         compare.lag_by_blocks(spark.createDataFrame([(1, 1.0, 1.0)], "p long, x double, y double"), [], [], "p", "x", "y", 5, 5)
+
+
+@pytest.mark.parametrize("most", [3, 40])
+def test_lag_of_many_short_channels_takes_no_group_each(spark, capsys, most):
+    rng = np.random.default_rng(12)
+    sets = [(c, c % 2, p, float(x), float(y) if p % 5 else None) for c in range(400) for p, (x, y) in enumerate(rng.integers(-300, 300, (int(rng.integers(1, 30)), 2)) / 100)]
+    signal = spark.createDataFrame(sets, "c long, kind long, p long, x double, y double")
+    found = compare.lag_by_blocks(signal, ["kind", "c"], ["kind"], "p", "x", "y", most, 64)
+    found.explain()
+    assert "FlatMapGroups" not in capsys.readouterr().out
+    got = {r.kind: (r.lag, r.score) for r in found.collect()}
+    for kind in (0, 1):
+        at = {(c, p): y for c, k, p, _, y in sets if k == kind and y is not None}
+        sums = {k: round(sum(x * at.get((c, p + k), 0.0) for c, kd, p, x, _ in sets if kd == kind), 6) for k in range(-most, most + 1)}
+        best = max(sums.values())
+        assert got[kind] == (min(k for k in sums if sums[k] == best), best)
