@@ -4,13 +4,18 @@ from __future__ import annotations
 
 import functools
 import math
+from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CUTOFF_HZ = 0.16
+#: Samples of a batch that a task gives back.
+SAMPLES = 1 << 17
 
 
 def highpass_coefficients(rate: float, cutoff: float = CUTOFF_HZ) -> tuple[np.ndarray, np.ndarray]:
@@ -34,6 +39,7 @@ class Recursion:
         for _ in range(n):
             powers.append(self.step @ powers[-1])
         response = np.array([b[0], *(powers[k][0] @ gain for k in range(n - 1))])
+        self.powers = powers
         after = np.subtract.outer(np.arange(n), np.arange(n))
         self.outputs = np.where(after >= 0, response[np.abs(after)], 0.0)
         self.memory = np.array([p[0] for p in powers[:n]])  # of the states, by sample
@@ -46,15 +52,12 @@ class Recursion:
 
     def run(self, x: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The filtered samples and the states behind them."""
-        out, whole = np.empty(len(x)), len(x) // self.BLOCK * self.BLOCK
-        through = self.after(self.BLOCK)
-        for at in range(0, whole, self.BLOCK):
+        out = np.empty(len(x))
+        for at in range(0, len(x), self.BLOCK):
             part = x[at : at + self.BLOCK]
-            out[at : at + self.BLOCK] = self.outputs @ part + self.memory @ state
-            state = through @ state + self.kept @ part
-        for k in range(whole, len(x)):
-            out[k] = self.first * x[k] + state[0]
-            state = self.step @ state + self.gain * x[k]
+            n = len(part)  # the last block may be short
+            out[at : at + n] = self.outputs[:n, :n] @ part + self.memory[:n] @ state
+            state = self.powers[n] @ state + self.kept[:, self.BLOCK - n :] @ part
         return out, state
 
     def primed(self, x: np.ndarray) -> np.ndarray:
@@ -78,36 +81,61 @@ def highpass_segments(samples: DataFrame, by: list[str], pos: str, value: str, r
     """by, pos, value and filtered, for each group of `by` (a recording's channel and segment), whose positions count
     from 0 without holes.
 
-    Segments are filtered in chunks, each in its own task: first each chunk's states from none, then the states along
-    a segment's chunks, then the samples from these."""
+    Segments are filtered in chunks, each an array: first the states that whole chunks leave from none, then the states
+    along a segment's chunks, then the samples from these. A task takes chunks and short segments as they come, many in a
+    batch. Rows with a null in `by` are in no segment and left out."""
     if chunk <= 20 * rate:
         raise ValueError("a chunk must hold what primes the filter")
     keys = [*by, "__chunk"]
-    kept = samples.select(*by, pos, value).withColumn("__chunk", F.floor(F.col(pos) / chunk))
-    named = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name in keys)
-
-    def ends(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        system, x = recursion(rate), rows.sort_values(pos)[value].to_numpy(float)
-        state = system.run(x, np.zeros(2) if key[-1] else system.primed(x))[1]
-        return pd.DataFrame([(*key, len(x), *state)], columns=[*keys, "__n", "__z1", "__z2"])
+    known = reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in by), F.lit(True))
+    kept = samples.where(known).select(*by, F.floor(F.col(pos) / chunk).alias("__chunk"), F.struct(pos, value).alias("__s"))
+    packed = kept.groupBy(*keys).agg(F.sort_array(F.collect_list("__s")).alias("__s"))
+    named = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in packed.schema if f.name in keys)
+
+    def arrays(batch: pa.RecordBatch) -> tuple[np.ndarray, pa.StructArray, np.ndarray]:
+        """Where each row's samples end, all of them, and their values."""
+        lists = batch.column("__s")
+        flat = lists.flatten()
+        values = flat.field(1).to_numpy(zero_copy_only=False).astype(float)
+        return lists.offsets.to_numpy() - lists.offsets[0].as_py(), flat, values
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system = recursion(rate)
+        for batch in batches:
+            at, _, values = arrays(batch)
+            found = [system.run(x, np.zeros(2) if c else system.primed(x))[1] for c, x in zip(batch.column("__chunk").to_pylist(), np.split(values, at[1:-1]), strict=True)] if len(batch) else []
+            states = [pa.array([z[k] for z in found], pa.float64()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*batch.select(keys).columns, *states], names=[*keys, "__z1", "__z2"])
 
     def along(rows: pd.DataFrame) -> pd.DataFrame:
+        """The states before each chunk that follows a whole one."""
         system, rows, state, found = recursion(rate), rows.sort_values("__chunk"), np.zeros(2), []
-        for c, n, z1, z2 in zip(rows["__chunk"], rows["__n"], rows["__z1"], rows["__z2"], strict=True):
+        through = system.after(chunk)
+        for c, z1, z2 in zip(rows["__chunk"], rows["__z1"], rows["__z2"], strict=True):
+            state = (through @ state if c else 0.0) + np.array([z1, z2])
             found.append(state)
-            state = (system.after(n) @ state if c else 0.0) + np.array([z1, z2])
-        return rows[keys].assign(__z1=[s[0] for s in found], __z2=[s[1] for s in found])
-
-    def filtered(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        system, rows = recursion(rate), rows.sort_values(pos)
-        x = rows[value].to_numpy(float)
-        state = rows[["__z1", "__z2"]].iloc[0].to_numpy(float) if key[-1] else system.primed(x)
-        return rows[[*by, pos, value]].assign(filtered=system.run(x, state)[0])
-
-    states = kept.groupBy(*keys).applyInPandas(ends, f"{named}, __n long, __z1 double, __z2 double")
+        return rows[keys].assign(__chunk=rows["__chunk"] + 1, __z1=[s[0] for s in found], __z2=[s[1] for s in found])
+
+    def filtered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system = recursion(rate)
+        for batch in batches:
+            at, flat, values = arrays(batch)
+            chunks, states = batch.column("__chunk").to_pylist(), [batch.column(c).to_numpy(zero_copy_only=False) for c in ("__z1", "__z2")]
+            out = np.empty(len(values))
+            for k, c in enumerate(chunks):
+                x = values[at[k] : at[k + 1]]
+                out[at[k] : at[k + 1]] = system.run(x, np.array([states[0][k], states[1][k]]) if c else system.primed(x))[0]
+            row = np.repeat(np.arange(len(batch)), np.diff(at))
+            for first in range(0, len(out), SAMPLES):
+                some = slice(first, first + SAMPLES)
+                own = [batch.column(c).take(pa.array(row[some])) for c in by]
+                yield pa.RecordBatch.from_arrays([*own, flat.field(0)[some], flat.field(1)[some], pa.array(out[some])], names=[*by, pos, value, "filtered"])
+
+    # only a chunk that is whole has one after it
+    states = packed.where(F.size("__s") >= chunk).mapInArrow(ends, f"{named}, __z1 double, __z2 double")
     states = states.groupBy(*by).applyInPandas(along, f"{named}, __z1 double, __z2 double")
-    met = kept.join(states, keys)
-    return met.groupBy(*keys).applyInPandas(filtered, f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in samples.select(*by, pos, value).schema)}, filtered double")
+    rows = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in samples.select(*by, pos, value).schema)
+    return packed.join(states, keys, "left").mapInArrow(filtered, f"{rows}, filtered double")
 
 
 def highpass_arrays(pieces: DataFrame, by: list[str], pos: str, values: str, rate: str, keep: list[str], chunk: int = 1 << 17) -> DataFrame:

@@ -73,6 +73,21 @@ def plain_highpass(x, rate):
     return np.array(out[lead:])
 
 
+def test_highpass_of_short_segments_takes_no_group_each(spark, capsys):
+    rng = np.random.default_rng(5)
+    x = {s: rng.normal(size=int(rng.integers(1, 80))).cumsum() for s in range(150)} | {200: rng.normal(size=900)}
+    data = spark.createDataFrame([(s, i, float(v)) for s, values in x.items() for i, v in enumerate(values)] + [(None, 0, 1.0)], "s int, pos long, v double")
+    out = filters.highpass_segments(data.repartition(3), ["s"], "pos", "v", 2.0, chunk=300)
+    out.explain()
+    plan = capsys.readouterr().out
+    # what is left of groups is one over the states of whole chunks
+    assert plan.count("FlatMapGroups") == 1 and plan.count("MapInArrow") == 2
+    got = out.orderBy("s", "pos").toPandas()
+    assert list(got.columns) == ["s", "pos", "v", "filtered"] and len(got) == sum(map(len, x.values()))
+    for s, values in x.items():
+        assert np.allclose(got[got["s"] == s]["filtered"], plain_highpass(values, 2.0), atol=1e-9) and (got[got["s"] == s]["v"] == values).all()
+
+
 def test_highpass_in_chunks_equals_the_recursion(spark):
     rng = np.random.default_rng(4)
     x = {s: rng.normal(size=n).cumsum() for s, n in ((0, 5000), (1, 700), (2, 1), (3, 1024))}
