@@ -13,7 +13,6 @@ from dataclasses import dataclass, field
 from datetime import datetime
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -230,8 +229,8 @@ class EdfWriter(DataSourceArrowWriter):
         open_: dict[str, int] = {}
         done: dict[str, tuple[int, int]] = {}
         try:
-            for batch in iterator:
-                for file, at, data in zip(*(batch.column(c).to_pylist() for c in ("file", "at", "body")), strict=True):
+            for some in _parts(iterator):
+                for file, at, data in zip(*(some.column(c).to_pylist() for c in ("file", "at", "body")), strict=True):
                     if file not in open_:
                         if len(open_) >= self.OPEN:
                             os.close(open_.pop(next(iter(open_))))
@@ -315,19 +314,30 @@ def write(
     listed = [*signals, note_signal(room)] if room else signals
     head, size = header(start, kind, seconds, listed, patient, recording), 2 * (sum(sizes) + room)
 
-    def bodies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+    def bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some in _parts(batches):
             rows = []
-            for row in batch.itertuples(index=False):
+            for row in some.to_pandas().itertuples(index=False):
                 notes = [{"onset": x["onset"] + within, "duration": x["duration"], "text": x["text"]} for x in (row.notes if row.notes is not None else ())]
                 rows.append((file, len(head) + row.record * size, body([x["digital"] for x in row.s], sizes, room, row.onset + within, notes, row.record)))
-            yield pd.DataFrame(rows, columns=["file", "at", "body"])
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.string(), pa.int64(), pa.binary()))], names=["file", "at", "body"])
 
-    rows = packed.select("record", "s", "onset", F.col("notes") if room else F.lit(None).cast(f"array<{NOTE}>").alias("notes")).mapInPandas(bodies, ROWS)
+    rows = packed.select("record", "s", "onset", F.col("notes") if room else F.lit(None).cast(f"array<{NOTE}>").alias("notes")).mapInArrow(bodies, ROWS)
     write_files(rows.unionByName(spark.createDataFrame([(file, 0, head)], ROWS)), folder or ".", overwrite)
     return read_header(path).n_records
 
 
+#: Records that a task has as Python objects at a time.
+HELD = 64
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches, which Spark limits by bytes, in parts of HELD rows: as objects they take many times that."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, HELD):
+            yield batch.slice(at, HELD)
+
+
 #: The rows that EdfWriter takes.
 ROWS = "file string, at long, body binary"
 

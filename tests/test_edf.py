@@ -69,3 +69,18 @@ def test_kinds_and_their_rules(spark, tmp_path):
     with pytest.raises(ValueError, match="does not fit"):
         edf.write(df, str(tmp_path / "l.edf"), START, 1.0, [{**SIGNALS[0], "label": "a label that is too long"}, SIGNALS[1]])
     assert sorted(p.name for p in tmp_path.iterdir()) == ["a.edf", "b.edf", "d.edf"]
+
+
+def test_writer_holds_few_records_of_a_batch(tmp_path):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    bodies = [bytes([k % 251]) * 10_000 for k in range(2000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(["a"] * 2000), pa.array([k * 10_000 for k in range(2000)]), pa.array(bodies, pa.binary())], names=["file", "at", "body"])
+    writer = edf.EdfWriter(str(tmp_path), False)
+    tracemalloc.start()
+    assert writer.write(iter([batch])).files == {"a": (20_000_000, 20_000_000)}
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert open(writer.part("a"), "rb").read() == b"".join(bodies) and peak < 4_000_000
