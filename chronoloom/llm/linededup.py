@@ -30,8 +30,10 @@ WORDS_FROM, GRAMS_BELOW = 16, 18
 BLOCKS = 4
 #: The bits that choose a block's features are 16, so there is no class above this one and the next.
 MOST_CLASSES = 15
-#: Lines above this are compared by their shingles of SHINGLE words, at PERCENT of those in either.
-LONG, SHINGLE, PERCENT = 4096, 5, 75
+#: Of pairs with a line above LONG, bounds on their edits are looked at first: by runs of RUN characters, and word by word.
+LONG, RUN = 4096, 8
+#: A word above this is not compared with another in the bound by words.
+LONG_WORD = 64
 #: Members of a block of a bucket, where a bucket's members meet in blocks.
 BLOCK = 2048
 #: A line that has more than this share of all lines is joined by broadcast; so there are at most 1 / HOT_SHARE of them.
@@ -127,30 +129,50 @@ def coded(words: Column) -> Column:
     return F.decode(F.unhex(F.array_join(codes, "")), "UTF-16BE")
 
 
-def shingles(line: Column) -> Column:
-    """The distinct hashes of a long line's shingles."""
-    words = F.split(line, " ")
-    return F.transform(F.array(words), lambda w: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (SHINGLE - 1), F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(w, i, SHINGLE), " ")))))[0]
+def runs_of(line: Column) -> Column:
+    """The hashes of a line's runs of RUN characters, by place."""
+    # characters in 4 bytes each, as in featured()
+    starts = lambda code: F.sequence(F.lit(0), F.greatest((F.octet_length(code) / 4).cast("int") - RUN, F.lit(0)))
+    return F.transform(F.array(F.encode(line, "UTF-32")), lambda code: F.transform(starts(code), lambda i: F.xxhash64(F.substring(code, i * 4 + 1, F.lit(4 * RUN)))))[0]
+
+
+def lacking(a: Column, b: Column, most: Column) -> Column:
+    """How many runs of a (see runs_of) b lacks, where `most` edits move a run by as many places at most."""
+    about = lambda runs, near: F.transform(runs, lambda r, i: F.xxhash64(r, F.floor(i / most) + near))
+    return F.size(F.array_except(about(a, 0), F.concat(*(about(b, k) for k in (-1, 0, 1)))))
+
+
+def edits_by_words(a: Column, b: Column) -> Column:
+    """No less than the edits between two lines: those of the words at one place, with what one line has beyond the other."""
+    size = lambda x: F.coalesce(F.length(x), F.lit(-1))
+    most = lambda x, y: F.greatest(size(x), size(y))
+    word = lambda x, y: F.when(x == y, 0).when(x.isNull() | y.isNull(), most(x, y) + 1).when(most(x, y) > LONG_WORD, most(x, y)).otherwise(F.levenshtein(x, y))
+    return F.aggregate(F.zip_with(F.split(a, " "), F.split(b, " "), word), F.lit(0), lambda n, k: n + k)
 
 
 def edit_links(near: DataFrame, lines: DataFrame) -> DataFrame:
     """The pairs (a, b) of line ids whose edit similarity is LIKENESS or more. The texts of these lines alone are
-    looked up in lines (id, line). The cost of edits grows with the square of a line: above LONG characters shingles
-    are compared instead, which is linear."""
+    looked up in lines (id, line).
+
+    The cost of edits grows with the square of a line. Of long lines, an edit spoils RUN runs at most, so that a pair
+    that lacks more runs is none; where edits at equal places are few enough, it is one; the edits of what is left are
+    counted as of other lines, whatever that takes."""
     wanted = near.select(F.explode(F.array("a", "b")).alias("__id")).distinct()
-    texts = lines.join(wanted, F.col("id") == F.col("__id"), "left_semi").select("id", "line", F.when(F.length("line") <= LONG, coded(F.split("line", " "))).alias("coded"), F.when(F.length("line") > LONG * LIKENESS, shingles(F.col("line"))).alias("parts"))
+    texts = lines.join(wanted, F.col("id") == F.col("__id"), "left_semi").select("id", "line", coded(F.split("line", " ")).alias("coded"), F.when(F.length("line") > LONG * LIKENESS - 1, runs_of(F.col("line"))).alias("runs"))
     texts = Saved(texts, "line-texts")
-    side = lambda a: texts.df.select(F.col("id").alias(a), *(F.col(c).alias(f"{a}_{c}") for c in ("line", "coded", "parts")))
-    near = near.join(side("a"), "a").join(side("b"), "b")
+    side = lambda a: texts.df.select(F.col("id").alias(a), *(F.col(c).alias(f"{a}_{c}") for c in ("line", "coded", "runs")))
+    met = lambda pairs: pairs.join(side("a"), "a").join(side("b"), "b").withColumn("__most", F.floor(long * (1 - LIKENESS) + 1e-9).cast("int")).where("abs(length(a_line) - length(b_line)) <= __most")
     long = F.greatest(F.length("a_line"), F.length("b_line"))
-    near = near.withColumn("__most", F.floor(long * (1 - LIKENESS) + 1e-9).cast("int")).where("abs(length(a_line) - length(b_line)) <= __most")
     # edits of words, where they are few, say how wide a band of characters is worth a try before the whole one
-    near = near.withColumn("__words", F.expr("levenshtein(a_coded, b_coded, length(a_coded) div 10 + 1)"))
-    near = near.withColumn("__try", F.expr("least(__most, if(__words >= 0, 5 * __words + 2, 0))"))
+    words = F.expr("levenshtein(a_coded, b_coded, length(a_coded) div 10 + 1)")
+    tried = lambda pairs: pairs.withColumn("__try", F.expr("least(__most, if(__words >= 0, 5 * __words + 2, 0))"))
     by_edits = F.expr("(__try > 0 and levenshtein(a_line, b_line, __try) >= 0) or (__try < __most and levenshtein(a_line, b_line, __most) >= 0)")
-    by_shingles = 100 * F.size(F.array_intersect("a_parts", "b_parts")) >= PERCENT * F.size(F.array_union("a_parts", "b_parts"))
-    out = Saved(near.where(F.when(long > LONG, by_shingles).otherwise(by_edits)).select("a", "b"), "line-links").df
-    texts.drop()
+    bounds = F.when(lacking(F.col("a_runs"), F.col("b_runs"), F.col("__most")) > RUN * F.col("__most"), False).when(edits_by_words(F.col("a_line"), F.col("b_line")) <= F.col("__most"), True)
+    pairs = tried(met(near).withColumn("__words", F.when(long <= LONG, words)))
+    told = Saved(pairs.select("a", "b", F.when(long > LONG, bounds).otherwise(by_edits).alias("linked")), "line-told")
+    open_ = tried(met(told.df.where("linked is null").select("a", "b")).withColumn("__words", words))
+    out = Saved(told.df.where("linked").select("a", "b").unionByName(open_.where(by_edits).select("a", "b")), "line-links").df
+    texts.drop(), told.drop()
     return out
 
 
@@ -190,8 +212,8 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
     Edge cases: a null text has no lines; lines without letters or digits are never removed; a row with a null key
     keeps all its lines and removes none elsewhere; repeated rows (key and text) are one and keep the same lines; the
-    first occurrence is that of the smallest key, then text, then line; lines above LONG characters are compared by
-    shingles; extra columns are ignored; an empty table gives an empty result.
+    first occurrence is that of the smallest key, then text, then line; long lines are compared by edits like others; extra
+    columns are ignored; an empty table gives an empty result.
     """
     at = F.struct("doc", "version", "n")
     with Scope() as scope:

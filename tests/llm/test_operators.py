@@ -455,6 +455,19 @@ def test_very_long_lines(spark):
     assert {r.doc: r.removed for r in linededup.repeated_lines(docs).collect()} == {1: [0]}  # a line without blanks is one shingle
 
 
+def test_long_lines_are_linked_by_edits(spark):
+    words = ["".join(chr(97 + c) for c in RNG.integers(0, 26, 5)) for _ in range(900)]
+    spoilt = [w[:2] + "9" + w[3:] if i % 4 == 0 else w for i, w in enumerate(words)]
+    shuffled = words[:]
+    RNG.shuffle(shuffled)
+    # few whole shingles but few edits, the same moved by a word; nothing in common; whole shingles, but in other places
+    lines = [words, spoilt, ["first", *spoilt], shuffled, words[450:] + words[:450]]
+    near = spark.createDataFrame([(0, k) for k in range(1, 5)], "a long, b long")
+    texts = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(lines)], "id long, line string")
+    with linededup.Scope():
+        assert sorted(map(tuple, linededup.edit_links(near, texts).collect())) == [(0, 1), (0, 2)]
+
+
 def test_names_that_need_quotes(spark, docs):
     from chronoloom.llm import importance
 
