@@ -178,24 +178,35 @@ class Index:
 
     def aligned(self, text: np.ndarray, item: np.ndarray, offset: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Fewest edits between each window (item and offset) and a piece of the text inside its band, and where about
-        that piece stands. Columns are diagonals: a step down takes a byte of both, a step to the right one of the text
-        only, to the left one of the window only."""
+        that piece stands. Rows are diagonals: a step takes a byte of both, one to the row below a byte of the text only,
+        to the row above one of the window only. A cost is held less its row's number, so that the way down is a running
+        minimum. Windows that have STRIDE edits more than they may are given up with the edits they have by then: neither
+        they nor those nearer than STRIDE can be within the budget."""
         wide = 2 * self.band
-        across = np.arange(wide, dtype=np.int16)
-        cost = np.zeros((len(item), wide), np.int16)
-        best = np.full((len(item), wide), 1 << 14, np.int16)
-        pieces = np.lib.stride_tricks.sliding_window_view(text, wide)
+        across = np.arange(wide, dtype=np.int16)[:, None]
         size, at = self.size[item], self.begin[item] + offset
-        ends = set(size.tolist())
-        for i in range(int(size.max(initial=0))):
-            step = cost + (pieces[begin + i] != self.text[at + i][:, None])
-            step[:, :-1] = np.minimum(step[:, :-1], cost[:, 1:] + 1)
-            cost = np.minimum.accumulate(step - across, axis=1) + across
-            if i + 1 in ends:
-                best[size == i + 1] = cost[size == i + 1]
-        where = best.argmin(axis=1)
+        longest = int(size.max(initial=0))
+        pieces = text[begin + np.arange(longest + wide - 1)[:, None]]
+        windows = self.text[at + np.arange(longest)[:, None]]
+        ends, most = set(size.tolist()), self.edits[item] + STRIDE
+        edits, where = np.zeros(len(item), np.int64), np.zeros(len(item), np.int64)
+        open_, cost = np.arange(len(item)), np.repeat(-across, len(item), axis=1)
+        for i in range(longest):
+            step = cost + (pieces[i : i + wide] != windows[i])
+            np.minimum(step[:-1], cost[1:] + np.int16(2), out=step[:-1])
+            cost = np.minimum.accumulate(step, axis=0)
+            if i + 1 in ends or i % 8 == 7:
+                best = cost + across
+                fewest, left = best.min(axis=0), size[open_] > i + 1
+                go = left & (fewest <= most[open_])
+                if i + 1 in ends or go.sum() < 0.8 * len(go):
+                    told = open_[~go]
+                    edits[told], where[told] = fewest[~go], best[:, ~go].argmin(axis=0)
+                    open_, cost, pieces, windows = open_[go], cost[:, go], pieces[:, go], windows[:, go]
+                    if not len(open_):
+                        break
         end = begin + where + size
-        return best[np.arange(len(item)), where].astype(np.int64), end - size, end
+        return edits, end - size, end
 
 
 def blocks_of(benchmark: DataFrame, item: str, text: str) -> Iterator[tuple[int, int, Index]]:

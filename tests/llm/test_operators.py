@@ -248,6 +248,35 @@ def test_decontamination_against_brute_force():
     assert 10 < sum(told) < 70
 
 
+def test_hopeless_windows_are_given_up():
+    """Aligned windows have the edits of a plain table inside the band, but those far beyond the budget only so many as
+    tell that neither they nor their neighbours are within it."""
+    rng = np.random.default_rng(21)
+    text = lambda n: bytes(rng.choice(np.frombuffer(b"abcdefghijklmnop ", np.uint8), n)).decode().strip().ljust(n, "x").replace("  ", " q")
+    index = decontamination.Index([(1, text(120)), (2, text(50))])
+    data = bytearray((text(300) + text(300)).encode())
+    spoilt = bytearray(index.text[index.begin[0] + 10 : index.begin[0] + 90].tobytes())
+    for at in (5, 30, 31, 60, 72):
+        spoilt[at] = ord("7")
+    data[100:180] = spoilt
+    wide = 2 * index.band
+    padded = np.concatenate([np.zeros(200, np.uint8), np.frombuffer(bytes(data), np.uint8), np.zeros(400, np.uint8)])
+    runs = [(0, o, 300 - index.band + d) for o in (9, 10, 11) for d in range(-3, 4)] + [(0, 0, 600), (0, 40, 650), (1, 0, 620)]
+    item, offset, begin = (np.array(x) for x in zip(*runs, strict=True))
+    edits, _, _ = index.aligned(padded, item, offset, begin)
+    given_up = 0
+    for k, (i, o, b) in enumerate(runs):
+        row = np.zeros(wide, np.int64)
+        for j in range(index.size[i]):
+            step = row + (padded[b + j : b + j + wide] != index.text[index.begin[i] + o + j])
+            step[:-1] = np.minimum(step[:-1], row[1:] + 1)
+            row = np.minimum.accumulate(step - np.arange(wide)) + np.arange(wide)
+        most = index.edits[i] + decontamination.STRIDE
+        assert edits[k] == row.min() or row.min() >= edits[k] > most, (k, edits[k], row.min())
+        given_up += edits[k] < row.min()
+    assert given_up >= 2 and edits.min() == 5
+
+
 def test_toxicity_lexicon():
     lexicon = toxicity.Lexicon([("idiot", 5.0), ("lowei*", 4.0)], -3.0)
     assert lexicon.exact("idiot") == 5.0 and lexicon.exact("loweixyz") == 4.0 and lexicon.exact("idio") == 0.0
