@@ -48,11 +48,18 @@ def normalised(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(line), r"[^\p{L}\p{N}]++", " "))
 
 
+def normalised_lines(text: Column) -> Column:
+    """The normalised lines of a text. The text is looked through once, before it is cut, and single spaces, which most
+    gaps between words are, stay as they are."""
+    gap = r" *+[^\p{L}\p{N}\n ][^\p{L}\p{N}\n]*+|  ++"
+    return F.transform(F.split(F.regexp_replace(F.lower(text), gap, " "), "\n"), lambda line: F.trim(line))
+
+
 def lines_of(docs: DataFrame, key: str, text: str) -> DataFrame:
     """doc, version (tells texts of one key apart), n, line and id of each line. Lines without a letter or digit are
     empty and no lines to compare."""
-    parts = docs.where(column(key).isNotNull()).select(column(key).alias("doc"), F.xxhash64(column(text)).alias("version"), F.posexplode(F.split(column(text), "\n")).alias("n", "line"))
-    return parts.withColumn("line", normalised("line")).withColumn("id", F.xxhash64("line"))
+    parts = docs.where(column(key).isNotNull()).select(column(key).alias("doc"), F.xxhash64(column(text)).alias("version"), F.posexplode(normalised_lines(column(text))).alias("n", "line"))
+    return parts.withColumn("id", F.xxhash64("line"))
 
 
 def featured(lines: DataFrame) -> DataFrame:
@@ -150,46 +157,92 @@ def edits_by_words(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(F.split(a, " "), F.split(b, " "), word), F.lit(0), lambda n, k: n + k)
 
 
+def comparable(lines: DataFrame) -> DataFrame:
+    """id, line, and what edit_links needs of a line besides, of lines (id, line)."""
+    return lines.select("id", "line", coded(F.split("line", " ")).alias("coded"), F.when(F.length("line") > LONG * LIKENESS - 1, runs_of(F.col("line"))).alias("runs"))
+
+
+def trimmed(a: Column, b: Column) -> Column:
+    """The two lines without the words that they begin and end with alike: as many edits lie between these (x and y) as
+    between the lines. Each word goes with a space behind it, so that words alone come and go."""
+
+    def cut(words: Column) -> Column:
+        x, y = words["x"], words["y"]
+        alike_ = lambda p, q: F.coalesce(F.array_position(F.zip_with(p, q, lambda v, w: F.coalesce(v == w, F.lit(False))), False) - 1, F.lit(-1))
+        least = F.least(F.size(x), F.size(y))
+        ahead = lambda n: F.when(n < 0, least).otherwise(n).cast("int")
+        first = F.transform(F.array(ahead(alike_(x, y))), lambda n: F.struct(n.alias("n"), F.least(ahead(alike_(F.reverse(x), F.reverse(y))), least - n).alias("m")))
+        rest = lambda w, at: F.transform(F.slice(w, at["n"] + 1, F.size(w) - at["n"] - at["m"]), lambda v: F.concat(v, F.lit(" ")))
+        return F.transform(first, lambda at: F.struct(F.array_join(rest(x, at), "").alias("x"), F.array_join(rest(y, at), "").alias("y")))[0]
+
+    return F.transform(F.array(F.struct(F.split(a, " ").alias("x"), F.split(b, " ").alias("y"))), cut)[0]
+
+
 def edit_links(near: DataFrame, lines: DataFrame) -> DataFrame:
-    """The pairs (a, b) of line ids whose edit similarity is LIKENESS or more. The texts of these lines alone are
-    looked up in lines (id, line).
-
-    The cost of edits grows with the square of a line. Of long lines, an edit spoils RUN runs at most, so that a pair
-    that lacks more runs is none; where edits at equal places are few enough, it is one; the edits of what is left are
-    counted as of other lines, whatever that takes."""
-    wanted = near.select(F.explode(F.array("a", "b")).alias("__id")).distinct()
-    texts = lines.join(wanted, F.col("id") == F.col("__id"), "left_semi").select("id", "line", coded(F.split("line", " ")).alias("coded"), F.when(F.length("line") > LONG * LIKENESS - 1, runs_of(F.col("line"))).alias("runs"))
-    texts = Saved(texts, "line-texts")
-    side = lambda a: texts.df.select(F.col("id").alias(a), *(F.col(c).alias(f"{a}_{c}") for c in ("line", "coded", "runs")))
-    met = lambda pairs: pairs.join(side("a"), "a").join(side("b"), "b").withColumn("__most", F.floor(long * (1 - LIKENESS) + 1e-9).cast("int")).where("abs(length(a_line) - length(b_line)) <= __most")
+    """The pairs (a, b) of line ids whose edit similarity is LIKENESS or more. lines are those of comparable(), or have
+    id and line."""
+    if "coded" in lines.columns:
+        return _edit_links(near, lines)
+    texts = Saved(comparable(lines), "line-texts")
+    out = _edit_links(near, texts.df)
+    texts.drop()
+    return out
+
+
+def _edit_links(near: DataFrame, texts: DataFrame) -> DataFrame:
+    """As edit_links. The cost of edits grows with the square of a line. So lines lose what they begin and end with
+    alike. Of long lines, an edit spoils RUN runs at most, so that a pair that lacks more runs is none; where edits at
+    equal places are few enough, it is one; the edits of what is left are counted as of other lines, whatever that takes."""
+    side = lambda a: texts.select(F.col("id").alias(a), *(F.col(c).alias(f"{a}_{c}") for c in ("line", "coded", "runs")))
     long = F.greatest(F.length("a_line"), F.length("b_line"))
+    met = lambda pairs: pairs.join(side("a"), "a").join(side("b"), "b").withColumn("__most", F.floor(long * (1 - LIKENESS) + 1e-9).cast("int")).where("abs(length(a_line) - length(b_line)) <= __most").withColumn("__long", long).withColumn("__cut", trimmed(F.col("a_line"), F.col("b_line")))
     # edits of words, where they are few, say how wide a band of characters is worth a try before the whole one
     words = F.expr("levenshtein(a_coded, b_coded, length(a_coded) div 10 + 1)")
     tried = lambda pairs: pairs.withColumn("__try", F.expr("least(__most, if(__words >= 0, 5 * __words + 2, 0))"))
-    by_edits = F.expr("(__try > 0 and levenshtein(a_line, b_line, __try) >= 0) or (__try < __most and levenshtein(a_line, b_line, __most) >= 0)")
+    by_edits = F.expr("greatest(length(__cut.x), length(__cut.y)) <= __most or (__try > 0 and levenshtein(__cut.x, __cut.y, __try) >= 0) or (__try < __most and levenshtein(__cut.x, __cut.y, __most) >= 0)")
     bounds = F.when(lacking(F.col("a_runs"), F.col("b_runs"), F.col("__most")) > RUN * F.col("__most"), False).when(edits_by_words(F.col("a_line"), F.col("b_line")) <= F.col("__most"), True)
-    pairs = tried(met(near).withColumn("__words", F.when(long <= LONG, words)))
-    told = Saved(pairs.select("a", "b", F.when(long > LONG, bounds).otherwise(by_edits).alias("linked")), "line-told")
+    pairs = tried(met(near).withColumn("__words", F.when(F.col("__long") <= LONG, words)))
+    told = Saved(pairs.select("a", "b", F.when(F.col("__long") > LONG, bounds).otherwise(by_edits).alias("linked")), "line-told")
     open_ = tried(met(told.df.where("linked is null").select("a", "b")).withColumn("__words", words))
     out = Saved(told.df.where("linked").select("a", "b").unionByName(open_.where(by_edits).select("a", "b")), "line-links").df
-    texts.drop(), told.drop()
+    told.drop()
     return out
 
 
+def central(shared: DataFrame) -> DataFrame:
+    """bucket and head of buckets (bucket, id, sim, size, n): the member nearest to what most members' SimHashes say, bit
+    by bit, of two the one with the smaller id. Copies of one line with edits of their own are far from each other and
+    near to that line, so that it is the one to meet first. Of a large bucket a share of some 64 members votes; which
+    member is met first changes no result."""
+    votes = F.pmod(F.xxhash64("id", F.lit(5)), F.ceil(F.col("n") / 64)) == 0
+    lane = lambda k: F.sum(F.when(votes, F.shiftrightunsigned("sim", k).bitwiseAND(F.lit(_LANES))).otherwise(F.lit(0).cast("long")))
+    summed = shared.where("n > 2").groupBy("bucket").agg(*(lane(k).alias(f"v{k}") for k in range(8)), F.count_if(votes).alias("voters"))
+    centres = summed.select(F.col("bucket").alias("__bucket"), bits([F.col(f"v{k}") for k in range(8)], F.col("voters")).alias("centre"))
+    met = shared.join(centres, F.col("bucket") == F.col("__bucket"), "left")
+    away = F.coalesce(F.bit_count(F.col("sim").bitwiseXOR(F.col("centre"))), F.lit(0))
+    return met.groupBy("bucket").agg(F.min(F.struct(away.alias("away"), "id", "sim", "size")).alias("head"))
+
+
 def line_components(lines: DataFrame) -> DataFrame:
     """id and component of the lines (id, line) that have a link.
 
-    As in components.bucket_components, every member first meets the smallest id of its bucket, and then, where a
-    bucket still holds several components, those outside its largest one meet the others, block by block. SimHashes
-    and sizes go with the members, so that only pairs that are near leave the joins.
+    As in components.bucket_components, every member first meets one of its bucket, here a central one, and then, where
+    a bucket still holds several components, those outside its largest one meet the others, block by block. SimHashes
+    and sizes go with the members, so that only pairs that are near leave the joins. The texts of lines that share a
+    bucket are looked up once.
     """
     members = Saved(simhash(lines), "line-buckets")
-    heads = members.df.groupBy("bucket").agg(F.min(F.struct("id", "sim", "size")).alias("head"), F.count("*").alias("n")).where("n > 1")
-    shared = Saved(members.df.join(heads, "bucket"), "line-shared")
+    sizes = members.df.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    met = Saved(members.df.join(sizes, "bucket"), "line-shared")
     members.drop()
-    sides = shared.df.where("id <> head.id").select(F.col("head.id").alias("a"), F.col("id").alias("b"), F.col("size").alias("x_size"), F.col("head.size").alias("y_size"), F.col("sim").alias("x_sim"), F.col("head.sim").alias("y_sim"))
-    pairs = Saved(sides.where(alike()).groupBy("a", "b").agg(F.lit(1)).select("a", "b"), "line-near")
-    first = edit_links(pairs.df, lines)
+    shared = Saved(met.df.join(central(met.df), "bucket"), "line-shared")
+    met.drop()
+    wanted = shared.df.select(F.col("id").alias("__id")).distinct()
+    texts = Saved(comparable(lines.join(wanted, F.col("id") == F.col("__id"), "left_semi")), "line-texts")
+    ends = [F.least("head.id", "id").alias("a"), F.greatest("head.id", "id").alias("b")]
+    sides = shared.df.where("id <> head.id").select(*ends, F.col("size").alias("x_size"), F.col("head.size").alias("y_size"), F.col("sim").alias("x_sim"), F.col("head.sim").alias("y_sim"))
+    pairs = Saved(sides.where(alike()).select("a", "b").distinct(), "line-near")
+    first = edit_links(pairs.df, texts.df)
     pairs.drop()
     components = connected_components(first)
     placed = with_component(shared.df.where("n > 2").select("bucket", "id", "sim", "size", F.col("head.id").alias("head")), "id", components)
@@ -204,7 +257,9 @@ def line_components(lines: DataFrame) -> DataFrame:
     met = few.join(others, ["bucket", "block"]).where(F.expr("x_component <> y_component and (y_component = most or x_id < y_id)") & alike())
     others = Saved(met.select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).distinct(), "line-near")
     shared.drop(), placed.drop()
-    return connected_components(first.unionByName(edit_links(others.df, lines)))
+    out = connected_components(first.unionByName(edit_links(others.df, texts.df)))
+    texts.drop()
+    return out
 
 
 def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -474,6 +474,38 @@ def test_line_dedup_recall_on_documents(spark):
     assert len(pairs) > 50 and found >= 0.9 * len(pairs), (found, len(pairs))
 
 
+def test_lines_are_normalised_in_one_pass(spark):
+    texts = ["One, two!\n\n  three -- FOUR \n", "\ta  b\t c\n,;\nd,e ,f\r\n \n.x.", "ÉÀ ΑΣ\nΣΑΣ. über\u2028x\u00a0y\n", "", "x", " ", "\n", "a \n b", "a - \n - b", "\u0130I\n1,000.5 \U00010400x"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    plain = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line")).select("doc_id", "n", linededup.normalised(F.col("line")).alias("line"))
+    whole = docs.select("doc_id", F.posexplode(linededup.normalised_lines(F.col("text"))).alias("n", "line"))
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, plain.collect()))
+
+
+def test_trimmed_lines_have_the_same_edits(spark):
+    rng = np.random.default_rng(8)
+    line = lambda n: " ".join(rng.choice(["a", "b", "ab", "abc"], n))
+    pairs = [(line(rng.integers(1, 9)), line(rng.integers(1, 9))) for _ in range(150)] + [("a", "a"), ("a b", "a"), ("a", "b a"), ("a b", "a b a b"), ("a a a", "a a")]
+    got = spark.createDataFrame(pairs, "x string, y string").withColumn("cut", linededup.trimmed(F.col("x"), F.col("y")))
+    for r in got.collect():
+        assert edit_distance(r.cut.x, r.cut.y) == edit_distance(r.x, r.y), r
+    assert all(not r.cut.x or r.cut.x.split()[0] != r.cut.y.split()[0] for r in got.where("cut.x <> '' and cut.y <> ''").collect())
+
+
+def test_copies_meet_the_line_they_are_copies_of(spark, monkeypatch):
+    """40 copies with edits of their own are near to their line only, which has the greatest id: few pairs are compared."""
+    rng = np.random.default_rng(4)
+    word = lambda: "".join(chr(97 + c) for c in rng.integers(0, 26, 6))
+    base = [word() for _ in range(60)]
+    copies = [[word() if i in at else w for i, w in enumerate(base)] for at in (rng.choice(60, 4, replace=False) for _ in range(40))]
+    lines = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate([*copies, base])], "id long, line string")
+    seen, links = [], linededup.edit_links
+    monkeypatch.setattr(linededup, "edit_links", lambda near, texts: seen.append(near.count()) or links(near, texts))
+    with linededup.Scope():
+        got = {r.id: r.component for r in linededup.line_components(lines).collect()}
+    assert sum(c == 0 for c in got.values()) >= 37 and sum(seen) < 160, (got, seen)
+
+
 def test_very_long_lines(spark):
     base = [str(x) for x in RNG.integers(0, 5000, 180_000)]
     near, far = base[:], base[:]
