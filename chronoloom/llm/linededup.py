@@ -35,7 +35,7 @@ LONG, RUN = 4096, 8
 #: A word above this is not compared with another in the bound by words.
 LONG_WORD = 64
 #: Members of a block of a bucket, where a bucket's members meet in blocks.
-BLOCK = 2048
+BLOCK = 512
 #: A line that has more than this share of all lines is joined by broadcast; so there are at most 1 / HOT_SHARE of them.
 HOT_SHARE = 1 / 512
 #: Characters that stand for words: the first one, and how many.
@@ -209,6 +209,30 @@ def _edit_links(near: DataFrame, texts: DataFrame) -> DataFrame:
     return out
 
 
+def linked(a: str, b: str) -> Column:
+    """Whether the edit similarity of the lines a_line and b_line, neither of them long, is LIKENESS or more, as one
+    expression: edits of words first, which say how wide a band of characters is worth a try."""
+    x, y = F.col(f"{a}_line"), F.col(f"{b}_line")
+    most = F.floor(F.greatest(F.length(x), F.length(y)) * (1 - LIKENESS) + 1e-9).cast("int")
+    edits = lambda p, q, k: F.call_function("levenshtein", p, q, k)
+    words = edits(F.col(f"{a}_coded"), F.col(f"{b}_coded"), (F.length(f"{a}_coded") / 10).cast("int") + 1)
+    band = F.transform(F.array(words), lambda n: F.when(n >= 0, F.least(most, 5 * n + 2)).otherwise(0))[0]
+
+    def told(v: Column) -> Column:
+        cut, near = v["cut"], v["band"]
+        return (F.greatest(F.length(cut["x"]), F.length(cut["y"])) <= most) | (near > 0) & (edits(cut["x"], cut["y"], near) >= 0) | (near < most) & (edits(cut["x"], cut["y"], most) >= 0)
+
+    return F.transform(F.array(F.struct(trimmed(x, y).alias("cut"), band.alias("band"))), told)[0]
+
+
+def shared_bucket() -> Column:
+    """Of the buckets that x and y share, the one in which the pair is looked at, chosen by the pair, so that the pairs
+    of a group that shares several are spread over them."""
+    pair = F.xxhash64(F.least("x_id", "y_id"), F.greatest("x_id", "y_id"))
+    both = F.array_sort(F.array_intersect("x_buckets", "y_buckets"))
+    return F.transform(F.array(both), lambda b: F.get(b, F.pmod(pair, F.size(b)).cast("int")))[0]
+
+
 def central(shared: DataFrame) -> DataFrame:
     """bucket and head of buckets (bucket, id, sim, size, n): the member nearest to what most members' SimHashes say, bit
     by bit, of two the one with the smaller id. Copies of one line with edits of their own are far from each other and
@@ -227,9 +251,11 @@ def line_components(lines: DataFrame) -> DataFrame:
     """id and component of the lines (id, line) that have a link.
 
     As in components.bucket_components, every member first meets one of its bucket, here a central one, and then, where
-    a bucket still holds several components, those outside its largest one meet the others, block by block. SimHashes
-    and sizes go with the members, so that only pairs that are near leave the joins. The texts of lines that share a
-    bucket are looked up once.
+    a bucket still holds several components, those outside its largest one meet the others, block by block. SimHashes,
+    sizes and lines go with the members of these, and a pair that shares several buckets is compared in one of them: what
+    leaves the join, and is written, is links, whose ends were in two components, and pairs with a line above LONG. How
+    many pairs it compares still grows with a bucket's members times those outside its largest component. The texts of
+    lines that share a bucket are looked up once.
     """
     members = Saved(simhash(lines), "line-buckets")
     sizes = members.df.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
@@ -250,14 +276,22 @@ def line_components(lines: DataFrame) -> DataFrame:
     mixed = sizes.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("most"), F.count("*").alias("k"), F.sum("n").alias("n")).where("k > 1").drop("k")
     placed = Saved(placed.join(mixed, "bucket").where("id <> head"), "line-placed")
     # the head has met them all; the others of a bucket are cut into blocks, and those outside its largest component are sent to each
+    shares = placed.df.groupBy(F.col("id").alias("__id")).agg(F.collect_set("bucket").alias("buckets"))
+    known = placed.df.join(shares, F.col("id") == F.col("__id")).drop("__id")
+    own = texts.df.select(F.col("id").alias("__id"), *(F.when(F.length("line") <= LONG, F.col(c)).alias(c) for c in ("line", "coded")))
+    known = known.join(own, F.col("id") == F.col("__id"))
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    side = lambda s: [F.col(c).alias(f"{s}_{c}") for c in ("id", "component", "sim", "size")]
-    few = placed.df.where("component <> most").select("bucket", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), *side("x"))
-    others = placed.df.select("bucket", F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"), "most", *side("y"))
-    met = few.join(others, ["bucket", "block"]).where(F.expr("x_component <> y_component and (y_component = most or x_id < y_id)") & alike())
-    others = Saved(met.select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).distinct(), "line-near")
+    side = lambda s: [F.col(c).alias(f"{s}_{c}") for c in ("id", "component", "sim", "size", "buckets", "line", "coded")]
+    few = known.where("component <> most").select("bucket", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), *side("x"))
+    others = known.select("bucket", F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"), "most", *side("y"))
+    # few bytes, but much to compare: by number, so that the parts aren't merged by their size
+    parts = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    few, others = (df.repartition(parts, "bucket", "block") for df in (few, others))
+    long = F.expr("x_line is null or y_line is null")
+    met = few.join(others, ["bucket", "block"]).where(F.expr("x_component <> y_component and (y_component = most or x_id < y_id)") & alike() & (F.col("bucket") == shared_bucket()) & (long | linked("x", "y")))
+    others = Saved(met.select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b"), long.alias("long")), "line-near")
     shared.drop(), placed.drop()
-    out = connected_components(first.unionByName(edit_links(others.df, texts.df)))
+    out = connected_components(first.unionByName(others.df.where("not long").select("a", "b")).unionByName(edit_links(others.df.where("long").select("a", "b"), texts.df)))
     texts.drop()
     return out
 

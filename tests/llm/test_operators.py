@@ -506,6 +506,32 @@ def test_copies_meet_the_line_they_are_copies_of(spark, monkeypatch):
     assert sum(c == 0 for c in got.values()) >= 37 and sum(seen) < 160, (got, seen)
 
 
+def test_pairs_of_one_bucket_are_compared_in_the_join(spark, monkeypatch):
+    """40 copies of a line that isn't there itself are 13 % apart, but for two pairs: no pair of them goes on to edit_links
+    after the first round, and all links are found. Of lines above LONG pairs do go on."""
+    rng = np.random.default_rng(6)
+    word = lambda: "".join(chr(97 + c) for c in rng.integers(0, 26, 6))
+    base = [word() for _ in range(60)]
+    copies = [[word() if i in at else w for i, w in enumerate(base)] for at in (rng.choice(60, 4, replace=False) for _ in range(40))]
+    copies += [[*copies[7][:-1], word()], [word(), *copies[31][1:]]]
+    texts = [" ".join(w) for w in copies]
+    lines = spark.createDataFrame(list(enumerate(texts)), "id long, line string")
+    seen, links = [], linededup.edit_links
+    monkeypatch.setattr(linededup, "edit_links", lambda near, texts: seen.append(near.count()) or links(near, texts))
+
+    def components():
+        seen.clear()
+        with linededup.Scope():
+            return {r.id: r.component for r in linededup.line_components(lines).collect()}
+
+    got = components()
+    linked = [(i, j) for j in range(42) for i in range(j) if within(texts[i], texts[j], int(max(len(texts[i]), len(texts[j])) * 0.1 + 1e-9))]
+    assert {(7, 40), (31, 41)} <= set(linked) and all(got[i] == got[j] for i, j in linked) and len(set(got.values())) <= len(linked)
+    assert len(seen) == 2 and seen[1] == 0, seen
+    monkeypatch.setattr(linededup, "LONG", 100)
+    assert components() == got and seen[1] > 100, seen
+
+
 def test_very_long_lines(spark):
     base = [str(x) for x in RNG.integers(0, 5000, 180_000)]
     near, far = base[:], base[:]
