@@ -13,6 +13,10 @@ winnowed anchors, and content is compared by 64-bit hashes, not byte by byte (se
    most of them, blocks a little shorter than a window are compared first, a few for each anchor; only windows that
    hold a repeated block are looked up.
 
+Passages of PASSAGE words that also stand in another document, however few bytes they have and whatever blanks are
+between the words, are counted besides and not removed: in the same way, words stand for bytes, WORDS_GRAM words for a
+gram, and all windows that hold an anchor of two documents are compared.
+
 Spark's shuffles sort and spill the tuples (content hash, document, position) outside memory, as keys of joins and
 aggregations; no task holds more than a batch of texts and no list of a group is gathered.
 """
@@ -31,6 +35,8 @@ from chronoloom.llm._common import Saved, Scope, rows_of, table
 from chronoloom.llm.neardup import scrambled
 
 LENGTH, GRAM = 400, 200
+#: The words of a passage of over 50 words, at least, and of a gram in it.
+PASSAGE, WORDS_GRAM = 51, 26
 #: Blocks are shorter than windows by a length of which a window has so many.
 STRIDES = 8
 #: A key that has more than this share of all rows is joined by broadcast.
@@ -58,10 +64,22 @@ class Rolling:
     """64-bit hashes of any substrings of one text, from a running sum of bytes times powers of the base."""
 
     def __init__(self, data: bytes) -> None:
-        n = len(data)
+        self._add_up(_BYTES[np.frombuffer(data, np.uint8)])
+
+    def _add_up(self, values: np.ndarray) -> None:
+        n = len(values)
         up, self.down = Powers.upto(n + 1)
         self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTES[np.frombuffer(data, np.uint8)] * up[:n], out=self.sums[1:])
+        np.cumsum(values * up[:n], out=self.sums[1:])
+
+    def words(self, data: bytes) -> Rolling:
+        """The hashes of any runs of words of the same text; whatever blanks are between words don't count."""
+        x = np.frombuffer(data, np.uint8)
+        edge = np.diff(((x != 0x20) & ((x < 0x09) | (x > 0x0D))).astype(np.int8), prepend=np.int8(0), append=np.int8(0))
+        starts = np.flatnonzero(edge == 1)
+        out = Rolling.__new__(Rolling)
+        out._add_up(self.at(starts, np.flatnonzero(edge == -1) - starts))
+        return out
 
     def at(self, starts: np.ndarray, lengths: np.ndarray | int) -> np.ndarray:
         return scrambled((self.sums[starts + lengths] - self.sums[starts]) * self.down[starts] + np.uint64(1) * np.asarray(lengths, np.uint64))
@@ -77,13 +95,12 @@ def sliding_minimum(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (width - w)], x[width - w :]) if width > w else x
 
 
-def anchors_of(data: bytes, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def anchors_of(roll: Rolling, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Positions and hashes of the anchors, and the content hash and size of each one's region (0: it has none)."""
-    roll = Rolling(data)
     grams = roll.every(gram)
     least = sliding_minimum(grams, length - gram + 1)
     at = np.flatnonzero(np.isin(grams, np.unique(least)))
-    last = np.searchsorted(at, np.append(at[1:], len(data)) + gram)  # so that a region's windows reach the next one's
+    last = np.searchsorted(at, np.append(at[1:], len(roll.sums) - 1) + gram)  # so that a region's windows reach the next one's
     has = last < len(at)
     size = np.where(has, at[np.minimum(last, len(at) - 1)] + gram - at, 0)
     size = np.where(size >= length, size, 0)
@@ -93,6 +110,24 @@ def anchors_of(data: bytes, length: int, gram: int) -> tuple[np.ndarray, np.ndar
     return at, grams[at], region, size
 
 
+def word_anchors(roll: Rolling) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of the anchors of a text's windows of PASSAGE words."""
+    if len(roll.sums) <= PASSAGE:
+        return np.empty(0, np.int64), np.empty(0, np.uint64)
+    grams = roll.every(WORDS_GRAM)
+    at = np.flatnonzero(np.isin(grams, np.unique(sliding_minimum(grams, PASSAGE - WORDS_GRAM + 1))))
+    return at, grams[at]
+
+
+def word_windows(anchors: list[int], n: int) -> np.ndarray:
+    """Starts of the windows of PASSAGE words, of n words, that hold one of the anchors."""
+    edge = np.zeros(n - PASSAGE + 2, np.int64)
+    at = np.array(anchors, np.int64)
+    np.add.at(edge, np.maximum(at - (PASSAGE - WORDS_GRAM), 0), 1)
+    np.add.at(edge, np.minimum(at, n - PASSAGE) + 1, -1)
+    return np.flatnonzero(np.cumsum(edge)[:-1] > 0)
+
+
 def windows(marks: list[dict], n: int, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of a text of n bytes, by window start: whether it is to look up, to look among (one occurrence of each repeated
     region), and in a repeated region."""
@@ -140,20 +175,28 @@ def in_blocks(starts: list[int], n: int, length: int) -> np.ndarray:
 
 
 def _scan(docs: DataFrame, length: int, gram: int) -> DataFrame:
+    def lists(found: list[tuple[np.ndarray, ...]], kinds: dict[str, type]) -> pa.ListArray:
+        offsets = np.concatenate([[0], np.cumsum([len(f[0]) for f in found])])
+        flat = [np.concatenate([f[i].view(c) if f[i].dtype == np.uint64 else f[i].astype(c) for f in found]) for i, c in enumerate(kinds.values())]
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays([pa.array(x) for x in flat], names=list(kinds)))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in rows_of(batch, 256):
                 texts = [(t or "").encode("utf-8", "surrogatepass") for t in part.column(1).to_pylist()]
-                found = [anchors_of(b, length, gram) if len(b) >= length else (np.empty(0, np.int64),) * 4 for b in texts]
-                offsets = np.concatenate([[0], np.cumsum([len(f[0]) for f in found])])
-                cast = (np.int32, np.int64, np.int64, np.int32)
-                flat = [np.concatenate([f[i].view(c) if f[i].dtype == np.uint64 else f[i].astype(c) for f in found]) for i, c in enumerate(cast)]
-                rows = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays([pa.array(x) for x in flat], names=["pos", "gram", "region", "size"]))
-                columns = [part.column(0), pa.array([hashlib.sha256(b).hexdigest() for b in texts]), pa.array([len(b) for b in texts], pa.int64()), rows]
-                yield pa.RecordBatch.from_arrays(columns, names=["key", "sha", "n_bytes", "anchors"])
+                found, passages, n_words = [], [], []
+                for b in texts:
+                    roll = Rolling(b)
+                    words = roll.words(b)
+                    found.append(anchors_of(roll, length, gram) if len(b) >= length else (np.empty(0, np.int64),) * 4)
+                    passages.append(word_anchors(words))
+                    n_words.append(len(words.sums) - 1)
+                columns = [part.column(0), pa.array([hashlib.sha256(b).hexdigest() for b in texts]), pa.array([len(b) for b in texts], pa.int64())]
+                columns += [lists(found, {"pos": np.int32, "gram": np.int64, "region": np.int64, "size": np.int32}), pa.array(n_words, pa.int64()), lists(passages, {"at": np.int32, "gram": np.int64})]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "sha", "n_bytes", "anchors", "n_words", "passages"])
 
     kind = docs.schema[0].dataType.simpleString()
-    return docs.mapInArrow(run, f"key {kind}, sha string, n_bytes long, anchors array<struct<pos:int,gram:long,region:long,size:int>>")
+    return docs.mapInArrow(run, f"key {kind}, sha string, n_bytes long, anchors array<struct<pos:int,gram:long,region:long,size:int>>, n_words long, passages array<struct<at:int,gram:long>>")
 
 
 def _hashed(texts: DataFrame, length: int, find: Callable[[dict, int], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
@@ -186,6 +229,30 @@ def _windows(texts: DataFrame, length: int, gram: int) -> DataFrame:
     return _hashed(texts.select("class", "text", "marks", "open"), length, find)
 
 
+def _passages(texts: DataFrame) -> DataFrame:
+    """content, class and at (in words) of the windows of PASSAGE words that hold an anchor of two documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in rows_of(batch, 64):
+                out = []
+                for row in part.to_pylist():
+                    data = row["text"].encode("utf-8", "surrogatepass")
+                    words = Rolling(data).words(data)
+                    at = word_windows(row["word_marks"], len(words.sums) - 1)
+                    out.append((words.at(at, PASSAGE).view(np.int64), np.full(len(at), row["class"]), at.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["content", "class", "at"])
+
+    return texts.select("class", "text", "word_marks").mapInArrow(run, "content long, class long, at int")
+
+
+def _in_two(rows: DataFrame, key: str, name: str) -> DataFrame:
+    """The rows whose key two classes have."""
+    total = rows.agg(F.count("*")).first()[0]
+    counts = rows.groupBy(key).agg(F.count("*").alias("k"), F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select(key, "k")
+    return _met(rows, key, Saved(counts, name).df, total)
+
+
 def _met(rows: DataFrame, key: str, counts: DataFrame, total: int) -> DataFrame:
     """rows with counts' other columns, joined by key; counts has a row for each key, with `k`, how many rows have it.
     A key of more than HOT_SHARE of all rows is met by broadcast (there are 1 / HOT_SHARE of them at most), so that no
@@ -228,7 +295,8 @@ def _cut(texts: DataFrame, length: int, gram: int) -> DataFrame:
 
 
 def repeated_bytes(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """key, n_bytes, n_removed, removed (maximal runs of bytes, end exclusive) and kept_sha256 of every row.
+    """key, n_bytes, n_removed, removed (maximal runs of bytes, end exclusive), kept_sha256 and n_passage_words (words of
+    passages of PASSAGE words or more that also stand in another document) of every row.
 
     Edge cases: a null text is an empty one; texts shorter than `length` lose nothing and take nothing from others;
     rows with one text, also repeated rows and null keys, are documents of their own, so each such text of `length`
@@ -241,32 +309,42 @@ def repeated_bytes(docs: DataFrame, key: str = "doc_id", text: str = "text", len
 def _repeated_bytes(docs: DataFrame, key: str, text: str, length: int, gram: int) -> DataFrame:
     source = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("text"))
     scanned = Saved(_scan(source, length, gram), "repeat-scan")
-    rows = Saved(scanned.df.drop("anchors"), "repeat-rows")
-    classes = scanned.df.groupBy("sha").agg(F.count("*").alias("copies"), F.min("key").alias("head"), F.first("anchors").alias("anchors"))
+    rows = Saved(scanned.df.drop("anchors", "passages"), "repeat-rows")
+    classes = scanned.df.groupBy("sha").agg(F.count("*").alias("copies"), F.min("key").alias("head"), F.first("anchors").alias("anchors"), F.first("passages").alias("passages"))
     held = Saved(classes.withColumn("class", F.monotonically_increasing_id()), "repeat-held")
     scanned.drop()
-    classes = Saved(held.df.drop("anchors"), "repeat-classes")
+    classes = Saved(held.df.drop("anchors", "passages"), "repeat-classes")
     anchors = held.df.select("class", F.inline("anchors"))
     total = anchors.agg(F.count("*")).first()[0]
     twice = Saved(anchors.groupBy("gram").agg(F.count("*").alias("k")).where("k > 1"), "repeat-grams")
     anchors = Saved(_met(anchors, "gram", twice.df, total).drop("gram"), "repeat-anchors")
-    held.drop(), twice.drop()
+    twice.drop()
+    shared = _in_two(held.df.select("class", F.inline("passages")), "gram", "repeat-grams").groupBy("class").agg(F.collect_list("at").alias("word_marks"))
+    shared = Saved(shared, "repeat-passages")
+    held.drop()
     regions = anchors.df.groupBy("region").agg(F.count("*").alias("k"), F.min(F.struct("class", "pos")).alias("one"))
     known = _met(anchors.df, "region", Saved(regions, "repeat-regions").df.withColumn("one", F.when(F.col("k") > 1, F.col("one"))), total)
     mark = F.struct("pos", "size", F.col("one").isNotNull().alias("twice"), F.coalesce(F.struct("class", "pos") == F.col("one"), F.lit(False)).alias("chosen"))
     marks = known.groupBy("class").agg(F.collect_list(mark).alias("marks"))
+    marks = marks.join(shared.df, "class", "full")
     marks = marks.join(classes.df.select("class", F.col("sha").alias("m_sha"), "head"), "class")
     named = source.withColumn("sha", F.sha2("text", 256))
-    texts = Saved(named.join(marks, (named["sha"] == marks["m_sha"]) & named[key].eqNullSafe(marks["head"])).select("sha", "class", "text", "marks").dropDuplicates(["sha"]), "repeat-texts")
-    anchors.drop()
-    blocks = Saved(_blocks(texts.df, length, gram), "repeat-blocks")
+    texts = Saved(named.join(marks, (named["sha"] == marks["m_sha"]) & named[key].eqNullSafe(marks["head"])).select("sha", "class", "text", "marks", "word_marks").dropDuplicates(["sha"]), "repeat-texts")
+    anchors.drop(), shared.drop()
+    passages = Saved(_passages(texts.df.where("word_marks is not null")), "repeat-passages")
+    # words of the windows' union: of each, those up to the next one's start
+    union = F.aggregate(F.array_sort(F.collect_list("at")), F.struct(F.lit(-PASSAGE).alias("last"), F.lit(0).cast("long").alias("n")), lambda u, x: F.struct(x.alias("last"), (u["n"] + F.least(F.lit(PASSAGE), x - u["last"])).alias("n")), lambda u: u["n"])
+    in_passages = Saved(_in_two(passages.df, "content", "repeat-again").groupBy("class").agg(union.alias("p_words")), "repeat-in-passages")
+    passages.drop()
+    near = texts.df.where("marks is not null").drop("word_marks")
+    blocks = Saved(_blocks(near, length, gram), "repeat-blocks")
     open_ = _asked_again(blocks.df, "repeat-again").groupBy("class").agg(F.collect_list("at").alias("open"))
-    looked = Saved(_windows(texts.df.join(open_, "class"), length, gram), "repeat-windows")
+    looked = Saved(_windows(near.join(open_, "class"), length, gram), "repeat-windows")
     blocks.drop()
     hits = _asked_again(looked.df, "repeat-again").where("ask").groupBy("class").agg(F.collect_list("at").alias("found"))
-    cut = Saved(_cut(texts.df.join(hits, "class", "left"), length, gram), "repeat-cut")
+    cut = Saved(_cut(near.join(hits, "class", "left"), length, gram), "repeat-cut")
     looked.drop(), texts.drop()
-    copied = classes.df.where("copies > 1").select(F.col("sha").alias("c_sha"), F.lit(True).alias("copied"))
+    copied = classes.df.join(in_passages.df, "class", "left").where("copies > 1 or p_words is not null").select(F.col("sha").alias("c_sha"), (F.col("copies") > 1).alias("copied"), "p_words")
     told = copied.join(cut.df, "c_sha", "full")
     met = rows.df.join(told, F.col("sha") == F.col("c_sha"), "left")
     whole = F.coalesce("copied", F.lit(False)) & (F.col("n_bytes") >= length)
@@ -277,9 +355,10 @@ def _repeated_bytes(docs: DataFrame, key: str, text: str, length: int, gram: int
         F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("c_removed", F.lit(0))).cast("long").alias("n_removed"),
         F.when(whole, all_of_it).otherwise(F.coalesce("c_spans", none)).alias("removed"),
         F.when(whole, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("c_kept", "sha")).alias("kept_sha256"),
+        F.when(F.coalesce("copied", F.lit(False)) & (F.col("n_words") >= PASSAGE), F.col("n_words")).otherwise(F.coalesce("p_words", F.lit(0))).cast("long").alias("n_passage_words"),
     )
 
 
 def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = repeated_bytes(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), "kept_sha256")
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), "kept_sha256", "n_passage_words")

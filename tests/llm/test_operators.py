@@ -163,6 +163,29 @@ def test_repeats(docs, corpus, nothing):
     assert repeats.repeated_bytes(nothing).count() == 0
 
 
+def test_passages_of_over_50_words_that_other_documents_have(docs, corpus, spark):
+    """Against brute force, also passages of less than 400 bytes, with other blanks between their words."""
+    passage, odd = [f"w{k}" for k in range(51)], [f"ô{k}" for k in range(60)]
+    rng = np.random.default_rng(9)
+    own = lambda n: list(rng.choice(WORDS, n))
+    parts = [(own(90), passage, own(40)), (own(3), passage, own(200)), (passage[:-1], own(70)), (odd,), (own(60), odd[5:57]), (own(20), odd[:50]), (["t"] * 150,), (["t"] * 51,), (["u"] * 120,), (own(51),), (own(50),)]
+    more = [(9000 + i, (" " if i % 2 else " \n\t").join(w for p in part for w in p), "", "", 0, 0, 0) for i, part in enumerate(parts)]
+    more += [(9100 + i, more[9 + i // 2][1], "", "", 0, 0, 0) for i in range(4)]
+    rows = [(r[0], r[1] or "") for r in [*corpus, *more]]
+    split = [[w for w in re.split(r"[\x20\x09-\x0D]+", t) if w] for _, t in rows]
+    held = defaultdict(set)
+    for i, ws in enumerate(split):
+        for k in range(len(ws) - 50):
+            held[tuple(ws[k : k + 51])].add(i)
+    want = Counter()
+    for (key, _), ws in zip(rows, split, strict=True):
+        covered = {j for k in range(len(ws) - 50) if len(held[tuple(ws[k : k + 51])]) > 1 for j in range(k, k + 51)}
+        want[key, len(covered)] += 1
+    got = [(r.doc_id, r.n_passage_words, r.n_removed) for r in repeats.repeated_bytes(docs.unionByName(spark.createDataFrame(more, DOC))).collect()]
+    assert Counter(x[:2] for x in got) == want
+    assert {(9000, 51, 0), (9001, 51, 0), (9002, 0, 0), (9003, 52, 0), (9004, 52, 0)} <= {*got}
+
+
 def test_top_k(spark):
     v = [(i, [float(x) for x in RNG.normal(size=4)]) for i in range(160)] + [(200, None), (201, [1.0, None, 0.0, 0.0]), (202, [float("nan")] * 4), (203, [1.0]), (None, [1.0] * 4), (7, [9.0, 9.0, 9.0, 9.0])]
     got = sorted(map(tuple, topk.top_k(spark.createDataFrame(v, "vec_id long, embedding array<float>"), every=10).collect()))
