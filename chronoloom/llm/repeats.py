@@ -95,11 +95,18 @@ def sliding_minimum(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (width - w)], x[width - w :]) if width > w else x
 
 
+def minimal(x: np.ndarray, width: int) -> np.ndarray:
+    """Where x has a value that is the least of any `width` values in a row. The least values are few and come in runs,
+    so that each value of x is looked up among one of each run."""
+    least = sliding_minimum(x, width)
+    ends = np.sort(least[np.append(np.flatnonzero(least[1:] != least[:-1]), len(least) - 1)])
+    return np.flatnonzero(ends[np.minimum(np.searchsorted(ends, x), len(ends) - 1)] == x)
+
+
 def anchors_of(roll: Rolling, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Positions and hashes of the anchors, and the content hash and size of each one's region (0: it has none)."""
     grams = roll.every(gram)
-    least = sliding_minimum(grams, length - gram + 1)
-    at = np.flatnonzero(np.isin(grams, np.unique(least)))
+    at = minimal(grams, length - gram + 1)
     last = np.searchsorted(at, np.append(at[1:], len(roll.sums) - 1) + gram)  # so that a region's windows reach the next one's
     has = last < len(at)
     size = np.where(has, at[np.minimum(last, len(at) - 1)] + gram - at, 0)
@@ -115,44 +122,52 @@ def word_anchors(roll: Rolling) -> tuple[np.ndarray, np.ndarray]:
     if len(roll.sums) <= PASSAGE:
         return np.empty(0, np.int64), np.empty(0, np.uint64)
     grams = roll.every(WORDS_GRAM)
-    at = np.flatnonzero(np.isin(grams, np.unique(sliding_minimum(grams, PASSAGE - WORDS_GRAM + 1))))
+    at = minimal(grams, PASSAGE - WORDS_GRAM + 1)
     return at, grams[at]
 
 
-def word_windows(anchors: list[int], n: int) -> np.ndarray:
+def covered(starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
+    """By place below n, whether any of the ranges, ends exclusive, holds it."""
+    return np.cumsum(np.bincount(starts, minlength=n + 1) - np.bincount(ends, minlength=n + 1))[:n] > 0
+
+
+def lists_of(column: pa.ListArray) -> Iterator[np.ndarray]:
+    """The lists of a column of numbers, an array each; null is an empty one."""
+    values, at = column.values.to_numpy(), column.offsets.to_numpy()
+    return (values[a:b] for a, b in zip(at[:-1], at[1:], strict=True))
+
+
+def marks_of(column: pa.ListArray) -> Iterator[dict[str, np.ndarray]]:
+    """The marks of each text of a column, by field."""
+    fields = {k: column.values.field(k).to_numpy(zero_copy_only=False) for k in ("pos", "size", "twice", "chosen")}
+    at = column.offsets.to_numpy()
+    return ({k: x[a:b] for k, x in fields.items()} for a, b in zip(at[:-1], at[1:], strict=True))
+
+
+def word_windows(anchors: np.ndarray, n: int) -> np.ndarray:
     """Starts of the windows of PASSAGE words, of n words, that hold one of the anchors."""
-    edge = np.zeros(n - PASSAGE + 2, np.int64)
-    at = np.array(anchors, np.int64)
-    np.add.at(edge, np.maximum(at - (PASSAGE - WORDS_GRAM), 0), 1)
-    np.add.at(edge, np.minimum(at, n - PASSAGE) + 1, -1)
-    return np.flatnonzero(np.cumsum(edge)[:-1] > 0)
+    return np.flatnonzero(covered(np.maximum(anchors - (PASSAGE - WORDS_GRAM), 0), np.minimum(anchors, n - PASSAGE) + 1, n - PASSAGE + 1))
 
 
-def windows(marks: list[dict], n: int, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def windows(marks: dict[str, np.ndarray], n: int, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of a text of n bytes, by window start: whether it is to look up, to look among (one occurrence of each repeated
     region), and in a repeated region."""
     last = n - length
-    near, done, shown = (np.zeros(last + 2, np.int64) for _ in range(3))
-    for m in marks:
-        p, size = m["pos"], m["size"]
-        near[max(0, p - (length - gram))] += 1
-        near[min(p, last) + 1] -= 1
-        if m["twice"] and size:
-            for x in (done, shown) if m["chosen"] else (done,):
-                x[p] += 1
-                x[p + size - length + 1] -= 1
-    near, done, shown = (np.cumsum(x)[:-1] > 0 for x in (near, done, shown))
+    p, repeated = marks["pos"], marks["twice"] & (marks["size"] > 0)
+    near = covered(np.maximum(p - (length - gram), 0), np.minimum(p, last) + 1, last + 1)
+    end = p + marks["size"] - length + 1
+    done, shown = (covered(p[x], end[x], last + 1) for x in (repeated, repeated & marks["chosen"]))
     return near & ~done, shown & done, done
 
 
-def blocks_of(marks: list[dict], n: int, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+def blocks_of(marks: dict[str, np.ndarray], n: int, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
     """Starts of the blocks in whose reach windows are to look up or among, and whether to look up.
 
     A block is `length` less stride bytes from a multiple of stride before an anchor. A window holds the block that
     starts at it or less than a stride behind it, counted from its anchor, so equal windows hold equal blocks."""
     ask, show, _ = windows(marks, n, length, gram)
     stride, last = length // STRIDES, n - length
-    p = np.array([m["pos"] for m in marks], np.int64)[:, None]
+    p = marks["pos"].astype(np.int64)[:, None]
     start = p - np.arange(0, length - gram + stride, stride)
     low, high = np.maximum(np.maximum(start - stride + 1, p - (length - gram)), 0), np.minimum(np.minimum(start, p), last)
     inside = low <= high
@@ -164,14 +179,10 @@ def blocks_of(marks: list[dict], n: int, length: int, gram: int) -> tuple[np.nda
     return starts, np.bincount(first, asked[wanted], len(starts)) > 0
 
 
-def in_blocks(starts: list[int], n: int, length: int) -> np.ndarray:
+def in_blocks(starts: np.ndarray, n: int, length: int) -> np.ndarray:
     """By window start, whether it holds one of the blocks."""
     stride, last = length // STRIDES, n - length
-    edge = np.zeros(last + 2, np.int64)
-    at = np.array(starts, np.int64)
-    np.add.at(edge, np.maximum(at - stride + 1, 0), 1)
-    np.add.at(edge, np.minimum(at, last) + 1, -1)
-    return np.cumsum(edge)[:-1] > 0
+    return covered(np.maximum(starts - stride + 1, 0), np.minimum(starts, last) + 1, last + 1)
 
 
 def _scan(docs: DataFrame, length: int, gram: int) -> DataFrame:
@@ -199,17 +210,19 @@ def _scan(docs: DataFrame, length: int, gram: int) -> DataFrame:
     return docs.mapInArrow(run, f"key {kind}, sha string, n_bytes long, anchors array<struct<pos:int,gram:long,region:long,size:int>>, n_words long, passages array<struct<at:int,gram:long>>")
 
 
-def _hashed(texts: DataFrame, length: int, find: Callable[[dict, int], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
-    """content, class, at and ask: the hashes of `length` bytes from the places in a text that `find` gives."""
+def _hashed(texts: DataFrame, length: int, find: Callable[..., tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """content, class, at and ask: the hashes of `length` bytes from the places in a text that `find` gives, from its
+    size, its marks and, if texts has them, its open blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in rows_of(batch, 64):
                 out = []
-                for row in part.to_pylist():
-                    data = row["text"].encode("utf-8", "surrogatepass")
-                    at, ask = find(row, len(data))
-                    out.append((Rolling(data).at(at, length).view(np.int64), np.full(len(at), row["class"]), at.astype(np.int32), ask))
+                more = [marks_of(part.column("marks")), *(lists_of(part.column(k)) for k in part.schema.names[3:])]
+                for n, t, *told in zip(part.column("class").to_pylist(), part.column("text").to_pylist(), *more, strict=True):
+                    data = t.encode("utf-8", "surrogatepass")
+                    at, ask = find(len(data), *told)
+                    out.append((Rolling(data).at(at, length).view(np.int64), np.full(len(at), n), at.astype(np.int32), ask))
                 columns = [pa.array(np.concatenate(x)) for x in zip(*out, strict=True)]
                 yield pa.RecordBatch.from_arrays(columns, names=["content", "class", "at", "ask"])
 
@@ -217,13 +230,13 @@ def _hashed(texts: DataFrame, length: int, find: Callable[[dict, int], tuple[np.
 
 
 def _blocks(texts: DataFrame, length: int, gram: int) -> DataFrame:
-    return _hashed(texts.select("class", "text", "marks"), length - length // STRIDES, lambda row, n: blocks_of(row["marks"], n, length, gram))
+    return _hashed(texts.select("class", "text", "marks"), length - length // STRIDES, lambda n, marks: blocks_of(marks, n, length, gram))
 
 
 def _windows(texts: DataFrame, length: int, gram: int) -> DataFrame:
-    def find(row: dict, n: int) -> tuple[np.ndarray, np.ndarray]:
-        ask, show, _ = windows(row["marks"], n, length, gram)
-        at = np.flatnonzero((ask | show) & in_blocks(row["open"], n, length))
+    def find(n: int, marks: dict[str, np.ndarray], open_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        ask, show, _ = windows(marks, n, length, gram)
+        at = np.flatnonzero((ask | show) & in_blocks(open_, n, length))
         return at, ask[at]
 
     return _hashed(texts.select("class", "text", "marks", "open"), length, find)
@@ -236,11 +249,11 @@ def _passages(texts: DataFrame) -> DataFrame:
         for batch in batches:
             for part in rows_of(batch, 64):
                 out = []
-                for row in part.to_pylist():
-                    data = row["text"].encode("utf-8", "surrogatepass")
+                for n, t, marks in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), lists_of(part.column(2)), strict=True):
+                    data = t.encode("utf-8", "surrogatepass")
                     words = Rolling(data).words(data)
-                    at = word_windows(row["word_marks"], len(words.sums) - 1)
-                    out.append((words.at(at, PASSAGE).view(np.int64), np.full(len(at), row["class"]), at.astype(np.int32)))
+                    at = word_windows(marks, len(words.sums) - 1)
+                    out.append((words.at(at, PASSAGE).view(np.int64), np.full(len(at), n), at.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["content", "class", "at"])
 
     return texts.select("class", "text", "word_marks").mapInArrow(run, "content long, class long, at int")
@@ -275,14 +288,10 @@ def _cut(texts: DataFrame, length: int, gram: int) -> DataFrame:
         for batch in batches:
             for part in rows_of(batch, 64):
                 out = []
-                for sha, t, marks, found in zip(*(part.column(i).to_pylist() for i in range(4)), strict=True):
+                for sha, t, marks, found in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), marks_of(part.column(2)), lists_of(part.column(3)), strict=True):
                     data = np.frombuffer(t.encode("utf-8", "surrogatepass"), np.uint8)
-                    done = np.flatnonzero(windows(marks, len(data), length, gram)[2])
-                    starts = np.concatenate([done, np.array(found or [], np.int64)]).astype(np.int64)
-                    edge = np.zeros(len(data) + 1, np.int64)
-                    np.add.at(edge, starts, 1)
-                    np.add.at(edge, starts + length, -1)
-                    gone = np.cumsum(edge)[:-1] > 0
+                    starts = np.concatenate([np.flatnonzero(windows(marks, len(data), length, gram)[2]), found])
+                    gone = covered(starts, starts + length, len(data))
                     begins = np.flatnonzero(gone & ~np.concatenate([[False], gone[:-1]]))
                     ends = np.flatnonzero(gone & ~np.concatenate([gone[1:], [False]])) + 1
                     out.append((sha, int(gone.sum()), [{"start": int(a), "end": int(b)} for a, b in zip(begins, ends, strict=True)], hashlib.sha256(data[~gone].tobytes()).hexdigest()))

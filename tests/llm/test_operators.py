@@ -186,6 +186,18 @@ def test_passages_of_over_50_words_that_other_documents_have(docs, corpus, spark
     assert {(9000, 51, 0), (9001, 51, 0), (9002, 0, 0), (9003, 52, 0), (9004, 52, 0)} <= {*got}
 
 
+def test_anchors_and_covered_places_against_brute_force():
+    rng = np.random.default_rng(12)
+    for n, width, top in ((1, 1, 5), (30, 7, 4), (200, 26, 1 << 60), (90, 90, 50), (60, 1, 9)):
+        x = rng.integers(0, top, n).astype(np.uint64)
+        least = {x[i : i + width].min() for i in range(n - width + 1)}
+        assert repeats.minimal(x, width).tolist() == [i for i in range(n) if x[i] in least]
+    starts = rng.integers(0, 50, 8)
+    ends = np.minimum(starts + rng.integers(0, 9, 8), 50)
+    assert repeats.covered(starts, ends, 50).tolist() == [any(a <= i < b for a, b in zip(starts, ends, strict=True)) for i in range(50)]
+    assert not repeats.covered(starts[:0], ends[:0], 3).any()
+
+
 def test_top_k(spark):
     v = [(i, [float(x) for x in RNG.normal(size=4)]) for i in range(160)] + [(200, None), (201, [1.0, None, 0.0, 0.0]), (202, [float("nan")] * 4), (203, [1.0]), (None, [1.0] * 4), (7, [9.0, 9.0, 9.0, 9.0])]
     got = sorted(map(tuple, topk.top_k(spark.createDataFrame(v, "vec_id long, embedding array<float>"), every=10).collect()))
