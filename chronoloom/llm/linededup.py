@@ -85,7 +85,13 @@ def bits(sums: list[Column], total: Column) -> Column:
 
 
 def simhash(lines: DataFrame) -> DataFrame:
-    """id, size, sim (64 bits) and bucket: a row for each block of each line that has votes of three features, or of all.
+    """id, size, sim and bucket: a row for each bucket of signatures()."""
+    return signatures(lines).select("id", "size", "sim", F.explode("buckets").alias("bucket"))
+
+
+def signatures(lines: DataFrame) -> DataFrame:
+    """id, kind, size, sim (64 bits) and buckets: a row for each line and kind of its features, and a bucket for each block
+    that has votes of three features, or of all.
 
     A class c has the features whose hash is divisible by 2^c, block by block with bits of their own; a line of n
     features is in the classes in which four to eight, and eight to sixteen, are to be expected. So two lines with
@@ -120,8 +126,24 @@ def simhash(lines: DataFrame) -> DataFrame:
         enough = F.col(c) == 0 if b == 0 else F.lit(False)
         return F.when(enough | (F.col(c) > 0) & (F.col(f"n{b}") >= 3), hashed.bitwiseOR(spread))
 
-    met = every.select("id", "size", "sim", F.explode(F.array(*map(bucket, range(2 * BLOCKS)))).alias("bucket"))
-    return met.where("bucket is not null")
+    return every.select("id", "kind", "size", "sim", F.array_compact(F.array(*map(bucket, range(2 * BLOCKS)))).alias("buckets"))
+
+
+def kind_of(bucket: Column) -> Column:
+    """The kind of the features that a bucket is of, which is the lowest bit of its tag."""
+    return F.shiftrightunsigned(bucket, 4).bitwiseAND(F.lit(1))
+
+
+def shared_buckets(hashed: DataFrame) -> DataFrame:
+    """bucket, id, n (members of the bucket), size and sim of what signatures() gives, of buckets with two members or more.
+
+    All buckets are dealt out once, both for their sizes and for the join with these (either side reads the same columns
+    of the same rows, none of which is null), and without SimHashes, which few members need: most buckets have one."""
+    members = hashed.select("id", F.explode("buckets").alias("bucket")).where("id is not null and bucket is not null").repartition("bucket")
+    sizes = members.groupBy("bucket").agg(F.count("id").alias("n")).where("n > 1")
+    sims = hashed.select(F.col("id").alias("__id"), F.col("kind").alias("__kind"), "size", "sim")
+    met = members.join(sizes, "bucket")
+    return met.join(sims, (F.col("id") == F.col("__id")) & (kind_of(F.col("bucket")) == F.col("__kind"))).select("bucket", "id", "n", "size", "sim")
 
 
 def alike() -> Column:
@@ -257,10 +279,9 @@ def line_components(lines: DataFrame) -> DataFrame:
     many pairs it compares still grows with a bucket's members times those outside its largest component. The texts of
     lines that share a bucket are looked up once.
     """
-    members = Saved(simhash(lines), "line-buckets")
-    sizes = members.df.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    met = Saved(members.df.join(sizes, "bucket"), "line-shared")
-    members.drop()
+    hashed = Saved(signatures(lines), "line-buckets")
+    met = Saved(shared_buckets(hashed.df), "line-shared")
+    hashed.drop()
     shared = Saved(met.df.join(central(met.df), "bucket"), "line-shared")
     met.drop()
     wanted = shared.df.select(F.col("id").alias("__id")).distinct()

@@ -208,7 +208,10 @@ def _near_duplicates(docs: DataFrame, key: str, text: str) -> DataFrame:
     members = heads.df.select("id", F.explode("bands").alias("bucket")).select("bucket", "id")
 
     def sets_of(ids: DataFrame) -> DataFrame:
-        return Saved(packed_sets(docs, key, text, ids), "near-sets").df
+        wanted = Saved(ids, "near-wanted")  # as in one_of_each_group: few ids need no text dealt out
+        out = Saved(packed_sets(docs, key, text, wanted.df), "near-sets").df
+        wanted.drop()
+        return out
 
     def confirm(pairs: DataFrame) -> DataFrame:
         close = Saved(alike(pairs, heads.df), "near-close")
@@ -243,9 +246,13 @@ def one_of_each_group(docs: DataFrame, key: str = "doc_id", text: str = "text",
     if before is not None:
         own = texts.select(F.col("id").alias("own_id"), F.xxhash64("text").alias("own_hash")).distinct()
         old = before.select(column(key).cast("long").alias("id"), column(text).alias("text"))
-        changed = old.join(own, (F.col("id") == F.col("own_id")) & (F.xxhash64("text") != F.col("own_hash"))).select("id", "text")
-        texts = texts.unionByName(changed)
-    gone = near_duplicates(texts, "id", "text").where(~F.col("kept")).select(F.col("id").alias("gone_id")).distinct()
+        # saved, since the texts are read once for their signatures and again for the sets of candidates
+        changed = Saved(old.join(own, (F.col("id") == F.col("own_id")) & (F.xxhash64("text") != F.col("own_hash"))).select("id", "text"), "near-changed")
+        texts = texts.unionByName(changed.df)
+    # ids of their own table, whose size tells Spark whether the documents need be dealt out to meet them
+    gone = Saved(near_duplicates(texts, "id", "text").where(~F.col("kept")).select(F.col("id").alias("gone_id")).distinct(), "near-gone").df
+    if before is not None:
+        changed.drop()
     return docs.join(gone, column(key).cast("long") == gone["gone_id"], "left_anti")
 
 

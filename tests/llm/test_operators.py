@@ -429,6 +429,21 @@ def test_simhash_against_brute_force(spark):
     assert got == want
 
 
+def test_buckets_are_dealt_out_once_and_without_simhashes(spark):
+    lines = [words(20), words(8), *[" ".join(f"w{i + k % 2}" for i in range(17)) for k in range(3)], "delta", "delta"]
+    hashed = linededup.signatures(spark.createDataFrame(list(enumerate(lines)), "id long, line string"))
+    with linededup.Scope():
+        hashed = linededup.Saved(hashed, "hashed").df
+        shared = linededup.shared_buckets(hashed)
+        every = [(b, r.id, r["size"], r.sim) for r in hashed.collect() for b in r.buckets]
+        n = Counter(x[0] for x in every)
+        assert Counter((r.bucket, r.id, r.n, r["size"], r.sim) for r in shared.collect()) == Counter((b, i, n[b], size, sim) for b, i, size, sim in every if n[b] > 1)
+        assert {5, 6} < {x[1] for x in every if n[x[0]] > 1}
+        plan = shared._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    dealt = [x for x in plan.splitlines() if "Exchange hashpartitioning(bucket" in x]
+    assert len([x for x in dealt if "Reused" not in x]) == 1 and "ReusedExchange" in plan, plan
+
+
 def edit_distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -590,6 +605,22 @@ def test_long_lines_are_linked_by_edits(spark):
         assert sorted(map(tuple, linededup.edit_links(near, texts).collect())) == [(0, 1), (0, 2)]
 
 
+def test_texts_before_are_read_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    texts = [words(40) for _ in range(30)]
+    texts.append(texts[3] + " more")
+    cut = [t if i % 2 else " ".join(t.split()[:25]) for i, t in enumerate(texts)]
+    docs, before = (spark.createDataFrame(list(enumerate(x)), "doc_id long, text string") for x in (cut, texts))
+    kept = {r.doc_id for r in neardup.one_of_each_group(docs, before=before.mapInArrow(run, before.schema)).collect()}
+    assert kept == {*range(30)} and seen.value == 31, (kept, seen.value)
+
+
 def test_names_that_need_quotes(spark, docs):
     from chronoloom.llm import importance
 
